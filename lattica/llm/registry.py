@@ -1,6 +1,14 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import decontaminate, packing
+from . import decontaminate, packing, substring, suffix_index
 
-QUERIES = {f.__name__: f for f in (packing.op2_harmonic_packing, decontaminate.op5_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        packing.op2_harmonic_packing,
+        substring.op4_substring_dedup,
+        decontaminate.op5_benchmark_decontamination,
+        suffix_index.op7_suffix_array_dedup,
+    )
+}
 SQL: dict[str, str] = {}
