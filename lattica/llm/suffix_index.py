@@ -22,6 +22,7 @@ from .repeats import SECOND, Runs, exploded, find_runs, owned, runs_of
 
 PART = 16  # bytes of an anchor
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
+ELSEWHERE = -(1 << 60)  # where a suffix of a level starts: not in this batch
 #: What a level's table holds of a suffix.
 LEVEL = ["suffix", "anchor", "run", "n", "doc_id"]
 
@@ -77,9 +78,9 @@ def scan(found: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
     own = found.join(several.where("new = 1"), ["anchor", "run"]).where("owner = doc_id").select("doc_id", "fp", "start", "n", "anchor", "body")
     for level in index.arrays():
         old = level.join(several.where("new = 0").select("anchor", "run"), ["anchor", "run"])
-        own = own.unionByName(old.select("doc_id", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("long").alias("start"), "n", "anchor", F.col("suffix").alias("body")))
+        own = own.unionByName(old.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(ELSEWHERE).cast("long").alias("start"), "n", "anchor", F.col("suffix").alias("body")))
     single = durable(exploded(own, windows_hashed(length)))
-    single = owned(single, ["anchor", "window"]).where("owner < doc_id and pos is not null").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
+    single = owned(single, ["anchor", "window"]).where("owner < doc_id and pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
     return whole.unionByName(single)
 
 
