@@ -1,13 +1,15 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import decontaminate, packing, substring, suffix_index
+from . import chat, decontaminate, packing, substring, suffix_index, topk
 
 QUERIES = {
     f.__name__: f
     for f in (
+        topk.op1_exact_top_k,
         packing.op2_harmonic_packing,
         substring.op4_substring_dedup,
         decontaminate.op5_benchmark_decontamination,
+        chat.op6_chat_formatting,
         suffix_index.op7_suffix_array_dedup,
     )
 }
