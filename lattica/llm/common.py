@@ -36,10 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: at most so many of them go to Python at once, in this session from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a fingerprint of the text, which tells rows of one doc_id apart. Other columns are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("fp"))

@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mixed, sliding_min, text_chunks
+from .common import Rolling, merged, mixed, sliding_min, text_chunks
 from .sketch import Sketch
 
 SECOND = 0xD1342543DE82EF95
+EXPLODED = 100_000  # windows handled at once
 RUNS = "doc_id long, fp long, start long, n long, anchor long, run long, body binary"
 
 
@@ -84,8 +86,11 @@ def exploded(rows: DataFrame, windows_of: Callable[[bytes, int], np.ndarray]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 4096):
-                batch = whole.slice(a, 4096)
+            ends = np.cumsum(whole.column("n").to_numpy())
+            a = 0
+            while a < len(ends):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + EXPLODED, side="right")))
+                batch, a = whole.slice(a, b - a), b
                 n = batch.column("n").to_numpy()
                 parts = [windows_of(body.as_py(), k) for body, k in zip(batch.column("body"), n.tolist())]
                 row = pa.array(np.repeat(np.arange(len(n)), n))
@@ -97,6 +102,14 @@ def exploded(rows: DataFrame, windows_of: Callable[[bytes, int], np.ndarray]) ->
     return rows.select("doc_id", "fp", "start", "n", "anchor", "body").mapInArrow(run, "doc_id long, fp long, pos long, anchor long, window long")
 
 
+def covered(spans: pa.Array, length: int) -> list[list[tuple[int, int]]]:
+    """For each list of spans (null: none) the disjoint [start, end) that windows of `length` units starting in them cover."""
+    flat = pc.list_flatten(spans)
+    start, n = (flat.field(c).to_numpy() for c in ("start", "n"))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
+    return [merged(start[a:b], n[a:b] + length - 1) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 def owned(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows, each with the smallest doc_id among those with its keys. Counting comes before the shuffle, and a key with very
     many rows is split by the join."""

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import WordHash, durable, hashed, keyed, merged, table, text_chunks, utf8
-from .repeats import Runs, exploded, find_runs, owned, runs_of
+from .common import WordHash, durable, hashed, keyed, small_batches, table, text_chunks, utf8
+from .repeats import Runs, covered, exploded, find_runs, owned, runs_of
 
 PART = 13  # words of an anchor
 _WORDS: dict[int, WordHash] = {}
@@ -64,17 +64,17 @@ def substring_dedup(docs: DataFrame, window: int = 50, part: int = PART) -> Data
     and empty texts have no words and keep the empty string. Rows with one doc_id never remove from each other; a row with a null
     doc_id is kept whole and removes from none. Other columns are left out. No documents: no rows.
     """
+    small_batches(docs.sparkSession)
     docs = keyed(docs)
     spans = repeated_words(docs, window, part)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             rows = []
-            for text, spans in zip(texts, batch.column("spans").to_pylist()):
-                words, gone = split(text), []
+            for text, gone in zip(texts, covered(batch.column("spans"), window)):
+                words = split(text)
                 n = len(words)
-                if spans:
-                    gone = merged(np.array([s["start"] for s in spans]), np.array([s["n"] + window - 1 for s in spans]))
+                if gone:
                     edges = [0, *(x for span in gone for x in span), n]
                     words = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
                 rows.append((n, n - len(words), b" ".join(words).decode(), [{"start": a, "end": b} for a, b in gone]))
