@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import Rolling, durable, keyed, merged, mixed, table, text_chunks, utf8
-from .repeats import SECOND, Runs, exploded, find_runs, owned, runs_of
+from .common import Rolling, durable, keyed, mixed, small_batches, table, text_chunks, utf8
+from .repeats import SECOND, Runs, covered, exploded, find_runs, owned, runs_of
 
-PART = 16  # bytes of an anchor
+PART = 26  # bytes of an anchor
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
 ELSEWHERE = -(1 << 60)  # where a suffix of a level starts: not in this batch
 #: What a level's table holds of a suffix.
@@ -86,7 +86,7 @@ def scan(found: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
 
 def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> DataFrame:
     spark = docs.sparkSession
-    bits = sketches.size_bits(sketches.text_bytes(docs) / 18)
+    bits = sketches.size_bits(sketches.text_bytes(docs) / 3)
     sketch = sketches.build(docs, lambda texts: runs_of(*byte_values(texts), length, part).anchor, bits, chunk=1 << 20)
     shared = spark.sparkContext.broadcast(sketch)
 
@@ -119,16 +119,15 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, batches: i
     and empty texts have no bytes. Rows with one doc_id never remove from each other; a row with a null doc_id is kept whole and
     removes from none. Other columns are left out. No documents: no rows. `batches` is how many parts the documents come in.
     """
+    small_batches(docs.sparkSession)
     docs = keyed(docs)
     spans = repeated_bytes(docs, length, part, batches)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             rows = []
-            for text, spans in zip(texts, batch.column("spans").to_pylist()):
-                raw, gone = utf8(text), []
-                if spans:
-                    gone = merged(np.array([s["start"] for s in spans]), np.array([s["n"] + length - 1 for s in spans]))
+            for text, gone in zip(texts, covered(batch.column("spans"), length)):
+                raw = utf8(text)
                 edges = [0, *(x for span in gone for x in span), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 rows.append((len(raw), len(raw) - len(kept), len(gone), kept, [{"start": a, "end": b} for a, b in gone]))
