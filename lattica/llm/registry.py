@@ -1,6 +1,6 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import chat, decontaminate, packing, substring, suffix_index, topk
+from . import chat, decontaminate, jaccard, packing, substring, suffix_index, topk
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         decontaminate.op5_benchmark_decontamination,
         chat.op6_chat_formatting,
         suffix_index.op7_suffix_array_dedup,
+        jaccard.op10_ngram_jaccard_join,
     )
 }
 SQL: dict[str, str] = {}
