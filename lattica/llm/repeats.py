@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, merged, mixed, sliding_min, text_chunks
+from .common import Rolling, durable, merged, mixed, sliding_min, text_chunks
 from .sketch import Sketch
 
 SECOND = 0xD1342543DE82EF95
@@ -111,6 +111,7 @@ def covered(spans: pa.Array, length: int) -> list[list[tuple[int, int]]]:
 
 
 def owned(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows, each with the smallest doc_id among those with its keys. Counting comes before the shuffle, and a key with very
-    many rows is split by the join."""
-    return rows.join(rows.groupBy(*keys).agg(F.min("doc_id").alias("owner")), keys)
+    """The rows whose keys also come with a smaller doc_id, the owner. Minima are taken before the shuffle; they are written, so
+    that the join deals both sides out anew and can split a key with very many rows."""
+    first = rows.groupBy(*keys).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    return rows.join(durable(first.drop("last")), keys).where("owner < doc_id")

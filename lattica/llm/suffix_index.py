@@ -71,7 +71,7 @@ def scan(found: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
     known = short.select("anchor", "run", "doc_id", F.lit(1).alias("new"))
     for level in index.arrays():
         known = known.unionByName(level.select("anchor", "run", "doc_id", F.lit(0).alias("new")))
-    runs = known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.min("new").alias("new"))
+    runs = durable(known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.min("new").alias("new")))
     whole = short.join(runs, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("new").alias("new")).where("runs > 1 and new = 1").select("anchor")
     several = runs.join(anchors, "anchor")
@@ -80,7 +80,7 @@ def scan(found: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
         old = level.join(several.where("new = 0").select("anchor", "run"), ["anchor", "run"])
         own = own.unionByName(old.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(ELSEWHERE).cast("long").alias("start"), "n", "anchor", F.col("suffix").alias("body")))
     single = durable(exploded(own, windows_hashed(length)))
-    single = owned(single, ["anchor", "window"]).where("owner < doc_id and pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
+    single = owned(single, ["anchor", "window"]).where("pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
     return whole.unionByName(single)
 
 
