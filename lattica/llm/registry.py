@@ -1,12 +1,13 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import chat, decontaminate, jaccard, packing, substring, suffix_index, topk
+from . import chat, decontaminate, jaccard, packing, quality, substring, suffix_index, topk
 
 QUERIES = {
     f.__name__: f
     for f in (
         topk.op1_exact_top_k,
         packing.op2_harmonic_packing,
+        quality.op3_quality_classifier,
         substring.op4_substring_dedup,
         decontaminate.op5_benchmark_decontamination,
         chat.op6_chat_formatting,
