@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,10 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it. Shuffle
+    files that led to them, which nothing refers to any more, go at once instead of whenever the driver collects garbage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of durable tables that nothing reads any more."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -153,6 +165,3 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
     last = np.concatenate([first[1:] - 1, [len(s) - 1]])
     return list(zip(s[first].tolist(), e[last].tolist()))
 
-
-def folder_bytes(paths: list[str]) -> int:
-    return sum(os.path.getsize(p) for p in paths if os.path.exists(p))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import WordHash, durable, hashed, keyed, small_batches, table, text_chunks, utf8
+from .common import WordHash, dropped, durable, hashed, keyed, small_batches, table, text_chunks, utf8
 from .repeats import Runs, covered, exploded, find_runs, owned, runs_of
 
 PART = 13  # words of an anchor
@@ -51,9 +51,11 @@ def repeated_words(docs: DataFrame, window: int, part: int) -> DataFrame:
     several = runs.join(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchor")
     whole = short.join(runs, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
     own = found.join(several, ["anchor", "run"]).where("owner = doc_id")
-    single = durable(exploded(own, lambda b, n: np.frombuffer(b, "<u8")))
-    single = owned(single, ["anchor", "window"]).select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(single).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    windows = durable(exploded(own, lambda b, n: np.frombuffer(b, "<u8")))
+    single = owned(windows, ["anchor", "window"]).select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
+    spans = durable(whole.unionByName(single))
+    dropped(found, runs, windows)
+    return spans.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, part: int = PART) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import Rolling, durable, keyed, mixed, small_batches, table, text_chunks, utf8
+from .common import Rolling, dropped, durable, keyed, mixed, small_batches, table, text_chunks, utf8
 from .repeats import SECOND, Runs, covered, exploded, find_runs, owned, runs_of
 
 PART = 26  # bytes of an anchor
@@ -52,10 +52,9 @@ class SuffixIndex:
 
 
 def suffix_array(found: DataFrame) -> DataFrame:
-    """Distinct suffixes of a batch of runs, with the smallest document of each."""
-    first = found.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"))
-    own = found.join(first, ["anchor", "run"]).where("doc_id = owner")
-    return own.select(F.col("body").alias("suffix"), "anchor", "run", "n", "doc_id").distinct()
+    """Distinct suffixes of a batch of runs, each with the smallest document that has it, its place there, and the greatest."""
+    first = F.min(F.struct("doc_id", "fp", "start", "n", F.col("body").alias("suffix"))).alias("r")
+    return found.groupBy("anchor", "run").agg(first, F.max("doc_id").alias("last")).select("anchor", "run", "last", "r.*")
 
 
 def windows_hashed(length: int):
@@ -65,23 +64,26 @@ def windows_hashed(length: int):
     return windows
 
 
-def scan(found: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
-    """Spans (doc_id, fp, start, n) of a batch's runs whose windows also start in a smaller document of the batch or a level."""
-    short = found.drop("body")
-    known = short.select("anchor", "run", "doc_id", F.lit(1).alias("new"))
+def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
+    """Spans (doc_id, fp, start, n) of a batch's runs whose windows also start in a smaller document of the batch or a level.
+    suffixes: the batch's suffix array."""
+    known = suffixes.select("anchor", "run", "doc_id", "last", F.lit(1).alias("new"))
     for level in index.arrays():
-        known = known.unionByName(level.select("anchor", "run", "doc_id", F.lit(0).alias("new")))
-    runs = durable(known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.min("new").alias("new")))
-    whole = short.join(runs, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
+        known = known.unionByName(level.select("anchor", "run", "doc_id", F.col("doc_id").alias("last"), F.lit(0).alias("new")))
+    runs = durable(known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last"), F.min("new").alias("new")))
+    shared = runs.where("owner < last").select("anchor", "run", "owner")
+    whole = found.drop("body").join(shared, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("new").alias("new")).where("runs > 1 and new = 1").select("anchor")
-    several = runs.join(anchors, "anchor")
-    own = found.join(several.where("new = 1"), ["anchor", "run"]).where("owner = doc_id").select("doc_id", "fp", "start", "n", "anchor", "body")
+    several = durable(runs.join(anchors, "anchor").select("anchor", "run", "new"))
+    own = suffixes.join(several.where("new = 1").select("anchor", "run"), ["anchor", "run"]).select("doc_id", "fp", "start", "n", "anchor", F.col("suffix").alias("body"))
     for level in index.arrays():
         old = level.join(several.where("new = 0").select("anchor", "run"), ["anchor", "run"])
         own = own.unionByName(old.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(ELSEWHERE).cast("long").alias("start"), "n", "anchor", F.col("suffix").alias("body")))
-    single = durable(exploded(own, windows_hashed(length)))
-    single = owned(single, ["anchor", "window"]).where("pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(single)
+    windows = durable(exploded(own, windows_hashed(length)))
+    single = owned(windows, ["anchor", "window"]).where("pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
+    spans = durable(whole.unionByName(single))
+    dropped(windows, runs, several)
+    return spans
 
 
 def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> DataFrame:
@@ -104,10 +106,13 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> Dat
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        got = durable(scan(batch, index, length))
+        suffixes = durable(suffix_array(batch))
+        got = scan(batch, suffixes, index, length)
         spans = got if spans is None else spans.unionByName(got)
         if k < len(edges) - 2:
-            index.insert(suffix_array(batch))
+            index.insert(suffixes.select(*LEVEL))
+        dropped(suffixes)
+    dropped(found, *index.arrays())
     return spans.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
