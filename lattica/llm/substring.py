@@ -48,13 +48,14 @@ def repeated_words(docs: DataFrame, window: int, part: int) -> DataFrame:
     found = durable(find_runs(docs.where("doc_id is not null"), word_values, body, window, part, shared, 4 << 20))
     short = found.drop("body")
     runs = durable(short.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner")))
-    several = runs.join(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchor")
+    anchors = durable(runs.groupBy("anchor").count().where("count > 1").select("anchor"))
+    several = runs.join(anchors, "anchor")
     whole = short.join(runs, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
     own = found.join(several, ["anchor", "run"]).where("owner = doc_id")
     windows = durable(exploded(own, lambda b, n: np.frombuffer(b, "<u8")))
     single = owned(windows, ["anchor", "window"]).select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
     spans = durable(whole.unionByName(single))
-    dropped(found, runs, windows)
+    dropped(found, runs, anchors, windows)
     return spans.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

@@ -74,6 +74,7 @@ def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex, length: int)
     shared = runs.where("owner < last").select("anchor", "run", "owner")
     whole = found.drop("body").join(shared, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("new").alias("new")).where("runs > 1 and new = 1").select("anchor")
+    anchors = durable(anchors)
     several = durable(runs.join(anchors, "anchor").select("anchor", "run", "new"))
     own = suffixes.join(several.where("new = 1").select("anchor", "run"), ["anchor", "run"]).select("doc_id", "fp", "start", "n", "anchor", F.col("suffix").alias("body"))
     for level in index.arrays():
@@ -82,7 +83,7 @@ def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex, length: int)
     windows = durable(exploded(own, windows_hashed(length)))
     single = owned(windows, ["anchor", "window"]).where("pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
     spans = durable(whole.unionByName(single))
-    dropped(windows, runs, several)
+    dropped(windows, runs, anchors, several)
     return spans
 
 
