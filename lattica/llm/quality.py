@@ -245,9 +245,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 4000) -> DataFrame:
-    """The rows of docs, all columns, with a score of `least` or more; rows of any doc_id, null too."""
-    bad = quality_scores(docs, labels, most).where(F.col("score") < least).select(F.col("doc_id").alias("_doc_id"), F.col("fp").alias("_fp")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_fp")), "left_anti")
+    """The rows of docs, all columns, with a score of `least` or more; rows of any doc_id, null too. No shuffle."""
+    small_batches(docs.sparkSession)
+    model = train(docs, labels, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches, limit=1 << 20):
+            yield batch.filter(pa.array(score(model, texts) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

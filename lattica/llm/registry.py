@@ -1,6 +1,6 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import chat, decontaminate, hmm, jaccard, packing, quality, substring, suffix_index, topk
+from . import chat, decontaminate, hmm, jaccard, packing, quality, substring, suffix_index, token_counts, topk
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         decontaminate.op5_benchmark_decontamination,
         chat.op6_chat_formatting,
         suffix_index.op7_suffix_array_dedup,
+        token_counts.op8_token_counts,
         hmm.op9_lm_scoring,
         jaccard.op10_ngram_jaccard_join,
     )

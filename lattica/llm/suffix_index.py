@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +146,30 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, batches: i
     return joined.mapInArrow(cut, "doc_id long, fp long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, end: long>>")
 
 
+def cut_repeats(docs: DataFrame, length: int = 50, part: int = PART, batches: int = 4) -> DataFrame:
+    """The rows of docs, all columns, with the repeated bytes (see suffix_dedup) cut out of text; n_chars, if there is such a
+    column, follows. A character goes if one of its bytes does, so that what is left is text."""
+    small_batches(docs.sparkSession)
+    spans = repeated_bytes(keyed(docs), length, part, batches)
+    joined = docs.withColumn("_fp", F.xxhash64("text")).join(spans.withColumnsRenamed({"doc_id": "_d", "fp": "_f"}), (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_fp") == F.col("_f")), "left")
+    names = docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            for row, gone in enumerate(covered(batch.column("spans"), length)):
+                if gone:
+                    raw = utf8(texts[row])
+                    edges = [0, *(x for span in gone for x in span), len(raw)]
+                    texts[row] = "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(edges[::2], edges[1::2]))
+            columns = {c: batch.column(c) for c in names}
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                columns["n_chars"] = pc.cast(pc.utf8_length(columns["text"]), columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return joined.select(*names, "spans").mapInArrow(cut, docs.schema)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
