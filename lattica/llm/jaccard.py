@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import Rolling, WordHash, durable, hashed, mixed, small_batches, table, text_chunks, utf8
+from .common import Rolling, WordHash, dropped, durable, hashed, mixed, small_batches, table, text_chunks, utf8
 from .components import components
 
 SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -133,6 +133,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signature = ["n", "s1", "s2"]
     equal = durable(some.groupBy(*signature).agg(F.min("doc_id").alias("doc")))
     sets = durable(some.join(equal, signature).where("doc_id = doc").select("doc", "n", "first", "last", "tokens"))
+    narrow = durable(every.drop("tokens", "first", "last"))
+    dropped(every)
+    some = narrow.where("s1 is not null and doc_id is not null")
     copies = some.select("doc_id", *signature).join(equal, signature).where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     index = durable(postings(sets))
     similar = f"100 * common >= {percent} * (na + nb - common)"
@@ -170,7 +173,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     more = overlaps(pairs, sets).where(similar).select("a", "b")
     links = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies)
     found = components(links)
-    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
+    out = narrow.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
