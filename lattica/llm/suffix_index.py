@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from . import sketch as sketches
 from .common import Rolling, dropped, durable, keyed, mixed, small_batches, table, text_chunks, utf8
-from .repeats import SECOND, Runs, covered, exploded, find_runs, owned, runs_of
+from .repeats import SECOND, Runs, compared, covered, exploded, find_runs, owned, runs_of
 
 PART = 26  # bytes of an anchor
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
+FEW = 64  # runs of an anchor that may meet in one task
 ELSEWHERE = -(1 << 60)  # where a suffix of a level starts: not in this batch
 #: What a level's table holds of a suffix.
 LEVEL = ["suffix", "anchor", "run", "n", "doc_id"]
@@ -59,10 +60,19 @@ def suffix_array(found: DataFrame) -> DataFrame:
 
 
 def windows_hashed(length: int):
-    def windows(body: bytes, n: int) -> np.ndarray:
+    """Hashes of the windows of one body, and of those of many bodies at once."""
+
+    def one(body: bytes, n: int) -> np.ndarray:
         return Rolling(_BYTES[np.frombuffer(body, np.uint8)]).windows(length)
 
-    return windows
+    def many(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(b) for b in bodies])
+        n = sizes - length + 1
+        begins = np.cumsum(sizes) - sizes
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins, n)
+        return Rolling(_BYTES[np.frombuffer(b"".join(bodies), np.uint8)]).windows(length)[at], n
+
+    return one, many
 
 
 def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
@@ -74,17 +84,20 @@ def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex, length: int)
     runs = durable(known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last"), F.min("new").alias("new")))
     shared = runs.where("owner < last").select("anchor", "run", "owner")
     whole = found.drop("body").join(shared, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("new").alias("new")).where("runs > 1 and new = 1").select("anchor")
-    anchors = durable(anchors)
-    several = durable(runs.join(anchors, "anchor").select("anchor", "run", "new"))
-    own = suffixes.join(several.where("new = 1").select("anchor", "run"), ["anchor", "run"]).select("doc_id", "fp", "start", "n", "anchor", F.col("suffix").alias("body"))
+    anchors = durable(runs.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("new").alias("new")).where("runs > 1 and new = 1").select("anchor", "runs"))
+    several = durable(runs.join(anchors, "anchor").select("anchor", "run", "runs", "new"))
+    own = suffixes.join(several.where("new = 1").drop("new"), ["anchor", "run"]).select("doc_id", "fp", "start", "n", "anchor", "runs", F.col("suffix").alias("body"))
     for level in index.arrays():
-        old = level.join(several.where("new = 0").select("anchor", "run"), ["anchor", "run"])
-        own = own.unionByName(old.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(ELSEWHERE).cast("long").alias("start"), "n", "anchor", F.col("suffix").alias("body")))
-    windows = durable(exploded(own, windows_hashed(length)))
-    single = owned(windows, ["anchor", "window"]).where("pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
+        old = level.join(several.where("new = 0").drop("new"), ["anchor", "run"])
+        own = own.unionByName(old.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(ELSEWHERE).cast("long").alias("start"), "n", "anchor", "runs", F.col("suffix").alias("body")))
+    own = durable(own)
+    one, many = windows_hashed(length)
+    # anchors with few runs are settled each in a task; the windows of the others are dealt out one by one
+    few = compared(own.where(F.col("runs") <= FEW), many)
+    windows = durable(exploded(own.where(F.col("runs") > FEW), one))
+    single = owned(windows, ["anchor", "window"]).where("pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n")).unionByName(few)
     spans = durable(whole.unionByName(single))
-    dropped(windows, runs, anchors, several)
+    dropped(windows, own, runs, anchors, several)
     return spans
 
 
