@@ -108,14 +108,23 @@ LCG_A, LCG_C = 1664525, 1013904223
 def lcg(index: Column, seed: int, bits: int = 33) -> Column:
     """The number at `index` (from 0) of the stream s <- (A s + C) mod 2**32 from `seed`, divided by 2**32 - 1: any place of the
     stream on its own, by doubling steps, so the stream needs no order of evaluation."""
-    a, c = LCG_A, LCG_C
-    state = F.lit(int(seed) & M32).cast("long")
-    steps = index.cast("long") + 1
+    a, c, jumps = LCG_A, LCG_C, []
     for k in range(bits):
-        jumped = (times32(state, a) + F.lit(c)).bitwiseAND(F.lit(M32))
-        state = F.when(F.shiftrightunsigned(steps, k).bitwiseAND(F.lit(1)) == 1, jumped).otherwise(state)
+        jumps.append(F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")))
         a, c = a * a & M32, (a * c + c) & M32
-    return state / F.lit(4294967295.0)
+    steps = index.cast("long") + 1
+
+    def jump(state: Column, j: Column) -> Column:
+        taken = F.call_function("shiftrightunsigned", steps, j["k"])
+        moved = (times32(state, j["a"]) + j["c"]).bitwiseAND(F.lit(M32))
+        return F.when(taken.bitwiseAND(F.lit(1)) == 1, moved).otherwise(state)
+
+    return F.aggregate(F.array(*jumps), F.lit(int(seed) & M32).cast("long"), jump) / F.lit(4294967295.0)
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 MULBERRY = 0x6D2B79F5  # fixed value: the increment of the mulberry32 stream
@@ -124,10 +133,10 @@ MULBERRY = 0x6D2B79F5  # fixed value: the increment of the mulberry32 stream
 def mulberry32(index: Column, seed: int) -> Column:
     """The number at `index` (from 0) of the mulberry32 stream from `seed`, in [0, 1)."""
     t = (times32((index.cast("long") + 1).bitwiseAND(F.lit(M32)), MULBERRY) + F.lit(int(seed) & M32)).bitwiseAND(F.lit(M32))
-    t = times32(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1)))
-    u = times32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))
-    t = t.bitwiseXOR((t + u).bitwiseAND(F.lit(M32)))
-    return t.bitwiseXOR(F.shiftrightunsigned(t, 14)) / F.lit(4294967296.0)
+    first = lambda t: times32(t.bitwiseXOR(F.shiftrightunsigned(t, 15)), t.bitwiseOR(F.lit(1)))
+    second = lambda t: t.bitwiseXOR((t + times32(t.bitwiseXOR(F.shiftrightunsigned(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(M32)))
+    third = lambda t: t.bitwiseXOR(F.shiftrightunsigned(t, 14))
+    return let(let(let(t, first), second), third) / F.lit(4294967296.0)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -137,7 +146,7 @@ def clamp(c: Column, low: float, high: float) -> Column:
 def piecewise(t: Column, stops: list[tuple[float, float]]) -> Column:
     """Linear between (place, value) stops, constant beyond the ends."""
     out = F.lit(float(stops[-1][1]))
-    for (a, x), (b, y) in reversed(list(zip(stops, stops[1:]))):
+    for (a, x), (b, y) in reversed([p for p in zip(stops, stops[1:]) if p[0][0] < p[1][0]]):
         out = F.when(t <= b, F.lit(float(x)) + (t - a) / (b - a) * (y - x)).otherwise(out)
     return F.when(t <= stops[0][0], F.lit(float(stops[0][1]))).otherwise(out)
 
