@@ -43,31 +43,47 @@ class Runs:
     rolling: Rolling
 
 
-def runs_of(values: np.ndarray, counts: np.ndarray, length: int, part: int) -> Runs:
-    ends = np.cumsum(counts)
-    begins = ends - counts
+def grams_of(values: np.ndarray, part: int) -> tuple[Rolling, np.ndarray]:
+    """The hashes that anchors are chosen from."""
     rolling = Rolling(values)
+    return rolling, mixed(rolling.windows(part))
+
+
+def runs_of(values: np.ndarray, counts: np.ndarray, length: int, part: int, skip: np.ndarray | None = None, grams: tuple | None = None) -> Runs:
+    """The runs of a chunk. Windows where `skip` is true, by their starts in the chunk, are left out."""
+    begins = np.cumsum(counts) - counts
+    rolling, hashes = grams or grams_of(values, part)
     windows = np.maximum(counts - length + 1, 0)
     row = np.repeat(np.arange(len(counts)), windows)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = start + begins[row]
+    if skip is not None:
+        keep = ~skip[at]
+        row, start, at = row[keep], start[keep], at[keep]
     if not len(row):
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, none, np.zeros(0, np.uint64), rolling)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = start + begins[row]
-    least = sliding_min(mixed(rolling.windows(part)), length - part + 1)[at]
-    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])]))
+    least = sliding_min(hashes, length - part + 1)[at]
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]))
     n = np.diff(np.append(first, len(at)))
     return Runs(row[first], at[first], start[first], n, least[first], rolling)
 
 
 def find_runs(docs: DataFrame, values_of: Callable[[list], tuple[np.ndarray, np.ndarray]], body_of: Callable, length: int, part: int, sketch, chunk: int) -> DataFrame:
-    """Runs of all rows of docs (doc_id, text, fp) whose anchor may be repeated; body_of(runs, kept, texts) gives their bodies."""
+    """Runs of all rows of docs (doc_id, text, fp, and spans to leave out) whose anchor may be repeated; body_of(runs, kept, texts)
+    gives their bodies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Sketch = sketch.value
         for batch, texts in text_chunks(batches, limit=chunk):
             values, counts = values_of(texts)
-            r = runs_of(values, counts, length, part)
+            skip = None
+            if "spans" in batch.schema.names:  # windows that are known to be repeated
+                skip = np.zeros(len(values), bool)
+                for begin, gone in zip((np.cumsum(counts) - counts).tolist(), covered(batch.column("spans"), 1)):
+                    for a, b in gone:
+                        skip[begin + a : begin + b] = True
+            r = runs_of(values, counts, length, part, skip)
             keep = np.flatnonzero(seen.reached(r.anchor))
             if not len(keep):
                 continue

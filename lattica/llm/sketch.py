@@ -47,37 +47,27 @@ def size_bits(expected: float, most: int = MOST_BITS) -> int:
     return int(min(most, max(BLOCK, np.ceil(np.log2(max(2.0, 2 * expected))))))
 
 
-def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, depth: int = 2, limits: tuple[int, ...] = (2,), chunk: int = 2 << 20) -> Sketch:
-    """The sketch of keys_of(texts) over all rows of docs."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate(held)
-            held.clear()
-            blocks, data = [], []
-            for row in range(depth):
-                at = np.sort(counters(keys, bits, row))
-                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                count = np.minimum(np.diff(np.append(first, len(at))), 255).astype(np.uint8)
-                at = at[first]
-                block = (at >> np.uint64(BLOCK)).astype(np.int64)
-                begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
-                low = (at & np.uint64((1 << BLOCK) - 1)).astype("<u2")
-                for a, b in zip(begins, [*begins[1:], len(at)]):
-                    blocks.append(row << (bits - BLOCK) | int(block[a]))
-                    step = low[a:b].copy()
-                    step[1:] -= low[a : b - 1]
-                    data.append(zlib.compress(step.tobytes() + count[a:b].tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], ["block", "counts"])
-
-        for _, texts in text_chunks(batches, limit=chunk):
-            held.append(keys_of(texts))
-            if sum(map(len, held)) >= HELD:
-                yield from out()
-        if sum(map(len, held)):
-            yield from out()
+def sparse(keys: np.ndarray, bits: int, depth: int) -> pa.RecordBatch:
+    """A task's counters, a row for each block: block, counts."""
+    blocks, data = [], []
+    for row in range(depth):
+        at = np.sort(counters(keys, bits, row))
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        count = np.minimum(np.diff(np.append(first, len(at))), 255).astype(np.uint8)
+        at = at[first]
+        block = (at >> np.uint64(BLOCK)).astype(np.int64)
+        begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
+        low = (at & np.uint64((1 << BLOCK) - 1)).astype("<u2")
+        for a, b in zip(begins, [*begins[1:], len(at)]):
+            blocks.append(row << (bits - BLOCK) | int(block[a]))
+            step = low[a:b].copy()
+            step[1:] -= low[a : b - 1]
+            data.append(zlib.compress(step.tobytes() + count[a:b].tobytes(), 1))
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], ["block", "counts"])
+
+
+def merged(rows: DataFrame, bits: int, depth: int, limits: tuple[int, ...]) -> Sketch:
+    """The sketch of all tasks' counters."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -92,8 +82,7 @@ def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, dep
             planes = [np.packbits(acc >= x, bitorder="little").tobytes() for x in limits]
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([b"".join(planes)], pa.binary())], ["block", "bitmaps"])
 
-    sparse = docs.select("text").mapInArrow(add, "block long, counts binary")
-    blocks = sparse.repartition("block").mapInArrow(merge, "block long, bitmaps binary").toArrow()
+    blocks = rows.repartition("block").mapInArrow(merge, "block long, bitmaps binary").toArrow()
     width = 1 << (BLOCK - 3)
     planes = np.zeros((len(limits), depth, 1 << (bits - 3)), np.uint8)
     for block, data in zip(blocks.column("block").to_pylist(), blocks.column("bitmaps")):
@@ -102,5 +91,21 @@ def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, dep
     return Sketch(planes, bits)
 
 
+def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, depth: int = 2, limits: tuple[int, ...] = (2,), chunk: int = 2 << 20) -> Sketch:
+    """The sketch of keys_of(texts) over all rows of docs."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for _, texts in text_chunks(batches, limit=chunk):
+            held.append(keys_of(texts))
+            if sum(map(len, held)) >= HELD:
+                yield sparse(np.concatenate(held), bits, depth)
+                held = []
+        if sum(map(len, held)):
+            yield sparse(np.concatenate(held), bits, depth)
+
+    return merged(docs.select("text").mapInArrow(add, "block long, counts binary"), bits, depth, limits)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

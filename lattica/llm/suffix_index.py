@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from . import sketch as sketches
 from .common import Rolling, dropped, durable, keyed, mixed, small_batches, table, text_chunks, utf8
-from .repeats import SECOND, Runs, compared, covered, exploded, find_runs, owned, runs_of
+from .repeats import SECOND, Runs, compared, covered, exploded, find_runs, grams_of, owned, runs_of
 
-PART = 26  # bytes of an anchor
+PART = 20  # bytes of an anchor
+LONG = 8  # a window of the long runs is so many times as long
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
 FEW = 64  # runs of an anchor that may meet in one task
 ELSEWHERE = -(1 << 60)  # where a suffix of a level starts: not in this batch
@@ -101,20 +102,60 @@ def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex, length: int)
     return spans
 
 
+def surveyed(docs: DataFrame, length: int, part: int, bits: int) -> DataFrame:
+    """One pass over the texts: the sketch's counters (block, counts) and long runs, whose windows have LONG * length bytes (block null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", "start", "n", "anchor", "run", "block")] + [("counts", pa.binary())])
+
+        def filled(columns: dict, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        def counters() -> pa.RecordBatch:
+            got = sketches.sparse(np.concatenate(held), bits, 2)
+            held.clear()
+            return filled({"block": got.column("block"), "counts": got.column("counts")}, got.num_rows)
+
+        for batch, texts in text_chunks(batches, limit=1 << 20):
+            values, counts = byte_values(texts)
+            grams = grams_of(values, part)
+            held.append(runs_of(values, counts, length, part, grams=grams).anchor)
+            if sum(map(len, held)) >= sketches.HELD:
+                yield counters()
+            r = runs_of(values, counts, LONG * length, part, grams=grams)
+            if len(r.n):
+                content = mixed(r.rolling.spans(r.at, r.at + r.n + LONG * length - 1), SECOND) + r.n.astype(np.uint64)
+                doc, fp = (batch.column(c).take(pa.array(r.row)) for c in ("doc_id", "fp"))
+                yield filled({"doc_id": doc, "fp": fp, "start": pa.array(r.start), "n": pa.array(r.n), "anchor": pa.array(r.anchor.view(np.int64)), "run": pa.array(content.view(np.int64))}, len(r.n))
+        if sum(map(len, held)):
+            yield counters()
+
+    return docs.mapInArrow(run, "doc_id long, fp long, start long, n long, anchor long, run long, block long, counts binary")
+
+
 def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> DataFrame:
+    """doc_id, fp, spans: the windows of docs (doc_id, text, fp) that also start in a document with a smaller doc_id. Long
+    repeats, such as copies of documents, are settled as they are and need no suffixes of their own; the rest goes through the
+    index."""
     spark = docs.sparkSession
+    docs = docs.where("doc_id is not null")
     bits = sketches.size_bits(sketches.text_bytes(docs) / 3)
-    sketch = sketches.build(docs, lambda texts: runs_of(*byte_values(texts), length, part).anchor, bits, chunk=1 << 20)
-    shared = spark.sparkContext.broadcast(sketch)
+    survey = durable(surveyed(docs, length, part, bits))
+    shared = spark.sparkContext.broadcast(sketches.merged(survey.where("block is not null").select("block", "counts"), bits, 2, (2,)))
+    long = owned(survey.where("block is null").select("doc_id", "fp", "start", "n", "anchor", "run"), ["anchor", "run"])
+    long = durable(long.select("doc_id", "fp", "start", (F.col("n") + (LONG - 1) * length).alias("n")))
+    dropped(survey)
+    rest = docs.join(long.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans")), ["doc_id", "fp"], "left")
 
     def body(r: Runs, keep: np.ndarray, texts: list) -> list[bytes]:
         raw = b"".join(map(utf8, texts))
         return [raw[a : a + n + length - 1] for a, n in zip(r.at[keep].tolist(), r.n[keep].tolist())]
 
-    found = durable(find_runs(docs.where("doc_id is not null"), byte_values, body, length, part, shared, 1 << 20))
+    found = durable(find_runs(rest, byte_values, body, length, part, shared, 1 << 20))
     steps = found.select(F.percentile_approx("doc_id", F.array([F.lit(k / batches) for k in range(1, batches)]), 10_000)).first()[0] if batches > 1 else None
     edges = [None, *sorted(set(steps or [])), None]
-    index, spans = SuffixIndex(), None
+    index, spans = SuffixIndex(), long
     for k, (low, high) in enumerate(zip(edges, edges[1:])):
         batch = found
         if low is not None:
@@ -122,8 +163,7 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> Dat
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
         suffixes = durable(suffix_array(batch))
-        got = scan(batch, suffixes, index, length)
-        spans = got if spans is None else spans.unionByName(got)
+        spans = spans.unionByName(scan(batch, suffixes, index, length))
         if k < len(edges) - 2:
             index.insert(suffixes.select(*LEVEL))
         dropped(suffixes)
