@@ -16,7 +16,7 @@ def real(c: Column) -> Column:
 def divide(a: Column, b: Column) -> Column:
     """a / b as IEEE has it: infinities and NaN instead of errors, and the sign of zeros counts."""
     a, b = real(a), real(b)
-    below = F.atan2(b, F.lit(-1.0)) < 0  # true for -0.0 too, when b is zero
+    below = b.cast("string").startswith("-")  # only the text tells -0.0 from 0.0
     at_zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when((a > 0) != below, F.lit(INF)).otherwise(F.lit(-INF))
     return F.when(F.isnan(b), F.lit(NAN)).when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
