@@ -102,7 +102,12 @@ def postings(sets: DataFrame) -> DataFrame:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, common: the pairs (a, b) with the sizes of their sets and of what these share."""
+    """a, b, na, nb, common: the pairs (a, b) with the sizes of their sets and of what these share. A sketch of the pairs' numbers
+    keeps sets that no pair needs out of the shuffles."""
+    pairs = durable(pairs)
+    bits = sketches.size_bits(8 * pairs.count())
+    needed = sketches.of_keys(pairs.select(F.explode(F.array("a", "b")).alias("doc")), "doc", bits)
+    sets = sketches.perhaps_in(sets.select("doc", "tokens"), "doc", pairs.sparkSession.sparkContext.broadcast(needed))
     left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb"))
 

@@ -107,5 +107,26 @@ def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, dep
     return merged(docs.select("text").mapInArrow(add, "block long, counts binary"), bits, depth, limits)
 
 
+def of_keys(rows: DataFrame, column: str, bits: int) -> Sketch:
+    """The sketch of a column of numbers: which may occur at all."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield sparse(batch.column(0).to_numpy().view(np.uint64), bits, 1)
+
+    return merged(rows.select(F.col(column).cast("long")).dropna().mapInArrow(add, "block long, counts binary"), bits, 1, (1,))
+
+
+def perhaps_in(rows: DataFrame, column: str, seen) -> DataFrame:
+    """The rows whose number may be in a sketch, a broadcast one; the others certainly aren't. It comes before any shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(seen.value.reached(batch.column(column).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
