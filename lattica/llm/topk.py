@@ -158,8 +158,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, ident: str = "
     # blocks of queries with similar reach, so that whole blocks skip the buckets of short candidates
     n_blocks = max(1, math.ceil(asked.count() / block_rows))
     blocks = durable(blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")))
-    reach = blocks.groupBy("dims", "block").agg(F.min(F.col("bound") / F.sqrt("norm2")).alias("least"))
-    pairs = reach.join(classes, "dims").where("least is null or isnan(least) or least <= sqrt(top) * (1 + 1e-9)")
+    reach = blocks.groupBy("dims", "block").agg(F.min(F.when(F.col("norm2") > 0, F.try_divide("bound", F.sqrt("norm2"))).otherwise(F.lit(-math.inf))).alias("least"))
+    pairs = reach.join(classes, "dims").where("least <= sqrt(top) * (1 + 1e-9)")
     pairs = pairs.select("dims", "block", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     parts = cand.join(F.broadcast(classes.select("dims", "class", "parts")), ["dims", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     keys = ["dims", "block", "class", "part"]
