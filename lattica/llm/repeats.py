@@ -28,7 +28,7 @@ from .sketch import Sketch
 SECOND = 0xD1342543DE82EF95
 EXPLODED = 100_000  # windows handled at once, here and there
 COMPARED = 500_000
-RUNS = "doc_id long, fp long, start long, n long, anchor long, run long, body binary"
+RUNS = "doc_id long, fp long, start long, n long, anchor long, run long"
 
 
 @dataclass
@@ -69,9 +69,9 @@ def runs_of(values: np.ndarray, counts: np.ndarray, length: int, part: int, skip
     return Runs(row[first], at[first], start[first], n, least[first], rolling)
 
 
-def find_runs(docs: DataFrame, values_of: Callable[[list], tuple[np.ndarray, np.ndarray]], body_of: Callable, length: int, part: int, sketch, chunk: int) -> DataFrame:
+def find_runs(docs: DataFrame, values_of: Callable[[list], tuple[np.ndarray, np.ndarray]], body_of: Callable, length: int, part: int, sketch, chunk: int, kind: str = "body binary") -> DataFrame:
     """Runs of all rows of docs (doc_id, text, fp, and spans to leave out) whose anchor may be repeated; body_of(runs, kept, texts)
-    gives their bodies."""
+    gives one more column, of the name and type `kind`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Sketch = sketch.value
@@ -91,11 +91,11 @@ def find_runs(docs: DataFrame, values_of: Callable[[list], tuple[np.ndarray, np.
             content = mixed(r.rolling.spans(at, at + n + length - 1), SECOND) + n.astype(np.uint64)
             doc, fp = (batch.column(c).take(pa.array(r.row[keep])) for c in ("doc_id", "fp"))
             yield pa.RecordBatch.from_arrays(
-                [doc, fp, pa.array(r.start[keep]), pa.array(n), pa.array(r.anchor[keep].view(np.int64)), pa.array(content.view(np.int64)), pa.array(body_of(r, keep, texts), pa.binary())],
-                ["doc_id", "fp", "start", "n", "anchor", "run", "body"],
+                [doc, fp, pa.array(r.start[keep]), pa.array(n), pa.array(r.anchor[keep].view(np.int64)), pa.array(content.view(np.int64)), pa.array(body_of(r, keep, texts))],
+                ["doc_id", "fp", "start", "n", "anchor", "run", kind.split()[0]],
             )
 
-    return docs.mapInArrow(run, RUNS)
+    return docs.mapInArrow(run, f"{RUNS}, {kind}")
 
 
 def exploded(rows: DataFrame, windows_of: Callable[[bytes, int], np.ndarray]) -> DataFrame:
@@ -137,7 +137,7 @@ def compared(rows: DataFrame, hashes_of: Callable[[list[bytes]], tuple[np.ndarra
         again = np.zeros(len(row), bool)
         again[order] = d > least
         pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + t.column("start").to_numpy()[row]
-        hit = np.flatnonzero(again & (pos >= 0))
+        hit = np.flatnonzero(again)
         if not len(hit):
             return None
         begin = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)]))

@@ -1,10 +1,12 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
 Documents come in batches, in the order of their ids. A batch's suffix array is a table of distinct suffixes in lexicographic
-order, each with the smallest document that has it: a suffix starts where a run of byte windows starts (see repeats.py) and
-reaches as far as the run's windows do, so that two documents share a long match exactly where their suffixes agree. The new
+order of their first bytes, each with the smallest document that has it and its place there: a suffix starts where a run of byte
+windows starts (see repeats.py) and reaches as far as the run's windows do, so that two documents share a long match exactly
+where their suffixes agree. A suffix is held as its first eight bytes, 128 bits of hashes of all of it, and where it stands. New
 suffixes are scanned against the arrays of all levels for matches, then become a level of their own; two levels of equal size
-merge into one of twice the size, as when counting in binary. So each suffix is rewritten a logarithmic number of times.
+merge into one of twice the size, as when counting in binary. So each suffix is rewritten a logarithmic number of times. When
+all batches are in, suffixes that match in part, those that share an anchor, are fetched from the texts and compared.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ PART = 20  # bytes of an anchor
 LONG = 8  # a window of the long runs is so many times as long
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
 FEW = 64  # runs of an anchor that may meet in one task
-ELSEWHERE = -(1 << 60)  # where a suffix of a level starts: not in this batch
 #: What a level's table holds of a suffix.
-LEVEL = ["suffix", "anchor", "run", "n", "doc_id"]
+LEVEL = ["head", "anchor", "run", "n", "doc_id", "fp", "start"]
 
 
 def byte_values(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -48,16 +49,15 @@ class SuffixIndex:
         """Adds a batch's suffix array; merges levels of equal size, and keeps the smallest document of each suffix."""
         k = 0
         while k in self.levels:
-            both = suffixes.unionByName(self.levels.pop(k))
-            suffixes = both.groupBy("suffix", "anchor", "run", "n").agg(F.min("doc_id").alias("doc_id")).select(*LEVEL)
+            suffixes = distinct_suffixes(suffixes.unionByName(self.levels.pop(k))).select(*LEVEL)
             k += 1
-        self.levels[k] = durable(suffixes.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id"))
+        self.levels[k] = durable(suffixes.select(*LEVEL).repartitionByRange("head", "run").sortWithinPartitions("head", "run"))
 
 
-def suffix_array(found: DataFrame) -> DataFrame:
-    """Distinct suffixes of a batch of runs, each with the smallest document that has it, its place there, and the greatest."""
-    first = F.min(F.struct("doc_id", "fp", "start", "n", F.col("body").alias("suffix"))).alias("r")
-    return found.groupBy("anchor", "run").agg(first, F.max("doc_id").alias("last")).select("anchor", "run", "last", "r.*")
+def distinct_suffixes(rows: DataFrame) -> DataFrame:
+    """Each suffix once, with the smallest document that has it and its place there, and the greatest document."""
+    first = [F.min_by(c, "doc_id").alias(c) for c in ("fp", "start")]
+    return rows.groupBy("head", "anchor", "run", "n").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), *first)
 
 
 def windows_hashed(length: int):
@@ -76,29 +76,50 @@ def windows_hashed(length: int):
     return one, many
 
 
-def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
-    """Spans (doc_id, fp, start, n) of a batch's runs whose windows also start in a smaller document of the batch or a level.
+def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex) -> DataFrame:
+    """Spans (doc_id, fp, start, n) of a batch's runs that a smaller document of the batch or of a level has as they are.
     suffixes: the batch's suffix array."""
-    known = suffixes.select("anchor", "run", "doc_id", "last", F.lit(1).alias("new"))
+    known = suffixes.select("anchor", "run", "doc_id", "last")
     for level in index.arrays():
-        known = known.unionByName(level.select("anchor", "run", "doc_id", F.col("doc_id").alias("last"), F.lit(0).alias("new")))
-    runs = durable(known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last"), F.min("new").alias("new")))
-    shared = runs.where("owner < last").select("anchor", "run", "owner")
-    whole = found.drop("body").join(shared, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n")
-    anchors = durable(runs.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("new").alias("new")).where("runs > 1 and new = 1").select("anchor", "runs"))
-    several = durable(runs.join(anchors, "anchor").select("anchor", "run", "runs", "new"))
-    own = suffixes.join(several.where("new = 1").drop("new"), ["anchor", "run"]).select("doc_id", "fp", "start", "n", "anchor", "runs", F.col("suffix").alias("body"))
+        known = known.unionByName(level.select("anchor", "run", "doc_id", F.col("doc_id").alias("last")))
+    shared = known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last")).where("owner < last")
+    shared = durable(shared.select("anchor", "run", "owner"))
+    spans = durable(found.join(shared, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n"))
+    dropped(shared)
+    return spans
+
+
+def partly_repeated(docs: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
+    """Spans of windows that the owner of a suffix shares with a smaller document that has another suffix of the same anchor."""
+    every = None
     for level in index.arrays():
-        old = level.join(several.where("new = 0").drop("new"), ["anchor", "run"])
-        own = own.unionByName(old.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(ELSEWHERE).cast("long").alias("start"), "n", "anchor", "runs", F.col("suffix").alias("body")))
+        every = level if every is None else every.unionByName(level)
+    every = durable(distinct_suffixes(every))
+    anchors = durable(every.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"))
+    wanted = every.join(anchors, "anchor").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "anchor", "runs")).alias("wanted"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            lists = batch.column("wanted")
+            flat = pc.list_flatten(lists)
+            row = pc.list_parent_indices(lists)
+            start, n = flat.field("start"), flat.field("n")
+            raw = [utf8(t) for t in texts]
+            bodies = [raw[r][a : a + k + length - 1] for r, a, k in zip(row.to_pylist(), start.to_pylist(), n.to_pylist())]
+            columns = [batch.column("doc_id").take(row), batch.column("fp").take(row), start, n, flat.field("anchor"), flat.field("runs"), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "start", "n", "anchor", "runs", "body"])
+
+    # rows of one doc_id and text are the same document here
+    own = docs.join(wanted, ["doc_id", "fp"]).select("doc_id", "fp", "text", "wanted").mapInArrow(fetch, "doc_id long, fp long, start long, n long, anchor long, runs long, body binary")
     own = durable(own)
+    dropped(every, anchors)
     one, many = windows_hashed(length)
     # anchors with few runs are settled each in a task; the windows of the others are dealt out one by one
     few = compared(own.where(F.col("runs") <= FEW), many)
     windows = durable(exploded(own.where(F.col("runs") > FEW), one))
-    single = owned(windows, ["anchor", "window"]).where("pos >= 0").select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n")).unionByName(few)
-    spans = durable(whole.unionByName(single))
-    dropped(windows, own, runs, anchors, several)
+    single = owned(windows, ["anchor", "window"]).select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
+    spans = durable(single.unionByName(few))
+    dropped(own, windows)
     return spans
 
 
@@ -148,26 +169,30 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> Dat
     dropped(survey)
     rest = docs.join(long.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans")), ["doc_id", "fp"], "left")
 
-    def body(r: Runs, keep: np.ndarray, texts: list) -> list[bytes]:
-        raw = b"".join(map(utf8, texts))
-        return [raw[a : a + n + length - 1] for a, n in zip(r.at[keep].tolist(), r.n[keep].tolist())]
+    def head(r: Runs, keep: np.ndarray, texts: list) -> np.ndarray:
+        raw = np.frombuffer(b"".join(map(utf8, texts)) + bytes(8), np.uint8).astype(np.int64)
+        first = np.zeros(len(keep), np.int64)
+        for k in range(8):
+            first = first << 8 | raw[r.at[keep] + k]
+        return first ^ np.int64(-(1 << 63))  # signed numbers in the order of the bytes
 
-    found = durable(find_runs(rest, byte_values, body, length, part, shared, 1 << 20))
+    found = durable(find_runs(rest, byte_values, head, length, part, shared, 1 << 20, "head long"))
     steps = found.select(F.percentile_approx("doc_id", F.array([F.lit(k / batches) for k in range(1, batches)]), 10_000)).first()[0] if batches > 1 else None
     edges = [None, *sorted(set(steps or [])), None]
     index, spans = SuffixIndex(), long
-    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+    for low, high in zip(edges, edges[1:]):
         batch = found
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        suffixes = durable(suffix_array(batch))
-        spans = spans.unionByName(scan(batch, suffixes, index, length))
-        if k < len(edges) - 2:
-            index.insert(suffixes.select(*LEVEL))
+        suffixes = durable(distinct_suffixes(batch))
+        spans = spans.unionByName(scan(batch, suffixes, index))
+        index.insert(suffixes.select(*LEVEL))
         dropped(suffixes)
-    dropped(found, *index.arrays())
+    dropped(found)
+    spans = spans.unionByName(partly_repeated(docs, index, length))
+    dropped(*index.arrays())
     return spans.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
