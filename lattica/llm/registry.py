@@ -1,6 +1,6 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import chat, decontaminate, hmm, jaccard, packing, quality, substring, suffix_index, token_counts, topk
+from . import chat, decontaminate, hmm, jaccard, oracles, packing, quality, substring, suffix_index, token_counts, topk
 
 QUERIES = {
     f.__name__: f
@@ -17,4 +17,12 @@ QUERIES = {
         jaccard.op10_ngram_jaccard_join,
     )
 }
-SQL: dict[str, str] = {}
+#: Packing needs a tokenizer, and classifier, token counts and language model are trained or walk a vocabulary: no SQL for these.
+SQL: dict[str, str] = {
+    "op1_exact_top_k": oracles.TOP_K,
+    "op4_substring_dedup": oracles.SUBSTRING,
+    "op5_benchmark_decontamination": oracles.CONTAMINATION,
+    "op6_chat_formatting": oracles.CHAT,
+    "op7_suffix_array_dedup": oracles.SUFFIX,
+    "op10_ngram_jaccard_join": oracles.JACCARD,
+}
