@@ -28,7 +28,7 @@ class TokenIds(dict):
     """Little-endian 32-bit ids of a run of text without white space. The tokenizer drops white space and never joins across
     it, so a text's ids are the ids of its runs, one after the other."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         super().__init__()
         from tokenizers import Tokenizer
 
