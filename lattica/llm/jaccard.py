@@ -48,6 +48,19 @@ def sets_of(texts: list, size: int) -> list[np.ndarray]:
     return out
 
 
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are not in `gone`, hardly any of them shuffled: what a sketch of gone's keys doesn't know is kept at once;
+    of what it knows, the keys that it only seems to know are found without the rows' other columns."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("_key", F.xxhash64(*keys))
+    bits = sketches.size_bits(16 * gone.count())
+    seen = spark.sparkContext.broadcast(sketches.of_keys(gone.select(F.xxhash64(*keys).alias("_key")), "_key", bits))
+    mistaken = durable(sketches.perhaps_in(rows.select(*keys, "_key"), "_key", seen).join(gone.select(*keys).distinct(), keys, "left_anti").distinct())
+    again = spark.sparkContext.broadcast(sketches.of_keys(mistaken, "_key", sketches.size_bits(16 * mistaken.count())))
+    back = sketches.perhaps_in(rows, "_key", again).join(mistaken.select(*keys), keys, "left_semi")
+    return sketches.perhaps_in(rows, "_key", seen, False).unionByName(back.select(*rows.columns)).drop("_key")
+
+
 SETS = "doc_id long, n long, s1 long, s2 long, first int, last int, tokens binary"
 
 
@@ -134,20 +147,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = durable(indexed_sets(docs, size, percent))
-    some = every.where("tokens is not null and doc_id is not null")
     signature = ["n", "s1", "s2"]
-    equal = durable(some.groupBy(*signature).agg(F.min("doc_id").alias("doc")))
-    sets = durable(some.join(equal, signature).where("doc_id = doc").select("doc", "n", "first", "last", "tokens"))
-    narrow = durable(every.drop("tokens", "first", "last"))
-    dropped(every)
-    some = narrow.where("s1 is not null and doc_id is not null")
-    copies = some.select("doc_id", *signature).join(equal, signature).where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    narrow = every.select("doc_id", *signature).where("s1 is not null and doc_id is not null")
+    equal = durable(narrow.groupBy(*signature).agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")).where("doc < last").drop("last"))
+    copies = durable(narrow.join(equal, signature).where("doc_id <> doc"))
+    sets = durable(without(every.where("tokens is not null and doc_id is not null"), copies, ["doc_id", *signature]).select(F.col("doc_id").alias("doc"), "n", "first", "last", "tokens"))
+    every, wide = durable(every.select("doc_id", "n")), every
+    dropped(wide)
+    copies = copies.select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     index = durable(postings(sets))
     similar = f"100 * common >= {percent} * (na + nb - common)"
 
     # each block's first set against the block's others: for a set, the two first sets it meets in most blocks
-    heads = durable(index.groupBy("token", "block").agg(F.min("doc").alias("head"), F.max("doc").alias("_last")).where("head < _last").drop("_last"))
-    met = index.join(heads, ["token", "block"]).where("doc <> head").groupBy("doc", "head").count()
+    head = [F.min("doc").alias("head"), F.min_by("n", "doc").alias("h_n"), F.min_by("pos", "doc").alias("h_pos"), F.max("doc").alias("_last")]
+    heads = durable(index.groupBy("token", "block").agg(*head).where("head < _last").drop("_last"))
+    enough = f"100 * least(n, h_n) >= {percent} * greatest(n, h_n) and least(n - pos, h_n - h_pos) >= ceil({percent} * (n + h_n) / {100 + percent}D)"
+    met = index.join(heads, ["token", "block"]).where("doc <> head").groupBy("doc", "head").agg(F.count("*").alias("count"), F.max(F.expr(enough)).alias("able")).where("able")
+    heads = heads.select("token", "block", "head")
     most = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("count"), "head"))
     star = durable(overlaps(met.withColumn("rn", most).where("rn <= 2").select(F.col("doc").alias("a"), F.col("head").alias("b")), sets))
     classes = components(star.where(similar).select("a", "b"))
@@ -178,7 +194,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     more = overlaps(pairs, sets).where(similar).select("a", "b")
     links = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies)
     found = components(links)
-    out = narrow.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
+    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

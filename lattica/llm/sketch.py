@@ -118,12 +118,12 @@ def of_keys(rows: DataFrame, column: str, bits: int) -> Sketch:
     return merged(rows.select(F.col(column).cast("long")).dropna().mapInArrow(add, "block long, counts binary"), bits, 1, (1,))
 
 
-def perhaps_in(rows: DataFrame, column: str, seen) -> DataFrame:
-    """The rows whose number may be in a sketch, a broadcast one; the others certainly aren't. It comes before any shuffle."""
+def perhaps_in(rows: DataFrame, column: str, seen, wanted: bool = True) -> DataFrame:
+    """The rows whose number may be in a sketch, a broadcast one, or else the others, which certainly aren't. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(seen.value.reached(batch.column(column).to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(seen.value.reached(batch.column(column).to_numpy().view(np.uint64)) == wanted))
 
     return rows.mapInArrow(run, rows.schema)
 
