@@ -13,6 +13,14 @@ def with_scalars(df: DataFrame, *aggregates: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*aggregates)))
 
 
+def _edges_below(value: Column, edges: list[float], low: int, high: int) -> Column:
+    """How many of the sorted edges from low to high lie below the value, by halves."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(value > F.lit(edges[mid]), _edges_below(value, edges, mid + 1, high)).otherwise(_edges_below(value, edges, low, mid))
+
+
 def ranked(df: DataFrame, value: str, ties: list[Column | str] | None = None, within: list[str] | None = None, rank: str = "rn", descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """Adds `rank`, from 1, in the order of value, then ties; of all rows or `within` groups.
 
@@ -21,7 +29,7 @@ def ranked(df: DataFrame, value: str, ties: list[Column | str] | None = None, wi
     """
     within = list(within or [])
     edges = sorted({x for x in df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.002) if x == x}) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
+    bucket = _edges_below(F.col(value), edges, 0, len(edges))
     if descending:
         bucket = -bucket
     marked = df.withColumn("_bucket", bucket)

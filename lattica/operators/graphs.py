@@ -107,14 +107,16 @@ def by_index(edges: DataFrame, nodes: DataFrame, source: str = "source", target:
     return edges.join(a, source).join(b, target).where("source_index <> target_index")
 
 
-def spring_forces(nodes: DataFrame, edges: DataFrame, charge: float = 1.0, spring: float = 0.05, gravity: float = 0.01, source: str = "source", target: str = "target") -> DataFrame:
+def spring_forces(nodes: DataFrame, edges: DataFrame, charge: float = 1.0, spring: float = 0.05, gravity: float = 0.01, source: str = "source", target: str = "target", blocks: int = 8) -> DataFrame:
     """The force on every node of a laid-out network (id, x, y): charge / d^2 from every other node, spring * weight * d along
-    edges, gravity * d to the middle. All pairs of nodes meet by blocks of ids, for layouts of a few thousand nodes."""
-    a, b = nodes.alias("a"), nodes.alias("b")
+    edges, gravity * d to the middle. All pairs of nodes meet, block by block of ids, as the method has it: for some thousand nodes."""
+    left = nodes.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("a")
+    right = nodes.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).alias("b")
     dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
     d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-6))
-    push = a.crossJoin(b).where("a.id <> b.id").groupBy(F.col("a.id").alias("id")).agg(F.sum(charge * dx / (d2 * F.sqrt(d2))).alias("fx"), F.sum(charge * dy / (d2 * F.sqrt(d2))).alias("fy"))
-    ends = edges.join(nodes.select(F.col("id").alias(source), F.col("x").alias("sx"), F.col("y").alias("sy")), source).join(nodes.select(F.col("id").alias(target), F.col("x").alias("tx"), F.col("y").alias("ty")), target)
+    push = left.join(right, "_c").where("a.id <> b.id").groupBy(F.col("a.id").alias("id")).agg(F.sum(charge * dx / (d2 * F.sqrt(d2))).alias("fx"), F.sum(charge * dy / (d2 * F.sqrt(d2))).alias("fy"))
+    sides = lambda end, k: nodes.select(F.col("id").alias(end), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    ends = edges.join(sides(source, "s"), source).join(sides(target, "t"), target)
     gx, gy = spring * F.col("weight") * (F.col("tx") - F.col("sx")), spring * F.col("weight") * (F.col("ty") - F.col("sy"))
     pull = ends.select(F.explode(F.array(F.struct(F.col(source).alias("id"), gx.alias("fx"), gy.alias("fy")), F.struct(F.col(target).alias("id"), (-gx).alias("fx"), (-gy).alias("fy")))).alias("p")).select("p.*")
     home = nodes.select("id", (-gravity * F.col("x")).alias("fx"), (-gravity * F.col("y")).alias("fy"))
