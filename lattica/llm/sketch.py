@@ -107,15 +107,21 @@ def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, dep
     return merged(docs.select("text").mapInArrow(add, "block long, counts binary"), bits, depth, limits)
 
 
-def of_keys(rows: DataFrame, column: str, bits: int) -> Sketch:
-    """The sketch of a column of numbers: which may occur at all."""
+def of_keys(rows: DataFrame, column: str, bits: int, depth: int = 1, limits: tuple[int, ...] = (1,)) -> Sketch:
+    """The sketch of a column of numbers; by default, which may occur at all."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             if batch.num_rows:
-                yield sparse(batch.column(0).to_numpy().view(np.uint64), bits, 1)
+                held.append(batch.column(0).to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= HELD:
+                yield sparse(np.concatenate(held), bits, depth)
+                held = []
+        if held:
+            yield sparse(np.concatenate(held), bits, depth)
 
-    return merged(rows.select(F.col(column).cast("long")).dropna().mapInArrow(add, "block long, counts binary"), bits, 1, (1,))
+    return merged(rows.select(F.col(column).cast("long")).dropna().mapInArrow(add, "block long, counts binary"), bits, depth, limits)
 
 
 def perhaps_in(rows: DataFrame, column: str, seen, wanted: bool = True) -> DataFrame:

@@ -177,6 +177,10 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> Dat
         return first ^ np.int64(-(1 << 63))  # signed numbers in the order of the bytes
 
     found = durable(find_runs(rest, byte_values, head, length, part, shared, 1 << 20, "head long"))
+    # long repeats have gone: anchors that only they repeated are alone now
+    again = sketches.of_keys(found, "anchor", sketches.size_bits(4 * found.count()), 2, (2,))
+    every, found = found, durable(sketches.perhaps_in(found, "anchor", spark.sparkContext.broadcast(again)))
+    dropped(every)
     steps = found.select(F.percentile_approx("doc_id", F.array([F.lit(k / batches) for k in range(1, batches)]), 10_000)).first()[0] if batches > 1 else None
     edges = [None, *sorted(set(steps or [])), None]
     index, spans = SuffixIndex(), long
