@@ -54,7 +54,7 @@ def test_tree(spark):
     placed = trees.depths(trees.tree_nodes(files.tree_rows(lines)))
     totals = {r.label: (r.depth, r.total) for r in trees.rolled_up(placed).collect()}
     assert totals == {"src": (1, 300), "core": (2, 120), "plugins": (2, 180), "a": (3, 15)}
-    assert {r.label: r.index for r in trees.preorder(placed).collect()} == {"src": 0, "core": 1, "a": 2, "plugins": 3}
+    assert {r["label"]: r["index"] for r in trees.preorder(placed).collect()} == {"src": 0, "core": 1, "a": 2, "plugins": 3}
     boxes = {r.label: (r.x, r.y, r.w, r.h) for r in trees.slices(trees.rolled_up(placed)).collect()}
     assert boxes["src"] == (0, 0, 1, 1) and boxes["plugins"] == (0, 0, 0.6, 1) and np.allclose(boxes["core"], (0.6, 0, 0.4, 1))
 
