@@ -6,7 +6,8 @@ windows starts (see repeats.py) and reaches as far as the run's windows do, so t
 where their suffixes agree. A suffix is held as its first eight bytes, 128 bits of hashes of all of it, and where it stands. New
 suffixes are scanned against the arrays of all levels for matches, then become a level of their own; two levels of equal size
 merge into one of twice the size, as when counting in binary. So each suffix is rewritten a logarithmic number of times. When
-all batches are in, suffixes that match in part, those that share an anchor, are fetched from the texts and compared.
+all batches are in, suffixes that match in part, those that share an anchor, are fetched from the texts and compared, each at
+one place; what is found there holds wherever else its document has the suffix.
 """
 
 from __future__ import annotations
@@ -89,14 +90,16 @@ def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex) -> DataFrame
     return spans
 
 
-def partly_repeated(docs: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
-    """Spans of windows that the owner of a suffix shares with a smaller document that has another suffix of the same anchor."""
+def partly_repeated(docs: DataFrame, found: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
+    """Spans of windows that the owner of a suffix shares with a smaller document that has another suffix of the same anchor, at
+    every place of found (all batches' runs) where the owner has the suffix."""
     every = None
     for level in index.arrays():
         every = level if every is None else every.unionByName(level)
     every = durable(distinct_suffixes(every))
+    dropped(*index.arrays())
     anchors = durable(every.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"))
-    wanted = every.join(anchors, "anchor").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "anchor", "runs")).alias("wanted"))
+    wanted = every.join(anchors, "anchor").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "anchor", "run", "runs")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -106,10 +109,10 @@ def partly_repeated(docs: DataFrame, index: SuffixIndex, length: int) -> DataFra
             start, n = flat.field("start"), flat.field("n")
             raw = [utf8(t) for t in texts]
             bodies = [raw[r][a : a + k + length - 1] for r, a, k in zip(row.to_pylist(), start.to_pylist(), n.to_pylist())]
-            columns = [batch.column("doc_id").take(row), batch.column("fp").take(row), start, n, flat.field("anchor"), flat.field("runs"), pa.array(bodies, pa.binary())]
+            columns = [batch.column("doc_id").take(row), flat.field("run"), pa.array(np.zeros(len(row), np.int64)), n, flat.field("anchor"), flat.field("runs"), pa.array(bodies, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "start", "n", "anchor", "runs", "body"])
 
-    # rows of one doc_id and text are the same document here
+    # rows of one doc_id and text are the same document here; from now on fp is the run's hash, and start counts from its start
     own = docs.join(wanted, ["doc_id", "fp"]).select("doc_id", "fp", "text", "wanted").mapInArrow(fetch, "doc_id long, fp long, start long, n long, anchor long, runs long, body binary")
     own = durable(own)
     dropped(every, anchors)
@@ -118,8 +121,10 @@ def partly_repeated(docs: DataFrame, index: SuffixIndex, length: int) -> DataFra
     few = compared(own.where(F.col("runs") <= FEW), many)
     windows = durable(exploded(own.where(F.col("runs") > FEW), one))
     single = owned(windows, ["anchor", "window"]).select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
-    spans = durable(single.unionByName(few))
+    parts = durable(single.unionByName(few).withColumnsRenamed({"fp": "run", "start": "from", "n": "size"}).distinct())
     dropped(own, windows)
+    spans = durable(found.join(parts, ["doc_id", "run"]).select("doc_id", "fp", (F.col("start") + F.col("from")).alias("start"), F.col("size").alias("n")))
+    dropped(parts)
     return spans
 
 
@@ -194,9 +199,8 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> Dat
         spans = spans.unionByName(scan(batch, suffixes, index))
         index.insert(suffixes.select(*LEVEL))
         dropped(suffixes)
+    spans = spans.unionByName(partly_repeated(docs, found, index, length))
     dropped(found)
-    spans = spans.unionByName(partly_repeated(docs, index, length))
-    dropped(*index.arrays())
     return spans.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 

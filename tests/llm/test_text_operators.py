@@ -60,6 +60,18 @@ def test_suffix_dedup(odd_docs, no_docs, batches):
         assert suffix_index.suffix_dedup(no_docs).count() == 0
 
 
+def test_suffix_dedup_at_every_place_of_the_owner(spark, prose):
+    p, line, other = prose(12, 31)[:65], prose(40, 32)[:100], prose(40, 33)[:100]
+    again = f"{line}{p}{other}\n"
+    rows = [(1, prose(30, 34) + p + prose(30, 35)), (2, prose(20, 36) + again * 2 + prose(5, 37) + again), (2, prose(25, 38) + again + prose(25, 39)), (2, prose(25, 38) + again + prose(25, 39)), (3, again)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = sorted((i, len(u), sum(g), bytes(b for b, x in zip(u, g) if not x)) for i, u, g in removed(rows, lambda t: t.encode(), 50))
+    for batches in (1, 3):
+        got = suffix_index.suffix_dedup(docs, batches=batches).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == wanted
+    assert sum(w[2] for w in wanted if w[0] == 2) >= 5 * len(p)
+
+
 def test_cut_repeats_keeps_columns_and_characters(spark):
     shared = "ü" * 30 + "shared passage of some length, more than fifty bytes in all"
     docs = spark.createDataFrame([(1, f"a {shared} b", 9), (2, f"é{shared}é", 9), (None, None, 9)], "doc_id long, text string, n_chars int")
