@@ -92,6 +92,20 @@ def test_particles_and_bodies(spark):
     assert motion.total_energy(b).first().kinetic == 0.25
 
 
+def test_energy_by_blocks(spark, capsys):
+    r = np.random.default_rng(5).uniform(-1, 1, (40, 7))
+    rows = [(i, *map(float, x[:6]), float(abs(x[6]))) for i, x in enumerate(r)]
+    b = spark.createDataFrame(rows, "id long, x double, y double, z double, vx double, vy double, vz double, m double")
+    potential = -sum(0.05 * p[7] * q[7] / math.sqrt(math.dist(p[1:4], q[1:4]) ** 2 + 0.03**2) for p in rows for q in rows if p[0] < q[0])
+    kinetic = sum(0.5 * p[7] * sum(v * v for v in p[4:7]) for p in rows)
+    energy = motion.total_energy(b)
+    got = energy.first()
+    assert math.isclose(got.potential, potential) and math.isclose(got.kinetic, kinetic) and math.isclose(got.energy, kinetic + potential)
+    energy.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" in plan and not any("<" in line for line in plan.splitlines() if "NestedLoop" in line or "Cartesian" in line)  # only one-row sums meet so
+
+
 def test_curves(spark):
     assert motion.koch(spark, 2).count() == 48
     assert motion.lissajous(spark).count() == 2001 and motion.truchet(spark, 4, 3).where("tile between 0 and 3").count() == 12
