@@ -159,21 +159,15 @@ def _codes(held: list) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return rows, np.frombuffer(b"".join(data), "<u2"), np.array([len(x) // 2 for x in data], np.int64)
 
 
-def train(coded: DataFrame, size: int, share: np.ndarray, states: int, rounds: int, sample: int, warm_up: int) -> Hmm:
-    """Baum-Welch. The first model comes from `warm_up` rounds over a bounded sample of documents on the driver, from a fixed
-    random start; then come `rounds` rounds over all training documents."""
+def train(coded: DataFrame, size: int, share: np.ndarray, states: int, rounds: int) -> Hmm:
+    """Baum-Welch: `rounds` rounds over all training documents, from a fixed random start."""
     own = coded.where("trained").select("codes")
     random = np.random.default_rng(7)
     emit = share[:, None] * random.uniform(0.5, 1.5, (size, states))
     flat = np.full(states, 1 / states)
     model = Hmm(flat, flat, np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
-    few = coded.where("trained").orderBy(F.xxhash64("doc_id", "fp"), "doc_id", "fp").select("codes").limit(sample).toArrow()
-    _, codes, lengths = _codes(few.to_batches() or [pa.RecordBatch.from_pylist([], few.schema)])
-    if not len(lengths):
+    if own.isEmpty():
         return model
-    cut, start = stretches(codes, lengths)
-    for _ in range(warm_up):
-        model = maximised(expected(model, codes, cut, start), share)
     for _ in range(rounds):
         model = maximised(count_over(own, model), share)
     return model
@@ -214,7 +208,7 @@ def count_over(coded: DataFrame, model: Hmm) -> tuple:
     return head[:k], head[k : 2 * k], head[2 * k :].reshape(k, k), np.concatenate([parts[i] for i in range(len(edges) - 1)]).reshape(size, k)
 
 
-def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 2, own_classes: int = 4096, buckets: int = 64, head_words: int = 1 << 18, sample: int = 256, warm_up: int = 12) -> DataFrame:
+def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 14, own_classes: int = 4096, buckets: int = 64, head_words: int = 1 << 18) -> DataFrame:
     """Scores every text of docs by a model of those for which the condition `trained` holds.
 
     Returns doc_id, fp, trained, n_tokens, n_known (tokens that training has seen), train_tokens, base_score (add-one unigram) and
@@ -274,7 +268,7 @@ def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 2, own_
             )
 
     coded = durable(docs.select("doc_id", "fp", "trained", "text").mapInArrow(code, "doc_id long, fp long, trained boolean, codes binary, seen long, logs double, rare double"))
-    model = spark.sparkContext.broadcast(train(coded, classes.size, share, states, rounds, sample, warm_up))
+    model = spark.sparkContext.broadcast(train(coded, classes.size, share, states, rounds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, codes, lengths in read_codes(batches):

@@ -252,6 +252,21 @@ def test_hidden_markov_model():
         assert np.allclose(a, b, rtol=1e-4)
 
 
+def test_every_round_of_training_sees_all_documents(spark):
+    r = np.random.default_rng(8)
+    texts = [r.integers(0, 6, 12).astype("<u2") if i % 2 else r.integers(3, 9, 12).astype("<u2") for i in range(400)]
+    coded = spark.createDataFrame([(i, i, True, t.tobytes()) for i, t in enumerate(texts)], "doc_id long, fp long, trained boolean, codes binary")
+    share = np.bincount(np.concatenate(texts), minlength=9) + 1.0
+    share /= share.sum()
+    emit = share[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (9, 3))
+    model = hmm.Hmm(np.full(3, 1 / 3), np.full(3, 1 / 3), np.full((3, 3), 0.1 / 3) + 0.9 * np.eye(3), emit / emit.sum(0))
+    cut, start = hmm.stretches(np.concatenate(texts), np.full(400, 12))
+    for _ in range(14):
+        model = hmm.maximised(hmm.expected(model, np.concatenate(texts), cut, start), share)
+    got = hmm.train(coded, 9, share, 3, rounds=14)
+    assert all(np.allclose(a, b, rtol=1e-2) for a, b in ((got.follow, model.follow), (got.emit, model.emit)))
+
+
 def test_scores_of_texts(odd_docs, no_docs):
     train = F.col("doc_id") % 3 != 0
     rows = hmm.score_texts(odd_docs, train, own_classes=40, buckets=8, head_words=100).collect()
