@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -43,7 +44,7 @@ def flow_totals(edges: DataFrame, value: str, source: str = "source", target: st
     return edges.select(sides.alias("s")).groupBy("s.id").agg(F.sum("s.i").alias("inflow"), F.sum("s.o").alias("outflow"))
 
 
-def flow_levels(edges: DataFrame, source: str = "source", target: str = "target", most: int = 1000) -> DataFrame:
+def flow_levels(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Least number of edges from a root, a node that nothing flows into (with none: the least node); 0 for what no root reaches.
     Each round extends the frontier by one edge and keeps what is new."""
     pairs = written(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct())
@@ -52,7 +53,7 @@ def flow_levels(edges: DataFrame, source: str = "source", target: str = "target"
     if roots.isEmpty():
         roots = every.agg(F.min("id").alias("id"))
     known = frontier = written(roots.withColumn("level", F.lit(0)))
-    for level in range(1, most):
+    for level in itertools.count(1):
         nxt = frontier.join(pairs, frontier.id == pairs.s).select(F.col("t").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
         frontier = written(nxt.withColumn("level", F.lit(level)))
         if frontier.isEmpty():

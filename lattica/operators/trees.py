@@ -14,14 +14,14 @@ def tree_nodes(rows: DataFrame, label: str = "label", parent: str = "parent", si
     return rows.groupBy(F.trim(F.col(label)).alias("label")).agg(F.max(up).alias("parent"), F.sum(F.coalesce(F.col(size).cast("double"), F.lit(0.0))).alias("size"))
 
 
-def depths(nodes: DataFrame, most: int = 100) -> DataFrame:
+def depths(nodes: DataFrame) -> DataFrame:
     """Adds depth, 1 for nodes without a known parent, and path, the labels from there. Nodes on a cycle have none and go."""
     nodes = written(nodes)
     known = nodes.select(F.col("label").alias("parent"))
     level = nodes.join(known, "parent", "left_anti").select("label", "parent", "size", F.lit(1).alias("depth"), F.array("label").alias("path"))
     level = written(level)
     out = level
-    for depth in range(2, most):
+    for depth in range(2, nodes.count() + 1):  # no path has more nodes than there are
         up = level.select(F.col("label").alias("parent"), F.col("path").alias("_path"))
         level = written(nodes.join(up, "parent").select("label", "parent", "size", F.lit(depth).alias("depth"), F.concat("_path", F.array("label")).alias("path")))
         if level.isEmpty():

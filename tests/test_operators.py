@@ -92,6 +92,12 @@ def test_particles_and_bodies(spark):
     assert motion.total_energy(b).first().kinetic == 0.25
 
 
+def test_deep_trees_keep_all_nodes(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, 1.0) for i in range(102)] + [("x", "y", 1.0), ("y", "x", 1.0)]
+    placed = trees.depths(spark.createDataFrame(rows, "label string, parent string, size double"))
+    assert sorted((r.label, r.depth) for r in placed.select("label", "depth").collect()) == sorted((f"n{i}", i + 1) for i in range(102))
+
+
 def test_energy_by_blocks(spark, capsys):
     r = np.random.default_rng(5).uniform(-1, 1, (40, 7))
     rows = [(i, *map(float, x[:6]), float(abs(x[6]))) for i, x in enumerate(r)]
