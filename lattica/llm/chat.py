@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied, worker_cache
 
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that mark structure in this or other common templates; none of them survives inside a text.
@@ -45,13 +45,8 @@ def encoding(path: str):
     return tiktoken.Encoding("turns", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_ENCODINGS: dict = {}
-
-
 def cached_encoding(path: str):
-    if path not in _ENCODINGS:
-        _ENCODINGS[path] = encoding(path)
-    return _ENCODINGS[path]
+    return worker_cache(f"encoding {path}", lambda: encoding(path))
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
@@ -149,7 +144,7 @@ def format_trees(rows: DataFrame, vocabulary: str, tree_tokens: int = 65_536, tr
         if tree.leaves:
             yield put(tree)
 
-    return ordered.select("conv_id", "turns").mapInArrow(build, TREE)
+    return ordered.select("conv_id", "turns").mapInArrow(tidied(build), TREE)
 
 
 def read_back(trees: DataFrame, vocabulary: str) -> DataFrame:
@@ -182,7 +177,7 @@ def read_back(trees: DataFrame, vocabulary: str) -> DataFrame:
                 kinds = [pa.int64(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["conv_id", "turns", "loss_text", "formatted_chars"])
 
-    return trees.select("ids", "loss", "nodes", "leaves").mapInArrow(read, "conv_id long, turns array<struct<role: string, text: string>>, loss_text string, formatted_chars long")
+    return trees.select("ids", "loss", "nodes", "leaves").mapInArrow(tidied(read), "conv_id long, turns array<struct<role: string, text: string>>, loss_text string, formatted_chars long")
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

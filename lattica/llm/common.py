@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,36 +27,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local folder where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local master gets a local folder, as in tests; a
+    cluster has to set it, since a machine-local folder would lose rows there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it. Shuffle
-    files that led to them, which nothing refers to any more, go at once instead of whenever the driver collects garbage."""
+    files that led to them, which nothing refers to any more, go at once instead of whenever the driver collects garbage.
+    by: a column whose values get folders of their own, so that reading one value reads no other's files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of durable tables that nothing reads any more."""
+def dropped(*tables: DataFrame, part: str = "") -> None:
+    """Deletes the files of durable tables that nothing reads any more, or a part's of one that was written in parts."""
     for df in tables:
         for name in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name[: name.index(".parquet") + 8] + (f"/{part}" if part else ""))
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts can be long: at most so many of them go to Python at once, in this session from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", CHUNK_BYTES)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, or longer ones where docs has columns of these names already (names differ in more than their capitals)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+_CACHES: dict = {}
+
+
+def worker_cache(owner: str, make: Callable):
+    """A cache that lasts from task to task of a worker process. A worker serves many operators one after the other, so it holds
+    only the cache that was asked for last."""
+    if owner not in _CACHES:
+        _CACHES.clear()
+        _CACHES[owner] = make()
+    return _CACHES[owner]
+
+
+def tidied(run: Callable) -> Callable:
+    """A function on batches that gives free memory back to the system when its task ends: a worker process outlives the task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -83,7 +130,7 @@ def utf8(text: str | None) -> bytes:
 class WordHash(dict):
     """64-bit hashes of words; what it keeps is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -103,7 +150,7 @@ def hashed(words: list[bytes], cache: WordHash) -> np.ndarray:
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i below n at least."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
@@ -131,7 +178,7 @@ class Rolling:
     """Hashes of any stretch of a sequence of 64-bit values, from sums of powers."""
 
     def __init__(self, values: np.ndarray, base: int = BASE):
-        up, self.down = _powers(len(values) + 1, base)
+        up, self.down = powers(len(values) + 1, base)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[:-1], out=self.sums[1:])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import merged, table, text_chunks, utf8
+from .common import merged, table, text_chunks, tidied, utf8
 
 #: ASCII letters become small; what is not in words becomes a space. Bytes from 128 on belong to words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -154,7 +154,7 @@ def find_matches(docs: DataFrame, blocks: list[Items]) -> DataFrame:
 
         return run
 
-    found = [docs.mapInArrow(search(b), FOUND) for b in blocks]
+    found = [docs.mapInArrow(tidied(search(b)), FOUND) for b in blocks]
     out = found[0]
     if len(found) > 1:
         for more in found[1:]:
@@ -215,7 +215,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, least
                 ["doc_id", "fp", "n_words", "n_hit", "n_items", "items", "starts", "ends", "items_sha256", "contaminated"],
             )
 
-    return found.mapInArrow(finish, "doc_id long, fp long, n_words long, n_hit long, n_items long, items array<string>, starts array<long>, ends array<long>, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(tidied(finish), "doc_id long, fp long, n_words long, n_hit long, n_items long, items array<string>, starts array<long>, ends array<long>, items_sha256 string, contaminated boolean")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table, text_chunks, utf8
+from .common import durable, small_batches, table, text_chunks, tidied, utf8
 from .jaccard import SMALL
 from .quality import fold
 from .words import add_sums, count_words, head_of, rows_outside, with_keys
@@ -200,7 +200,7 @@ def count_over(coded: DataFrame, model: Hmm) -> tuple:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
     kind = "slice long, counts binary"
-    got = coded.mapInArrow(expect, kind).repartition("slice").mapInArrow(add, kind).toArrow()
+    got = coded.mapInArrow(tidied(expect), kind).repartition("slice").mapInArrow(tidied(add), kind).toArrow()
     parts = {at: np.frombuffer(x.as_py()) for at, x in zip(got.column("slice").to_pylist(), got.column("counts"))}
     if not parts:
         return np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
@@ -241,7 +241,7 @@ def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 14, own
                     v[b] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.buckets)), pa.array(n), pa.array(v)], ["bucket", "n", "v"])
 
-    sums = counts.select("word", "n").mapInArrow(bucket_sums, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    sums = counts.select("word", "n").mapInArrow(tidied(bucket_sums), "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
     in_bucket, kinds_in = np.zeros(buckets), np.zeros(buckets)
     in_bucket[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     kinds_in[sums.column("bucket").to_numpy()] = sums.column("v").to_numpy()
@@ -267,7 +267,7 @@ def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 14, own
                 ["doc_id", "fp", "trained", "codes", "seen", "logs", "rare"],
             )
 
-    coded = durable(docs.select("doc_id", "fp", "trained", "text").mapInArrow(code, "doc_id long, fp long, trained boolean, codes binary, seen long, logs double, rare double"))
+    coded = durable(docs.select("doc_id", "fp", "trained", "text").mapInArrow(tidied(code), "doc_id long, fp long, trained boolean, codes binary, seen long, logs double, rare double"))
     model = spark.sparkContext.broadcast(train(coded, classes.size, share, states, rounds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +276,7 @@ def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 14, own
             columns = [*(rows.column(c).combine_chunks() for c in ("doc_id", "fp", "trained", "seen", "logs")), pa.array(lengths), pa.array(likely + rows.column("rare").to_numpy())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "trained", "seen", "logs", "n_tokens", "score"])
 
-    scored = coded.mapInArrow(score, "doc_id long, fp long, trained boolean, seen long, logs double, n_tokens long, score double")
+    scored = coded.mapInArrow(tidied(score), "doc_id long, fp long, trained boolean, seen long, logs double, n_tokens long, score double")
     # the rarer words' counts, by a join; a word that training has not seen finds none
     rare = rows_outside(docs, tokens_of, shared_known).join(counts.select("k1", "k2", F.col("n").alias("c")), ["k1", "k2"])
     rare = rare.groupBy("doc_id", "fp").agg(F.sum("n").cast("double").alias("more_seen"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))

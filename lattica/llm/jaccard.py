@@ -22,17 +22,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import Rolling, WordHash, dropped, durable, hashed, mixed, small_batches, table, text_chunks, utf8
+from .common import Rolling, WordHash, dropped, durable, hashed, mixed, small_batches, table, text_chunks, tidied, utf8, worker_cache
 from .components import components
 
 SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LIMITS = (2, 16, 255)  # token counts that the global order tells apart
-_WORDS: dict[int, WordHash] = {}
 
 
 def sets_of(texts: list, size: int) -> list[np.ndarray]:
     """Distinct `size`-word shingles of each text as sorted 64-bit hashes; all words as one where there are fewer."""
-    cache = _WORDS.setdefault(0, WordHash())
+    cache = worker_cache("words", WordHash)
     values = [hashed(utf8(t).translate(SMALL).split(), cache) for t in texts]
     counts = np.array([len(v) for v in values])
     rolling = Rolling(np.concatenate(values) if values else np.zeros(0, np.uint64))
@@ -95,7 +94,7 @@ def indexed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, zip(*rows), kinds)], [x.split()[0] for x in SETS.split(", ")])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(tidied(run), SETS)
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -110,7 +109,7 @@ def postings(sets: DataFrame) -> DataFrame:
             if len(take):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), batch.column("doc").take(take), batch.column("n").take(take), pa.array(np.concatenate(pos))], ["token", "doc", "n", "pos"])
 
-    rows = sets.select("doc", "n", "first", "last", "tokens").mapInArrow(run, "token long, doc long, n long, pos long")
+    rows = sets.select("doc", "n", "first", "last", "tokens").mapInArrow(tidied(run), "token long, doc long, n long, pos long")
     return rows.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int"))
 
 
@@ -133,7 +132,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 sizes.append((len(x), len(y), int(np.count_nonzero(both[1:] == both[:-1]))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in zip(*sizes))], ["a", "b", "na", "nb", "common"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, common long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(tidied(run), "a long, b long, na long, nb long, common long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_chunks
+from .common import table, text_chunks, tidied, worker_cache
 
 END_ID = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -49,14 +49,9 @@ class TokenIds(dict):
         return b"".join(map(self.__getitem__, runs))
 
 
-_IDS: dict[str, TokenIds] = {}
-
-
 def token_ids(path: str) -> TokenIds:
-    """One for each worker process, which runs many tasks."""
-    if path not in _IDS:
-        _IDS[path] = TokenIds(path)
-    return _IDS[path]
+    """One for a worker process, which runs many tasks."""
+    return worker_cache(f"ids {path}", lambda: TokenIds(path))
 
 
 class Bins:
@@ -173,7 +168,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, least:
             yield flush()
 
     schema = SCHEMA + ", ids array<int>" * with_ids
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidied(run), schema)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_chunks, utf8
+from .common import small_batches, table, text_chunks, tidied, utf8
 
 #: Kinds of bytes; a byte of no kind here is "other".
 KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "!?", ".,;:", "|", "#$%&*^~", "<>=+@_/\\", "()[]{}\"'`-")
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Crf:
             sizes = [x.astype("<i8").tobytes() for x in np.split(lengths, cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], ["_id", "_label", "raw", "lengths"])
 
-    got = rows.mapInArrow(run, "_id long, _label int, raw binary, lengths binary").orderBy("_id", "_label", "raw").toArrow()
+    got = rows.mapInArrow(tidied(run), "_id long, _label int, raw binary, lengths binary").orderBy("_id", "_label", "raw").toArrow()
     sizes = [np.frombuffer(x.as_py(), "<i8") for x in got.column("lengths")]
     raw = np.concatenate([np.frombuffer(x.as_py(), "<f4").reshape(-1, RAW) for x in got.column("raw")]) if sizes else np.zeros((0, RAW), np.float32)
     lines = np.array([len(x) for x in sizes], np.int64)
@@ -241,7 +241,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(score(model, texts))], ["doc_id", "fp", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("fp"))
-    return rows.mapInArrow(run, "doc_id long, fp long, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, fp long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int = 4000) -> DataFrame:
@@ -253,7 +253,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, most: int
         for batch, texts in text_chunks(batches, limit=1 << 20):
             yield batch.filter(pa.array(score(model, texts) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, durable, merged, mixed, sliding_min, text_chunks
+from .common import Rolling, durable, merged, mixed, sliding_min, text_chunks, tidied
 from .sketch import Sketch
 
 SECOND = 0xD1342543DE82EF95
@@ -95,7 +95,7 @@ def find_runs(docs: DataFrame, values_of: Callable[[list], tuple[np.ndarray, np.
                 ["doc_id", "fp", "start", "n", "anchor", "run", kind.split()[0]],
             )
 
-    return docs.mapInArrow(run, f"{RUNS}, {kind}")
+    return docs.mapInArrow(tidied(run), f"{RUNS}, {kind}")
 
 
 def exploded(rows: DataFrame, windows_of: Callable[[bytes, int], np.ndarray]) -> DataFrame:
@@ -116,7 +116,7 @@ def exploded(rows: DataFrame, windows_of: Callable[[bytes, int], np.ndarray]) ->
                 arrays = [batch.column("doc_id").take(row), batch.column("fp").take(row), pa.array(pos), batch.column("anchor").take(row), pa.array(np.concatenate(parts).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "pos", "anchor", "window"])
 
-    return rows.select("doc_id", "fp", "start", "n", "anchor", "body").mapInArrow(run, "doc_id long, fp long, pos long, anchor long, window long")
+    return rows.select("doc_id", "fp", "start", "n", "anchor", "body").mapInArrow(tidied(run), "doc_id long, fp long, pos long, anchor long, window long")
 
 
 def compared(rows: DataFrame, hashes_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -164,7 +164,7 @@ def compared(rows: DataFrame, hashes_of: Callable[[list[bytes]], tuple[np.ndarra
             yield out
 
     rows = rows.select("doc_id", "fp", "start", "n", "anchor", "body").repartition("anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, "doc_id long, fp long, start long, n long")
+    return rows.mapInArrow(tidied(run), "doc_id long, fp long, start long, n long")
 
 
 def covered(spans: pa.Array, length: int) -> list[list[tuple[int, int]]]:

@@ -3,7 +3,8 @@
 A task adds its keys to sparse counters and hands them out block by block (a block is a range of counters of one row); blocks
 merge by saturating addition, each on its own. All that operators ask of the sketch is whether a key's count may have reached
 one of a few limits, so a merged block becomes one bit a counter and limit. The estimate is never too low. The whole has a size
-fixed by `bits` and `depth`, whatever the input: 2**bits * depth * len(limits) / 8 bytes at most, so it may be broadcast.
+fixed by `bits` and `depth`, whatever the input: 2**bits * depth * len(limits) / 8 bytes, so it may be broadcast, beside the few
+counters above one more limit, for very frequent keys.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, text_chunks
+from .common import mixed, text_chunks, tidied
 
 BLOCK = 16  # a block has 2**BLOCK counters
 HELD = 4_000_000  # keys a task gathers before it hands counters out
@@ -28,10 +29,19 @@ def counters(keys: np.ndarray, bits: int, row: int) -> np.ndarray:
 
 
 class Sketch:
-    """Merged bits: planes[limit][row] is a bitmap over the counters."""
+    """Merged bits: planes[limit][row] is a bitmap over the counters; often[row] are the counters of very frequent keys."""
 
-    def __init__(self, planes: np.ndarray, bits: int):
-        self.planes, self.bits = planes, bits
+    def __init__(self, planes: np.ndarray, bits: int, often: list[np.ndarray]):
+        self.planes, self.bits, self.often = planes, bits, often
+
+    def very_frequent(self, keys: np.ndarray) -> np.ndarray:
+        """True for each key whose count may be `frequent` or more (see merged)."""
+        out = np.ones(len(keys), bool)
+        for row, often in enumerate(self.often):
+            at = counters(keys, self.bits, row)
+            place = np.minimum(np.searchsorted(often, at), max(0, len(often) - 1))
+            out &= often[place] == at if len(often) else False
+        return out
 
     def reached(self, keys: np.ndarray, limit: int = 0) -> np.ndarray:
         """True for each key whose count may be the limit or more."""
@@ -53,7 +63,7 @@ def sparse(keys: np.ndarray, bits: int, depth: int) -> pa.RecordBatch:
     for row in range(depth):
         at = np.sort(counters(keys, bits, row))
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        count = np.minimum(np.diff(np.append(first, len(at))), 255).astype(np.uint8)
+        count = np.minimum(np.diff(np.append(first, len(at))), 65535).astype("<u2")
         at = at[first]
         block = (at >> np.uint64(BLOCK)).astype(np.int64)
         begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
@@ -66,29 +76,41 @@ def sparse(keys: np.ndarray, bits: int, depth: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], ["block", "counts"])
 
 
-def merged(rows: DataFrame, bits: int, depth: int, limits: tuple[int, ...]) -> Sketch:
-    """The sketch of all tasks' counters."""
+def merged(rows: DataFrame, bits: int, depth: int, limits: tuple[int, ...], frequent: int = 65535) -> Sketch:
+    """The sketch of all tasks' counters. Counters stop at 65535, so that `frequent` counts as that at most."""
+    frequent = min(frequent, 65535)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        acc, now = np.zeros(1 << BLOCK, np.uint16), None
+
+        def out() -> pa.RecordBatch:
+            planes = [np.packbits(acc >= x, bitorder="little").tobytes() for x in limits]
+            often = np.flatnonzero(acc >= frequent).astype("<u2").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(planes)], pa.binary()), pa.array([often], pa.binary())], ["block", "bitmaps", "often"])
+
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("counts")):
+                if block != now:
+                    if now is not None:
+                        yield out()
+                    now = block
+                    acc[:] = 0
                 raw = zlib.decompress(data.as_py())
-                n = len(raw) // 3
+                n = len(raw) // 4
                 low = np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.uint16)
-                acc = total.setdefault(block, np.zeros(1 << BLOCK, np.uint8))
-                acc[low] = np.minimum(acc[low].astype(np.uint16) + np.frombuffer(raw, np.uint8, n, 2 * n), 255)
-        for block, acc in total.items():
-            planes = [np.packbits(acc >= x, bitorder="little").tobytes() for x in limits]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([b"".join(planes)], pa.binary())], ["block", "bitmaps"])
+                acc[low] = np.minimum(acc[low].astype(np.uint32) + np.frombuffer(raw, "<u2", n, 2 * n), 65535)
+        if now is not None:
+            yield out()
 
-    blocks = rows.repartition("block").mapInArrow(merge, "block long, bitmaps binary").toArrow()
+    blocks = rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(merge), "block long, bitmaps binary, often binary").toArrow()
     width = 1 << (BLOCK - 3)
     planes = np.zeros((len(limits), depth, 1 << (bits - 3)), np.uint8)
-    for block, data in zip(blocks.column("block").to_pylist(), blocks.column("bitmaps")):
-        row, at = block >> (bits - BLOCK), (block & ((1 << (bits - BLOCK)) - 1)) * width
-        planes[:, row, at : at + width] = np.frombuffer(data.as_py(), np.uint8).reshape(len(limits), width)
-    return Sketch(planes, bits)
+    often: list[list[np.ndarray]] = [[] for _ in range(depth)]
+    for block, data, above in zip(blocks.column("block").to_pylist(), blocks.column("bitmaps"), blocks.column("often")):
+        row, at = block >> (bits - BLOCK), block & ((1 << (bits - BLOCK)) - 1)
+        planes[:, row, at * width : (at + 1) * width] = np.frombuffer(data.as_py(), np.uint8).reshape(len(limits), width)
+        often[row].append(np.frombuffer(above.as_py(), "<u2").astype(np.uint64) + np.uint64(at << BLOCK))
+    return Sketch(planes, bits, [np.sort(np.concatenate([np.zeros(0, np.uint64), *x])) for x in often])
 
 
 def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, depth: int = 2, limits: tuple[int, ...] = (2,), chunk: int = 2 << 20) -> Sketch:
@@ -104,7 +126,7 @@ def build(docs: DataFrame, keys_of: Callable[[list], np.ndarray], bits: int, dep
         if sum(map(len, held)):
             yield sparse(np.concatenate(held), bits, depth)
 
-    return merged(docs.select("text").mapInArrow(add, "block long, counts binary"), bits, depth, limits)
+    return merged(docs.select("text").mapInArrow(tidied(add), "block long, counts binary"), bits, depth, limits)
 
 
 def of_keys(rows: DataFrame, column: str, bits: int, depth: int = 1, limits: tuple[int, ...] = (1,)) -> Sketch:
@@ -121,7 +143,7 @@ def of_keys(rows: DataFrame, column: str, bits: int, depth: int = 1, limits: tup
         if held:
             yield sparse(np.concatenate(held), bits, depth)
 
-    return merged(rows.select(F.col(column).cast("long")).dropna().mapInArrow(add, "block long, counts binary"), bits, depth, limits)
+    return merged(rows.select(F.col(column).cast("long")).dropna().mapInArrow(tidied(add), "block long, counts binary"), bits, depth, limits)
 
 
 def perhaps_in(rows: DataFrame, column: str, seen, wanted: bool = True) -> DataFrame:
@@ -131,7 +153,7 @@ def perhaps_in(rows: DataFrame, column: str, seen, wanted: bool = True) -> DataF
         for batch in batches:
             yield batch.filter(pa.array(seen.value.reached(batch.column(column).to_numpy().view(np.uint64)) == wanted))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidied(run), rows.schema)
 
 
 def text_bytes(docs: DataFrame) -> int:

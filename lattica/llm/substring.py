@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import WordHash, dropped, durable, hashed, keyed, small_batches, table, text_chunks, utf8
+from .common import WordHash, dropped, durable, hashed, keyed, small_batches, table, text_chunks, tidied, utf8, worker_cache
 from .repeats import Runs, covered, exploded, find_runs, owned, runs_of
 
 PART = 13  # words of an anchor
-_WORDS: dict[int, WordHash] = {}
 
 
 def split(text: str | None) -> list[bytes]:
@@ -28,7 +27,7 @@ def split(text: str | None) -> list[bytes]:
 
 
 def word_values(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    cache = _WORDS.setdefault(0, WordHash())
+    cache = worker_cache("words", WordHash)
     parts = [hashed(split(t), cache) for t in texts]
     return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
@@ -85,7 +84,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, part: int = PART) -> Data
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns, kinds)], ["doc_id", "n_words", "n_removed", "kept", "removed"])
 
-    return docs.join(spans, ["doc_id", "fp"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: long, end: long>>")
+    return docs.join(spans, ["doc_id", "fp"], "left").select("doc_id", "text", "spans").mapInArrow(tidied(cut), "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start: long, end: long>>")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

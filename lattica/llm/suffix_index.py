@@ -1,220 +1,448 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
-Documents come in batches, in the order of their ids. A batch's suffix array is a table of distinct suffixes in lexicographic
-order of their first bytes, each with the smallest document that has it and its place there: a suffix starts where a run of byte
-windows starts (see repeats.py) and reaches as far as the run's windows do, so that two documents share a long match exactly
-where their suffixes agree. A suffix is held as its first eight bytes, 128 bits of hashes of all of it, and where it stands. New
-suffixes are scanned against the arrays of all levels for matches, then become a level of their own; two levels of equal size
-merge into one of twice the size, as when counting in binary. So each suffix is rewritten a logarithmic number of times. When
-all batches are in, suffixes that match in part, those that share an anchor, are fetched from the texts and compared, each at
-one place; what is found there holds wherever else its document has the suffix.
+The arrays are sparse: of a text's suffixes they hold those that start at anchors, chosen by content so that every window of
+`length` bytes contains one at the same place wherever the window occurs (the least hash among the window's stretches of `part`
+bytes, the leftmost of equal ones). A suffix is held as far as its anchor's windows reach, with the bytes before it that they
+reach back to, so two suffixes show every window that they have in common. An array is sorted by the suffixes' bytes, from the
+anchor on, then by the bytes before.
+
+Documents come in batches, in the order of their ids. The sorted order is cut into shards by splitters, strings taken from a
+sample of the text, and a shard of an array is a row or a few: its sorted suffixes, one after the other. For a batch, every
+shard's new suffixes are sorted and merged with the same shard of every level of the index; suffixes that share an anchor are
+then neighbours, and their windows are matched there. A window that a level has, or a smaller document of the batch, is
+repeated. The batch's array becomes a level, and levels of equal size merge into one of twice the size, as when counting in
+binary, within the same pass.
+
+Documents are handled in chunks. A chunk sends each distinct suffix once, with the smallest and greatest document that has it,
+and gets back owners of windows; its list of occurrences, which stays behind, then gives the repeated places. So a passage costs
+a shard one suffix for a chunk, however many documents have it. Anchors that the corpus has very often, in ever new surroundings,
+would pile up suffixes in one place of the order; of those every window is a suffix of its own, which equal ones collapse into.
+A count-min sketch, merged over all tasks, leaves out anchors that occur once and tells the very frequent ones.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import Rolling, dropped, durable, keyed, mixed, small_batches, table, text_chunks, utf8
-from .repeats import SECOND, Runs, compared, covered, exploded, find_runs, grams_of, owned, runs_of
+from .common import BASE, Rolling, dropped, durable, fresh, keyed, mixed, powers, sliding_min, small_batches, table, text_chunks, tidied, utf8
+from .repeats import SECOND, covered
 
 PART = 20  # bytes of an anchor
-LONG = 8  # a window of the long runs is so many times as long
+SEGMENT = 1 << 16  # window starts looked at together
+PLACE = np.uint64((1 << 17) - 1)  # bits of a place in a segment
+NONE = np.uint64((1 << 64) - 1)
+SLICE = 500_000  # windows matched together
+BLOCK = 1 << 20  # bytes of suffixes in a row
+LEVEL_OWNER = np.iinfo(np.int64).min  # any document of a level is smaller than those of the batch
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
-FEW = 64  # runs of an anchor that may meet in one task
-#: What a level's table holds of a suffix.
-LEVEL = ["head", "anchor", "run", "n", "doc_id", "fp", "start"]
 
 
-def byte_values(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    raw = [utf8(t) for t in texts]
-    return _BYTES[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(x) for x in raw], np.int64)
-
-
-class SuffixIndex:
-    """Levels of suffix arrays: level k has the suffixes of 2**k batches, or none."""
-
-    def __init__(self):
-        self.levels: dict[int, DataFrame] = {}
-
-    def arrays(self) -> list[DataFrame]:
-        return [self.levels[k] for k in sorted(self.levels)]
-
-    def insert(self, suffixes: DataFrame) -> None:
-        """Adds a batch's suffix array; merges levels of equal size, and keeps the smallest document of each suffix."""
-        k = 0
-        while k in self.levels:
-            suffixes = distinct_suffixes(suffixes.unionByName(self.levels.pop(k))).select(*LEVEL)
-            k += 1
-        self.levels[k] = durable(suffixes.select(*LEVEL).repartitionByRange("head", "run").sortWithinPartitions("head", "run"))
-
-
-def distinct_suffixes(rows: DataFrame) -> DataFrame:
-    """Each suffix once, with the smallest document that has it and its place there, and the greatest document."""
-    first = [F.min_by(c, "doc_id").alias(c) for c in ("fp", "start")]
-    return rows.groupBy("head", "anchor", "run", "n").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), *first)
-
-
-def windows_hashed(length: int):
-    """Hashes of the windows of one body, and of those of many bodies at once."""
-
-    def one(body: bytes, n: int) -> np.ndarray:
-        return Rolling(_BYTES[np.frombuffer(body, np.uint8)]).windows(length)
-
-    def many(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(b) for b in bodies])
-        n = sizes - length + 1
-        begins = np.cumsum(sizes) - sizes
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins, n)
-        return Rolling(_BYTES[np.frombuffer(b"".join(bodies), np.uint8)]).windows(length)[at], n
-
-    return one, many
-
-
-def scan(found: DataFrame, suffixes: DataFrame, index: SuffixIndex) -> DataFrame:
-    """Spans (doc_id, fp, start, n) of a batch's runs that a smaller document of the batch or of a level has as they are.
-    suffixes: the batch's suffix array."""
-    known = suffixes.select("anchor", "run", "doc_id", "last")
-    for level in index.arrays():
-        known = known.unionByName(level.select("anchor", "run", "doc_id", F.col("doc_id").alias("last")))
-    shared = known.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner"), F.max("last").alias("last")).where("owner < last")
-    shared = durable(shared.select("anchor", "run", "owner"))
-    spans = durable(found.join(shared, ["anchor", "run"]).where("owner < doc_id").select("doc_id", "fp", "start", "n"))
-    dropped(shared)
-    return spans
-
-
-def partly_repeated(docs: DataFrame, found: DataFrame, index: SuffixIndex, length: int) -> DataFrame:
-    """Spans of windows that the owner of a suffix shares with a smaller document that has another suffix of the same anchor, at
-    every place of found (all batches' runs) where the owner has the suffix."""
-    every = None
-    for level in index.arrays():
-        every = level if every is None else every.unionByName(level)
-    every = durable(distinct_suffixes(every))
-    dropped(*index.arrays())
-    anchors = durable(every.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"))
-    wanted = every.join(anchors, "anchor").groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n", "anchor", "run", "runs")).alias("wanted"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches):
-            lists = batch.column("wanted")
-            flat = pc.list_flatten(lists)
-            row = pc.list_parent_indices(lists)
-            start, n = flat.field("start"), flat.field("n")
-            raw = [utf8(t) for t in texts]
-            bodies = [raw[r][a : a + k + length - 1] for r, a, k in zip(row.to_pylist(), start.to_pylist(), n.to_pylist())]
-            columns = [batch.column("doc_id").take(row), flat.field("run"), pa.array(np.zeros(len(row), np.int64)), n, flat.field("anchor"), flat.field("runs"), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "start", "n", "anchor", "runs", "body"])
-
-    # rows of one doc_id and text are the same document here; from now on fp is the run's hash, and start counts from its start
-    own = docs.join(wanted, ["doc_id", "fp"]).select("doc_id", "fp", "text", "wanted").mapInArrow(fetch, "doc_id long, fp long, start long, n long, anchor long, runs long, body binary")
-    own = durable(own)
-    dropped(every, anchors)
-    one, many = windows_hashed(length)
-    # anchors with few runs are settled each in a task; the windows of the others are dealt out one by one
-    few = compared(own.where(F.col("runs") <= FEW), many)
-    windows = durable(exploded(own.where(F.col("runs") > FEW), one))
-    single = owned(windows, ["anchor", "window"]).select("doc_id", "fp", F.col("pos").alias("start"), F.lit(1).cast("long").alias("n"))
-    parts = durable(single.unionByName(few).withColumnsRenamed({"fp": "run", "start": "from", "n": "size"}).distinct())
-    dropped(own, windows)
-    spans = durable(found.join(parts, ["doc_id", "run"]).select("doc_id", "fp", (F.col("start") + F.col("from")).alias("start"), F.col("size").alias("n")))
-    dropped(parts)
-    return spans
-
-
-def surveyed(docs: DataFrame, length: int, part: int, bits: int) -> DataFrame:
-    """One pass over the texts: the sketch's counters (block, counts) and long runs, whose windows have LONG * length bytes (block null)."""
+def anchors_of(data: np.ndarray, counts: np.ndarray, length: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk of texts laid end to end, for each stretch of windows with one anchor: the first window's start, the number of
+    windows, the anchor's place, and the anchor's hash. Windows don't cross texts; stretches are cut at multiples of SEGMENT."""
+    if length > SEGMENT:
+        raise ValueError("the length is too great")
+    ends = np.cumsum(counts)
+    edge = np.zeros(len(data) + 1, np.int8)
+    if len(ends):
+        np.add.at(edge, np.maximum(ends - counts, ends - length + 1), 1)
+        np.add.at(edge, ends, -1)
+    crossing = np.cumsum(edge, dtype=np.int8) > 0
+    out = []
+    for a in range(0, len(data) - length + 1, SEGMENT):
+        hashes = mixed(Rolling(_BYTES[data[a : a + SEGMENT + length - 1]]).windows(part))
+        keys = hashes & ~PLACE
+        keys |= np.arange(len(keys), dtype=np.uint64)
+        least = sliding_min(keys, length - part + 1)
+        least = np.where(crossing[a : a + len(least)], NONE, least)
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        n = np.diff(np.append(first, len(least)))
+        keep = least[first] != NONE
+        first, n = first[keep], n[keep]
+        at = (least[first] & PLACE).astype(np.int64)
+        out.append((first + a, n, at + a, hashes[at]))
+    if not out:
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+class Shape:
+    """How a suffix is laid out: `length` bytes from the anchor on, then the `back` bytes before it, in zeros where its windows don't
+    reach. left: how many bytes before the anchor its first window starts; n: its windows."""
+
+    def __init__(self, length: int, part: int):
+        self.length, self.part, self.back = length, part, length - part
+        self.width = length + self.back
+        self.kind = np.dtype("<u1" if length < 256 else "<u4")
+
+    def suffixes(self, data: np.ndarray, at: np.ndarray, left: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The rows for suffixes at places of data."""
+        padded = np.concatenate([np.zeros(self.back, np.uint8), data, np.zeros(self.length, np.uint8)])
+        right = np.lib.stride_tricks.sliding_window_view(padded[self.back :], self.length)[at]
+        right[np.arange(self.length) >= (n - 1 + self.length - left)[:, None]] = 0
+        if not self.back:
+            return right
+        before = np.lib.stride_tricks.sliding_window_view(padded, self.back)[at]
+        before[np.arange(self.back) < (self.back - left)[:, None]] = 0
+        return np.concatenate([right, before], axis=1)
+
+    def ordered(self, rows: np.ndarray) -> np.ndarray:
+        """The rows as strings, which compare as the suffixes do."""
+        return np.ascontiguousarray(rows).view(f"S{self.width}").ravel()
+
+    def windows(self, rows: np.ndarray, left: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row of each window, and two independent hashes of its bytes."""
+        natural = np.concatenate([rows[:, self.length :], rows[:, : self.length]], axis=1)
+        row = np.repeat(np.arange(len(n)), n)
+        column = self.back - left[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        hashes = []
+        for salt, base in ((0, BASE), (SECOND, BASE ^ 0x5DEECE66C)):
+            up, down = powers(self.width + 1, base)
+            sums = np.zeros((len(rows), self.width + 1), np.uint64)
+            np.cumsum((mixed(_BYTES, salt)[natural] * up[:-1]), axis=1, out=sums[:, 1:])
+            hashes.append((sums[row, column + self.length] - sums[row, column]) * down[column])
+        return row, *hashes
+
+
+def numbers(column, kind=np.int64) -> np.ndarray:
+    """A column of binaries that hold numbers, one after the other."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
+
+
+def sizes(column, width: int) -> np.ndarray:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // width
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of one key after the other, from rows that are sorted by it."""
+    held, now = [], None
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and values[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+SUFFIXES = "batch int, shard int, chunk long, ids binary, suffixes binary, left binary, n binary, least binary, most binary, docs binary, fps binary, starts binary"
+SURVEY = "block long, counts binary, sample binary"
+
+
+def surveyed(docs: DataFrame, shape: Shape, bits: int, sparse: int) -> DataFrame:
+    """One pass over the texts: the sketch's counters of anchors (block, counts), and the suffixes at one anchor in 2**sparse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", "start", "n", "anchor", "run", "block")] + [("counts", pa.binary())])
-
-        def filled(columns: dict, n: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+        names = [x.split()[0] for x in SURVEY.split(", ")]
 
         def counters() -> pa.RecordBatch:
             got = sketches.sparse(np.concatenate(held), bits, 2)
             held.clear()
-            return filled({"block": got.column("block"), "counts": got.column("counts")}, got.num_rows)
+            return pa.RecordBatch.from_arrays([got.column("block"), got.column("counts"), pa.nulls(got.num_rows, pa.binary())], names)
 
-        for batch, texts in text_chunks(batches, limit=1 << 20):
-            values, counts = byte_values(texts)
-            grams = grams_of(values, part)
-            held.append(runs_of(values, counts, length, part, grams=grams).anchor)
+        for _, texts in text_chunks(batches):
+            raw = [utf8(t) for t in texts]
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            start, n, at, anchor = anchors_of(data, np.array(list(map(len, raw)), np.int64), shape.length, shape.part)
+            few = np.flatnonzero(mixed(anchor, 5) >> np.uint64(64 - sparse) == 0) if sparse else np.arange(len(anchor))
+            if len(few):
+                sample = shape.suffixes(data, at[few], at[few] - start[few], n[few])[:, : shape.length]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sample.tobytes()], pa.binary())], names)
+            held.append(anchor)
             if sum(map(len, held)) >= sketches.HELD:
                 yield counters()
-            r = runs_of(values, counts, LONG * length, part, grams=grams)
-            if len(r.n):
-                content = mixed(r.rolling.spans(r.at, r.at + r.n + LONG * length - 1), SECOND) + r.n.astype(np.uint64)
-                doc, fp = (batch.column(c).take(pa.array(r.row)) for c in ("doc_id", "fp"))
-                yield filled({"doc_id": doc, "fp": fp, "start": pa.array(r.start), "n": pa.array(r.n), "anchor": pa.array(r.anchor.view(np.int64)), "run": pa.array(content.view(np.int64))}, len(r.n))
         if sum(map(len, held)):
             yield counters()
 
-    return docs.mapInArrow(run, "doc_id long, fp long, start long, n long, anchor long, run long, block long, counts binary")
+    return docs.select("text").mapInArrow(tidied(run), SURVEY)
+
+
+def chunk_suffixes(docs: DataFrame, shape: Shape, sketch, splitters, edges: list[int], chunk_bytes: int) -> DataFrame:
+    """The suffixes of all rows of docs (doc_id, text, fp) at anchors that may occur twice. For each chunk and batch, a row of its
+    distinct suffixes in each shard (ids: their numbers in the chunk), and one row (shard -1) of where they occur: ids, and docs,
+    fps and starts of the first windows."""
+    names = [x.split()[0] for x in SUFFIXES.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: sketches.Sketch = sketch.value
+        cuts: np.ndarray = splitters.value
+        number = TaskContext.get().partitionId() << 31
+        for part, texts in text_chunks(batches, limit=chunk_bytes):
+            raw = [utf8(t) for t in texts]
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            counts = np.array(list(map(len, raw)), np.int64)
+            start, n, at, anchor = anchors_of(data, counts, shape.length, shape.part)
+            keep = np.flatnonzero(seen.reached(anchor))
+            start, n, at, anchor = start[keep], n[keep], at[keep], anchor[keep]
+            dense = seen.very_frequent(anchor)
+            if dense.any():  # each window is a suffix of its own
+                each = np.repeat(np.flatnonzero(dense), n[dense])
+                own = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[dense]) - n[dense], n[dense])
+                start, at = np.concatenate([start[~dense], own]), np.concatenate([at[~dense], own])
+                n = np.concatenate([n[~dense], np.ones(len(own), np.int64)])
+                dense = np.arange(len(start)) >= len(start) - len(own)
+            if not len(start):
+                continue
+            left = at - start
+            rows = shape.suffixes(data, at, left, n)
+            begins = np.cumsum(counts) - counts
+            row = np.searchsorted(begins + counts, start, side="right")
+            ids = part.column("doc_id").to_numpy()
+            doc, batch = ids[row], np.searchsorted(edges, ids[row]).astype(np.int32)
+            # distinct suffixes of the chunk and batch
+            words = np.zeros((len(rows), -(-shape.width // 8) * 8), np.uint8)
+            words[:, : shape.width] = rows
+            word = words.view("<u8")
+            hashed = mixed(left.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64) << np.uint64(16), 1) + batch.astype(np.uint64)
+            for k in range(word.shape[1]):
+                hashed = mixed(hashed + word[:, k])
+            order = np.argsort(hashed, kind="stable")
+            new = np.ones(len(order), bool)
+            x, y = order[1:], order[:-1]
+            new[1:] = (hashed[x] != hashed[y]) | (batch[x] != batch[y]) | (left[x] != left[y]) | (n[x] != n[y]) | (word[x] != word[y]).any(1)
+            first = np.flatnonzero(new)
+            ident = np.empty(len(order), np.int32)
+            ident[order] = np.cumsum(new) - 1
+            one = order[first]
+            least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+            key = rows[one][:, : shape.length].copy()
+            key[~dense[one], shape.part :] = 0  # suffixes that share an anchor go to one shard
+            shard = np.searchsorted(cuts, key.view(f"S{shape.length}").ravel(), side="right")
+            # a row for each batch and shard
+            to = np.lexsort((shard, batch[one]))
+            group = batch[one][to].astype(np.int64) << 32 | shard[to]
+            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
+            sorted_ = one[to]
+            out = [to.astype("<i4"), rows[sorted_], left[sorted_].astype(shape.kind), n[sorted_].astype(shape.kind), least[to], most[to]]
+            lines = []
+            for a, b in zip(begin, [*begin[1:], len(to)]):
+                k, s = int(group[a] >> 32), int(group[a] & 0xFFFFFFFF)
+                lines.append((k, s, number + k, *(x[a:b].tobytes() for x in out), None, None, None))
+            fps = part.column("fp").to_numpy()
+            for k in np.unique(batch).tolist():
+                of = np.flatnonzero(batch == k)
+                of = of[np.argsort(row[of], kind="stable")]
+                lines.append((k, -1, number + k, ident[of].tobytes(), None, None, None, None, None, doc[of].tobytes(), fps[row[of]].tobytes(), (start - begins[row])[of].tobytes()))
+            number += len(edges) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], names)
+
+    return docs.mapInArrow(tidied(run), SUFFIXES)
+
+
+SCANNED = "kind int, shard int, chunk long, piece int, ids binary, suffixes binary, left binary, n binary, owners binary"
+
+
+class SuffixIndex:
+    """Levels of suffix arrays: level k has the suffixes of 2**k batches, or none. A level is a table with rows shard, piece, and
+    suffixes, left and n: the shard's sorted distinct suffixes, cut into pieces."""
+
+    def __init__(self, shape: Shape):
+        self.shape = shape
+        self.levels: dict[int, DataFrame] = {}
 
+    def scan(self, suffixes: DataFrame, keep: bool = True) -> DataFrame:
+        """Merges a batch's suffixes with every level, shard by shard. Returns chunk, ids, left (window in the suffix), n (windows) and
+        owners: the windows' smallest documents, where a smaller one than the chunk's greatest has them. With `keep` the batch
+        becomes a level, merged with those of equal size."""
+        free = next(k for k in range(64) if k not in self.levels)  # levels below merge with the batch into this one
+        new = suffixes.select("shard", F.lit(-1).alias("level"), F.lit(0).alias("piece"), "chunk", "ids", "suffixes", "left", "n", "least", "most")
+        every = new
+        for k, level in self.levels.items():
+            every = every.unionByName(level.select("shard", F.lit(k).alias("level"), "piece", "suffixes", "left", "n"), allowMissingColumns=True)
+        shape = self.shape
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in by_key(batches, "shard"):
+                yield from scan_shard(rows, shape, free if keep else -1)
+
+        found = durable(every.repartition("shard").sortWithinPartitions("shard", "level", "piece").mapInArrow(tidied(run), SCANNED), by="kind")
+        if keep:
+            dropped(*(self.levels.pop(k) for k in range(free)), part="kind=1")
+            self.levels[free] = found.where("kind = 1").select("shard", "piece", "suffixes", "left", "n")
+        return found.where("kind = 0").select("chunk", "ids", "left", "n", "owners")
+
+
+def scan_shard(rows: pa.Table, shape: Shape, free: int) -> Iterator[pa.RecordBatch]:
+    """One shard of a batch and of all levels, in the columns of SCANNED: kind 0, a row for each chunk that has a repeated window,
+    and kind 1, the sorted suffixes of the batch and the levels below `free` (-1: none)."""
+    level = np.repeat(rows.column("level").to_numpy(), count := sizes(rows.column("suffixes"), shape.width))
+    text = numbers(rows.column("suffixes"), np.uint8).reshape(-1, shape.width)
+    left, n = (numbers(rows.column(c), shape.kind).astype(np.int64) for c in ("left", "n"))
+    n_new = int(np.count_nonzero(level < 0))  # the batch's rows come first
+    owner = np.full(len(level), LEVEL_OWNER)
+    new_rows = rows.filter(pc.less(rows.column("level"), 0))
+    if n_new:
+        owner[:n_new] = numbers(new_rows.column("least"))
+        most = numbers(new_rows.column("most"))
+        ids = numbers(new_rows.column("ids"), "<i4")
+        chunk = np.repeat(new_rows.column("chunk").to_numpy(), count[: new_rows.num_rows])
+    strings = shape.ordered(text)
+    # the batch is sorted; levels are, so that the second sort only merges them
+    sorted_new = np.argsort(strings[:n_new], kind="stable")
+    merged = np.concatenate([sorted_new, np.arange(n_new, len(level))])
+    order = merged[np.argsort(strings[merged], kind="stable")]
+    text, left, n = text[order], left[order], n[order]
+    same_anchor = (text[1:, : shape.part] == text[:-1, : shape.part]).all(1)
+    # suffixes with equal bytes have differing reaches only where the texts have zeros; those are neighbours all the same
+    equal = same_anchor & (text[1:] == text[:-1]).all(1) & (left[1:] == left[:-1]) & (n[1:] == n[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~equal]))
+    suffix = np.cumsum(np.concatenate([[True], ~equal])) - 1  # of the distinct ones, for each row
+    least = np.minimum.reduceat(owner[order], first)
+    if free >= 0:
+        own = np.maximum.reduceat((level[order] < free).astype(np.int8), first) > 0
+        kept = first[own]
+        step = max(1, BLOCK // shape.width)
+        for piece, a in enumerate(range(0, len(kept), step)):
+            k = kept[a : a + step]
+            yield scanned(1, rows.column("shard")[0].as_py(), None, piece, None, text[k].tobytes(), left[k].astype(shape.kind).tobytes(), n[k].astype(shape.kind).tobytes(), None)
+    if not n_new:
+        return
+    # owners of windows: of all of a suffix at once where its anchor has no other suffix, else window by window
+    group = np.cumsum(np.concatenate([[True], ~same_anchor]))[first] - 1
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    lone = np.repeat(np.diff(np.append(begins, len(group))) == 1, np.diff(np.append(begins, len(group))))
+    spans = [(np.flatnonzero(lone), np.zeros(int(lone.sum()), np.int64), n[first[lone]], least[lone])]
+    several = np.flatnonzero(~lone)
+    total = np.cumsum(n[first[several]])
+    starts = np.flatnonzero(np.concatenate([[True], group[several][1:] != group[several][:-1]])) if len(several) else several
+    a = 0
+    while a < len(several):
+        done = total[a - 1] if a else 0
+        cut = starts[np.searchsorted(starts, np.searchsorted(total, done + SLICE), side="right") - 1] if total[-1] > done + SLICE else len(several)
+        if cut <= a:  # one anchor's suffixes, which the frequent ones' bound keeps few
+            after = np.searchsorted(starts, a, side="right")
+            cut = starts[after] if after < len(starts) else len(several)
+        these = several[a:cut]
+        a = int(cut)
+        at = first[these]
+        row, one, two = shape.windows(text[at], left[at], n[at])
+        near = np.argsort(one, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], (one[near][1:] != one[near][:-1]) | (two[near][1:] != two[near][:-1])]))
+        of = np.empty(len(near), np.int64)
+        of[near] = np.repeat(np.minimum.reduceat(least[these][row[near]], begin), np.diff(np.append(begin, len(near))))
+        edge = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (of[1:] != of[:-1])]))
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+        spans.append((these[row[edge]], inside[edge], np.diff(np.append(edge, len(row))), of[edge]))
+    of, window, length, owned_by = map(np.concatenate, zip(*spans))
+    by = np.argsort(of, kind="stable")
+    window, length, owned_by = window[by], length[by], owned_by[by]
+    each = np.bincount(of, minlength=len(first))
+    # to each of the batch's suffixes its stretches that have a smaller owner
+    mine = np.flatnonzero(order < n_new)
+    mine = mine[np.argsort(chunk[order[mine]], kind="stable")]
+    own = suffix[mine]
+    at = np.repeat((np.cumsum(each) - each)[own], each[own]) + np.arange(each[own].sum()) - np.repeat(np.cumsum(each[own]) - each[own], each[own])
+    source = np.repeat(order[mine], each[own])
+    smaller = owned_by[at] < most[source]
+    at, source = at[smaller], source[smaller]
+    if not len(at):
+        return
+    cuts = np.flatnonzero(np.concatenate([[True], chunk[source][1:] != chunk[source][:-1]])).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(at)]):
+        s, w = source[a:b], at[a:b]
+        yield scanned(0, None, int(chunk[s[0]]), None, ids[s].tobytes(), None, window[w].astype(shape.kind).tobytes(), length[w].astype(shape.kind).tobytes(), owned_by[w].tobytes())
+
+
+def scanned(*values) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [x.split()[0] for x in SCANNED.split(", ")])
+
+
+def repeated_places(found: DataFrame, answers: DataFrame, shape: Shape) -> DataFrame:
+    """doc_id, fp, spans (start and number of window starts): what the owners of windows mean at the chunks' occurrences."""
+    places = found.where("shard = -1").select("chunk", F.lit(0).alias("kind"), "ids", "docs", "fps", "starts")
+    every = places.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
-def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int) -> DataFrame:
-    """doc_id, fp, spans: the windows of docs (doc_id, text, fp) that also start in a document with a smaller doc_id. Long
-    repeats, such as copies of documents, are settled as they are and need no suffixes of their own; the rest goes through the
-    index."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches, "chunk"):
+            said = rows.filter(pc.equal(rows.column("kind"), 1))
+            here = rows.filter(pc.equal(rows.column("kind"), 0))
+            if not said.num_rows or not here.num_rows:
+                continue
+            ids, owner = numbers(said.column("ids"), "<i4"), numbers(said.column("owners"))
+            window, n = (numbers(said.column(c), shape.kind).astype(np.int64) for c in ("left", "n"))
+            order = np.argsort(ids, kind="stable")
+            own, doc, fp, start = numbers(here.column("ids"), "<i4"), *(numbers(here.column(c)) for c in ("docs", "fps", "starts"))
+            each = np.bincount(ids, minlength=int(own.max()) + 1)
+            at = order[np.repeat((np.cumsum(each) - each)[own], each[own]) + np.arange(each[own].sum()) - np.repeat(np.cumsum(each[own]) - each[own], each[own])]
+            place = np.repeat(np.arange(len(own)), each[own])
+            smaller = owner[at] < doc[place]
+            at, place = at[smaller], place[smaller]
+            if not len(at):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (doc[place][1:] != doc[place][:-1]) | (fp[place][1:] != fp[place][:-1])]))
+            spans = pa.StructArray.from_arrays([pa.array(start[place] + window[at]), pa.array(n[at])], ["start", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), spans)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[place[first]]), pa.array(fp[place[first]]), lists], ["doc_id", "fp", "spans"])
+
+    places = every.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tidied(run), "doc_id long, fp long, spans array<struct<start: long, n: long>>")
+    return places.groupBy("doc_id", "fp").agg(F.first("spans").alias("spans"))  # equal rows have equal places
+
+
+def repeated_bytes(docs: DataFrame, length: int, part: int, batch_bytes: int, most_batches: int, shard_bytes: int, frequent: int, chunk_bytes: int) -> DataFrame:
+    """doc_id, fp, spans: the windows of docs (doc_id, text, fp) that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
+    shape = Shape(length, part)
     docs = docs.where("doc_id is not null")
-    bits = sketches.size_bits(sketches.text_bytes(docs) / 3)
-    survey = durable(surveyed(docs, length, part, bits))
-    shared = spark.sparkContext.broadcast(sketches.merged(survey.where("block is not null").select("block", "counts"), bits, 2, (2,)))
-    long = owned(survey.where("block is null").select("doc_id", "fp", "start", "n", "anchor", "run"), ["anchor", "run"])
-    long = durable(long.select("doc_id", "fp", "start", (F.col("n") + (LONG - 1) * length).alias("n")))
+    steps = F.percentile_approx("doc_id", F.array([F.lit(k / most_batches) for k in range(1, most_batches)]), 10_000) if most_batches > 1 else F.lit(None)
+    size, steps = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), steps).first()
+    every = max(1, most_batches // max(1, math.ceil(size / batch_bytes)))  # of the equal parts, so many make a batch
+    edges = sorted(set((steps or [])[every - 1 :: every]))
+    bits = sketches.size_bits(size / 3)
+    shards = int(min(1 << 20, max(1, math.ceil(size / shard_bytes))))
+    sampled = max(0, int(math.log2(max(1.0, 2 * size / (length - part + 1) / (64 * shards)))))
+    survey = durable(surveyed(docs, shape, bits, sampled))
+    limit = frequent + int(8 * size / (length - part) / (1 << bits))  # above what a full sketch shows of any anchor
+    sketch = spark.sparkContext.broadcast(sketches.merged(survey.where("block is not null").select("block", "counts"), bits, 2, (2,), limit))
+    sample = survey.where("sample is not null").select("sample").toArrow().column("sample")
+    sample = np.unique(np.frombuffer(b"".join(x.as_py() for x in sample), f"S{length}"))
+    splitters = spark.sparkContext.broadcast(sample[np.linspace(0, len(sample), shards + 1).astype(int)[1:-1]] if len(sample) else sample)
+    found = durable(chunk_suffixes(docs, shape, sketch, splitters, edges, chunk_bytes), by="batch")
     dropped(survey)
-    rest = docs.join(long.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans")), ["doc_id", "fp"], "left")
-
-    def head(r: Runs, keep: np.ndarray, texts: list) -> np.ndarray:
-        raw = np.frombuffer(b"".join(map(utf8, texts)) + bytes(8), np.uint8).astype(np.int64)
-        first = np.zeros(len(keep), np.int64)
-        for k in range(8):
-            first = first << 8 | raw[r.at[keep] + k]
-        return first ^ np.int64(-(1 << 63))  # signed numbers in the order of the bytes
-
-    found = durable(find_runs(rest, byte_values, head, length, part, shared, 1 << 20, "head long"))
-    # long repeats have gone: anchors that only they repeated are alone now
-    again = sketches.of_keys(found, "anchor", sketches.size_bits(4 * found.count()), 2, (2,))
-    every, found = found, durable(sketches.perhaps_in(found, "anchor", spark.sparkContext.broadcast(again)))
-    dropped(every)
-    steps = found.select(F.percentile_approx("doc_id", F.array([F.lit(k / batches) for k in range(1, batches)]), 10_000)).first()[0] if batches > 1 else None
-    edges = [None, *sorted(set(steps or [])), None]
-    index, spans = SuffixIndex(), long
-    for low, high in zip(edges, edges[1:]):
-        batch = found
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        suffixes = durable(distinct_suffixes(batch))
-        spans = spans.unionByName(scan(batch, suffixes, index))
-        index.insert(suffixes.select(*LEVEL))
-        dropped(suffixes)
-    spans = spans.unionByName(partly_repeated(docs, found, index, length))
-    dropped(found)
-    return spans.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-
-
-def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, batches: int = 4) -> DataFrame:
+    index, answers = SuffixIndex(shape), None
+    for k in range(len(edges) + 1):
+        got = index.scan(found.where((F.col("batch") == k) & (F.col("shard") >= 0)), keep=k < len(edges))
+        answers = got if answers is None else answers.unionByName(got)
+    places = durable(repeated_places(found, answers, shape))
+    dropped(found, answers)
+    return places
+
+
+OPTIONS = {"batch_bytes": 256 << 20, "most_batches": 8, "shard_bytes": 8 << 20, "frequent": 20_000, "chunk_bytes": 4 << 20}
+
+
+def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, **options) -> DataFrame:
     """Removes every byte covered by a string of `length` bytes that also starts in a document with a smaller doc_id.
 
     Returns doc_id, fp, n_bytes, n_removed, n_spans, kept (binary: what is left of the text's UTF-8 bytes) and removed (maximal
     stretches of removed bytes as start and end). Strings are judged on the input and never cross documents; overlaps count. Null
     and empty texts have no bytes. Rows with one doc_id never remove from each other; a row with a null doc_id is kept whole and
-    removes from none. Other columns are left out. No documents: no rows. `batches` is how many parts the documents come in.
+    removes from none. Other columns are left out. No documents: no rows.
+
+    Options (see OPTIONS): documents come in batches of about `batch_bytes` of text, but in `most_batches` at most, since every
+    batch is scanned against all levels; the order is cut into shards for each `shard_bytes` of text; anchors that occur more often
+    than `frequent` times or so have their windows as suffixes; chunks have `chunk_bytes` of text. None of them changes results.
     """
     small_batches(docs.sparkSession)
     docs = keyed(docs)
-    spans = repeated_bytes(docs, length, part, batches)
+    spans = repeated_bytes(docs, length, part, **{**OPTIONS, **options})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -229,20 +457,22 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, batches: i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), *columns], ["doc_id", "fp", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
     joined = docs.join(spans, ["doc_id", "fp"], "left").select("doc_id", "fp", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, fp long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, end: long>>")
+    return joined.mapInArrow(tidied(cut), "doc_id long, fp long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start: long, end: long>>")
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, part: int = PART, batches: int = 4) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 50, part: int = PART, **options) -> DataFrame:
     """The rows of docs, all columns, with the repeated bytes (see suffix_dedup) cut out of text; n_chars, if there is such a
     column, follows. A character goes if one of its bytes does, so that what is left is text."""
     small_batches(docs.sparkSession)
-    spans = repeated_bytes(keyed(docs), length, part, batches)
-    joined = docs.withColumn("_fp", F.xxhash64("text")).join(spans.withColumnsRenamed({"doc_id": "_d", "fp": "_f"}), (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_fp") == F.col("_f")), "left")
+    spans = repeated_bytes(keyed(docs), length, part, **{**OPTIONS, **options})
+    own, ident, mark, gone_at = fresh(docs, "fp", "span_doc_id", "span_fp", "spans")
+    spans = spans.toDF(ident, mark, gone_at)
+    joined = docs.withColumn(own, F.xxhash64("text")).join(spans, (F.col("doc_id").cast("long") == F.col(ident)) & (F.col(own) == F.col(mark)), "left")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            for row, gone in enumerate(covered(batch.column("spans"), length)):
+            for row, gone in enumerate(covered(batch.column(gone_at), length)):
                 if gone:
                     raw = utf8(texts[row])
                     edges = [0, *(x for span in gone for x in span), len(raw)]
@@ -253,7 +483,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, part: int = PART, batches: in
                 columns["n_chars"] = pc.cast(pc.utf8_length(columns["text"]), columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return joined.select(*names, "spans").mapInArrow(cut, docs.schema)
+    return joined.select(*names, gone_at).mapInArrow(tidied(cut), docs.schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

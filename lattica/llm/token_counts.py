@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table, text_chunks, utf8
+from .common import durable, small_batches, table, text_chunks, tidied, utf8, worker_cache
 from .words import add_sums, count_words, head_of, rows_outside, with_keys
 
 SPACE = "▁"  # stands for the white space before a word
@@ -54,13 +54,8 @@ class Pieces:
         return top, count
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return worker_cache(f"pieces {path}", lambda: Pieces(path))
 
 
 class Trie:
@@ -95,7 +90,7 @@ def pretoken_table(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends])], ["word", "n", "tokens", "log_score"])
 
     ordered = counts.repartitionByRange("word").sortWithinPartitions("word")
-    return ordered.mapInArrow(walk, "word binary, n long, tokens long, log_score double")
+    return ordered.mapInArrow(tidied(walk), "word binary, n long, tokens long, log_score double")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, head_words: int = 1 << 18) -> DataFrame:
@@ -118,7 +113,7 @@ def token_counts(docs: DataFrame, vocabulary: str, head_words: int = 1 << 18) ->
             sums = [sum(x for x in map(look, w) if x is not None) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(list(map(len, words)), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "fp", "n_words", "tokens"])
 
-    here = docs.select("doc_id", "fp", "text").mapInArrow(add, "doc_id long, fp long, n_words long, tokens long")
+    here = docs.select("doc_id", "fp", "text").mapInArrow(tidied(add), "doc_id long, fp long, n_words long, tokens long")
     rare = rows_outside(docs, words_of, shared).join(known.select("k1", "k2", F.col("tokens").alias("each")), ["k1", "k2"])
     rare = rare.groupBy("doc_id", "fp").agg(F.sum(F.col("n") * F.col("each")).cast("double").alias("more"))
     out = add_sums(durable(here), rare)

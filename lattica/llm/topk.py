@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, tidied
 
 STEPS = 16  # length classes to a factor of two
 FOCUS = 3  # coordinates that prune
@@ -154,7 +154,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, ident: str = "
                             bounds[rows[n]] = scores[-1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "vector", "norm2", "dims")), pa.array(bounds)], ["id", "vector", "norm2", "dims", "bound"])
 
-    blocks = asked.select("id", "vector", "norm2", "dims").mapInArrow(bound, "id long, vector array<long>, norm2 double, dims int, bound double")
+    blocks = asked.select("id", "vector", "norm2", "dims").mapInArrow(tidied(bound), "id long, vector array<long>, norm2 double, dims int, bound double")
     # blocks of queries with similar reach, so that whole blocks skip the buckets of short candidates
     n_blocks = max(1, math.ceil(asked.count() / block_rows))
     blocks = durable(blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")))

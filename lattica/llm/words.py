@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, tidied
 
 HELD = 300_000  # distinct words that a task gathers before it hands counts out
 
@@ -40,7 +40,7 @@ def count_words(docs: DataFrame, words_of: Callable[[str | None], list[bytes]])
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidied(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def key_of(word: bytes) -> tuple[int, int]:
@@ -60,7 +60,7 @@ def with_keys(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "k1", "k2"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return words.select(*schema.names).mapInArrow(run, f"{fields}, k1 long, k2 long")
+    return words.select(*schema.names).mapInArrow(tidied(run), f"{fields}, k1 long, k2 long")
 
 
 def head_of(words: DataFrame, order: list, most: int) -> pa.Table:
@@ -86,7 +86,7 @@ def rows_outside(docs: DataFrame, words_of: Callable[[str | None], list[bytes]],
                 both = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("fp").take(take), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n, pa.int64())], ["doc_id", "fp", "k1", "k2", "n"])
 
-    return docs.select("doc_id", "fp", "text").mapInArrow(run, "doc_id long, fp long, k1 long, k2 long, n long")
+    return docs.select("doc_id", "fp", "text").mapInArrow(tidied(run), "doc_id long, fp long, k1 long, k2 long, n long")
 
 
 def add_sums(rows: DataFrame, sums: DataFrame) -> DataFrame:

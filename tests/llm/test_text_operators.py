@@ -49,25 +49,60 @@ def test_substring_dedup(odd_docs, no_docs):
     assert substring.substring_dedup(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_suffix_dedup(odd_docs, no_docs, batches):
+SMALL_PARTS = {"batch_bytes": 1, "shard_bytes": 4_000, "chunk_bytes": 3_000}
+
+
+@pytest.mark.parametrize("options", [{}, {**SMALL_PARTS, "most_batches": 4}, {**SMALL_PARTS, "most_batches": 2, "frequent": 2}])
+def test_suffix_dedup(odd_docs, no_docs, options):
     wanted = []
     for i, u, g in removed(pairs_of(odd_docs), lambda t: (t or "").encode(), 50):
         wanted.append((i or -1, len(u), sum(g), sum(1 for k, x in enumerate(g) if x and (not k or not g[k - 1])), bytes(b for b, x in zip(u, g) if not x)))
-    got = [(r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_index.suffix_dedup(odd_docs, batches=batches).collect()]
+    got = [(r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_index.suffix_dedup(odd_docs, **options).collect()]
     assert sorted(got) == sorted(wanted)
-    if batches == 1:
+    if not options:
         assert suffix_index.suffix_dedup(no_docs).count() == 0
 
 
+def test_levels_are_sorted_suffixes_that_the_scan_reads(odd_docs, monkeypatch):
+    """Levels grow as a binary counter does, hold suffixes in lexicographic order, and nothing repeats between batches without them."""
+    levels, sizes = [], []
+    scan = suffix_index.SuffixIndex.scan
+
+    def watched(self, suffixes, keep=True):
+        out = scan(self, suffixes, keep)
+        levels.append(sorted(self.levels))
+        for level in self.levels.values():
+            before: dict[int, bytes] = {}
+            last = b""
+            for r in level.orderBy("shard", "piece").collect():
+                width = self.shape.width
+                own = [bytes(r.suffixes[k : k + width]) for k in range(0, len(r.suffixes), width)]
+                assert own == sorted(own) and own[0] >= before.get(r.shard, b"") and own[0][: self.shape.part] >= last[: self.shape.part]
+                before[r.shard] = last = own[-1]
+                sizes.append(len(own))
+        return out
+
+    monkeypatch.setattr(suffix_index.SuffixIndex, "scan", watched)
+    whole = {(r.doc_id, r.fp, r.n_removed) for r in suffix_index.suffix_dedup(odd_docs, **SMALL_PARTS, most_batches=4).collect()}
+    assert levels == [[0], [1], [0, 1], [0, 1]] and sum(sizes) > 100
+
+    def forgetful(self, suffixes, keep=True):
+        self.levels.clear()
+        return scan(self, suffixes, keep)
+
+    monkeypatch.setattr(suffix_index.SuffixIndex, "scan", forgetful)
+    alone = {(r.doc_id, r.fp, r.n_removed) for r in suffix_index.suffix_dedup(odd_docs, **SMALL_PARTS, most_batches=4).collect()}
+    assert sum(x[2] for x in alone) < sum(x[2] for x in whole)
+
+
 def test_suffix_dedup_at_every_place_of_the_owner(spark, prose):
     p, line, other = prose(12, 31)[:65], prose(40, 32)[:100], prose(40, 33)[:100]
     again = f"{line}{p}{other}\n"
     rows = [(1, prose(30, 34) + p + prose(30, 35)), (2, prose(20, 36) + again * 2 + prose(5, 37) + again), (2, prose(25, 38) + again + prose(25, 39)), (2, prose(25, 38) + again + prose(25, 39)), (3, again)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = sorted((i, len(u), sum(g), bytes(b for b, x in zip(u, g) if not x)) for i, u, g in removed(rows, lambda t: t.encode(), 50))
-    for batches in (1, 3):
-        got = suffix_index.suffix_dedup(docs, batches=batches).collect()
+    for options in ({}, {**SMALL_PARTS, "most_batches": 3}):
+        got = suffix_index.suffix_dedup(docs, **options).collect()
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == wanted
     assert sum(w[2] for w in wanted if w[0] == 2) >= 5 * len(p)
 
@@ -81,12 +116,13 @@ def test_cut_repeats_keeps_columns_and_characters(spark):
 
 
 def test_many_runs_of_one_anchor(spark, prose):
-    """A passage in many documents, each time among other words: more runs than meet in one task."""
+    """A passage in many documents, each time among other words: many suffixes of one anchor, and windows as suffixes where it counts as frequent."""
     passage = prose(40, 77)
     rows = [(i, f"{prose(20, 1000 + i)} {passage} {prose(20, 2000 + i)}") for i in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = sorted((i, sum(g)) for i, u, g in removed(rows, lambda t: t.encode(), 50))
-    assert sorted((r.doc_id, r.n_removed) for r in suffix_index.suffix_dedup(docs).collect()) == wanted
+    for options in ({}, {**SMALL_PARTS, "frequent": 20}):
+        assert sorted((r.doc_id, r.n_removed) for r in suffix_index.suffix_dedup(docs, **options).collect()) == wanted
 
 
 def test_near_duplicates(spark, odd_docs, no_docs, prose):
