@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import chat, topk
 
@@ -31,8 +32,24 @@ def test_top_k(spark, dims, spread):
     bad = [(900, None), (901, [1.0, None] + [0.0] * (dims - 2)), (902, [math.nan] * dims), (903, [math.inf] * dims), (904, []), (None, [1.0] * dims)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "1 as norm2", "'x' as bucket")
     whole = [(i, np.floor(64 * np.array(x)).astype(np.int64)) for i, x in rows]
-    got = topk.top_k(df, df.where("vec_id % 5 = 0"), k=7, bucket_rows=50, block_rows=20, seed_rows=30).collect()
-    assert sorted((g.query_id, g.rank, g.vec_id, g.score) for g in got) == brute(whole, [w for w in whole if w[0] % 5 == 0], 7)
+    for queries in (F.col("vec_id") % 5 == 0, df.where("vec_id % 5 = 0")):
+        got = topk.top_k(df, queries, k=7, bucket_rows=50, block_rows=20, seed_rows=30).collect()
+        got = sorted((g.query_id, g.rank, g.vec_id, g.score) for g in got if g.query_id < 900)
+        assert got == brute(whole, [w for w in whole if w[0] % 5 == 0], 7)
+
+
+def test_top_k_of_repeated_and_great_vectors(spark):
+    """Each row of a repeated query id is ranked for itself, among other rows of its id; components have no greatest size."""
+    rows = [(i % 10, [float(i), -float(i % 3)]) for i in range(20)] + [(77, [float(1 << 41), 0.0]), (78, [-float(1 << 41), 1e300]), (80, []), (81, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0, k=30).collect()
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    wanted = []
+    for n, (q, x) in enumerate(whole):
+        if q % 5 == 0:
+            scores = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y)))), i) for m, (i, y) in enumerate(whole) if m != n and len(x) == len(y)]
+            wanted += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda p: (-p[0], p[1])))]
+    assert sorted(tuple(g) for g in got) == sorted(wanted) and max(w[3] for w in wanted) > 1 << 50
 
 
 def test_top_k_of_few(spark):
