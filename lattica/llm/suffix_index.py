@@ -175,7 +175,7 @@ def surveyed(docs: DataFrame, shape: Shape, bits: int, sparse: int) -> DataFrame
 
 def chunk_suffixes(docs: DataFrame, shape: Shape, sketch, splitters, edges: list[int], chunk_bytes: int) -> DataFrame:
     """The suffixes of all rows of docs (doc_id, text, fp) at anchors that may occur twice. For each chunk and batch, a row of its
-    distinct suffixes in each shard (ids: their numbers in the chunk), and one row (shard -1) of where they occur: ids, and docs,
+    distinct suffixes in each shard (ids: their numbers in the chunk), and one row (batch -1) of where they occur: ids, and docs,
     fps and starts of the first windows."""
     names = [x.split()[0] for x in SUFFIXES.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 3)]
@@ -239,7 +239,7 @@ def chunk_suffixes(docs: DataFrame, shape: Shape, sketch, splitters, edges: list
             for k in np.unique(batch).tolist():
                 of = np.flatnonzero(batch == k)
                 of = of[np.argsort(row[of], kind="stable")]
-                lines.append((k, -1, number + k, ident[of].tobytes(), None, None, None, None, None, doc[of].tobytes(), fps[row[of]].tobytes(), (start - begins[row])[of].tobytes()))
+                lines.append((-1, None, number + k, ident[of].tobytes(), None, None, None, None, None, doc[of].tobytes(), fps[row[of]].tobytes(), (start - begins[row])[of].tobytes()))
             number += len(edges) + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], names)
 
@@ -367,7 +367,7 @@ def scanned(*values) -> pa.RecordBatch:
 
 def repeated_places(found: DataFrame, answers: DataFrame, shape: Shape) -> DataFrame:
     """doc_id, fp, spans (start and number of window starts): what the owners of windows mean at the chunks' occurrences."""
-    places = found.where("shard = -1").select("chunk", F.lit(0).alias("kind"), "ids", "docs", "fps", "starts")
+    places = found.where("batch = -1").select("chunk", F.lit(0).alias("kind"), "ids", "docs", "fps", "starts")
     every = places.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,15 +396,14 @@ def repeated_places(found: DataFrame, answers: DataFrame, shape: Shape) -> DataF
     return places.groupBy("doc_id", "fp").agg(F.first("spans").alias("spans"))  # equal rows have equal places
 
 
-def repeated_bytes(docs: DataFrame, length: int, part: int, batch_bytes: int, most_batches: int, shard_bytes: int, frequent: int, chunk_bytes: int) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int, shard_bytes: int, frequent: int, chunk_bytes: int) -> DataFrame:
     """doc_id, fp, spans: the windows of docs (doc_id, text, fp) that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
     shape = Shape(length, part)
     docs = docs.where("doc_id is not null")
-    steps = F.percentile_approx("doc_id", F.array([F.lit(k / most_batches) for k in range(1, most_batches)]), 10_000) if most_batches > 1 else F.lit(None)
+    steps = F.percentile_approx("doc_id", F.array([F.lit(k / batches) for k in range(1, batches)]), 10_000) if batches > 1 else F.lit(None)
     size, steps = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), steps).first()
-    every = max(1, most_batches // max(1, math.ceil(size / batch_bytes)))  # of the equal parts, so many make a batch
-    edges = sorted(set((steps or [])[every - 1 :: every]))
+    edges = sorted(set(steps or []))
     bits = sketches.size_bits(size / 3)
     shards = int(min(1 << 20, max(1, math.ceil(size / shard_bytes))))
     sampled = max(0, int(math.log2(max(1.0, 2 * size / (length - part + 1) / (64 * shards)))))
@@ -418,14 +417,15 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batch_bytes: int, mo
     dropped(survey)
     index, answers = SuffixIndex(shape), None
     for k in range(len(edges) + 1):
-        got = index.scan(found.where((F.col("batch") == k) & (F.col("shard") >= 0)), keep=k < len(edges))
+        got = index.scan(found.where(F.col("batch") == k), keep=k < len(edges))
+        dropped(found, part=f"batch={k}")
         answers = got if answers is None else answers.unionByName(got)
     places = durable(repeated_places(found, answers, shape))
     dropped(found, answers)
     return places
 
 
-OPTIONS = {"batch_bytes": 256 << 20, "most_batches": 8, "shard_bytes": 8 << 20, "frequent": 20_000, "chunk_bytes": 4 << 20}
+OPTIONS = {"batches": 4, "shard_bytes": 8 << 20, "frequent": 20_000, "chunk_bytes": 4 << 20}
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, **options) -> DataFrame:
@@ -436,9 +436,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, **options)
     and empty texts have no bytes. Rows with one doc_id never remove from each other; a row with a null doc_id is kept whole and
     removes from none. Other columns are left out. No documents: no rows.
 
-    Options (see OPTIONS): documents come in batches of about `batch_bytes` of text, but in `most_batches` at most, since every
-    batch is scanned against all levels; the order is cut into shards for each `shard_bytes` of text; anchors that occur more often
-    than `frequent` times or so have their windows as suffixes; chunks have `chunk_bytes` of text. None of them changes results.
+    Options (see OPTIONS): documents come in so many `batches` of about as many rows; every batch is scanned against all levels, so
+    there are few. The order is cut into shards for each `shard_bytes` of text; anchors that occur more often than `frequent`
+    times or so have their windows as suffixes; chunks have `chunk_bytes` of text. None of them changes results.
     """
     small_batches(docs.sparkSession)
     docs = keyed(docs)
