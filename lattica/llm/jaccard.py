@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import Rolling, WordHash, dropped, durable, hashed, mixed, small_batches, table, text_chunks, tidied, utf8, worker_cache
+from .common import Rolling, WordHash, dropped, durable, fresh, hashed, mixed, small_batches, table, text_chunks, tidied, utf8, worker_cache
 from .components import components
 
 SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -97,8 +97,10 @@ def indexed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(tidied(run), SETS)
 
 
-def postings(sets: DataFrame) -> DataFrame:
-    """The index: token, block (of sizes), doc, n, pos (in the global order)."""
+def postings(sets: DataFrame, percent: int) -> DataFrame:
+    """The index: token, block (of sizes), doc, n, pos (in the global order). Sizes of similar sets are in the same block or in
+    neighbouring ones."""
+    ratio = max(100 / percent, 1.01)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +112,7 @@ def postings(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), batch.column("doc").take(take), batch.column("n").take(take), pa.array(np.concatenate(pos))], ["token", "doc", "n", "pos"])
 
     rows = sets.select("doc", "n", "first", "last", "tokens").mapInArrow(tidied(run), "token long, doc long, n long, pos long")
-    return rows.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int"))
+    return rows.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(ratio)).cast("int"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -154,7 +156,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     every, wide = durable(every.select("doc_id", "n")), every
     dropped(wide)
     copies = copies.select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    index = durable(postings(sets))
+    index = durable(postings(sets, percent))
     similar = f"100 * common >= {percent} * (na + nb - common)"
 
     # each block's first set against the block's others: for a set, the two first sets it meets in most blocks
@@ -199,8 +201,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, whose doc_id is the smallest of its class (see near_duplicates), and those without one."""
-    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = near_duplicates(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

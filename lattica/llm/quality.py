@@ -29,49 +29,71 @@ N_KINDS = BEYOND + 1
 RAW = N_KINDS + 4
 STEPS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
 N_FEATURES = 3 * RAW * len(STEPS) + 3
-
-
-def raw_features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every line of every text (a null or empty text has one empty line) RAW values from 0 to 1; lines for each text; and
-    each line's length in bytes."""
-    raw = [utf8(t) for t in texts]
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    ends = np.flatnonzero(data == 10)
-    lengths = np.diff(np.concatenate([[-1], ends])) - 1
-    line = np.repeat(np.arange(len(ends)), lengths + 1)
-    kinds = np.bincount(line * (N_KINDS + 1) + np.where(data == 10, N_KINDS, _KIND[data]), minlength=len(ends) * (N_KINDS + 1)).reshape(-1, N_KINDS + 1)[:, :N_KINDS]
-    shares = kinds / np.maximum(lengths, 1)[:, None]
-    lines, extra = np.zeros(len(raw), np.int64), np.zeros((len(ends), 4))
-    at = 0
-    for k, text in enumerate(raw):
-        own = text.split(b"\n")
-        seen: set[bytes] = set()
-        for x in own:
+LINES = 20_000  # lines whose features are held at once
+LONG = 5_000  # lines of a document that are more steps than a chain should take one by one
+
+
+def lines_of(texts: list) -> tuple[list[bytes], np.ndarray]:
+    """The lines of all texts (a null or empty text has one empty line), and how many each has."""
+    own, counts = [], []
+    for text in texts:
+        parts = utf8(text).split(b"\n")
+        own += parts
+        counts.append(len(parts))
+    return own, np.array(counts, np.int64)
+
+
+def raw_blocks(own: list[bytes], counts: np.ndarray) -> Iterator[np.ndarray]:
+    """RAW values from 0 to 1 for every line, some thousand lines at a time."""
+    at, ends = 0, np.cumsum(counts).tolist()
+    text, seen = 0, set()
+    while at < len(own):
+        block = own[at : at + LINES]
+        if sum(map(len, block)) > 4 << 20 and len(block) > 64:
+            block = block[: max(1, len(block) // 64)]
+        extra = np.zeros((len(block), 4))
+        for k, x in enumerate(block):
+            if at + k == ends[text]:
+                text, seen = text + 1, set()
             words = x.split()
             if words:
-                extra[at, 0] = x in seen
-                extra[at, 1] = 1 - len(set(words)) / len(words)
-                extra[at, 2] = min(1.0, len(x) / len(words) / 20)
-            seen.add(x)
-            at += 1
-        lines[k] = len(own)
-    extra[:, 3] = np.minimum(1.0, np.log2(lengths + 1) / 14)
-    return np.concatenate([shares, extra], axis=1).astype(np.float32), lines, lengths
-
-
-def features(raw: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Which steps each value of a line and of its two neighbours passes, then: a first line, a last line, one."""
-    ends = np.cumsum(lines)
-    first, last = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
-    first[ends - lines] = True
+                extra[k, 0] = x in seen
+                extra[k, 1] = 1 - len(set(words)) / len(words)
+                extra[k, 2] = min(1.0, len(x) / len(words) / 20)
+                seen.add(x)
+        data = np.frombuffer(b"\n".join([*block, b""]), np.uint8)
+        breaks = np.flatnonzero(data == 10)
+        lengths = np.diff(np.concatenate([[-1], breaks])) - 1
+        line = np.repeat(np.arange(len(block)), lengths + 1)
+        kinds = np.bincount(line * (N_KINDS + 1) + np.where(data == 10, N_KINDS, _KIND[data]), minlength=len(block) * (N_KINDS + 1)).reshape(-1, N_KINDS + 1)[:, :N_KINDS]
+        extra[:, 3] = np.minimum(1.0, np.log2(lengths + 1) / 14)
+        yield np.concatenate([kinds / np.maximum(lengths, 1)[:, None], extra], axis=1).astype(np.float32)
+        at += len(block)
+
+
+def passed(raw: np.ndarray) -> np.ndarray:
+    """Which steps each value of a line passes: the line's features, and those of its two neighbours."""
+    return (raw[:, :, None] > STEPS).reshape(len(raw), -1).astype(np.float32)
+
+
+def edges_of(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of n lines is its text's first, and its last."""
+    ends = np.cumsum(counts)
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    first[ends - counts] = True
     last[ends - 1] = True
-    passed = (raw[:, :, None] > STEPS).reshape(len(raw), -1).astype(np.float32)
-    before, after = np.zeros_like(passed), np.zeros_like(passed)
-    before[1:] = passed[:-1]
-    after[:-1] = passed[1:]
-    before[first] = 0
-    after[last] = 0
-    return np.concatenate([passed, before, after, np.stack([first, last, np.ones(len(raw), bool)], 1).astype(np.float32)], axis=1)
+    return first, last
+
+
+def evidence(weights: np.ndarray, blocks: Iterator[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """For good over bad, of every line. blocks: what the lines have passed; weights are for a line's own, for its neighbours
+    before and after, for a first line, a last line, and one for all. No block of features is copied for the neighbours."""
+    tables = weights[:-3].reshape(3, -1).T.astype(np.float32)
+    own, before, after = np.concatenate([np.zeros((0, 3), np.float32), *(x @ tables for x in blocks)]).T.astype(float)
+    first, last = edges_of(counts, len(own))
+    own[1:] += np.where(first[1:], 0, before[:-1])
+    own[:-1] += np.where(last[:-1], 0, after[1:])
+    return own + first * weights[-3] + last * weights[-2] + weights[-1]
 
 
 @dataclass
@@ -124,6 +146,73 @@ def chains(score: np.ndarray, lines: np.ndarray, follow: np.ndarray, pairs: bool
     return out, z, counts
 
 
+def long_chain(score: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """P(good) of each line of one long document, as chains gives it: the chain is cut into as many stretches as a stretch has
+    lines, whose transfer matrices are made at once, then chained; so there are few steps, each over all stretches."""
+    n = len(score)
+    size = max(1, int(np.sqrt(n)))
+    many = -(-n // size)
+    step, weight = np.exp(follow - follow.max()), np.ones((many * size, 2))
+    weight[:n, 1] = np.exp(np.clip(score, -300, 300))
+    weight /= weight.max(1, keepdims=True)
+    weight = weight.reshape(many, size, 2)
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x / x.max(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+    if n:
+        # what a stretch does to the states before its first line, then the states before each stretch
+        whole = np.broadcast_to(np.eye(2), (many, 2, 2))
+        for t in range(size):
+            whole = scaled((whole @ step) * weight[:, t, None, :])
+        before = np.ones((many, 2))
+        now = weight[0, 0]  # no line comes before a document's first
+        for t in range(1, size):
+            now = (now @ step) * weight[0, t]
+            now = now / now.max()
+        for k in range(1, many):
+            before[k] = now if k == 1 else before[k - 1] @ whole[k - 1]
+            before[k] /= before[k].max()
+        forward = np.empty((many, size))
+        now = before
+        for t in range(size):
+            now = now @ step
+            if t == 0:
+                now[0] = 1
+            now = np.maximum(scaled(now * weight[:, t]), 1e-300)
+            forward[:, t] = np.log(now[:, 1]) - np.log(now[:, 0])
+        # backwards: what follows a stretch's last line
+        after = np.ones((many, 2))
+        back = np.broadcast_to(np.eye(2), (many, 2, 2))
+        live = np.arange(many * size).reshape(many, size) < n
+        for t in range(size - 1, -1, -1):
+            back = np.where(live[:, t, None, None], scaled((step * weight[:, t, None, :]) @ back), back)
+        for k in range(many - 2, -1, -1):
+            after[k] = back[k + 1] @ after[k + 1]
+            after[k] /= after[k].max()
+        out = np.empty((many, size))
+        now = after
+        for t in range(size - 1, -1, -1):
+            odds = forward[:, t] + np.log(now[:, 1]) - np.log(now[:, 0])
+            out[:, t] = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+            now = np.maximum(np.where(live[:, t, None], scaled((now * weight[:, t]) @ step.T), now), 1e-300)
+    return out.ravel()[:n]
+
+
+def marginals(score: np.ndarray, lines: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """P(good) of each line; documents of very many lines are taken one by one."""
+    long = lines > LONG
+    if not long.any():
+        return chains(score, lines, follow)[0]
+    of = np.repeat(long, lines)
+    out = np.empty(len(score))
+    out[~of] = chains(score[~of], lines[~long], follow)[0]
+    ends = np.cumsum(lines)
+    for k in np.flatnonzero(long).tolist():
+        out[ends[k] - lines[k] : ends[k]] = long_chain(score[ends[k] - lines[k] : ends[k]], follow)
+    return out
+
+
 def share_good(good: np.ndarray, lines: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     begins = np.cumsum(lines) - lines
     weight = lengths + 1.0
@@ -138,25 +227,26 @@ def logit(p: np.ndarray) -> np.ndarray:
 class Blocks:
     """Features of the training lines, kept where they are few and else made anew, some thousand lines at a time."""
 
-    def __init__(self, raw: np.ndarray, lines: np.ndarray, block: int = 20_000, kept: int = 100_000):
-        ends = np.cumsum(lines)
-        groups = np.searchsorted(np.arange(block, ends[-1] + block, block), ends) if len(lines) else ends
-        cuts = np.flatnonzero(np.diff(groups)) + 1
-        self.parts = [(raw[e[0] - n[0] : e[-1]], n) for n, e in zip(np.split(lines, cuts), np.split(ends, cuts)) if len(n)]
-        self.cached = [features(*p) for p in self.parts] if len(raw) <= kept else None
+    def __init__(self, raw: np.ndarray, lines: np.ndarray, kept: int = 100_000):
+        self.parts = [raw[a : a + LINES] for a in range(0, len(raw), LINES)]
+        self.cached = [passed(p) for p in self.parts] if len(raw) <= kept else None
+        self.lines, (self.first, self.last) = lines, edges_of(lines, len(raw))
 
     def __iter__(self) -> Iterator[np.ndarray]:
-        return iter(self.cached) if self.cached is not None else (features(*p) for p in self.parts)
+        return iter(self.cached) if self.cached is not None else map(passed, self.parts)
 
     def evidence(self, weights: np.ndarray) -> np.ndarray:
-        return np.concatenate([x @ weights.astype(np.float32) for x in self]).astype(float)
+        return evidence(weights, iter(self), self.lines)
 
     def summed(self, values: np.ndarray) -> np.ndarray:
-        out, at = np.zeros(N_FEATURES), 0
+        """What the weights' gradient is for these values of the lines."""
+        after, before = np.append(values[1:], 0), np.append(0, values)[: len(values)]
+        three = np.stack([values, np.where(self.last, 0, after), np.where(self.first, 0, before)], 1).astype(np.float32)
+        out, at = np.zeros((RAW * len(STEPS), 3)), 0
         for x in self:
-            out += x.T @ values[at : at + len(x)]
+            out += x.T @ three[at : at + len(x)]
             at += len(x)
-        return out
+        return np.concatenate([out.T.ravel(), [values[self.first].sum(), values[self.last].sum(), values.sum()]])
 
 
 def fit(raw: np.ndarray, lines: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rounds: int = 80, penalty: float = 2.0) -> Crf:
@@ -193,9 +283,10 @@ def fit(raw: np.ndarray, lines: np.ndarray, lengths: np.ndarray, labels: np.ndar
 
 
 def score(model: Crf, texts: list) -> np.ndarray:
-    raw, lines, lengths = raw_features(texts)
-    good, _, _ = chains(features(raw, lines) @ model.weights, lines, model.follow)
-    return 1 / (1 + np.exp(-np.clip(model.slope * logit(share_good(good, lines, lengths)) + model.shift, -700, 700)))
+    own, lines = lines_of(texts)
+    found = evidence(model.weights, map(passed, raw_blocks(own, lines)), lines)
+    good = marginals(found, lines, model.follow)
+    return 1 / (1 + np.exp(-np.clip(model.slope * logit(share_good(good, lines, np.fromiter(map(len, own), np.int64, len(own)))) + model.shift, -700, 700)))
 
 
 def fold(ident: str, folds: int):
@@ -203,28 +294,32 @@ def fold(ident: str, folds: int):
     return F.crc32(F.col(ident).cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_lines: int = 2000) -> Crf:
     """Fits the field on labelled documents: doc_id and quality 0 or 1 in labels, null ones left out. At most `most` labels are
-    used, those with the smallest hashes of doc_id; with none, every score is one half."""
-    chosen = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most)  # so it may be broadcast
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_label", "text")
+    used, those with the smallest hashes of doc_id, and of their texts those of at most `most_lines` lines, so that what the
+    driver gets is bounded by the two; with none, every score is one half."""
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(most)  # so it may be broadcast
+    short = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) < most_lines
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").where(short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
-            raw, lines, lengths = raw_features(texts)
+            own, lines = lines_of(texts)
+            raw = np.concatenate([np.zeros((0, RAW), np.float32), *raw_blocks(own, lines)])
             cut = np.cumsum(lines) - lines
+            lengths = np.fromiter(map(len, own), "<i8", len(own))
             data = [x.astype("<f4").tobytes() for x in np.split(raw, cut[1:])]
-            sizes = [x.astype("<i8").tobytes() for x in np.split(lengths, cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], ["_id", "_label", "raw", "lengths"])
+            sizes = [x.tobytes() for x in np.split(lengths, cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], ["id", "label", "raw", "lengths"])
 
-    got = rows.mapInArrow(tidied(run), "_id long, _label int, raw binary, lengths binary").orderBy("_id", "_label", "raw").toArrow()
+    got = rows.select("id", "label", "text").mapInArrow(tidied(run), "id long, label int, raw binary, lengths binary").orderBy("id", "label", "raw").toArrow()
     sizes = [np.frombuffer(x.as_py(), "<i8") for x in got.column("lengths")]
     raw = np.concatenate([np.frombuffer(x.as_py(), "<f4").reshape(-1, RAW) for x in got.column("raw")]) if sizes else np.zeros((0, RAW), np.float32)
     lines = np.array([len(x) for x in sizes], np.int64)
     if not len(lines):
         return Crf(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    return fit(raw, lines, np.concatenate(sizes), got.column("_label").to_numpy().astype(float))
+    return fit(raw, lines, np.concatenate(sizes), got.column("label").to_numpy().astype(float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
