@@ -126,10 +126,12 @@ def test_many_runs_of_one_anchor(spark, prose):
         assert sorted((r.doc_id, r.n_removed) for r in suffix_index.suffix_dedup(docs, **options).collect()) == wanted
 
 
-def test_near_duplicates(spark, odd_docs, no_docs, prose):
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_near_duplicates(spark, odd_docs, no_docs, prose, percent):
     base = prose(300, 5).split()
     rows = [(100 + k, " ".join(base[: 40 * k] + ["new"] + base[40 * k :])) for k in range(6)]  # near copies of each other
     rows += [(120 + k, " ".join(base[8 * k :] + prose(8 * k, 50 + k).split())) for k in range(12)]  # a chain of drifting copies
+    rows += [(140 + k, " ".join(base[: 300 - 45 * k])) for k in range(5)]  # far apart in size
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     data = pairs_of(docs)
 
@@ -147,13 +149,14 @@ def test_near_duplicates(spark, odd_docs, no_docs, prose):
 
     for a, (i, x) in enumerate(sets):
         for j, y in sets[:a]:
-            if i is not None and j is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
+            if i is not None and j is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((top(i), top(j)))
                 up[q] = p
     wanted = sorted((i or -1, len(x), top(i) or -1) for i, x in sets)
-    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.near_duplicates(docs).collect()) == wanted
-    assert len({w[2] for w in wanted}) < len(wanted) - 10
-    assert jaccard.near_duplicates(no_docs).count() == 0
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.near_duplicates(docs, percent=percent).collect()) == wanted
+    assert len({w[2] for w in wanted}) < len(wanted) - (10 if percent < 95 else 2)
+    if percent == 80:
+        assert jaccard.near_duplicates(no_docs).count() == 0
 
 
 def test_components(spark):
@@ -183,9 +186,29 @@ def test_contamination(spark, odd_docs, no_docs, prose):
                     hit |= set(range(k, k + len(key)))
                     items |= names
         wanted.append((i or -1, len(w), len(hit), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    coded = [(str(r.item_id), split(r.text)) for r in bench.where("item_id is not null").collect()]
     for block_bytes in (1 << 20, 1):
-        got = [(r.doc_id or -1, r.n_words, r.n_hit, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs, bench, block_bytes=block_bytes).collect()]
-        assert sorted(set(got)) == sorted(set(wanted)) and (block_bytes == 1 or len(got) == len(wanted))
+        rows = decontaminate.contamination(docs, bench, block_bytes=block_bytes).collect()
+        got = [(r.doc_id or -1, r.n_words, r.n_hit, r.items_sha256, r.contaminated) for r in rows]
+        assert sorted(got) == sorted(wanted)
+        for r in rows:  # the longest matches, by brute force
+            texts = {t for i, t in pairs_of(docs) if i == r.doc_id and len(split(t)) == r.n_words}
+            if len(texts) != 1 or r.n_words > 1000:
+                continue
+            w = split(texts.pop())
+            longest = []
+            for d in range(len(w)):
+                best = (0, "", 0)
+                for name, x in coded:
+                    for s in range(len(x)):
+                        n = 0
+                        while d + n < len(w) and s + n < len(x) and w[d + n] == x[s + n]:
+                            n += 1
+                        if n and n >= min(13, len(x)) and (-n, name) < (-best[0], best[1]):
+                            best = (n, name, s)
+                if best[0] and (not longest or d + best[0] > longest[-1][0] + longest[-1][1]):
+                    longest.append((d, *best))
+            assert [tuple(m) for m in r.matches] == longest
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.count() == sum(not w[-1] for w in wanted) and kept.columns == ["doc_id", "text"]
     assert decontaminate.contamination(no_docs, bench).count() == 0
