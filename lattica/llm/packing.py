@@ -1,16 +1,20 @@
 """Harmonic packing of token sequences.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces longer than capacity/(k+1) and at most capacity/k, and a
-bin of class k takes exactly k pieces. As a document may be cut, its rest is cut into pieces of exactly capacity/2, capacity/4,
-... down to `least`, so that bins of these classes have no padding at all; what is shorter than `least` is the harmonic
-method's last class and fills its bins one after the other. Every task fills the bins of its own rows: nothing is shuffled,
-and no task waits for another. When a task ends, its unfinished bins are closed at powers of two.
+Lengths fall into reciprocal-capacity classes: class k holds documents longer than capacity/(k+1) and at most capacity/k, and a
+bin of class k takes exactly k of them, whole. The last class has all documents of capacity/`classes` or less, as many as a bin
+holds. Documents longer than the capacity have to be cut in any case: their pieces fill up the room that bins of all classes have
+left, and what is left of them makes full sequences. Where a task has met too few of such documents and bins wait for pieces, it
+cuts the next document instead. Every task fills the bins of its own rows: nothing is shuffled, and no task waits for another.
+When a task ends, the pieces of its unfinished bins are put one after the other, cut at the capacity, and at powers of two in
+the end.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
-from collections import defaultdict
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +28,36 @@ END_ID = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Pre-tokens of runs in small letters of the plain alphabet: the characters below U+0180, without controls and odd white space.
+_PLAIN = [c for c in map(chr, range(0x180)) if c in "\t\n\r" or c.isprintable() and c not in "\xa0\u0130"]
+_class = lambda kind: "".join(map(re.escape, (c for c in _PLAIN if unicodedata.category(c)[0] == kind)))
+PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
+OUTSIDE = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]|<\\|")  # "<|" may begin a special string
+PROBES = ("It's a test, isn't it?  12 34ab", "\u00c9t\u00e9 na\u00efve (x)--y!!", "a\tb\r\n c 'x' ''s", "# A_b \u00df\u0141\u00f3d\u017a 1/2 \u00b2")
+
+
 class TokenIds(dict):
-    """Little-endian 32-bit ids of a run of text without white space. The tokenizer drops white space and never joins across
-    it, so a text's ids are the ids of its runs, one after the other."""
+    """Little-endian 32-bit ids of runs of text without white space and of their pre-tokens, kept for the next time. Whether a
+    tokenizer file allows that is tried out when it is loaded: `how` is "pretoken" where texts may be cut at white space, and runs
+    of the plain alphabet by PRETOKEN in small letters, "run" where texts may be cut at white space only, else "whole"."""
 
-    def __init__(self, path: str, most: int = 1_600_000):
+    def __init__(self, path: str, most: int = 800_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        for how in ("pretoken", "run", "whole"):
+            self.how = how
+            self.clear()
+            if all(self.text(x) == self.encoded(x) for x in PROBES):
+                break
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes() if run else b""
+        parts = PRETOKEN.findall(run.lower()) if self.how == "pretoken" and not OUTSIDE.search(run) else [run]
+        ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.encoded(run) if run else b""
         if len(run) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -45,6 +67,8 @@ class TokenIds(dict):
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.how == "whole":
+            return self.encoded(text)
         runs = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, runs))
 
@@ -55,13 +79,14 @@ def token_ids(path: str) -> TokenIds:
 
 
 class Bins:
-    """The open bins of one task."""
+    """The open bins of one task. A piece is (document, start, length, tokens of the document)."""
 
-    def __init__(self, first_id: int, capacity: int, least: int):
-        self.next_id, self.capacity, self.least = first_id, capacity, least
-        self.open: dict[int, list] = defaultdict(list)
-        self.rest: list = []
-        self.rest_length = 0
+    def __init__(self, first_id: int, capacity: int, classes: int, waiting: int):
+        self.next_id, self.capacity, self.classes, self.most = first_id, capacity, classes, waiting
+        self.open: dict[int, tuple[list, int]] = {}  # of a class: pieces and their tokens
+        self.waiting: deque = deque()  # bins with all their documents, which have room left
+        self.spare: deque = deque()  # pieces of cut documents that no bin has asked for yet
+        self.spared = 0
 
     def close(self, pieces: list) -> Iterator[tuple]:
         offset = 0
@@ -70,63 +95,65 @@ class Bins:
             offset += piece[2]
         self.next_id += 1
 
-    def document(self, doc: int | None, total: int) -> Iterator[tuple]:
-        """Cuts a document of `total` tokens; yields the pieces (document, start, length, total) of bins that are full now."""
-        at, size = 0, self.capacity
-        while size >= self.least:
-            while total - at >= size:
-                of_class = self.open[size]
-                of_class.append((doc, at, size, total))
-                at += size
-                if len(of_class) * size == self.capacity:
-                    yield from self.close(self.open.pop(size))
-            size //= 2
-        while at < total:
-            length = min(total - at, self.capacity - self.rest_length)
-            self.rest.append((doc, at, length, total))
-            at += length
-            self.rest_length += length
-            if self.rest_length == self.capacity:
-                yield from self.close(self.rest)
-                self.rest, self.rest_length = [], 0
+    def document(self, doc, total: int) -> Iterator[tuple]:
+        """Takes a document of `total` tokens; yields the pieces of bins that are full now."""
+        if total > self.capacity or len(self.waiting) > self.most and not self.spared:
+            self.spare.append((doc, 0, total, total))
+            self.spared += total
+        else:
+            kind = min(self.capacity // total, self.classes)
+            pieces, size = self.open.get(kind, ([], 0))
+            if size + total > self.capacity:  # of the last class only
+                self.waiting.append((pieces, size))
+                pieces, size = [], 0
+            pieces.append((doc, 0, total, total))
+            self.open[kind] = pieces, size + total
+            if len(pieces) == kind < self.classes:
+                self.waiting.append(self.open.pop(kind))
+        while self.waiting and self.spared >= self.capacity - self.waiting[0][1]:
+            pieces, size = self.waiting.popleft()
+            yield from self.close(pieces + self.taken(self.capacity - size))
+        while self.spared >= 2 * self.capacity:
+            yield from self.close(self.taken(self.capacity))
+
+    def taken(self, room: int) -> list:
+        """So many tokens of the spare pieces."""
+        out = []
+        self.spared -= room
+        while room:
+            doc, start, length, total = self.spare.popleft()
+            n = min(room, length)
+            out.append((doc, start, n, total))
+            room -= n
+            if n < length:
+                self.spare.appendleft((doc, start + n, length - n, total))
+        return out
 
     def last(self) -> Iterator[tuple]:
-        """Closes what is left at powers of two, which need no padding."""
-        for size in sorted(self.open, reverse=True):
-            pieces = self.open[size]
-            while pieces:
-                n = 1 << (len(pieces).bit_length() - 1)
-                yield from self.close(pieces[:n])
-                pieces = pieces[n:]
-        pieces, left = self.rest[::-1], self.rest_length
-        while left:
-            room = 1 << (left.bit_length() - 1)
-            left -= room
-            taken = []
-            while room:
-                doc, start, length, total = pieces.pop()
-                n = min(room, length)
-                taken.append((doc, start, n, total))
-                room -= n
-                if n < length:
-                    pieces.append((doc, start + n, length - n, total))
-            yield from self.close(taken)
-        self.open, self.rest, self.rest_length = defaultdict(list), [], 0
-
-
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, least: int = 64, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+        """Puts all that is left one after the other, without padding: full sequences, then powers of two."""
+        left = [p for pieces, _ in [*self.waiting, *(self.open[k] for k in sorted(self.open))] for p in pieces]
+        self.spare.extend(left)
+        self.spared += sum(p[2] for p in left)
+        self.waiting.clear()
+        self.open.clear()
+        while self.spared:
+            yield from self.close(self.taken(min(self.capacity, 1 << (self.spared.bit_length() - 1))))
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, classes: int = 64, waiting: int = 256, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most `capacity` tokens (a power of two).
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the piece's ids. A document's tokens
     are the tokenizer's, then `end_id`. Null and empty texts have just `end_id`. Rows that repeat, also with one doc_id, are
     packed each on its own; a null doc_id stays null; other columns are left out. No rows: none. Sequences end full or at a
-    power of two; sequence ids are unique, not gapless.
+    power of two; sequence ids are unique, not gapless. Documents of at most `capacity` tokens stay whole, but for those that a
+    task cuts while more than `waiting` bins have room and no longer document has come, and in its last bins.
     """
-    if capacity & (capacity - 1) or least & (least - 1) or not 1 <= least <= capacity:
-        raise ValueError("capacity and least are powers of two, least the smaller")
+    if capacity & (capacity - 1) or not 1 <= classes <= capacity:
+        raise ValueError("capacity is a power of two, and there are at most so many classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bins = token_ids(tokenizer), Bins(TaskContext.get().partitionId() << 33, capacity, least)
+        ids, bins = token_ids(tokenizer), Bins(TaskContext.get().partitionId() << 33, capacity, classes, waiting)
         held: dict[int, list] = {}  # tokens of documents with pieces in open bins: [bytes, tokens not yet put out]
         end = np.uint32(end_id).astype("<u4").tobytes()
         rows: list[tuple] = []

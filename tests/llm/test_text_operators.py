@@ -242,9 +242,47 @@ def test_packing(odd_docs, no_docs):
     assert packing.pack_documents(no_docs, path).count() == 0
 
 
+def test_documents_that_fit_a_class_stay_whole():
+    r = np.random.default_rng(4)
+    lengths = [int(x) for x in np.minimum(r.lognormal(6, 1.2, 4000) + 1, 60_000)]
+    bins = packing.Bins(0, 4096, 64, 256)
+    pieces = [p for k, n in enumerate(lengths) for p in bins.document(k, n)]
+    before_the_end = {p[4] for p in pieces}
+    pieces += bins.last()
+    of, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        of[p[0]].append(p)
+        sequences[p[4]].append(p)
+    for k, n in enumerate(lengths):
+        own = sorted(of[k], key=lambda p: p[1])
+        assert [p[1] for p in own] == [0, *np.cumsum([p[2] for p in own])[:-1]] and sum(p[2] for p in own) == n
+        assert n > 4096 or len(own) == 1 or any(p[4] not in before_the_end for p in own)
+    for key, own in sequences.items():
+        total = sum(p[2] for p in own)
+        whole = [p for p in own if p[3] <= 4096 and p[2] == p[3]]
+        if key in before_the_end:
+            kinds = {min(64, 4096 // p[2]) for p in whole}
+            assert total == 4096 and len(kinds) <= 1 and (not kinds or kinds == {64} or len(whole) == kinds.pop())
+        else:
+            assert total & (total - 1) == 0 and total <= 4096
+
+
+@pytest.mark.parametrize("name,how", [("word_bpe_49k.json", "pretoken"), ("other", "whole")])
+def test_the_way_to_cut_texts_is_tried_out(name, how, tmp_path):
+    if name == "other":  # a tokenizer whose tokens reach across white space
+        from tokenizers import Tokenizer, models
+
+        path = str(tmp_path / "t.json")
+        Tokenizer(models.BPE(vocab={"a": 0, " ": 1, "b": 2, "a ": 3}, merges=[("a", " ")])).save(path)
+    else:
+        path = packing.vocabulary(name)
+    ids = packing.TokenIds(path)
+    assert ids.how == how and ids.text("a b a") == ids.encoded("a b a")
+
+
 def test_special_strings_and_white_space_are_tokenized_as_whole_texts_are():
     ids = packing.TokenIds(packing.vocabulary())
-    for text in ["a b  c\x0bd\x1ce é <|endoftext|> x<|startoftext|>y ΑΣ Σ.", "don 't x 'll 12ab!!", " ́a  's\r\n\tß"]:
+    for text in ["a b  c\x0bd\x1ce é <|endoftext|> x<|startoftext|>y ΑΣ Σ.", "don 't x 'll 12ab!!", " ́a  's\r\n\tß", "Ünï 'Re DON'T ''ll 3½² ª§x İi ʼNn Ŀa·b\x7f\xa0c"]:
         assert np.frombuffer(ids.text(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
