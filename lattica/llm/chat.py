@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +53,14 @@ def cached_encoding(path: str):
 
 def conversations_of(rows: DataFrame) -> DataFrame:
     """conv_id, turns (role and text in order) and path: a chain of hashes, equal for two conversations up to where they part."""
-    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    turns = rows.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
+        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
+    )
+    whole = turns.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     own = F.transform("turns", lambda t: F.substring(F.sha2(F.concat_ws("\n", t["role"], t["text"]), 256), 1, 16))
-    return whole.withColumn("path", F.concat_ws("", own))
+    return whole.select("conv_id", "turns", F.concat_ws("", own).alias("path"))
 
 
 TREE = (
@@ -65,45 +71,74 @@ TREE = (
 
 
 class Tree:
-    """A prefix tree being filled, depth first."""
+    """A prefix tree being filled, depth first. Columns of nodes and leaves are lists of their own; tokens are stretches of ids."""
 
     def __init__(self, encode):
         self.encode = encode
         self.ids: list[int] = []
-        self.positions: list[int] = []
-        self.loss: list[bool] = []
-        self.nodes: list[dict] = []
-        self.leaves: list[dict] = []
+        self.parent: list[int] = []
+        self.bounds: list[tuple[int, int, int, int]] = []  # start, text_start, text_end, end
+        self.position: list[int] = []  # of a node's first token
+        self.learned: list[bool] = []
+        self.chars: list[int] = []
+        self.attends: list[list[tuple[int, int]]] = []
+        self.leaves: list[tuple[int | None, int]] = []
         self.branch: list[tuple[tuple[str, str], int]] = []  # the last conversation's turns and their nodes
+        self.heads: dict[str, tuple[int, list[int]]] = {}
+        self.tail = encode(f"{END}\n")
 
-    def add(self, conv: int | None, turns: list[dict]) -> None:
-        keys = [(t["role"], t["text"]) for t in turns]
+    def add(self, conv: int | None, keys: list[tuple[str, str]]) -> None:
         common = 0
         while common < min(len(keys), len(self.branch)) and keys[common] == self.branch[common][0]:
             common += 1
         del self.branch[common:]
         for key in keys[common:]:
             self.branch.append((key, self.node(*key)))
-        self.leaves.append({"conv_id": conv, "node": self.branch[-1][1] if self.branch else -1})
+        self.leaves.append((conv, self.branch[-1][1] if self.branch else -1))
 
     def node(self, role: str, text: str) -> int:
         parent = self.branch[-1][1] if self.branch else -1
-        head, body, tail = f"{TURN}{escape(role)}\n", escape(text), f"{END}\n"
-        parts = [self.encode(x) for x in (head, body, tail)]
+        if role not in self.heads:
+            head = f"{TURN}{escape(role)}\n"
+            self.heads[role] = len(head), self.encode(head)
+        size, head = self.heads[role]
+        body = escape(text)
         start = len(self.ids)
-        position = self.positions[self.nodes[parent]["end"] - 1] + 1 if parent >= 0 else 0
-        for part, learned in zip(parts, (False, role == "assistant", False)):
-            self.ids += part
-            self.loss += [learned] * len(part)
-        self.positions += range(position, position + len(self.ids) - start)
-        attends = [dict(x) for x in self.nodes[parent]["attends"]] if parent >= 0 else []
-        if attends and attends[-1]["end"] == start:
-            attends[-1]["end"] = len(self.ids)  # the parent's own tokens lie just before
+        self.ids += head
+        text_start = len(self.ids)
+        self.ids += self.encode(body)
+        text_end = len(self.ids)
+        self.ids += self.tail
+        end = len(self.ids)
+        attends = list(self.attends[parent]) if parent >= 0 else []
+        if attends and attends[-1][1] == start:
+            attends[-1] = attends[-1][0], end  # the parent's own tokens lie just before
         else:
-            attends.append({"start": start, "end": len(self.ids)})
-        text_start = start + len(parts[0])
-        self.nodes.append({"parent": parent, "start": start, "end": len(self.ids), "text_start": text_start, "text_end": text_start + len(parts[1]), "chars": len(head) + len(body) + len(tail), "attends": attends})
-        return len(self.nodes) - 1
+            attends.append((start, end))
+        self.position.append(self.position[parent] + self.bounds[parent][3] - self.bounds[parent][0] if parent >= 0 else 0)
+        self.parent.append(parent)
+        self.bounds.append((start, text_start, text_end, end))
+        self.learned.append(role == "assistant")
+        self.chars.append(size + len(body) + len(END) + 1)
+        self.attends.append(attends)
+        return len(self.parent) - 1
+
+    def row(self, ident: int) -> pa.RecordBatch:
+        bounds = np.array(self.bounds, np.int64).reshape(-1, 4)
+        n = bounds[:, 3] - bounds[:, 0]
+        positions = np.arange(len(self.ids)) - np.repeat(bounds[:, 0], n) + np.repeat(self.position, n)
+        cuts = np.concatenate([bounds[:, 1:3], bounds[:, 3:]], axis=1)
+        marks = np.stack([np.zeros(len(n), bool), np.array(self.learned, bool), np.zeros(len(n), bool)], 1)
+        loss = np.repeat(marks.ravel(), np.diff(cuts, axis=1, prepend=bounds[:, :1]).ravel())
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        small = lambda x: pa.array(x, pa.int32())
+        ends = np.cumsum([0, *map(len, self.attends)])
+        flat = np.array([s for x in self.attends for s in x], np.int64).reshape(-1, 2)
+        spans = pa.ListArray.from_arrays(small(ends), pa.StructArray.from_arrays([small(flat[:, 0]), small(flat[:, 1])], ["start", "end"]))
+        nodes = pa.StructArray.from_arrays([small(self.parent), small(bounds[:, 0]), small(bounds[:, 3]), small(bounds[:, 1]), small(bounds[:, 2]), small(self.chars), spans], ["parent", "start", "end", "text_start", "text_end", "chars", "attends"])
+        leaves = pa.StructArray.from_arrays([pa.array([c for c, _ in self.leaves], pa.int64()), small([n for _, n in self.leaves])], ["conv_id", "node"])
+        columns = [pa.array([ident], pa.int64()), one(small(self.ids)), one(small(positions)), one(pa.array(loss)), one(nodes), one(leaves)]
+        return pa.RecordBatch.from_arrays(columns, ["tree", "ids", "positions", "loss", "nodes", "leaves"])
 
 
 def format_trees(rows: DataFrame, vocabulary: str, tree_tokens: int = 65_536, tree_leaves: int = 1_024) -> DataFrame:
@@ -114,7 +149,7 @@ def format_trees(rows: DataFrame, vocabulary: str, tree_tokens: int = 65_536, tr
     characters; the stretches of tokens it attends to, its own last and causal) and leaves (conv_id and its last node). A tree
     is closed once it has `tree_tokens` tokens or `tree_leaves` conversations; the next one repeats the nodes they share.
     Turns are in order of turn (null first), then role and text; repeated rows are repeated turns; null roles and texts are
-    empty; rows with a null conv_id form one conversation. Other columns are left out. No rows: none. A conversation is handled
+    empty; a row with a null conv_id is a conversation of its own. Other columns are left out. No rows: none. A conversation is handled
     in one task, so it must fit there; groups of equal or similar conversations are split between tasks.
     """
     whole = conversations_of(rows)
@@ -122,27 +157,18 @@ def format_trees(rows: DataFrame, vocabulary: str, tree_tokens: int = 65_536, tr
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = cached_encoding(vocabulary).encode_ordinary
-        schema = pa.schema([("ids", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32())), ("loss", pa.list_(pa.bool_()))])
-
-        def put(tree: Tree) -> pa.RecordBatch:
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-            node = pa.struct([*((c, pa.int32()) for c in ("parent", "start", "end", "text_start", "text_end", "chars")), ("attends", pa.list_(span))])
-            leaf = pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])
-            first = tree.leaves[0]["conv_id"]
-            columns = [pa.array([hash((first, len(tree.ids), put_so_far[0])) & (1 << 62) - 1], pa.int64()), *(pa.array([x], f.type) for x, f in zip((tree.ids, tree.positions, tree.loss), schema))]
-            put_so_far[0] += 1
-            columns += [pa.array([tree.nodes], pa.list_(node)), pa.array([tree.leaves], pa.list_(leaf))]
-            return pa.RecordBatch.from_arrays(columns, ["tree", "ids", "positions", "loss", "nodes", "leaves"])
-
-        tree, put_so_far = Tree(encode), [0]
+        tree, ident = Tree(encode), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for conv, turns in zip(batch.column("conv_id"), batch.column("turns")):
-                tree.add(conv.as_py(), turns.as_py())
+            flat = pc.list_flatten(batch.column("turns"))
+            keys = list(zip(flat.field("role").to_pylist(), flat.field("text").to_pylist()))
+            ends = np.cumsum(pc.list_value_length(batch.column("turns")).to_numpy()).tolist()
+            for conv, a, b in zip(batch.column("conv_id").to_pylist(), [0, *ends], ends):
+                tree.add(conv, keys[a:b])
                 if len(tree.ids) >= tree_tokens or len(tree.leaves) >= tree_leaves:
-                    yield put(tree)
-                    tree = Tree(encode)
+                    yield tree.row(ident)
+                    tree, ident = Tree(encode), ident + 1
         if tree.leaves:
-            yield put(tree)
+            yield tree.row(ident)
 
     return ordered.select("conv_id", "turns").mapInArrow(tidied(build), TREE)
 
@@ -154,28 +180,33 @@ def read_back(trees: DataFrame, vocabulary: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = cached_encoding(vocabulary).decode_bytes
         turn = re.compile(re.escape(TURN) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
+        said = pa.struct([("role", pa.string()), ("text", pa.string())])
         for batch in batches:
             for row in range(batch.num_rows):
-                tree = {c: batch.column(c)[row].as_py() for c in ("ids", "loss", "nodes", "leaves")}
-                ids, nodes = tree["ids"], tree["nodes"]
-                loss = np.array(tree["loss"], bool)
-                text: list[str] = []
-                learned: list[str] = []
-                for n in nodes:
-                    text.append(decode(ids[n["start"] : n["end"]]).decode())
-                    own = [i for i, k in zip(ids[n["start"] : n["end"]], loss[n["start"] : n["end"]]) if k]
-                    learned.append(unescape(decode(own).decode()))
-                rows = []
-                for leaf in tree["leaves"]:
-                    path, n = [], leaf["node"]
+                ids, loss, nodes, leaves = (batch.column(c)[row].values for c in ("ids", "loss", "nodes", "leaves"))
+                ids, loss = ids.to_numpy(), loss.to_numpy(zero_copy_only=False)
+                parents = nodes.field("parent").to_pylist()
+                roles, texts, learned, chars = [], [], [], []
+                for a, b in zip(nodes.field("start").to_pylist(), nodes.field("end").to_pylist()):
+                    own, mask = ids[a:b], loss[a:b]
+                    whole = decode(own.tolist()).decode()
+                    role, text = turn.fullmatch(whole).groups()
+                    roles.append(unescape(role))
+                    texts.append(unescape(text))
+                    learned.append(unescape(decode(own[mask].tolist()).decode()) if mask.any() else "")
+                    chars.append(len(whole))
+                paths = []
+                for n in leaves.field("node").to_pylist():
+                    path = []
                     while n >= 0:
                         path.append(n)
-                        n = nodes[n]["parent"]
-                    whole = "".join(text[n] for n in reversed(path))
-                    turns = [{"role": unescape(a), "text": unescape(b)} for a, b in turn.findall(whole)]
-                    rows.append((leaf["conv_id"], turns, "".join(learned[n] for n in reversed(path)), len(whole)))
-                kinds = [pa.int64(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["conv_id", "turns", "loss_text", "formatted_chars"])
+                        n = parents[n]
+                    paths.append(path[::-1])
+                flat = pa.array([n for p in paths for n in p], pa.int32())
+                ends = pa.array(np.cumsum([0, *map(len, paths)]), pa.int32())
+                turns = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(roles, pa.string()).take(flat), pa.array(texts, pa.string()).take(flat)], ["role", "text"]))
+                columns = [leaves.field("conv_id"), turns.cast(pa.list_(said)), pa.array(["".join([learned[n] for n in p]) for p in paths], pa.string()), pa.array([sum(chars[n] for n in p) for p in paths], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["conv_id", "turns", "loss_text", "formatted_chars"])
 
     return trees.select("ids", "loss", "nodes", "leaves").mapInArrow(tidied(read), "conv_id long, turns array<struct<role: string, text: string>>, loss_text string, formatted_chars long")
 
