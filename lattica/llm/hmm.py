@@ -75,12 +75,13 @@ def log_likelihood(model: Hmm, codes: np.ndarray, lengths: np.ndarray) -> np.nda
     order, live = layout(lengths)
     begins = (np.cumsum(lengths) - lengths)[order]
     total = np.zeros(len(lengths))
-    alpha = np.zeros((0, len(model.first)))
-    for t, n in enumerate(live.tolist()):
-        seen = model.emit[codes[begins[:n] + t]]
-        alpha = (np.broadcast_to(model.first, seen.shape) if t == 0 else alpha[:n] @ model.follow) * seen
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
+    emit, into = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.follow.T)
+    alpha = np.zeros((len(model.first), 0))
+    for t, n in enumerate(live.tolist()):  # arrays have a row for each state
+        seen = emit.take(codes[begins[:n] + t], axis=1)
+        alpha = (into @ alpha[:, :n] if t else model.first[:, None]) * seen
+        scale = alpha.sum(0)
+        alpha /= scale
         total[:n] += np.log10(scale)
     out = np.empty(len(lengths))
     out[order] = total
@@ -92,33 +93,33 @@ def expected(model: Hmm, codes: np.ndarray, lengths: np.ndarray, start: np.ndarr
     order, live = layout(lengths)
     begins, start = (np.cumsum(lengths) - lengths)[order], start[order]
     k, steps = len(model.first), len(live)
-    offsets = np.concatenate([[0], np.cumsum(live)])
-    alpha, scales = np.empty((offsets[-1], k), np.float32), np.empty(offsets[-1], np.float32)
-    seen = np.empty((offsets[-1], k), np.float32)
-    emit = model.emit.astype(np.float32)
-    at = np.empty(offsets[-1], codes.dtype)
-    follow = model.follow.astype(np.float32)
+    emit, follow = np.ascontiguousarray(model.emit.T, np.float32), model.follow.astype(np.float32)
+    into = np.ascontiguousarray(follow.T)
+    at, seen, alpha = [], [], []  # for each step; arrays have a row for each state
     for t, n in enumerate(live.tolist()):
-        a, b = offsets[t], offsets[t + 1]
-        at[a:b] = codes[begins[:n] + t]
-        seen[a:b] = emit[at[a:b]]
-        x = (np.where(start[:n, None], model.first, model.later) if t == 0 else alpha[offsets[t - 1] : offsets[t - 1] + n] @ follow) * seen[a:b]
-        scales[a:b] = x.sum(1)
-        alpha[a:b] = x / scales[a:b, None]
-    beta = np.ones((live[-1] if steps else 0, k), np.float32)
+        at.append(codes[begins[:n] + t])
+        own = emit.take(at[t], axis=1)
+        x = into @ alpha[t - 1][:, :n] if t else np.where(start[:n], model.first[:, None], model.later[:, None]).astype(np.float32)
+        x *= own
+        scale = x.sum(0)
+        x /= scale
+        own /= scale
+        seen.append(own)
+        alpha.append(x)
+    beta = np.ones((k, live[0] if steps else 0), np.float32)
     moved = np.zeros((k, k))
     for t in range(steps - 1, -1, -1):
-        a, n = offsets[t], live[t]
         if t + 1 < steps:
-            m = live[t + 1]
-            c = offsets[t + 1]
-            ahead = seen[c : c + m] * beta / scales[c : c + m, None]
-            moved += (alpha[a : a + m].T @ ahead) * model.follow
-            beta = np.concatenate([ahead @ follow.T, np.ones((n - m, k), np.float32)])
-        alpha[a : a + n] *= beta  # now the states' probabilities
-    emitted = np.stack([np.bincount(at, alpha[:, s], len(model.emit)) for s in range(k)], 1)
-    top = alpha[: offsets[1]] if steps else alpha
-    return top[start].sum(0, dtype=float), top[~start].sum(0, dtype=float), moved, emitted
+            ahead, m = seen[t + 1], live[t + 1]
+            ahead *= beta[:, :m]
+            moved += alpha[t][:, :m] @ ahead.T
+            beta[:, :m] = follow @ ahead
+        alpha[t] *= beta[:, : live[t]]  # now the states' probabilities
+    where, none = np.concatenate([codes[:0], *at]), np.zeros((k, 0), np.float32)
+    emitted = np.stack([np.bincount(where, np.concatenate([none[s], *(x[s] for x in alpha)]), len(model.emit)) for s in range(k)], 1)
+    top = alpha[0] if steps else none
+    start = start[: top.shape[1]]
+    return top[:, start].sum(1, dtype=float), top[:, ~start].sum(1, dtype=float), moved * model.follow, emitted
 
 
 def stretches(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,8 +27,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Pieces:
-    """Pieces with their log probabilities. The vocabulary file ranks its pieces, so the piece of rank r gets the probability of
-    Zipf's law, in proportion to 1 / (r + 1). A character that no piece covers is one token for each of its bytes."""
+    """Pieces with their log probabilities, in a trie from their last character to their first. The vocabulary file ranks its
+    pieces, so the piece of rank r gets the probability of Zipf's law, in proportion to 1 / (r + 1). A character that no piece
+    covers is one token for each of its bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -37,18 +38,25 @@ class Pieces:
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         norm = math.log(sum(1 / (r + 1) for r in range(len(plain))))
         self.score = {model.id_to_piece(i): -math.log(r + 1) - norm for r, i in enumerate(plain)}
-        self.longest = max(map(len, self.score))
         self.byte = min(self.score.values()) - 1
+        self.backwards: dict = {}
+        for piece, own in self.score.items():
+            node = self.backwards
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = own
 
     def step(self, text: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Forward score and number of tokens of text[:end], from those of its shorter prefixes; ties to fewer tokens."""
         size = len(text[end - 1].encode("utf-8", "replace"))
         top, count = best[end - 1] + size * self.byte, tokens[end - 1] + size
-        look = self.score.get
-        for start in range(max(0, end - self.longest), end):
-            own = look(text[start:end])
-            if own is not None:
-                own += best[start]
+        node = self.backwards
+        for start in range(end - 1, -1, -1):
+            node = node.get(text[start])
+            if node is None:
+                break
+            if "" in node:
+                own = node[""] + best[start]
                 if own > top or own == top and tokens[start] + 1 < count:
                     top, count = own, tokens[start] + 1
         return top, count
@@ -89,7 +97,9 @@ def pretoken_table(docs: DataFrame, vocabulary: str) -> DataFrame:
             ends = [trie.terminal(SPACE + w.as_py().decode("utf-8", "replace")) for w in batch.column("word")]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends])], ["word", "n", "tokens", "log_score"])
 
-    ordered = counts.repartitionByRange("word").sortWithinPartitions("word")
+    # as many ranges as shuffles have parts: the words are short, but each takes work, so ranges must not be joined by their bytes
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = counts.repartitionByRange(ranges, "word").sortWithinPartitions("word")
     return ordered.mapInArrow(tidied(walk), "word binary, n long, tokens long, log_score double")
 
 

@@ -439,11 +439,51 @@ def test_scores_of_texts(odd_docs, no_docs):
     assert {r.base_score for r in nothing} == {0.0} and {r.train_tokens for r in nothing} == {0}
 
 
-def test_probabilities_of_one_token_add_up(spark):
-    """Over the known words of a bucket, one unknown, and the end, a text of no words has its share."""
-    docs = spark.createDataFrame([(1, "a b c a b a"), (2, "a a")], "doc_id long, text string")
-    rows = hmm.score_texts(docs, F.lit(True), own_classes=2, buckets=1, head_words=2).collect()
-    assert all(math.isfinite(r.score) for r in rows)
+def captured(monkeypatch):
+    """What score_texts trains."""
+    held = {}
+    train = hmm.train
+
+    def watched(coded, size, share, states, rounds):
+        held["model"] = train(coded, size, share, states, rounds)
+        return held["model"]
+
+    monkeypatch.setattr(hmm, "train", watched)
+    return held
+
+
+def test_scores_by_enumeration_of_states(spark, monkeypatch):
+    """A text's probability, summed over all sequences of states, times the shares of its words in their buckets."""
+    held = captured(monkeypatch)
+    rows = [(1, "a b c a B a zz"), (2, "a a y xx xx"), (3, "c b new"), (4, None), (5, "zz yet unseen words"), (6, "xx xx a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hmm.score_texts(docs, F.col("doc_id") < 3, states=3, own_classes=3, buckets=2, head_words=4).collect()}
+    count = collections.Counter(w for i, t in rows if i < 3 for w in hmm.tokens_of(t))
+    common = [w for w, _ in sorted(count.items(), key=lambda p: (-p[1], p[0]))[:4]]
+    own = [hmm.END, *(w for w in common[:3] if w != hmm.END)][:3]
+    classes, m = hmm.Classes(own, 2), held["model"]
+    inside = collections.defaultdict(list)
+    for w, n in count.items():
+        if w not in own:
+            inside[classes[w]].append(n)
+    for i, t in rows:
+        words = hmm.tokens_of(t)
+        codes = [classes[w] for w in words]
+        total = sum(m.first[s[0]] * np.prod([m.follow[a, b] for a, b in zip(s, s[1:])]) * np.prod([m.emit[c, a] for c, a in zip(codes, s)]) for s in np.ndindex(*[3] * len(words)))
+        shares = [(count[w] + 1) / (sum(inside[c]) + len(inside[c]) + 1) for w, c in zip(words, codes) if w not in own]
+        assert got[i] == pytest.approx(math.log10(total) + sum(map(math.log10, shares)), abs=1e-6)
+
+
+def test_probabilities_of_one_word_add_up(spark, monkeypatch):
+    """Over all known words and one unknown: what the model gives to any word but the end, then the end."""
+    held = captured(monkeypatch)
+    words = ["a", "b", "c", "d"]
+    rows = [(1, "a b c a b a d"), (2, "a a"), *((10 + k, w) for k, w in enumerate([*words, "unseen"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [10**r.score for r in hmm.score_texts(docs, F.col("doc_id") < 10, states=2, own_classes=2, buckets=1, head_words=2).collect() if r.doc_id >= 10]
+    m = held["model"]
+    first = m.first * (1 - m.emit[0])  # class 0 is the end
+    assert sum(got) == pytest.approx(float(first @ m.follow @ m.emit[0]), rel=1e-6)
 
 
 def test_token_counts(odd_docs, no_docs):
