@@ -40,7 +40,8 @@ PART = 20  # bytes of an anchor
 SEGMENT = 1 << 16  # window starts looked at together
 PLACE = np.uint64((1 << 17) - 1)  # bits of a place in a segment
 NONE = np.uint64((1 << 64) - 1)
-SLICE = 500_000  # windows matched together
+SLICE = 400_000  # windows matched together
+LEAST = 32  # windows that a suffix counts as at least
 BLOCK = 1 << 20  # bytes of suffixes in a row
 LEVEL_OWNER = np.iinfo(np.int64).min  # any document of a level is smaller than those of the batch
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
@@ -320,7 +321,7 @@ def scan_shard(rows: pa.Table, shape: Shape, free: int) -> Iterator[pa.RecordBat
     lone = np.repeat(np.diff(np.append(begins, len(group))) == 1, np.diff(np.append(begins, len(group))))
     spans = [(np.flatnonzero(lone), np.zeros(int(lone.sum()), np.int64), n[first[lone]], least[lone])]
     several = np.flatnonzero(~lone)
-    total = np.cumsum(n[first[several]])
+    total = np.cumsum(np.maximum(n[first[several]], LEAST))  # a suffix's bytes take memory too
     starts = np.flatnonzero(np.concatenate([[True], group[several][1:] != group[several][:-1]])) if len(several) else several
     a = 0
     while a < len(several):
