@@ -11,12 +11,14 @@ from ..functions.numeric import clamp, probit, real
 from ..functions.ranking import ranked, with_scalars
 
 
-def picked(df: DataFrame, group: str, value: str, places: dict[str, Column]) -> DataFrame:
-    """For each group its size n and the values at the given places (from 0, in terms of n) in value order."""
-    v = df.select(group, real(F.col(value)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sizes = v.groupBy(group).agg(F.count("*").alias("n"))
-    rows = ranked(v, "_v", within=[group]).join(sizes, group)
-    at = {name: F.max(F.when(F.col("rn") - 1 == place, F.col("_v"))).alias(name) for name, place in places.items()}
+def picked(df: DataFrame, group: str, value: str, places: dict[str, Column], keep_nan: bool = False) -> DataFrame:
+    """For each group its size n and the values at the given places (from 0, in terms of n) in value order, NaN left out or last.
+    Equal values are counted before the shuffle, so that one that very many rows have is one row."""
+    v = df.select(group, real(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
+    v = (v if keep_nan else v.where(~F.isnan("_v"))).groupBy(group, "_v").agg(F.count("*").alias("_times"))
+    sizes = v.groupBy(group).agg(F.sum("_times").alias("n"))
+    rows = ranked(v, "_v", [group], within=[group], weight="_times").join(sizes, group)  # rn: rows up to and with this value
+    at = {name: F.max(F.when((F.col("rn") > place) & (F.col("rn") - F.col("_times") <= place), F.col("_v"))).alias(name) for name, place in places.items()}
     return rows.groupBy(group).agg(F.first("n").alias("n"), *at.values())
 
 
@@ -98,7 +100,7 @@ def qq_line(points: DataFrame) -> DataFrame:
 def bar_totals(df: DataFrame, label: str, value: str) -> DataFrame:
     """A bar for each label, largest first: total, its slot, and the axis, which has 0 on it."""
     totals = df.groupBy(label).agg(F.sum(real(F.col(value))).alias("total"))
-    slots = ranked(totals, "total", [label], rank="slot", descending=True, buckets=1)
+    slots = ranked(totals, "total", [label], rank="slot", descending=True)
     axis = with_scalars(slots.withColumn("slot", F.col("slot") - 1), F.least(F.lit(0.0), F.min("total")).alias("axis_min"), F.greatest(F.lit(0.0), F.max("total")).alias("axis_max"))
     return axis
 

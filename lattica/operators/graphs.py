@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,22 @@ from pyspark.sql import functions as F
 from ..functions.ranking import ranked
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A step of an iteration, written to the shared checkpoint folder (spark.checkpoint.dir; a local one where unset)."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a local master gets a local folder, as in tests; a cluster has to
+    set it, since a machine-local folder would lose rows there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.parquet"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A step of an iteration, written to the shared folder."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,15 +8,14 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import with_scalars
+from ..functions.ranking import ranked, with_scalars
 from .project import scale_columns
 
 
 def encode_labels(df: DataFrame, label: str, out: str = "label_index") -> DataFrame:
-    """Distinct labels to 0, 1, ... in ascending order; the distinct labels are few and are broadcast if Spark finds them so."""
-    labels = df.select(label).distinct()
-    smaller = labels.alias("a").join(labels.alias("b"), F.col(f"b.{label}") < F.col(f"a.{label}"), "left").groupBy(F.col(f"a.{label}").alias(label)).agg(F.count(F.col(f"b.{label}")).cast("double").alias(out))
-    return df.join(smaller, label)
+    """Distinct labels to 0, 1, ... in ascending order; rows without a label go."""
+    labels = ranked(df.select(label).where(F.col(label).isNotNull()).distinct(), label, rank="_place")
+    return df.join(labels.select(label, (F.col("_place") - 1).cast("double").alias(out)), label)
 
 
 def assembled(df: DataFrame, features: list[str], standardise: bool = True) -> DataFrame:

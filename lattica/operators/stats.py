@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 from ..functions.numeric import INF, real
 from ..functions.ranking import with_scalars
 from ..table import ROW, Table, TableError
+from .charts import midpoint_places, picked
 
 STATS = ("mean", "std", "min", "max", "median")
 
 
-def _five(c: Column, name: str) -> list[Column]:
-    """Mean, population deviation, bounds without NaN, and the exact median (NaN last); zeros for no rows."""
+def _four(c: Column, name: str) -> list[Column]:
+    """Mean, population deviation and bounds without NaN; zeros for no rows."""
     sound = F.when(~F.isnan(c), c)
-    five = (F.avg(c), F.stddev_pop(c), F.min(sound), F.max(sound), F.median(c))
-    return [F.coalesce(e, F.lit(0.0)).alias(f"{name}__{s}") for s, e in zip(STATS, five)]
+    return [F.coalesce(e, F.lit(0.0)).alias(f"{name}__{s}") for s, e in zip(STATS, (F.avg(c), F.stddev_pop(c), F.min(sound), F.max(sound)))]
+
+
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of exact medians (NaN last; 0 for no values), each the mean of the two values around the middle."""
+    melted = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("_column"), real(F.col(c)).alias("_value")) for k, c in enumerate(columns)))).alias("c")).select("c.*")
+    found = picked(melted, "_column", "_value", midpoint_places({"m": 0.5}), keep_nan=True)
+    middle = (F.col("m_lo") + F.col("m_hi")) / 2
+    return found.agg(*(F.coalesce(F.max(F.when(F.col("_column") == k, middle)), F.lit(0.0)).alias(f"{c}__median") for k, c in enumerate(columns)))
 
 
 def summarize(df: DataFrame, columns: list[str]) -> DataFrame:
-    """stat and a column for each input column; five rows, one pass over the data."""
-    one = df.agg(*(x for c in columns for x in _five(real(F.col(c)), c)))
+    """stat and a column for each input column; five rows."""
+    one = df.agg(*(x for c in columns for x in _four(real(F.col(c)), c))).crossJoin(F.broadcast(medians(df, columns)))
     rows = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias(ROW), F.lit(s).alias("stat"), *(F.col(f"{c}__{s}").alias(c) for c in columns)) for k, s in enumerate(STATS))))
     return one.select(rows.alias("r")).select("r.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import ranked
 from .graphs import written
 
 
@@ -52,16 +53,20 @@ def leaf_counts(placed: DataFrame) -> DataFrame:
 
 
 def preorder(placed: DataFrame) -> DataFrame:
-    """Adds index: the depth-first number, children by their labels."""
-    from ..functions.ranking import ranked
-
-    keyed = placed.withColumn("_key", F.concat_ws("\x01", "path"))
-    first = keyed.groupBy(F.element_at("path", 1).alias("_root")).agg(F.count("*").alias("_n"))
-    first = ranked(first.withColumn("_one", F.lit(0.0)), "_one", ["_root"], rank="_r", buckets=1)
-    before = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each root
-    first = first.select("_root", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_root").orderBy("_key")
-    return keyed.withColumn("_root", F.element_at("path", 1)).join(first, "_root").withColumn("index", F.col("_before") + F.row_number().over(own) - 1).drop("_key", "_root", "_before")
+    """Adds index: the depth-first number, children by their labels. A node's number is its parent's and one more, and what its
+    earlier siblings' subtrees hold; level by level, so that a tree's nodes never meet in one task."""
+    sizes = placed.select(F.explode("path").alias("label")).groupBy("label").agg(F.count("*").alias("_n"))
+    rows = placed.join(sizes, "label").withColumn("_up", F.when(F.col("depth") > 1, F.col("parent")))
+    roots = ranked(rows.where("depth = 1"), "label", rank="_upto", weight="_n").withColumn("_before", F.col("_upto") - F.col("_n")).drop("_upto")
+    earlier = Window.partitionBy("_up").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rows.where("depth > 1").withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    rows = written(roots.unionByName(rest).select("label", "parent", "depth", "_before"))
+    out = level = written(rows.where("depth = 1").select("label", F.col("_before").alias("index")))
+    for depth in range(2, (rows.agg(F.max("depth")).first()[0] or 0) + 1):
+        up = level.select(F.col("label").alias("parent"), F.col("index").alias("_at"))
+        level = written(rows.where(F.col("depth") == depth).join(up, "parent").select("label", (F.col("_at") + 1 + F.col("_before")).alias("index")))
+        out = out.unionByName(level)
+    return placed.join(out, "label")
 
 
 def slices(totals: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import prefix_number, whole_number
+from ..functions.numeric import NUMBER, prefix_number, whole_number
+from ..functions.ranking import ranked
 from ..operators.graphs import nodes_of
 from ..table import ROW, Table, TableError
 
@@ -62,7 +64,8 @@ def delimited_table(lines: DataFrame, name: str = "", names: tuple = DEFAULT_NAM
     if first.at is None:
         raise TableError("no numeric data found")
     width = len(first.v)
-    header = [t for r in rows.where((F.col(ROW) < first.at)).orderBy(ROW).select("_t").limit(1000).collect() for t in r[0]]
+    words = rows.where(F.col(ROW) < first.at).select(ROW, F.posexplode("_t").alias("_at", "_w"))
+    header = [r[0] for r in words.orderBy(ROW, "_at").limit(width).select("_w").collect()]
     own = [header[i] if i < len(header) else default_name(i, names) for i in range(width)]
     body = rows.where(F.col("_ok") & (F.size("_v") == width))
     return Table(body.select(ROW, *(F.col("_v")[i].alias(n) for i, n in enumerate(own))), name, (), f"load:{name}")
@@ -112,10 +115,12 @@ def bubble_rows(lines: DataFrame) -> DataFrame:
 
 
 def labelled_rows(lines: DataFrame) -> DataFrame:
-    """label, value: the last word is the value, the words before it the label; a lone number is labelled by its number."""
+    """label, value: the last word is the value, the words before it the label; a lone number is labelled by its number among the
+    rows that have one."""
     rows = lines.withColumn("_t", tokens()).where(F.size("_t") > 0)
-    label = F.array_join(F.slice("_t", 1, F.greatest(F.lit(0), F.size("_t") - 1)), " ")
-    return rows.select(ROW, F.when(label == "", F.concat(F.lit("#"), F.col(ROW) + 1)).otherwise(label).alias("label"), prefix_number(F.element_at("_t", -1)).alias("value")).dropna(subset=["value"])
+    rows = rows.select(ROW, F.array_join(F.slice("_t", 1, F.greatest(F.lit(0), F.size("_t") - 1)), " ").alias("_label"), prefix_number(F.element_at("_t", -1)).alias("value"))
+    rows = ranked(rows.dropna(subset=["value"]), ROW, rank="_k")
+    return rows.select(ROW, F.when(F.col("_label") == "", F.concat(F.lit("#"), F.col("_k"))).otherwise(F.col("_label")).alias("label"), "value")
 
 
 def grouped_rows(lines: DataFrame) -> DataFrame:
@@ -143,6 +148,48 @@ def edge_rows(lines: DataFrame, comments: bool = True) -> DataFrame:
     return rows.select(ROW, F.col("_t")[0].alias("source"), F.col("_t")[1].alias("target"), weight.alias("weight"))
 
 
+def flow_rows(lines: DataFrame) -> DataFrame:
+    """source, target, value of flows: cells are split at commas where a line has one, else at white space; the size of the number
+    counts, and 1 where there is none."""
+    cells = F.when(F.col("line").contains(","), F.split("line", ",")).otherwise(F.split("line", r"\s+"))
+    rows = lines.where("line <> ''").withColumn("_c", F.transform(cells, lambda c: F.trim(c))).where(F.size("_c") >= 2)
+    value = F.coalesce(F.abs(prefix_number(F.get("_c", F.lit(2)))), F.lit(1.0))
+    return rows.select(ROW, F.col("_c")[0].alias("source"), F.col("_c")[1].alias("target"), value.alias("value")).where("source <> '' and target <> ''")
+
+
+def json_graph(text_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, degree) and edges (source, target, weight) of JSON graphs or flows, a whole document in a row: nodes or vertices
+    have an id, name or label; links or edges go from source or from to target or to, and have a weight or value, else 1. Ends
+    that are not among the nodes are nodes too."""
+    entries = "array<map<string, string>>"
+    parsed = text_rows.select(F.from_json(F.col(text_rows.columns[0]), f"nodes {entries}, vertices {entries}, links {entries}, edges {entries}").alias("j")).select("j.*")
+
+    def named(entry: str, *names: str) -> Column:
+        return F.coalesce(*(F.try_element_at(entry, F.lit(n)) for n in names), F.lit(""))
+
+    ends = parsed.select(F.explode(F.coalesce("links", "edges")).alias("e"))
+    weight = F.coalesce(*(F.try_element_at("e", F.lit(n)) for n in ("weight", "value")), F.lit("1"))
+    edges = ends.select(named("e", "source", "from").alias("source"), named("e", "target", "to").alias("target"), F.coalesce(whole_number(weight), F.lit(1.0)).alias("weight")).where("source <> '' and target <> ''")
+    own = parsed.select(F.explode(F.coalesce("nodes", "vertices")).alias("n")).select(named("n", "id", "name", "label").alias("id")).where("id <> ''")
+    both = own.withColumn("degree", F.lit(0)).unionByName(edges.select(F.explode(F.array("source", "target")).alias("id"), F.lit(1).alias("degree")))
+    return both.groupBy("id").agg(F.sum("degree").alias("degree")), edges
+
+
+def json_grid(text_rows: DataFrame, names: tuple = ("grid", "data", "values", "matrix")) -> DataFrame:
+    """A column matrix of arrays of arrays from JSON documents, bare or under one of the names; for grid.to_grid."""
+    whole, kind = F.col(text_rows.columns[0]), "array<array<double>>"
+    wrapped = F.from_json(whole, ", ".join(f"{n} {kind}" for n in names))
+    bare = F.when(F.ltrim(whole).startswith("["), F.from_json(whole, kind))
+    return text_rows.select(F.coalesce(bare, *(wrapped[n] for n in names)).alias("matrix"))
+
+
+def json_bodies(text_rows: DataFrame, names: tuple = ("bodies", "particles", "data")) -> DataFrame:
+    """x, y, z, vx, vy, vz, m of bodies in JSON documents, bare or under one of the names: arrays of numbers in this order, missing
+    ones 0 and a missing mass 1."""
+    matrix = json_grid(text_rows, names).select(F.posexplode("matrix").alias("place", "b"))
+    return matrix.select("place", *(F.coalesce(F.get("b", F.lit(i)), F.lit(1.0 if n == "m" else 0.0)).alias(n) for i, n in enumerate(("x", "y", "z", "vx", "vy", "vz", "m"))))
+
+
 def tree_rows(lines: DataFrame) -> DataFrame:
     """label, parent, size from lines of two or three cells; a header line is skipped."""
     rows = lines.where("line <> ''").withColumn("_c", F.transform(F.split("line", ","), lambda c: F.trim(c))).where(F.size("_c") >= 2)
@@ -157,6 +204,58 @@ def number_rows(lines: DataFrame) -> DataFrame:
     return lines.select(ROW, F.posexplode(tokens()).alias("at", "_t")).select(ROW, "at", whole_number(F.col("_t")).alias("value")).dropna(subset=["value"])
 
 
+def histogram_rows(lines: DataFrame) -> DataFrame:
+    """value: the first number of each line; every number where fewer than four lines have one, or the text is JSON."""
+    rows = lines.where("line <> ''")
+    first = F.get(F.filter(F.transform(tokens(), prefix_number), lambda v: v.isNotNull()), F.lit(0))
+    firsts = rows.select(ROW, F.lit(0).alias("at"), first.alias("value")).dropna(subset=["value"])
+    begins = rows.orderBy(ROW).limit(1).where(F.col("line").rlike(r"^[\[{]")).count()
+    if not begins and firsts.limit(4).count() == 4:
+        return firsts
+    found = F.regexp_extract_all("line", F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1))
+    return rows.select(ROW, F.posexplode(found).alias("at", "_n")).select(ROW, "at", F.col("_n").cast("double").alias("value"))
+
+
+def parallel_rows(lines: DataFrame) -> tuple[DataFrame, list[str], str | None]:
+    """Rows of named numeric columns and, where the last column that isn't numeric in the first seven data lines is text, the column
+    `category`: the rows, the numeric columns' names, and the category's. Rows with other words among the numbers are skipped."""
+    rows = lines.where("line <> ''")
+    top = [r.line for r in rows.orderBy(ROW).limit(8).collect()]
+    if len(top) < 2:
+        raise TableError("no rows")
+    separator = "," if "," in top[0] else r"\s+"
+    cut = lambda line: [c.strip() for c in re.split(separator, line)]
+    number = re.compile(NUMBER)
+    header, sample = cut(top[0]), [cut(line) for line in top[1:]]
+    width = max(len(header), *map(len, sample))
+    numeric = [c for c in range(width) if all(c < len(r) and number.match(r[c]) for r in sample)]
+    rest = [c for c in range(width) if c not in numeric]
+    colour = rest[-1] if rest and len(numeric) >= 2 else None
+    if len(numeric) < 2:
+        numeric = list(range(width))
+    names = [header[c] if c < len(header) else f"col{c + 1}" for c in numeric]
+    if any(not number.match(h) for h in header):  # a header line
+        first = rows.agg(F.min(ROW)).first()[0]
+        rows = rows.where(F.col(ROW) > first)
+    cells = F.transform(F.split("line", separator), lambda c: F.trim(c))
+    values = rows.withColumn("_c", cells)
+    own = [whole_number(F.get("_c", F.lit(c))).alias(n) for c, n in zip(numeric, names)]
+    category = [] if colour is None else [F.coalesce(F.get("_c", F.lit(colour)), F.lit("")).alias("category")]
+    return values.select(ROW, *own, *category).dropna(subset=names), names, None if colour is None else header[colour] if colour < len(header) else f"col{colour + 1}"
+
+
+def radar_rows(lines: DataFrame) -> DataFrame:
+    """series, axis, value: the first line names the axes, after its first cell; a series is named by its first cell."""
+    cells = lines.where("line <> ''").withColumn("_c", F.transform(F.split("line", ","), lambda c: F.trim(c)))
+    head = cells.orderBy(ROW).limit(1).select("_c", F.col(ROW).alias("_first")).collect()
+    if not head:
+        raise TableError("no rows")
+    axes = head[0][0][1:]
+    named = F.transform(F.array(*map(F.lit, axes)), lambda a, i: F.struct(i.alias("axis"), a.alias("name"), whole_number(F.get("_c", i + 1)).alias("value")))
+    rows = cells.where(F.col(ROW) > head[0][1]).select(ROW, F.col("_c")[0].alias("series"), F.explode(named).alias("v"))
+    return rows.select(ROW, "series", "v.*").dropna(subset=["value"])
+
+
 def series_rows(lines: DataFrame) -> DataFrame:
     """series (column number) and value of comma-separated columns; each keeps its own numbers. Order by place."""
     cells = lines.select(ROW, F.posexplode(F.split("line", ",")).alias("series", "_c"))
