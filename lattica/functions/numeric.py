@@ -139,6 +139,17 @@ def mulberry32(index: Column, seed: int) -> Column:
     return let(let(let(t, first), second), third) / F.lit(4294967296.0)
 
 
+# fixed values: start and factor of the FNV-1a hash of 32 bits
+FNV_START, FNV_FACTOR = 0x811C9DC5, 0x01000193
+
+
+def fnv1a(text: Column) -> Column:
+    """The FNV-1a hash of a text's 16-bit characters, as eight hexadecimal digits."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    value = F.aggregate(codes, F.lit(FNV_START).cast("long"), lambda h, c: times32(h.bitwiseXOR(c), FNV_FACTOR))
+    return F.lower(F.lpad(F.hex(value), 8, "0"))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

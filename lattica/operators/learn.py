@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -9,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked, with_scalars
+from .graphs import written
 from .project import scale_columns
 
 
@@ -42,6 +50,93 @@ def perceptron_fit(df: DataFrame, features: list[str], target: str, classes: int
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol=target, layers=[len(features), *hidden, classes], maxIter=rounds, seed=1).fit(assembled(df, features))
 
 
+@dataclass
+class Perceptron:
+    """A regressing network: dense layers with rectified units, then one linear unit. history: each epoch's losses."""
+
+    layers: list[tuple[np.ndarray, np.ndarray]]
+    means: np.ndarray
+    deviations: np.ndarray
+    history: list[dict]
+
+    def predicted(self, x: np.ndarray) -> np.ndarray:
+        return _forward(self.layers, (x - self.means) / self.deviations)[-1][:, 0]
+
+    def to_json(self) -> str:
+        return json.dumps({"layers": [{"weights": w.tolist(), "biases": b.tolist()} for w, b in self.layers], "means": self.means.tolist(), "deviations": self.deviations.tolist()})
+
+    @staticmethod
+    def from_json(text: str) -> Perceptron:
+        raw = json.loads(text)
+        return Perceptron([(np.array(p["weights"]), np.array(p["biases"])) for p in raw["layers"]], np.array(raw["means"]), np.array(raw["deviations"]), [])
+
+    def transform(self, df: DataFrame, features: list[str], out: str = "prediction") -> DataFrame:
+        """df with a prediction in each row."""
+        model = self
+
+        @F.pandas_udf("double")
+        def predict(*columns: pd.Series) -> pd.Series:
+            return pd.Series(model.predicted(np.stack([c.to_numpy(float) for c in columns], 1)))
+
+        return df.withColumn(out, predict(*(F.col(f).cast("double") for f in features)))
+
+
+def _forward(layers: list, x: np.ndarray) -> list[np.ndarray]:
+    out = [x]
+    for k, (w, b) in enumerate(layers):
+        z = out[-1] @ w + b
+        out.append(np.maximum(z, 0) if k + 1 < len(layers) else z)
+    return out
+
+
+def perceptron_regression(df: DataFrame, features: list[str], target: str, key: str, hidden: tuple = (64, 32), epochs: int = 60, rate: float = 0.01, share: float = 0.15, stop: Callable[[dict], bool] | None = None) -> Perceptron:
+    """Mean squared error by adaptive gradient steps, one over all rows for each epoch: every partition adds up its gradient, and the
+    driver sees sums of the network's size only. A `share` of rows, by a hash of the key, is kept for validation. After each epoch
+    its record (epoch, loss, validation_loss) joins the history, and `stop` may end the training. Rows with nulls are left out."""
+    rows = df.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(target).cast("double").alias("_y"), (F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000)).alias("_check")).dropna()
+    found = rows.where("not _check").agg(*(f(c) for c in features for f in (F.avg, F.stddev_pop))).first()
+    means, deviations = np.array([x or 0.0 for x in found[::2]]), np.array([x or 1.0 for x in found[1::2]])
+    random, sizes = np.random.default_rng(1), [len(features), *hidden, 1]
+    layers = [(random.normal(size=(a, b)) * np.sqrt(2 / a), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
+    rows = written(rows)
+    model = Perceptron(layers, means, deviations, [])
+    mean, square = np.zeros(sum(w.size + b.size for w, b in layers)), 0.0
+
+    for epoch in range(1, epochs + 1):
+        now = model.layers
+
+        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(4 + sum(w.size + b.size for w, b in now))
+            for batch in batches:
+                x = (np.stack([batch.column(f).to_numpy() for f in features], 1) - means) / deviations
+                y, check = batch.column("_y").to_numpy(), batch.column("_check").to_numpy(zero_copy_only=False)
+                out = _forward(now, x)
+                error = out[-1][:, 0] - y
+                total[:4] += [np.count_nonzero(~check), (error[~check] ** 2).sum(), np.count_nonzero(check), (error[check] ** 2).sum()]
+                back, parts = 2 * np.where(check, 0, error)[:, None], []
+                for k in range(len(now) - 1, -1, -1):
+                    parts[:0] = [(out[k].T @ back).ravel(), back.sum(0)]
+                    back = (back @ now[k][0].T) * (out[k] > 0)
+                total[4:] += np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "value"])
+
+        sums = rows.mapInArrow(gradient, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
+        n, loss, n_check, loss_check = sums[:4]
+        step = sums[4:] / max(n, 1)
+        mean, square = 0.9 * mean + 0.1 * step, 0.999 * square + 0.001 * step**2
+        step = rate * (mean / (1 - 0.9**epoch)) / (np.sqrt(square / (1 - 0.999**epoch)) + 1e-8)
+        at, moved = 0, []
+        for w, b in now:
+            moved.append((w - step[at : at + w.size].reshape(w.shape), b - step[at + w.size : at + w.size + b.size]))
+            at += w.size + b.size
+        model.layers = moved
+        record = {"epoch": epoch, "loss": loss / max(n, 1), "validation_loss": loss_check / n_check if n_check else None}
+        model.history.append(record)
+        if stop and stop(record):
+            break
+    return model
+
+
 def split(df: DataFrame, key: str, share: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows, by a hash of the key: the same rows every time."""
     at = F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000)

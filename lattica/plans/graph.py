@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from ..functions.numeric import FNV_FACTOR, FNV_START
 from ..table import Table, View
 
 KINDS = {"DataTable": Table, "RenderedView": View, "Scalar": (int, float, str, bool)}
@@ -49,6 +50,14 @@ class Graph:
     def to_json(self) -> str:
         return json.dumps({"instances": [vars(n) for n in self.nodes], "connections": [vars(e) for e in self.edges]}, indent=2)
 
+    def content_hash(self) -> str:
+        """The same for graphs of equal nodes and edges, however they were made: FNV-1a over JSON with sorted keys."""
+        text = json.dumps({"instances": [vars(n) for n in self.nodes], "connections": [vars(e) for e in self.edges]}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        value = FNV_START
+        for unit in memoryview(text.encode("utf-16-le")).cast("H"):
+            value = (value ^ unit) * FNV_FACTOR & 0xFFFFFFFF
+        return f"{value:08x}"
+
     @staticmethod
     def from_json(text: str) -> Graph:
         raw = json.loads(text)

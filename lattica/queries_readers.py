@@ -329,6 +329,11 @@ def mulberry_stream(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("i"), numeric.mulberry32(F.col("c_custkey"), 1234).alias("x"))
 
 
+@query("SELECT n_name, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_extract_all(n_name, '.'), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c)::HUGEINT * 16777619 % 4294967296)::BIGINT)) AS hash FROM nation")
+def name_hashes(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select("n_name", numeric.fnv1a(F.col("n_name")).alias("hash"))
+
+
 # rows
 
 
@@ -473,3 +478,11 @@ def split_rows(spark, sf_dir):
     """Both parts of a split together are all rows, and no row is in both."""
     train, check = learn.split(read(spark, sf_dir, "part"), "p_partkey")
     return train.unionByName(check).select("p_partkey").distinct().agg(F.count("*").alias("rows"))
+
+
+@query("SELECT p_partkey FROM part")
+def regressed_parts(spark, sf_dir):
+    """Parts with a prediction within a tenth of the prices' span, by a network that learnt them from size and key."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_size") * 3.0 + 7).alias("y"))
+    model = learn.perceptron_regression(parts, ["p_size"], "y", "p_partkey", hidden=(16,), epochs=80, rate=0.5)
+    return model.transform(parts, ["p_size"]).where("abs(prediction - y) < 15").select("p_partkey")

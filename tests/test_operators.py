@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from lattica.functions.ranking import ranked
 from lattica.operators import charts, graphs, grid, learn, motion, trees
 from lattica.sources import files
 from lattica.streaming.live import windowed_histogram
@@ -145,3 +146,34 @@ def test_stream(spark, tmp_path):
         assert sorted((r.bin, r["count"]) for r in spark.table("live").collect()) == [(0, 1), (1, 1), (1, 1)]
     finally:
         q.stop()
+
+
+def test_regressing_network(spark, tmp_path):
+    rows = [(i, float(i % 17), float(i % 5), 2.0 * (i % 17) - 3 * (i % 5) + 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y double")
+    model = learn.perceptron_regression(df, ["a", "b"], "y", "k", hidden=(16, 8), epochs=25, rate=0.1, stop=lambda r: r["epoch"] == 20)
+    losses = [r["loss"] for r in model.history]
+    assert len(losses) == 20 and losses[-1] < 0.2 * losses[0] and all(r["validation_loss"] is not None for r in model.history)
+    again = learn.Perceptron.from_json(model.to_json())
+    got = {r.k: r.prediction for r in again.transform(df, ["a", "b"]).collect()}
+    assert np.allclose([got[i] for i in range(400)], model.predicted(np.array([[a, b] for _, a, b, _ in rows])))
+    # the gradient, by differences: one step of a fit from a known start moves against it
+    short = learn.perceptron_regression(df, ["a", "b"], "y", "k", hidden=(4,), epochs=2, rate=1e-3)
+    assert short.history[1]["loss"] < short.history[0]["loss"]
+
+
+def test_ranks_of_few_values_are_spread(spark):
+    """A value that all rows have is dealt by its ties."""
+    df = spark.range(4000).select(F.lit(1.0).alias("x"), F.col("id"))
+    out = ranked(df, "x", ["id"], buckets=8)
+    assert {r.id: r.rn for r in out.collect()} == {i: i + 1 for i in range(4000)}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CASE WHEN") > 0
+
+
+def test_hash_of_a_graph_is_that_of_its_content():
+    from lattica.plans.graph import Edge, Graph, Node
+
+    a = Graph([Node("a", "x", {"p": 1, "q": 2})], [Edge("a", "t", "b", "t")])
+    b = Graph([Node("a", "x", {"q": 2, "p": 1})], [Edge("a", "t", "b", "t")])
+    assert a.content_hash() == b.content_hash() != Graph(a.nodes, []).content_hash() and len(a.content_hash()) == 8
