@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -141,13 +142,13 @@ def maximised(counts: tuple, share: np.ndarray) -> Hmm:
     return Hmm(norm(first + 1), norm(later + 1), norm(moved + 1, 1), norm(emitted, 0))
 
 
-def read_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Rows of the table of codes, TOKENS or so at once: the rows, their codes and lengths."""
+def read_codes(batches: Iterator[pa.RecordBatch], tokens: int = TOKENS) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows of the table of codes, `tokens` or so at once: the rows, their codes and lengths."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.column("codes").nbytes // 2
-        if size >= TOKENS:
+        if size >= tokens:
             yield _codes(held)
             held, size = [], 0
     if held:
@@ -250,21 +251,34 @@ def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 14, own
     share /= share.sum()
     within = np.log10(in_bucket + kinds_in + 1)
 
+    # a table by the words' ranks: their classes, and the logs of their counts (nothing where the end isn't among the commonest)
+    ranks = {w: k for k, w in enumerate(common)}
+    ranks.setdefault(END, len(ranks))
+    class_of = np.fromiter(map(classes.__getitem__, ranks), np.int64, len(ranks))
+    log_of = np.array([known.get(w, np.nan) for w in ranks])
+    shared_ranks = spark.sparkContext.broadcast((ranks, class_of, log_of))
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, of = shared_known.value, shared_classes.value
+        ranks, class_of, log_of = shared_ranks.value
+        of = shared_classes.value
         for batch, texts in text_chunks(batches):
-            codes, sums, seen = [], [], []
-            for text in texts:
-                words = tokens_of(text)
-                codes.append(np.fromiter(map(of.__getitem__, words), "<u2", len(words)))
-                values = [x for x in map(look.get, words) if x is not None]
-                rest = codes[-1][codes[-1] >= of.own] - of.own
-                own_values = sum(look[w] for w in words if w in look and w not in of)
-                sums.append((sum(values), own_values - within[rest].sum()))
-                seen.append(len(values))
-            total, rare = zip(*sums)
+            words = [tokens_of(text) for text in texts]
+            sizes = np.array(list(map(len, words)), np.int64)
+            begins = np.cumsum(sizes) - sizes
+            words = list(chain.from_iterable(words))
+            rank = np.fromiter(map(ranks.get, words, repeat(-1)), np.int64, len(words))
+            codes, logs = class_of[rank], log_of[rank]
+            rest = np.flatnonzero(rank < 0)
+            codes[rest] = [of.own + of.bucket(words[k]) for k in rest.tolist()]
+            logs[rest] = np.nan
+            seen = ~np.isnan(logs)
+            logs[~seen] = 0
+            rare = np.where(codes < of.own, 0, logs - within[np.maximum(codes - of.own, 0)])
+            data = codes.astype("<u2").tobytes()
+            codes_of = [data[2 * a : 2 * (a + n)] for a, n in zip(begins.tolist(), sizes.tolist())]
+            total, rare, seen = (np.add.reduceat(x, begins) for x in (logs, rare, seen.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("fp"), batch.column("trained"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(seen, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.float64())],
+                [batch.column("doc_id"), batch.column("fp"), batch.column("trained"), pa.array(codes_of, pa.binary()), pa.array(seen), pa.array(total), pa.array(rare)],
                 ["doc_id", "fp", "trained", "codes", "seen", "logs", "rare"],
             )
 
@@ -272,7 +286,7 @@ def score_texts(docs: DataFrame, trained, states: int = 8, rounds: int = 14, own
     model = spark.sparkContext.broadcast(train(coded, classes.size, share, states, rounds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, codes, lengths in read_codes(batches):
+        for rows, codes, lengths in read_codes(batches, 4 * TOKENS):  # a step for each token of the longest text, whatever their number
             likely = log_likelihood(model.value, codes, lengths)
             columns = [*(rows.column(c).combine_chunks() for c in ("doc_id", "fp", "trained", "seen", "logs")), pa.array(lengths), pa.array(likely + rows.column("rare").to_numpy())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "trained", "seen", "logs", "n_tokens", "score"])

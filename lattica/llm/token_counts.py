@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, vocabulary: str, head_words: int = 1 << 18) ->
         look = shared.value.get
         for batch, texts in text_chunks(batches):
             words = [words_of(t) for t in texts]
-            sums = [sum(x for x in map(look, w) if x is not None) for w in words]
+            sums = [sum(filter(None, map(look, w))) for w in words]  # no word has 0 tokens
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(list(map(len, words)), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "fp", "n_words", "tokens"])
 
     here = docs.select("doc_id", "fp", "text").mapInArrow(tidied(add), "doc_id long, fp long, n_words long, tokens long")

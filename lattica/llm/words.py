@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def rows_outside(docs: DataFrame, words_of: Callable[[str | None], list[bytes]],
         for batch, texts in text_chunks(batches):
             rows, keys, n = [], [], []
             for row, text in enumerate(texts):
-                rare = Counter(w for w in words_of(text) if w not in known)
+                rare = Counter(filterfalse(known.__contains__, words_of(text)))
                 rows.append(np.full(len(rare), row))
                 keys += map(xxhash.xxh3_128_digest, rare)
                 n += rare.values()
