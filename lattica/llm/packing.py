@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -33,6 +34,9 @@ _PLAIN = [c for c in map(chr, range(0x180)) if c in "\t\n\r" or c.isprintable()
 _class = lambda kind: "".join(map(re.escape, (c for c in _PLAIN if unicodedata.category(c)[0] == kind)))
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
 OUTSIDE = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]|<\\|")  # "<|" may begin a special string
+#: Names of bytes in byte-level vocabularies: printable ones are themselves, the others take the characters from U+0100 on.
+_NAMED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _NAMED)}
 PROBES = ("It's a test, isn't it?  12 34ab", "\u00c9t\u00e9 na\u00efve (x)--y!!", "a\tb\r\n c 'x' ''s", "# A_b \u00df\u0141\u00f3d\u017a 1/2 \u00b2")
 
 
@@ -46,6 +50,7 @@ class TokenIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         for how in ("pretoken", "run", "whole"):
             self.how = how
             self.clear()
@@ -53,11 +58,19 @@ class TokenIds(dict):
                 break
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, pretoken: str) -> bytes:
+        """The model's ids alone, without the steps before it, which don't change a pre-token but for naming its bytes."""
+        named = pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1").translate(BYTE_NAMES)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        parts = PRETOKEN.findall(run.lower()) if self.how == "pretoken" and not OUTSIDE.search(run) else [run]
-        ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.encoded(run) if run else b""
+        if self.how == "pretoken" and not OUTSIDE.search(run):
+            parts = PRETOKEN.findall(run.lower())
+            ids = self.piece(run) if parts == [run] else b"".join(map(self.__getitem__, parts))
+        else:
+            ids = self.encoded(run) if run else b""
         if len(run) <= 64:
             if len(self) >= self.most:
                 self.clear()

@@ -509,3 +509,32 @@ def test_token_counts(odd_docs, no_docs):
     for w in sorted({"anchor", "ancient", "and", "andes", "ü"}):
         assert trie.terminal(token_counts.SPACE + w)[0] == count(w)
     assert trie.scored < sum(len(w) + 1 for w in ("anchor", "ancient", "and", "andes", "ü"))
+
+
+CLASHING = ["fp", "fp_", "spans", "Spans_", "gone", "judged_id", "judged_fp", "span_doc_id", "span_fp", "id", "label", "doc", "n", "start", "anchor", "run", "chunk", "shard", "level", "batch", "block", "counts", "tokens", "first", "last", "class", "head", "component", "node", "_d", "_f", "_fp", "_gone", "_doc_id", "_id", "_label", "_key", "matches", "items", "score", "raw", "n_words"]
+
+
+@pytest.mark.parametrize("stage", ["keep_good", "keep_first", "cut_repeats", "decontaminate", "pack"])
+def test_stages_leave_other_columns_alone(spark, prose, stage):
+    """Extra columns with names that operators use inside come out as they were, but for packing, which leaves them out."""
+    copied = prose(80, 91)
+    rows = [(1, copied), (2, copied), (3, prose(60, 92)), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING))
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int").withColumn("label", F.lit(7))
+    bench = spark.createDataFrame([(1, prose(60, 92))], "item_id long, text string")
+    run = {
+        "keep_good": lambda: quality.keep_good(docs, labels, least=0.0),
+        "keep_first": lambda: jaccard.keep_first(docs),
+        "cut_repeats": lambda: suffix_index.cut_repeats(docs),
+        "decontaminate": lambda: decontaminate.decontaminate(docs, bench),
+        "pack": lambda: packing.pack_documents(docs, packing.vocabulary()),
+    }[stage]
+    out = run()
+    if stage == "pack":
+        assert out.groupBy("doc_id").agg(F.sum("length")).count() == 5
+        return
+    assert out.schema.names == docs.schema.names
+    for r in out.collect():
+        assert all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+    wanted = {"keep_good": {1, 2, 3, None, 5}, "keep_first": {1, 3, None, 5}, "cut_repeats": {1, 2, 3, None, 5}, "decontaminate": {1, 2, None, 5}}[stage]
+    assert {r.doc_id for r in out.select("doc_id").collect()} == wanted
