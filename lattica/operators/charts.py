@@ -22,6 +22,15 @@ def picked(df: DataFrame, group: str, value: str, places: dict[str, Column], kee
     return rows.groupBy(group).agg(F.first("n").alias("n"), *at.values())
 
 
+def value_lists(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
+    """The values of each group as a list in the order of a column, and the group's place by first appearance. A list is one row,
+    so this is for groups that a row can hold; the statistics above and below don't need it."""
+    rows = df.select(group, F.struct(order, real(F.col(value)).alias("v")).alias("_p")).where(~F.isnan("_p.v"))
+    lists = rows.groupBy(group).agg(F.sort_array(F.collect_list("_p")).alias("_l"))
+    placed = ranked(lists.withColumn("_first", F.col("_l")[0][order]), "_first", [group], rank="place")
+    return placed.select(group, (F.col("place") - 1).alias("place"), F.transform("_l", lambda p: p["v"]).alias("values"))
+
+
 def midpoint_places(names: dict[str, float]) -> dict[str, Column]:
     """Both neighbours of the place (n - 1) p."""
     out = {}

@@ -151,6 +151,19 @@ def partial_dependence(df: DataFrame, model, features: list[str], feature: str,
     return model.transform(assembled(rows, features, False)).select("id", feature, "prediction")
 
 
+def decision_surface(df: DataFrame, model, features: list[str], steps: int = 40) -> DataFrame:
+    """The prediction over a grid of the first two features, between their bounds, the others at their means. Features are scaled as
+    the model's were, by the means and deviations of df's rows."""
+    x, y, *rest = features
+    scalars = [f(c).alias(f"_{n}_{c}") for c in features for n, f in (("a", F.min), ("b", F.max), ("m", F.avg), ("d", F.stddev_pop))]
+    at = lambda c, i: F.col(f"_a_{c}") + (F.col(f"_b_{c}") - F.col(f"_a_{c}")) * i / (steps - 1)
+    grid = df.sparkSession.range(steps * steps).crossJoin(F.broadcast(df.agg(*scalars)))
+    grid = grid.select(at(x, F.floor(F.col("id") / steps)).alias(x), at(y, F.col("id") % steps).alias(y), *(F.col(f"_m_{c}").alias(c) for c in rest), *(F.col(f"_{n}_{c}") for c in features for n in "md"))
+    scaled = [((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_d_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_d_{c}"))).alias(f"_s_{c}") for c in features]
+    rows = VectorAssembler(inputCols=[f"_s_{c}" for c in features], outputCol="features").transform(grid.select(F.col(x), F.col(y), *scaled))
+    return model.transform(rows).select(x, y, "prediction")
+
+
 def column_means(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*(F.avg(c).alias(c) for c in columns))
 

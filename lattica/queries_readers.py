@@ -454,9 +454,55 @@ def ticks_of_axis(spark, sf_dir):
     return rounded(charts.axis_ticks(read(spark, sf_dir, "part"), "p_retailprice"))
 
 
+@query("SELECT c_mktsegment, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS place, count(*) AS n, round(sum(c_acctbal), 4) AS total, arg_min(c_acctbal, c_custkey) AS first FROM customer GROUP BY 1")
+def listed_groups(spark, sf_dir):
+    lists = charts.value_lists(read(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "c_custkey")
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return rounded(lists.select("c_mktsegment", "place", F.size("values").cast("long").alias("n"), total.alias("total"), F.col("values")[0].alias("first")), 4)
+
+
+@query("SELECT s_suppkey AS line, s_nationkey::BIGINT AS label, 784::BIGINT AS n, (s_suppkey * 783)::DOUBLE AS total FROM supplier")
+def read_digits(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    image = F.concat_ws(",", "s_nationkey", F.lit("0"), F.array_join(F.array_repeat(F.col("s_suppkey").cast("string"), 783), ","))
+    rows_ = files.digit_rows(lines(s, "s_suppkey", image).unionByName(one_line(spark, -1, "label,pixels")))
+    return rows_.select(F.col(ROW).alias("line"), "label", F.size("pixels").cast("long").alias("n"), F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS place, s_nationkey::BIGINT AS label, (s_suppkey * 3 + 1)::DOUBLE AS total FROM supplier")
+def read_json_digits(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_nationkey"))).alias("r"))
+    k = lambda r: r["s_suppkey"].cast("double")
+    whole = s.select(F.to_json(F.struct(F.transform("r", lambda r: F.array(F.array(k(r), k(r)), F.array(k(r), F.lit(1.0)))).alias("images"), F.transform("r", lambda r: r["s_nationkey"]).alias("labels"))).alias("value"))
+    return files.json_digits(whole).select("place", "label", F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+@query("SELECT * FROM (VALUES ('mnist_1.csv', 'mnist'), ('NonLinear.csv', 'nonlinear-nn'), ('a_linear.txt', 'linear'), ('two.csv', 'linear'), ('three.csv', 'logistic'), ('four.csv', '')) t(name, kind)")
+def kinds_of_models(spark, sf_dir):
+    firsts = {"mnist_1.csv": "", "NonLinear.csv": "", "a_linear.txt": "", "two.csv": "x, y", "three.csv": "1 2 3", "four.csv": "a b c d"}
+    return spark.createDataFrame([(n, files.model_kind(n, line) or "") for n, line in firsts.items()], "name string, kind string")
+
+
+@query("SELECT * FROM (VALUES ('a.csv', 'bars,lines'), ('b.JSON', 'graph'), ('c.bin', 'viewer'), ('d.zip', '')) t(name, consumers)")
+def routed_files(spark, sf_dir):
+    consumers = {"bars": [".csv"], "lines": [".txt", ".CSV"], "graph": [".json"], "viewer": [".png"]}
+    firsts = {"a.csv": b"1,2", "b.JSON": b"{", "c.bin": b"\x89PNG", "d.zip": b"PK"}
+    return spark.createDataFrame([(n, ",".join(files.routed(n, x, consumers))) for n, x in firsts.items()], "name string, consumers string")
+
+
 # learning
 
 
+@query("""WITH b AS (SELECT min(p_size) AS a, max(p_size) AS b, avg(p_size) AS m, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part)
+SELECT round(a + (b - a) * i / 9, 6) AS p_size, round(c + (d - c) * j / 9, 6) AS p_retailprice, (a + (b - a) * i / 9 > 25)::INT AS above FROM b, range(10) r(i), range(10) s(j) WHERE abs(a + (b - a) * i / 9 - 25) > 3""")
+def decided_surface(spark, sf_dir):
+    """A line that separates sizes at 25; a band around it, where the fit is free, is left out."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", (F.col("p_size") > 25).cast("double").alias("label"))
+    model = learn.logistic_fit(parts, ["p_size", "p_retailprice"], "label")
+    surface = learn.decision_surface(parts, model, ["p_size", "p_retailprice"], 10)
+    return rounded(surface.where("abs(p_size - 25) > 3").select("p_size", "p_retailprice", F.col("prediction").cast("int").alias("above")))
+
+
 @query("WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS c, min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem) SELECT i AS id, round(a + (b - a) * i / 59, 4) AS l_quantity, round(c + s * (a + (b - a) * i / 59), 3) AS prediction FROM f, range(60) r(i)")
 def dependence_line(spark, sf_dir):
     item = read(spark, sf_dir, "lineitem").select("l_extendedprice", F.col("l_quantity").cast("double").alias("l_quantity"))

@@ -199,6 +199,43 @@ def tree_rows(lines: DataFrame) -> DataFrame:
     return rows.select(ROW, F.col("_c")[0].alias("label"), F.when(three, F.col("_c")[1]).otherwise("").alias("parent"), size.alias("size"))
 
 
+def digit_rows(lines: DataFrame, side: int = 28) -> DataFrame:
+    """label and pixels (side^2 numbers, row by row) of digit images: lines of a label and the pixels; others are skipped."""
+    cells = lines.withColumn("_v", F.transform(F.split("line", ","), prefix_number)).where(F.size("_v") == side * side + 1)
+    return cells.select(ROW, F.floor(F.col("_v")[0] + 0.5).cast("long").alias("label"), F.slice("_v", 2, side * side).alias("pixels"))
+
+
+def json_digits(text_rows: DataFrame) -> DataFrame:
+    """place, label and pixels of digit images in JSON documents {images, labels}."""
+    parsed = F.from_json(F.col(text_rows.columns[0]), "images array<array<array<double>>>, labels array<double>")
+    return text_rows.select(parsed.alias("j")).select(F.posexplode(F.arrays_zip("j.images", "j.labels")).alias("place", "d")).select("place", F.floor(F.col("d.labels") + 0.5).cast("long").alias("label"), F.flatten("d.images").alias("pixels"))
+
+
+# fixed values: words in file names and numbers of columns that speak for a kind of model, in the order they are tried
+MODEL_WORDS = [("mnist", "mnist"), ("logistic", "logistic"), ("nonlinear", "nonlinear-nn"), ("linear", "linear")]
+MODEL_COLUMNS = {785: "mnist", 3: "logistic", 2: "linear"}
+
+
+def model_kind(name: str, first_line: str = "") -> str | None:
+    """The kind of model that a file's name, or else the number of its columns, speaks for."""
+    for word, kind in MODEL_WORDS:
+        if word in name.lower():
+            return kind
+    return MODEL_COLUMNS.get(len([t for t in re.split(r"[\s,]+", first_line) if t]))
+
+
+def routed(name: str, first: bytes, consumers: dict[str, list[str]]) -> list[str]:
+    """The consumers, by name with the extensions they take, of a file with this name and these first bytes."""
+    formats = set(formats_of(name, first))
+    ending = os.path.splitext(name.lower())[1]
+    return [c for c, takes in consumers.items() if any(t.lower() == ending or t.lower().lstrip(".") in formats for t in takes)]
+
+
+def image_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """path, width and height of the images in a folder."""
+    return spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+
+
 def number_rows(lines: DataFrame) -> DataFrame:
     """Every number of every line as a value."""
     return lines.select(ROW, F.posexplode(tokens()).alias("at", "_t")).select(ROW, "at", whole_number(F.col("_t")).alias("value")).dropna(subset=["value"])
