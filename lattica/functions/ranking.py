@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-SAMPLE = 4096  # rows that edges are taken from
+from .storage import written
 
 
 def with_scalars(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -14,46 +13,25 @@ def with_scalars(df: DataFrame, *aggregates: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*aggregates)))
 
 
-def _after(keys: list[Column], edge: tuple, descending: bool) -> Column:
-    """Whether a row comes after an edge, in the order of its first key, then the others, ascending."""
-    out = F.lit(False)
-    for k in range(len(keys) - 1, -1, -1):
-        key, at = keys[k], F.lit(edge[k])
-        down = descending and k == 0
-        beyond = key.isNull() | (key < at) if down else key > at
-        out = beyond | ((key == at) & out)
-    return F.coalesce(out, F.lit(False))
-
-
-def _edges_below(keys: list[Column], edges: list[tuple], low: int, high: int, descending: bool) -> Column:
-    """How many of the sorted edges from low to high a row comes after, by halves."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(_after(keys, edges[mid], descending), _edges_below(keys, edges, mid + 1, high, descending)).otherwise(_edges_below(keys, edges, low, mid, descending))
-
-
-def ranked(df: DataFrame, value: str, ties: list[Column | str] | None = None, within: list[str] | None = None, rank: str = "rn", descending: bool = False, buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, value: str, ties: list[Column | str] | None = None, within: list[str] | None = None, rank: str = "rn", descending: bool = False, weight: str | None = None) -> DataFrame:
     """Adds `rank`, from 1, in the order of value, then ties (ascending); of all rows or `within` groups. With `weight` it adds the
     sum of the weights of the rows up to this one instead.
 
-    Rows are dealt by ranges of value and ties together, between edges from a sample of bounded size, and numbered in each range;
-    the ranges' sizes, a small table, give the numbers their offsets. So neither the whole table nor a large group, nor a value
-    that very many rows have, meets in one task, as long as ties tell rows apart.
+    Rows are dealt by ranges of groups, value and ties together, into as many parts as shuffles have, sorted there and written with
+    their places; the parts' sizes, a row each, give the places their offsets. So neither the whole table nor a large group, nor
+    a value that very many rows have, meets in one task, as long as ties tell rows apart.
     """
     within = list(within or [])
-    keys = [F.col(value), *(F.col(t) if isinstance(t, str) else t for t in ties or [])]
-    order = [F.desc(value) if descending else F.asc(value), *keys[1:]]
-    names = [f"_k{i}" for i in range(len(keys))]
-    few = df.select(*(k.alias(n) for k, n in zip(keys, names))).orderBy(F.xxhash64(*names)).limit(SAMPLE).orderBy(F.desc(names[0]) if descending else names[0], *names[1:]).collect() if buckets > 1 else []
-    few = [tuple(r) for r in few if all(x is not None and x == x for x in r)]
-    edges = list(dict.fromkeys(few[len(few) * k // buckets] for k in range(1, buckets))) if few else []
-    marked = df.withColumn("_bucket", _edges_below(keys, edges, 0, len(edges), descending))
-    counted = F.sum(weight) if weight else F.count("*")
-    sizes = marked.groupBy(*within, "_bucket").agg(counted.alias("_size"))
-    before = Window.partitionBy(*(within or [F.lit(1)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    own = Window.partitionBy(*within, "_bucket").orderBy(*order)
-    inside = F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(own)
-    marked = marked.withColumn("_in", inside)
-    return marked.join(sizes, [*within, "_bucket"]).withColumn(rank, F.col("_in") + F.col("_before")).drop("_in", "_before", "_bucket")
+    order = [*within, F.desc(value) if descending else F.asc(value), *(ties or [])]
+    own = F.monotonically_increasing_id()
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__place": own}))
+    size = F.sum(weight) if weight else F.count("*")
+    before = Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sizes = rows.groupBy("__part").agg(size.alias("__size")).select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    inside = F.sum(weight).over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)) if weight else F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = rows.withColumn("__inside", inside).join(F.broadcast(sizes), "__part")
+    rows = rows.withColumn(rank, F.col("__before") + F.col("__inside")).drop("__part", "__place", "__before", "__inside")
+    if not within:
+        return rows
+    firsts = rows.groupBy(*within).agg(F.min(F.col(rank) - (F.col(weight) if weight else 1)).alias("__first"))
+    return rows.join(firsts, within).withColumn(rank, F.col(rank) - F.col("__first")).drop("__first")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked, with_scalars
-from .graphs import written
+from ..functions.storage import written
 from .project import scale_columns
 
 

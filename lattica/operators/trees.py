@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked
-from .graphs import written
+from ..functions.storage import written
 
 
 def tree_nodes(rows: DataFrame, label: str = "label", parent: str = "parent", size: str = "size") -> DataFrame:

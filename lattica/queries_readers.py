@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import numeric
 from .functions.ranking import ranked
+from .functions.storage import shared_folder
 from .operators import charts, graphs, grid, learn, project, rows, stats, trees
-from .operators.graphs import shared_folder
 from .plans import blocks, graph
 from .queries import _CELLS, _LCG, _TREE, _cells, _flows, _tree, query, read, rounded
 from .sources import files
