@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import dropped, durable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,9 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        more = large.join(least.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = durable(least.select("u", F.col("m").alias("v")).unionByName(more).distinct())
+        lower = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        more = large.join(lower.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, current = current, durable(lower.select("u", F.col("m").alias("v")).unionByName(more).distinct())
+        dropped(before, least, large, lower)
         stars = current.groupBy("u").count().where("count > 1").isEmpty() and current.join(current.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()
         if stars:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))

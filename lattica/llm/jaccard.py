@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # what is left: pairs of different classes that share an indexed token, unless sizes, positions or known overlaps rule them out
     known = star.select(F.col("a").alias("doc"), F.col("b").alias("head"), "common")
     entries = index.join(classes, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component", "doc")).drop("node", "component")
-    entries = durable(entries)
+    entries = entries_ = durable(entries)
     share = entries.groupBy("token", "class").count()
     lists = durable(share.groupBy("token").agg(F.max_by("class", "count").alias("major"), F.count("*").alias("classes")).where("classes > 1").drop("classes"))
     entries = entries.join(lists, "token")
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     more = overlaps(pairs, sets).where(similar).select("a", "b")
     links = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies)
     found = components(links)
+    dropped(equal, copies, sets, index, heads, star, classes, entries_, entries, lists)
     out = every.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -26,8 +26,8 @@ from .common import Rolling, durable, merged, mixed, sliding_min, text_chunks, t
 from .sketch import Sketch
 
 SECOND = 0xD1342543DE82EF95
+OTHER = 0xAEF17502108EF2D9  # a base for contents; odd
 EXPLODED = 100_000  # windows handled at once, here and there
-COMPARED = 500_000
 RUNS = "doc_id long, fp long, start long, n long, anchor long, run long"
 
 
@@ -70,7 +70,7 @@ def runs_of(values: np.ndarray, counts: np.ndarray, length: int, part: int, skip
 
 
 def find_runs(docs: DataFrame, values_of: Callable[[list], tuple[np.ndarray, np.ndarray]], body_of: Callable, length: int, part: int, sketch, chunk: int, kind: str = "body binary") -> DataFrame:
-    """Runs of all rows of docs (doc_id, text, fp, and spans to leave out) whose anchor may be repeated; body_of(runs, kept, texts)
+    """Runs of all rows of docs (doc_id, text, fp, and spans to leave out) whose anchor may be repeated; body_of(runs, hashes, kept)
     gives one more column, of the name and type `kind`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +88,11 @@ def find_runs(docs: DataFrame, values_of: Callable[[list], tuple[np.ndarray, np.
             if not len(keep):
                 continue
             at, n = r.at[keep], r.n[keep]
-            content = mixed(r.rolling.spans(at, at + n + length - 1), SECOND) + n.astype(np.uint64)
+            second = Rolling(values, OTHER)  # anchors and contents by independent hashes
+            content = mixed(second.spans(at, at + n + length - 1), SECOND) + n.astype(np.uint64)
             doc, fp = (batch.column(c).take(pa.array(r.row[keep])) for c in ("doc_id", "fp"))
             yield pa.RecordBatch.from_arrays(
-                [doc, fp, pa.array(r.start[keep]), pa.array(n), pa.array(r.anchor[keep].view(np.int64)), pa.array(content.view(np.int64)), pa.array(body_of(r, keep, texts))],
+                [doc, fp, pa.array(r.start[keep]), pa.array(n), pa.array(r.anchor[keep].view(np.int64)), pa.array(content.view(np.int64)), pa.array(body_of(r, second, keep))],
                 ["doc_id", "fp", "start", "n", "anchor", "run", kind.split()[0]],
             )
 
@@ -119,54 +120,6 @@ def exploded(rows: DataFrame, windows_of: Callable[[bytes, int], np.ndarray]) ->
     return rows.select("doc_id", "fp", "start", "n", "anchor", "body").mapInArrow(tidied(run), "doc_id long, fp long, pos long, anchor long, window long")
 
 
-def compared(rows: DataFrame, hashes_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """For runs (doc_id, fp, start, n, anchor, body), the stretches of windows (doc_id, fp, start, n) that a run of the same anchor
-    with a smaller doc_id has too. All runs of an anchor come to one task, so they must be few. hashes_of(bodies): the windows'
-    hashes of all bodies, one after the other, and how many each body has."""
-
-    def resolve(block: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(block).combine_chunks()
-        windows, n = hashes_of(t.column("body").to_pylist())
-        row = np.repeat(np.arange(len(n)), n)
-        anchor, doc = t.column("anchor").to_numpy()[row], t.column("doc_id").to_numpy()[row]
-        key = mixed(anchor.view(np.uint64)) ^ windows
-        order = np.lexsort((doc, key))
-        k, a, d = key[order], anchor[order], doc[order]
-        first = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] != a[:-1])])
-        least = d[first][np.cumsum(first) - 1]
-        again = np.zeros(len(row), bool)
-        again[order] = d > least
-        pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + t.column("start").to_numpy()[row]
-        hit = np.flatnonzero(again)
-        if not len(hit):
-            return None
-        begin = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)]))
-        length = np.diff(np.append(begin, len(hit)))
-        at = pa.array(row[hit[begin]])
-        columns = [t.column("doc_id").combine_chunks().take(at), t.column("fp").combine_chunks().take(at), pa.array(pos[hit[begin]]), pa.array(length)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "start", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += pc.sum(batch.column("n")).as_py() or 0
-            if size >= COMPARED:  # up to the last anchor, whose other runs may follow
-                last = batch.column("anchor")[batch.num_rows - 1].as_py()
-                whole = pa.Table.from_batches(held).combine_chunks()
-                cut = whole.num_rows - pc.sum(pc.equal(whole.column("anchor"), last)).as_py()
-                if cut:
-                    if (out := resolve(whole.slice(0, cut).to_batches())) is not None:
-                        yield out
-                    held = whole.slice(cut).to_batches()
-                    size = sum(pc.sum(b.column("n")).as_py() or 0 for b in held)
-        if held and sum(b.num_rows for b in held) and (out := resolve(held)) is not None:
-            yield out
-
-    rows = rows.select("doc_id", "fp", "start", "n", "anchor", "body").repartition("anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(tidied(run), "doc_id long, fp long, start long, n long")
-
-
 def covered(spans: pa.Array, length: int) -> list[list[tuple[int, int]]]:
     """For each list of spans (null: none) the disjoint [start, end) that windows of `length` units starting in them cover."""
     flat = pc.list_flatten(spans)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import WordHash, dropped, durable, hashed, keyed, small_batches, table, text_chunks, tidied, utf8, worker_cache
+from .common import Rolling, WordHash, dropped, durable, hashed, keyed, small_batches, table, text_chunks, tidied, utf8, worker_cache
 from .repeats import Runs, covered, exploded, find_runs, owned, runs_of
 
 PART = 13  # words of an anchor
@@ -40,8 +40,8 @@ def repeated_words(docs: DataFrame, window: int, part: int) -> DataFrame:
     merged_sketch = sketches.build(docs, lambda texts: runs_of(*word_values(texts), window, part).anchor, bits)
     shared = spark.sparkContext.broadcast(merged_sketch)
 
-    def body(r: Runs, keep: np.ndarray, texts: list) -> list[bytes]:
-        hashes = r.rolling.windows(window).astype("<u8")
+    def body(r: Runs, second: Rolling, keep: np.ndarray) -> list[bytes]:
+        hashes = second.windows(window).astype("<u8")
         return [hashes[a : a + n].tobytes() for a, n in zip(r.at[keep].tolist(), r.n[keep].tolist())]
 
     found = durable(find_runs(docs.where("doc_id is not null"), word_values, body, window, part, shared, 4 << 20))
