@@ -27,13 +27,16 @@ def formats_of(name: str, first: bytes = b"") -> list[str]:
     return list(dict.fromkeys([*found, *([by_name] if by_name else [])]))
 
 
-def formats_in(spark: SparkSession, path: str) -> DataFrame:
-    """path and format of every file in a folder, from first bytes and extension."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 4).alias("_m"))
+def formats_in(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
+    """path and format of every file in a folder, from first bytes and extension. Spark's reader of binary files hands over whole
+    files, so files of more than `most` bytes go by their extension alone and are not opened."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= most).select("path", F.substring("content", 1, 4).alias("_m"))
+    large = files.where(F.col("length") > most).select("path", F.lit(None).cast("binary").alias("_m"))
     by_bytes = F.coalesce(*(F.when(F.substring("_m", 1, len(m)) == F.lit(m), F.lit(f)) for m, f in MAGIC))
     ending = F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1)
     by_name = F.element_at(F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv)), ending)
-    return files.select("path", F.array_distinct(F.array_compact(F.array(by_bytes, by_name))).alias("formats"))
+    return small.unionByName(large).select("path", F.array_distinct(F.array_compact(F.array(by_bytes, by_name))).alias("formats"))
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
