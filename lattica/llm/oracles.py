@@ -1,6 +1,9 @@
 """SQL that gives the rows of the corpus queries, where SQL can."""
 
+import math
+
 from .chat import CONTROL, END, TURN
+from .quality_rules import RULES
 
 _WORDS = r"'[^ \t\n\v\f\r]+'"
 _SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,3 +63,39 @@ WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_SMALL.format("
  l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
  r(id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reach)
 SELECT r.id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY 1"""
+
+
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, {_WORDS}), []) AS w FROM documents),
+ e AS (SELECT t, min(doc_id) AS first FROM d GROUP BY 1),
+ l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+ m AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, map {{{{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': doc_id > first}}}} AS f FROM d JOIN e USING (t) LEFT JOIN l USING (doc_id)),
+ c AS (SELECT part, good, toxic, f, count(*) AS n FROM m GROUP BY ALL),
+ x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+ r AS (SELECT *, filter_order[step] AS own, f[filter_order[step]] AS fails, len(list_filter(range(1, step), lambda s: f[filter_order[s]])) > 0 AS gone, len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: f[y])) AS fs FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+ g AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails AND fs = 1), 0) AS unique_fails, coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g""".replace("{{", "{").replace("}}", "}")
+
+_ALPHA, _DELTA = 0.03, 0.05
+_RULE = {r: f"CASE WHEN n_words > 0 THEN {m.replace(' div ', ' // ')} END" for r, (m, _) in RULES.items()}
+_TESTS = " UNION ALL ".join(f"SELECT '{r}' AS rule, {_RULE[r]} AS v, unnest({list(range(len(cuts)))}) AS step, unnest({cuts}) AS cutoff, lang, good FROM p" for r, (_, cuts) in RULES.items())
+_ABOVE = " OR ".join(f"coalesce({_RULE[r]} > c.cut['{r}'], false)" for r in RULES)
+RULED = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, {_WORDS}), []) AS w FROM documents),
+ s AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM d, unnest(range(1, len(w) - 3)) AS t(i)),
+ a AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM s),
+ u AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM a, (SELECT range AS j FROM range(5)) WHERE c > 1 GROUP BY 1),
+ m AS (SELECT d.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS y, coalesce(u.n, 0) AS n_repeat_words FROM d LEFT JOIN u USING (doc_id)),
+ b AS MATERIALIZED (SELECT *, len(y) - len(list_distinct(y)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+ l AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+ p AS (SELECT * FROM b JOIN l USING (doc_id) WHERE NOT base_failed),
+ h AS ({_TESTS}),
+ k AS (SELECT lang, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS nb, count(*) FILTER (good AND coalesce(v > cutoff, false)) AS g, count(*) FILTER (NOT good AND coalesce(v > cutoff, false)) AS bad FROM h GROUP BY ALL),
+ q AS (SELECT *, count(DISTINCT lang) OVER () AS strata, CASE WHEN g >= n * {_ALPHA / len(RULES)!r} THEN 1.0 ELSE list_sum(list_transform(range(0, g + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * {math.log(_ALPHA / len(RULES))!r} + (n - j) * {math.log1p(-_ALPHA / len(RULES))!r}))) END AS tail FROM k WHERE n > 0),
+ r AS (SELECT *, bool_and(tail <= {_DELTA / len(RULES)!r} / strata) OVER (PARTITION BY lang, rule ORDER BY step) AS certified, bad * n - g * greatest(nb, 1) AS gain FROM q),
+ z AS (SELECT lang, rule, cutoff FROM r WHERE certified AND gain > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY gain DESC, step) = 1),
+ c AS (SELECT lang, map_from_entries(list((rule, cutoff))) AS cut FROM z GROUP BY 1)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT ({_ABOVE}) AS kept FROM b LEFT JOIN c USING (lang)"""

@@ -1,6 +1,6 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import chat, decontaminate, hmm, jaccard, oracles, packing, quality, substring, suffix_index, token_counts, topk
+from . import audit, chat, decontaminate, hmm, jaccard, oracles, packing, quality, quality_rules, substring, suffix_index, token_counts, topk
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,8 @@ QUERIES = {
         token_counts.op8_token_counts,
         hmm.op9_lm_scoring,
         jaccard.op10_ngram_jaccard_join,
+        audit.op12_filter_interaction_audit,
+        quality_rules.op13_quality_rules,
     )
 }
 #: Packing needs a tokenizer, and classifier, token counts and language model are trained or walk a vocabulary: no SQL for these.
@@ -25,4 +27,6 @@ SQL: dict[str, str] = {
     "op6_chat_formatting": oracles.CHAT,
     "op7_suffix_array_dedup": oracles.SUFFIX,
     "op10_ngram_jaccard_join": oracles.JACCARD,
+    "op12_filter_interaction_audit": oracles.AUDIT,
+    "op13_quality_rules": oracles.RULED,
 }
