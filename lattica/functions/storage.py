@@ -5,25 +5,53 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[str, str] = {}  # of applications whose setting is unset
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a local master gets a local folder, as in tests; a cluster has to
     set it, since a machine-local folder would lose rows there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.applicationId not in _FOLDERS:
+            _FOLDERS[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        folder = _FOLDERS[context.applicationId]
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A step, written to the shared folder and read back: lineage ends there, and no executor's loss undoes it."""
+def written(df: DataFrame, by: str | None = None, **options: str) -> DataFrame:
+    """A step, written to the shared folder and read back: lineage ends there, and no executor's loss undoes it.
+
+    by: a column whose values get folders of their own. options: of the Parquet writer. The files stay until `erased`."""
     spark: SparkSession = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def erased(*tables: DataFrame, part: str = "") -> None:
+    """Deletes the files of tables that `written` returned and that nothing reads any more, or those of a part (`column=value`) of
+    one that was written by a column. Other tables, and those that are derived from written ones, are left alone."""
+    for df in tables:
+        own = _PATHS.get(df) if part else _PATHS.pop(df, None)
+        if own:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{own}/{part}" if part else own)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def passed_on(view: DataFrame, table: DataFrame) -> DataFrame:
+    """The view of a written table, which owns the table's files from now on."""
+    if table in _PATHS:
+        _PATHS[view] = _PATHS.pop(table)
+    return view

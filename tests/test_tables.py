@@ -1,6 +1,7 @@
 """Columns, rows, numbers and files: literal cases."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -216,3 +217,46 @@ def test_generators_and_studio(spark):
     assert s.plot("line", s.grid(4)).text().split("\n")[0] == "0,0"
     with pytest.raises(TableError):
         s.normalize(s.normalize(table(spark, x=[1, 2]), "x"), "x")
+
+
+def test_written_tables_own_their_files(spark, tmp_path):
+    """Only the written table's own folder goes, also where the shared folder has blanks or the same ending in its name."""
+    from lattica.functions import storage
+
+    shared = tmp_path / "a b.parquet" / "c d"
+    shared.mkdir(parents=True)
+    (tmp_path / "a b.parquet" / "other").write_text("stays")
+    known, storage.shared_folder = storage.shared_folder, lambda _: f"file://{shared}"
+    try:
+        table = storage.written(spark.range(5).selectExpr("id", "id % 2 AS k"), by="k", compression="zstd")
+    finally:
+        storage.shared_folder = known
+    assert table.count() == 5
+    storage.erased(table.where("id > 1"))
+    storage.erased(table, part="k=0")
+    assert sorted(p.name for p in shared.glob("*/k=*")) == ["k=1"]
+    view = storage.passed_on(table.select("id"), table)
+    storage.erased(table)
+    assert list(shared.iterdir())
+    storage.erased(view)
+    storage.erased(view)
+    assert not list(shared.iterdir()) and (tmp_path / "a b.parquet" / "other").read_text() == "stays"
+
+
+def test_shared_folder_where_none_is_set(tmp_path):
+    """In a session without the setting a local master has one folder of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+from lattica.functions.storage import shared_folder, written
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert s.conf.get("spark.checkpoint.dir", None) is None
+assert shared_folder(s) == shared_folder(s) and shared_folder(s).startswith("file:///")
+assert written(s.range(3)).count() == 3
+print("fine")
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parent.parent, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)})
+    assert got.stdout.strip().endswith("fine"), got.stderr[-2000:]
