@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import erased, written
+
 #: Text handled at once in a task, in bytes or so.
 CHUNK_BYTES = 4 << 20
 
@@ -26,37 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local master gets a local folder, as in tests; a
-    cluster has to set it, since a machine-local folder would lose rows there."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def durable(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it. Shuffle
     files that led to them, which nothing refers to any more, go at once instead of whenever the driver collects garbage.
     by: a column whose values get folders of their own, so that reading one value reads no other's files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = written(df, by, compression="zstd")
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
-def dropped(*tables: DataFrame, part: str = "") -> None:
-    """Deletes the files of durable tables that nothing reads any more, or a part's of one that was written in parts."""
-    for df in tables:
-        for name in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name[: name.index(".parquet") + 8] + (f"/{part}" if part else ""))
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+#: Deletes the files of durable tables that nothing reads any more, or a part's of one that was written in parts.
+dropped = erased
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import passed_on
 from .common import dropped, durable
 
 
@@ -27,4 +28,4 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(before, least, large, lower)
         stars = current.groupBy("u").count().where("count > 1").isEmpty() and current.join(current.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()
         if stars:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return passed_on(current.select(F.col("u").alias("node"), F.col("v").alias("component")), current)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import passed_on
 from . import sketch as sketches
 from .common import Rolling, WordHash, dropped, durable, fresh, hashed, mixed, small_batches, table, text_chunks, tidied, utf8, worker_cache
 from .components import components
@@ -100,7 +101,7 @@ def indexed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 def postings(sets: DataFrame, percent: int) -> DataFrame:
     """The index: token, block (of sizes), doc, n, pos (in the global order). Sizes of similar sets are in the same block or in
     neighbouring ones."""
-    ratio = max(100 / percent, 1.01)
+    ratio = max(100 / percent, 1.01) * (1 + 1e-9)  # so that rounding never puts two blocks between sizes 100/percent apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +165,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     heads = durable(index.groupBy("token", "block").agg(*head).where("head < _last").drop("_last"))
     enough = f"100 * least(n, h_n) >= {percent} * greatest(n, h_n) and least(n - pos, h_n - h_pos) >= ceil({percent} * (n + h_n) / {100 + percent}D)"
     met = index.join(heads, ["token", "block"]).where("doc <> head").groupBy("doc", "head").agg(F.count("*").alias("count"), F.max(F.expr(enough)).alias("able")).where("able")
-    heads = heads.select("token", "block", "head")
+    heads = passed_on(heads.select("token", "block", "head"), heads)
     most = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("count"), "head"))
     star = durable(overlaps(met.withColumn("rn", most).where("rn <= 2").select(F.col("doc").alias("a"), F.col("head").alias("b")), sets))
     classes = components(star.where(similar).select("a", "b"))
@@ -183,15 +184,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     right = entries.select("token", "block", "major", *(F.col(c).alias(f"r_{c}") for c in names))
     need = f"ceil({percent} * (l_n + r_n) / {100 + percent}D)"
     bound = "case when l_head = r_head and l_common is not null and r_common is not null then least(l_common, r_common) + least(l_n - l_common, r_n - r_common) else least(l_n, r_n) end"
-    left.createOrReplaceTempView("jaccard_left")
-    right.createOrReplaceTempView("jaccard_right")
-    pairs = docs.sparkSession.sql(f"""
-        select least(l_doc, r_doc) a, greatest(l_doc, r_doc) b
-        from jaccard_left join jaccard_right using (token, block)
-        where l_class <> r_class and (r_class = major or l_doc < r_doc)
-          and 100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n)
-          and least(l_n - l_pos, r_n - r_pos) >= {need} and {bound} >= {need}
-    """).distinct()
+    apart = "l_class <> r_class and (r_class = major or l_doc < r_doc)"
+    able = f"100 * least(l_n, r_n) >= {percent} * greatest(l_n, r_n) and least(l_n - l_pos, r_n - r_pos) >= {need} and {bound} >= {need}"
+    pairs = left.join(right, ["token", "block"]).where(f"{apart} and {able}").selectExpr("least(l_doc, r_doc) a", "greatest(l_doc, r_doc) b").distinct()
     more = overlaps(pairs, sets).where(similar).select("a", "b")
     links = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies)
     found = components(links)

@@ -257,6 +257,8 @@ class SuffixIndex:
     def __init__(self, shape: Shape):
         self.shape = shape
         self.levels: dict[int, DataFrame] = {}
+        self.files: dict[int, DataFrame] = {}  # the tables that the levels are parts of
+        self.scanned: list[DataFrame] = []  # all tables that scans have written
 
     def scan(self, suffixes: DataFrame, keep: bool = True) -> DataFrame:
         """Merges a batch's suffixes with every level, shard by shard. Returns chunk, ids, left (window in the suffix), n (windows) and
@@ -274,8 +276,12 @@ class SuffixIndex:
                 yield from scan_shard(rows, shape, free if keep else -1)
 
         found = durable(every.repartition("shard").sortWithinPartitions("shard", "level", "piece").mapInArrow(tidied(run), SCANNED), by="kind")
+        self.scanned.append(found)
         if keep:
-            dropped(*(self.levels.pop(k) for k in range(free)), part="kind=1")
+            for k in range(free):
+                del self.levels[k]
+                dropped(self.files.pop(k), part="kind=1")
+            self.files[free] = found
             self.levels[free] = found.where("kind = 1").select("shard", "piece", "suffixes", "left", "n")
         return found.where("kind = 0").select("chunk", "ids", "left", "n", "owners")
 
@@ -422,7 +428,7 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int, shard_
         dropped(found, part=f"batch={k}")
         answers = got if answers is None else answers.unionByName(got)
     places = durable(repeated_places(found, answers, shape))
-    dropped(found, answers)
+    dropped(found, *index.scanned)
     return places
 
 

@@ -538,3 +538,14 @@ def test_stages_leave_other_columns_alone(spark, prose, stage):
         assert all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for c in CLASHING)
     wanted = {"keep_good": {1, 2, 3, None, 5}, "keep_first": {1, 3, None, 5}, "cut_repeats": {1, 2, 3, None, 5}, "decontaminate": {1, 2, None, 5}}[stage]
     assert {r.doc_id for r in out.select("doc_id").collect()} == wanted
+
+
+@pytest.mark.parametrize("percent,small", [(10, 40), (33, 99), (80, 400)])
+def test_sets_at_the_exact_threshold_link(spark, percent, small):
+    """One set inside another whose size is just what the threshold allows, and one beyond it."""
+    large = small * 100 // percent
+    words = [f"w{i}" for i in range(large + 5)]
+    rows = [(1, " ".join(words[: small + 4])), (2, " ".join(words[: large + 4])), (3, " ".join(f"x{w}" for w in words[: small + 4])), (4, " ".join(f"x{w}" for w in words[: large + 5]))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+    wanted = [(1, 1), (2, 1), (3, 3), (4, 3 if 100 * small >= percent * (large + 1) else 4)]
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == wanted
