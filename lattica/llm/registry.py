@@ -1,6 +1,6 @@
 """Queries over the synthetic tables, one for each operator, and their SQL."""
 
-from . import audit, chat, decontaminate, hmm, jaccard, oracles, packing, quality, quality_rules, substring, suffix_index, token_counts, topk
+from . import alignment, audit, chat, decontaminate, hmm, jaccard, oracles, packing, quality, quality_rules, substring, suffix_index, token_counts, topk
 
 QUERIES = {
     f.__name__: f
@@ -15,11 +15,12 @@ QUERIES = {
         token_counts.op8_token_counts,
         hmm.op9_lm_scoring,
         jaccard.op10_ngram_jaccard_join,
+        alignment.op11_cross_tokenizer_alignment,
         audit.op12_filter_interaction_audit,
         quality_rules.op13_quality_rules,
     )
 }
-#: Packing needs a tokenizer, and classifier, token counts and language model are trained or walk a vocabulary: no SQL for these.
+#: Packing and alignment need tokenizers, and classifier, token counts and language model are trained or walk a vocabulary: no SQL for these.
 SQL: dict[str, str] = {
     "op1_exact_top_k": oracles.TOP_K,
     "op4_substring_dedup": oracles.SUBSTRING,
