@@ -179,3 +179,11 @@ def short_label(c: Column) -> Column:
         .when(size >= 1, F.format_string("%.1f", c))
         .otherwise(F.format_string("%.2f", c))
     )
+
+
+def shown_text(v: Column, kind) -> Column:
+    """A value as a table shows it: numbers to four decimals without trailing zeros, NaN and infinities as signs."""
+    if kind.typeName() not in ("double", "float"):
+        return F.when(v.isNull(), F.lit("None")).otherwise(v.cast("string"))
+    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", v), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(v.isNull(), F.lit("None")).when(F.isnan(v), F.lit("NaN")).when(v == INF, F.lit("\u221e")).when(v == -INF, F.lit("-\u221e")).otherwise(digits)

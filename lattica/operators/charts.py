@@ -9,17 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, probit, real
 from ..functions.ranking import ranked, with_scalars
-
-
-def picked(df: DataFrame, group: str, value: str, places: dict[str, Column], keep_nan: bool = False) -> DataFrame:
-    """For each group its size n and the values at the given places (from 0, in terms of n) in value order, NaN left out or last.
-    Equal values are counted before the shuffle, so that one that very many rows have is one row."""
-    v = df.select(group, real(F.col(value)).alias("_v")).where(F.col("_v").isNotNull())
-    v = (v if keep_nan else v.where(~F.isnan("_v"))).groupBy(group, "_v").agg(F.count("*").alias("_times"))
-    sizes = v.groupBy(group).agg(F.sum("_times").alias("n"))
-    rows = ranked(v, "_v", [group], within=[group], weight="_times").join(sizes, group)  # rn: rows up to and with this value
-    at = {name: F.max(F.when((F.col("rn") > place) & (F.col("rn") - F.col("_times") <= place), F.col("_v"))).alias(name) for name, place in places.items()}
-    return rows.groupBy(group).agg(F.first("n").alias("n"), *at.values())
+from ..functions.selection import selected
 
 
 def value_lists(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
@@ -44,7 +34,7 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, q1, median, q3 (each the mean of the two values around its place), the whiskers, which are the furthest values within
     1.5 interquartile ranges of the box, and how many values lie outside."""
     q = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    boxes = picked(df, group, value, midpoint_places(q))
+    boxes = selected(df, group, value, midpoint_places(q))
     boxes = boxes.select(group, "n", *(((F.col(f"{k}_lo") + F.col(f"{k}_hi")) / 2).alias(k) for k in q))
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     rows = df.select(group, real(F.col(value)).alias("_v")).where(~F.isnan("_v")).join(boxes, group)
@@ -64,24 +54,31 @@ def box_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
 def violin_box(df: DataFrame, group: str, value: str) -> DataFrame:
     """n and the values at the places floor(n p): the lower quantiles that violins show."""
     places = {name: F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))) for name, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items()}
-    return picked(df, group, value, places)
+    return selected(df, group, value, places)
 
 
 def kernel_density(df: DataFrame, group: str, value: str, points: int = 65, bandwidth: float = 1.0, pad: float = 0.05) -> DataFrame:
     """Gaussian density of each group at `points` places over all groups' padded range. The bandwidth is bandwidth * population
-    deviation (1 if that is 0) * 1.06 * n^(-1/5). Only the few places are broadcast; sums are taken before the shuffle."""
+    deviation (1 if that is 0) * 1.06 * n^(-1/5). A row adds to the sums of all places at once, so that a task hands on one row of
+    sums for each group; these become rows, one for each place, when all is added up."""
     v = df.select(group, real(F.col(value)).alias("_v")).where(~F.isnan("_v"))
     groups = v.groupBy(group).agg(F.count("*").alias("n"), F.stddev_pop("_v").alias("_std"))
     h = F.lit(bandwidth) * F.when(F.col("_std") == 0, F.lit(1.0)).otherwise(F.col("_std")) * 1.06 * F.pow("n", F.lit(-0.2))
-    groups = groups.withColumn("h", h).drop("_std")
+    groups = with_limits(groups.withColumn("h", h).drop("_std"), v)
     span = F.col("_high") - F.col("_low")
     margin = F.when(span == 0, F.lit(1.0)).otherwise(span) * pad
-    limits = v.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    grid = df.sparkSession.range(points).select(F.col("id").alias("point")).crossJoin(F.broadcast(limits))
-    grid = grid.select("point", (F.col("_low") - margin + (span + 2 * margin) * F.col("point") / (points - 1)).alias("x"))
-    u = (F.col("x") - F.col("_v")) / F.col("h")
-    rows = v.join(groups, group).crossJoin(F.broadcast(grid))
-    return rows.groupBy(group, "point", "x").agg((F.sum(F.exp(-0.5 * u * u)) / (F.first("n") * F.first("h"))).alias("density"))
+    at = [F.col("_low") - margin + (span + 2 * margin) * F.lit(k) / (points - 1) for k in range(points)]
+    rows = v.join(groups.withColumns({"_from": at[0], "_step": (span + 2 * margin) / (points - 1)}).select(group, "n", "h", "_from", "_step"), group)
+    u = [(F.col("_from") + F.col("_step") * k - F.col("_v")) / F.col("h") for k in range(points)]
+    sums = rows.groupBy(group).agg(F.first("n").alias("n"), F.first("h").alias("h"), *(F.sum(F.exp(-0.5 * x * x)).alias(f"_{k}") for k, x in enumerate(u)))
+    places = F.array(*(F.struct(F.lit(k).cast("long").alias("point"), x.alias("x"), F.col(f"_{k}").alias("_sum")) for k, x in enumerate(at)))
+    out = with_limits(sums, v).select(group, "n", "h", F.inline(places))
+    return out.select(group, "point", "x", (F.col("_sum") / (F.col("n") * F.col("h"))).alias("density"))
+
+
+def with_limits(groups: DataFrame, values: DataFrame) -> DataFrame:
+    """Every group with the least and greatest value of all."""
+    return groups.crossJoin(F.broadcast(values.agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))))
 
 
 def qq_points(df: DataFrame, value: str, ties: list | None = None, step: int = 1) -> DataFrame:
@@ -100,8 +97,8 @@ def qq_line(points: DataFrame) -> DataFrame:
     """Slope and intercept of the line through the quartiles of both sides, each the mean of the two values around its place."""
     rows = points.withColumn("_all", F.lit(0))
     places = midpoint_places({"q1": 0.25, "q3": 0.75})
-    t = picked(rows, "_all", "theoretical", places).select("_all", *((F.col(f"{k}_lo") / 2 + F.col(f"{k}_hi") / 2).alias(f"t_{k}") for k in ("q1", "q3")))
-    s = picked(rows, "_all", "sample", places).select("_all", *((F.col(f"{k}_lo") / 2 + F.col(f"{k}_hi") / 2).alias(f"s_{k}") for k in ("q1", "q3")))
+    t = selected(rows, "_all", "theoretical", places).select("_all", *((F.col(f"{k}_lo") / 2 + F.col(f"{k}_hi") / 2).alias(f"t_{k}") for k in ("q1", "q3")))
+    s = selected(rows, "_all", "sample", places).select("_all", *((F.col(f"{k}_lo") / 2 + F.col(f"{k}_hi") / 2).alias(f"s_{k}") for k in ("q1", "q3")))
     slope = (F.col("s_q3") - F.col("s_q1")) / F.when(F.col("t_q3") == F.col("t_q1"), F.lit(1.0)).otherwise(F.col("t_q3") - F.col("t_q1"))
     return t.join(s, "_all").select(slope.alias("slope"), (F.col("s_q1") - slope * F.col("t_q1")).alias("intercept"))
 
@@ -145,17 +142,31 @@ def ramp_place(df: DataFrame, value: str, out: str = "t") -> DataFrame:
 
 
 def moving_average(df: DataFrame, order: str, value: str, width: int, within: list[str] | None = None, out: str = "smooth") -> DataFrame:
-    """Centred mean over half = width // 2 rows to each side, fewer at the ends. Without `within` rows are dealt by place, each
-    block with its neighbours' edges, so that the whole series needn't meet in one task."""
-    half = width // 2
+    """Centred mean over half = width // 2 rows to each side, fewer at the ends, of all rows or `within` groups.
+
+    Rows are ranked and dealt in blocks of consecutive places, long enough that the rows near a block's edges, which the block next
+    to it gets as well, are under a twentieth. In a block, sums up to each row give every mean from two of them, whatever the
+    width. Nulls don't count; what isn't finite is counted apart, so that it spoils only the means it belongs to.
+    """
+    half = max(0, width // 2)
+    block = max(4096, 40 * half)
+    within = list(within or [])
+    placed = ranked(df, order, within=within, rank="_place")
+    own = F.floor((F.col("_place") - 1) / block)
+    inside = F.pmod(F.col("_place") - 1, F.lit(block))
+    copies = F.array_compact(F.array(own, F.when((inside < half) & (own > 0), own - 1), F.when(inside >= block - half, own + 1)))
     v = real(F.col(value))
-    if within:
-        w = Window.partitionBy(*within).orderBy(order).rowsBetween(-half, half)
-        return df.withColumn(out, F.avg(v).over(w))
-    placed = ranked(df, order, rank="_place")
-    near = placed.select(F.explode(F.sequence(F.col("_place") - half, F.col("_place") + half)).alias("_place"), v.alias("_v"))
-    means = near.groupBy("_place").agg(F.avg("_v").alias(out))
-    return placed.join(means, "_place").drop("_place")
+    finite = F.abs(v) < float("inf")
+    parts = {"_sum": F.when(finite, v).otherwise(0.0), "_n": v.isNotNull().cast("long"), "_nan": F.coalesce(F.isnan(v), F.lit(False)).cast("long"), "_up": F.coalesce(v == float("inf"), F.lit(False)).cast("long"), "_down": F.coalesce(v == -float("inf"), F.lit(False)).cast("long")}
+    rows = placed.withColumn("_block", F.explode(copies)).withColumn("_own", F.col("_block") == own)
+    order_ = Window.partitionBy(*within, "_block").orderBy("_place")
+    last = Window.partitionBy(*within, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({n: F.sum(e).over(order_.rowsBetween(Window.unboundedPreceding, 0)) for n, e in parts.items()})
+    total = {n: F.coalesce(F.lead(n, half).over(order_), F.last(n).over(last)) - F.coalesce(F.lag(n, half + 1).over(order_), F.lit(0)) for n in parts}
+    rows = rows.withColumns({f"{n}_in": e for n, e in total.items()}).where("_own")
+    strange = F.when((F.col("_nan_in") > 0) | ((F.col("_up_in") > 0) & (F.col("_down_in") > 0)), float("nan")).when(F.col("_up_in") > 0, float("inf")).when(F.col("_down_in") > 0, -float("inf"))
+    mean = F.when(F.col("_n_in") > 0, F.coalesce(strange, F.col("_sum_in") / F.col("_n_in")))
+    return rows.withColumn(out, mean).drop("_place", "_block", "_own", *parts, *(f"{n}_in" for n in parts))
 
 
 def prefix_mean(df: DataFrame, order: str, value: str, lengths: list[int]) -> DataFrame:

@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked, with_scalars
-from ..functions.storage import written
+from ..functions.storage import erased, written
 from .project import scale_columns
 
 
@@ -50,6 +50,76 @@ def perceptron_fit(df: DataFrame, features: list[str], target: str, classes: int
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol=target, layers=[len(features), *hidden, classes], maxIter=rounds, seed=1).fit(assembled(df, features))
 
 
+def weights_json(kind: str, weights: dict[str, np.ndarray]) -> str:
+    """{model, weights: [{name, shape, data}]}, as all models are handed on."""
+    return json.dumps({"model": kind, "weights": [{"name": n, "shape": list(w.shape), "data": [float(x) for x in w.ravel()]} for n, w in weights.items()]})
+
+
+@dataclass
+class Gradients:
+    """A linear (one unit) or logistic (a unit under the logistic function) model, trained step by step. history: epoch, loss,
+    accuracy (of a logistic one), validation_loss."""
+
+    kind: str
+    features: list[str]
+    kernel: np.ndarray
+    bias: float
+    means: np.ndarray
+    deviations: np.ndarray
+    history: list[dict]
+
+    def to_json(self) -> str:
+        return weights_json(self.kind, {"kernel": self.kernel[:, None], "bias": np.array([self.bias])})
+
+    def score(self) -> Column:
+        """The prediction as a column over the features' columns, without Python."""
+        z = F.lit(float(self.bias))
+        for f, w, m, d in zip(self.features, self.kernel, self.means, self.deviations):
+            z = z + (F.col(f).cast("double") - float(m)) / float(d) * float(w)
+        return 1 / (1 + F.exp(-z)) if self.kind == "logistic" else z
+
+
+def gradient_fit(df: DataFrame, features: list[str], target: str, key: str, kind: str = "linear", epochs: int = 200, rate: float | None = None, share: float = 0.15, stop: Callable[[dict], bool] | None = None) -> Gradients:
+    """Mean squared error of a linear model, or cross-entropy of a logistic one, by gradient steps over all rows, an epoch each, on
+    standardised features. A step is one aggregation in the JVM: gradient, losses and hits are sums over the features' columns, and
+    the driver sees a row of them. A `share` of rows, by a hash of the key, is kept for validation; after each epoch its record
+    joins the history, and `stop` may end the training. Rows with nulls are left out; no rows leave the model as it began."""
+    if kind not in ("linear", "logistic"):
+        raise ValueError("linear or logistic")
+    x = [F.col(f"_{k}") for k in range(len(features))]
+    rows = df.select(*(F.col(f).cast("double").alias(f"_{k}") for k, f in enumerate(features)), F.col(target).cast("double").alias("_y"), (F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000)).alias("_check")).dropna()
+    found = rows.where("not _check").agg(*(f(c) for c in x for f in (F.avg, F.stddev_pop))).first()
+    means, deviations = np.array([v or 0.0 for v in found[::2]]), np.array([v or 1.0 for v in found[1::2]])
+    rows = written(rows.select(*((c - float(m)) / float(d) for c, m, d in zip(x, means, deviations)), "_y", "_check").toDF(*(f"_{k}" for k in range(len(features))), "_y", "_check"))
+    model = Gradients(kind, list(features), np.zeros(len(features)), 0.0, means, deviations, [])
+    rate = rate if rate is not None else 0.5 if kind == "logistic" else 0.1
+    own = ~F.col("_check")
+    for epoch in range(1, epochs + 1):
+        z = F.lit(float(model.bias))
+        for c, w in zip(x, model.kernel):
+            z = z + c * float(w)
+        if kind == "logistic":
+            p = 1 / (1 + F.exp(-z))
+            loss = F.greatest(z, F.lit(0.0)) - z * F.col("_y") + F.log1p(F.exp(-F.abs(z)))
+            error, hit = p - F.col("_y"), (p > 0.5) == (F.col("_y") > 0.5)
+        else:
+            error, hit = z - F.col("_y"), F.lit(False)
+            loss = error * error
+            error = 2 * error
+        sums = rows.withColumns({"_e": error, "_l": loss, "_h": hit}).agg(F.count_if(own), F.sum(F.when(own, F.col("_l"))), F.count_if(own & F.col("_h")), F.count_if("_check"), F.sum(F.when(F.col("_check"), F.col("_l"))), F.sum(F.when(own, F.col("_e"))), *(F.sum(F.when(own, F.col("_e") * c)) for c in x)).first()
+        n, total, hits, n_check, checked, *gradient = sums
+        if not n:
+            break
+        model.bias -= rate * gradient[0] / n
+        model.kernel = model.kernel - rate * np.array(gradient[1:]) / n
+        record = {"epoch": epoch, "loss": total / n, "accuracy": hits / n if kind == "logistic" else None, "validation_loss": checked / n_check if n_check else None}
+        model.history.append(record)
+        if stop and stop(record):
+            break
+    erased(rows)
+    return model
+
+
 @dataclass
 class Perceptron:
     """A regressing network: dense layers with rectified units, then one linear unit. history: each epoch's losses."""
@@ -63,8 +133,12 @@ class Perceptron:
         return _forward(self.layers, (x - self.means) / self.deviations)[-1][:, 0]
 
     def to_json(self) -> str:
+        """All that a network needs to predict; `weights_json` gives its weights as other models' are given."""
         return json.dumps({"layers": [{"weights": w.tolist(), "biases": b.tolist()} for w, b in self.layers], "means": self.means.tolist(), "deviations": self.deviations.tolist()})
 
+    def weights_json(self) -> str:
+        return weights_json("nonlinear-nn", {f"dense_{k}/{n}": w for k, layer in enumerate(self.layers) for n, w in zip(("kernel", "bias"), layer)})
+
     @staticmethod
     def from_json(text: str) -> Perceptron:
         raw = json.loads(text)

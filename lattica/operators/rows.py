@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import compare
-from ..functions.ranking import ranked
+from ..functions.ranking import in_file_order, ranked
 from ..table import ROW, Table, TableError
 
 
@@ -46,19 +46,24 @@ def first_rows(t: Table, n: int) -> Table:
     return t.then(t.ordered().orderBy(ROW).limit(n), f"first:{n}")
 
 
-def every_nth(df: DataFrame, order: str, step: int, ties: list | None = None) -> DataFrame:
-    """Rows 0, step, 2 step, ... in the order of a column."""
-    return ranked(df, order, ties, rank="_place").where((F.col("_place") - 1) % max(1, step) == 0).drop("_place")
+def numbered(df: DataFrame, order: str | None, ties: list | None = None) -> DataFrame:
+    """Rows with their _place, from 1, in the order of a column, or, without one, of the files they are scanned from."""
+    return ranked(df, order, ties, rank="_place") if order else in_file_order(df, "_place")
 
 
-def thinned(df: DataFrame, order: str, most: int) -> DataFrame:
+def every_nth(df: DataFrame, order: str | None, step: int, ties: list | None = None) -> DataFrame:
+    """Rows 0, step, 2 step, ... in the order of a column, or of files (see `numbered`)."""
+    return numbered(df, order, ties).where((F.col("_place") - 1) % max(1, step) == 0).drop("_place")
+
+
+def thinned(df: DataFrame, order: str | None, most: int) -> DataFrame:
     """Every max(1, floor(n / most))-th row."""
     return every_nth(df, order, max(1, df.count() // most))
 
 
-def resampled(df: DataFrame, order: str, k: int) -> DataFrame:
+def resampled(df: DataFrame, order: str | None, k: int) -> DataFrame:
     """k rows, the ones at floor(i n / k) for i below k, numbered `sample`; a row comes several times if k exceeds n."""
-    placed = ranked(df, order, rank="_place")
+    placed = numbered(df, order)
     total = df.count()
     wanted = df.sparkSession.range(k if total else 0).select(F.col("id").alias("sample"), (F.floor(F.col("id") * total / k) + 1).alias("_place"))
     return wanted.join(placed, "_place").drop("_place")

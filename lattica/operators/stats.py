@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import INF, real
 from ..functions.ranking import with_scalars
+from ..functions.selection import selected
 from ..table import ROW, Table, TableError
-from .charts import midpoint_places, picked
+from .charts import midpoint_places
 
 STATS = ("mean", "std", "min", "max", "median")
 
@@ -24,7 +25,7 @@ def _four(c: Column, name: str) -> list[Column]:
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row of exact medians (NaN last; 0 for no values), each the mean of the two values around the middle."""
     melted = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("_column"), real(F.col(c)).alias("_value")) for k, c in enumerate(columns)))).alias("c")).select("c.*")
-    found = picked(melted, "_column", "_value", midpoint_places({"m": 0.5}), keep_nan=True)
+    found = selected(melted, "_column", "_value", midpoint_places({"m": 0.5}), keep_nan=True)
     middle = (F.col("m_lo") + F.col("m_hi")) / 2
     return found.agg(*(F.coalesce(F.max(F.when(F.col("_column") == k, middle)), F.lit(0.0)).alias(f"{c}__median") for k, c in enumerate(columns)))
 

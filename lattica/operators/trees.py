@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked
-from ..functions.storage import written
+from ..functions.storage import erased, written
 
 
 def tree_nodes(rows: DataFrame, label: str = "label", parent: str = "parent", size: str = "size") -> DataFrame:
@@ -15,58 +17,115 @@ def tree_nodes(rows: DataFrame, label: str = "label", parent: str = "parent", si
     return rows.groupBy(F.trim(F.col(label)).alias("label")).agg(F.max(up).alias("parent"), F.sum(F.coalesce(F.col(size).cast("double"), F.lit(0.0))).alias("size"))
 
 
+def path_sums(nodes: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """label, and the sums of the weights of all nodes from the root to each node, by pointer doubling: each round a node takes over
+    what its present goal has summed up, and that one's goal, so that a path of n nodes takes about log2(n) rounds. `parent` is
+    null for roots. Nodes on a cycle, and those below one, reach no root: after as many rounds as any path needs, they go."""
+    names = list(weights)
+    active = written(nodes.select("label", F.col("parent").alias("goal"), *(w.alias(n) for n, w in weights.items())))
+    rounds = max(1, active.count()).bit_length() + 1
+    done = [active.where("goal is null").drop("goal")]
+    steps = [active]
+    active = active.where("goal is not null")
+    while rounds and not active.isEmpty():
+        rounds -= 1
+        ahead = steps[-1].select(F.col("label").alias("goal"), F.col("goal").alias("_next"), *(F.col(n).alias(f"_{n}") for n in names))
+        if len(steps) > 1:  # roots and what has reached them
+            ended = done[0]
+            for more in done[1:]:
+                ended = ended.unionByName(more)
+            ahead = ahead.where("_next is not null").unionByName(ended.select(F.col("label").alias("goal"), F.lit(None).cast(dict(nodes.dtypes)["label"]).alias("_next"), *(F.col(n).alias(f"_{n}") for n in names)))
+        step = written(active.join(ahead, "goal").select("label", F.col("_next").alias("goal"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in names)))
+        steps.append(step)
+        done.append(step.where("goal is null").drop("goal"))
+        active = step.where("goal is not null")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    out = written(out)
+    erased(*steps)
+    return out
+
+
+def rooted(nodes: DataFrame) -> DataFrame:
+    """The nodes with a null parent where that is no node's label."""
+    known = nodes.select(F.col("label").alias("parent"), F.lit(True).alias("_known"))
+    return nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known")
+
+
 def depths(nodes: DataFrame) -> DataFrame:
-    """Adds depth, 1 for nodes without a known parent, and path, the labels from there. Nodes on a cycle have none and go."""
+    """Adds depth, 1 for nodes without a known parent. Nodes on a cycle, or below one, have none and go."""
     nodes = written(nodes)
-    known = nodes.select(F.col("label").alias("parent"))
-    level = nodes.join(known, "parent", "left_anti").select("label", "parent", "size", F.lit(1).alias("depth"), F.array("label").alias("path"))
-    level = written(level)
-    out = level
-    for depth in range(2, nodes.count() + 1):  # no path has more nodes than there are
-        up = level.select(F.col("label").alias("parent"), F.col("path").alias("_path"))
-        level = written(nodes.join(up, "parent").select("label", "parent", "size", F.lit(depth).alias("depth"), F.concat("_path", F.array("label")).alias("path")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return written(out)
+    found = path_sums(rooted(nodes.select("label", "parent")), {"depth": F.lit(1)})
+    return nodes.join(found, "label")
+
+
+def folded(placed: DataFrame, measures: dict[str, tuple[Column | None, Column]]) -> DataFrame:
+    """label, and for each measure (floor, own) the greater of its floor and its own value plus its children's results; no floor: that
+    sum alone. From the leaves up, by contraction: each round, nodes whose children are all known give their result to their
+    parent, and of nodes with one open child left, where a result is max(a, b + the child's), chains are halved by putting these
+    functions one into the other. So long chains and wide stars take about log2(n) rounds; a parent's children meet in a sum that
+    tasks begin before the shuffle."""
+    names = list(measures)
+    kind = dict(placed.dtypes)["label"]
+    rows = placed.select("label", F.when(F.col("depth") > 1, F.col("parent")).alias("parent"), *(F.lit(-math.inf).alias(f"floor_{n}") if floor is None else floor.cast("double").alias(f"floor_{n}") for n, (floor, _) in measures.items()), *(own.cast("double").alias(f"own_{n}") for n, (_, own) in measures.items()))
+    children = rows.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("open"))
+    none = [F.lit(None).cast(kind).alias("goal"), *(F.lit(None).cast("double").alias(f"{x}_{n}") for n in names for x in ("a", "b"))]
+    active = written(rows.join(children, "label", "left").fillna(0, ["open"]).select("*", *none))
+    steps, known, last = [active], [], None
+    while not active.isEmpty():
+        leaves = active.where("open = 0").select("label", "parent", *(F.greatest(f"floor_{n}", f"own_{n}").alias(n) for n in names))
+        found = leaves
+        if last is not None:
+            ends = last.select(F.col("label").alias("goal"), *(F.col(n).alias(f"_{n}") for n in names))
+            found = leaves.unionByName(active.where("open > 0").join(ends, "goal").select("label", "parent", *(F.greatest(F.col(f"a_{n}"), F.col(f"b_{n}") + F.col(f"_{n}")).alias(n) for n in names)))
+        last = written(found)
+        known.append(last)
+        sums = last.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("_done"), *(F.sum(n).alias(f"_{n}") for n in names))
+        left = active.join(last.select("label"), "label", "left_anti").join(sums, "label", "left").withColumns({"open": F.col("open") - F.coalesce("_done", F.lit(0)), **{f"own_{n}": F.col(f"own_{n}") + F.coalesce(f"_{n}", F.lit(0.0)) for n in names}}).drop("_done", *(f"_{n}" for n in names))
+        left = written(left)
+        steps.append(left)
+        # the one open child of nodes that have just one now, and the function of its result
+        only = left.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.min("label").alias("_only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+        new = F.col("goal").isNull() & (F.col("open") == 1)
+        left = left.join(only, "label", "left").withColumns({f"{x}_{n}": F.when(new, F.col(f"{y}_{n}")).otherwise(F.col(f"{x}_{n}")) for n in names for x, y in (("a", "floor"), ("b", "own"))})
+        left = written(left.withColumn("goal", F.when(new, F.col("_only")).otherwise(F.col("goal"))).drop("_only"))
+        steps.append(left)
+        inner = left.where("goal is not null").select(F.col("label").alias("goal"), F.col("goal").alias("_goal"), *(F.col(f"{x}_{n}").alias(f"_{x}_{n}") for n in names for x in ("a", "b")))
+        into = {f"a_{n}": F.when(F.col("_goal").isNull(), F.col(f"a_{n}")).otherwise(F.greatest(F.col(f"a_{n}"), F.col(f"b_{n}") + F.col(f"_a_{n}"))) for n in names}
+        into |= {f"b_{n}": F.col(f"b_{n}") + F.coalesce(f"_b_{n}", F.lit(0.0)) for n in names}
+        active = written(left.join(inner, "goal", "left").withColumns({**into, "goal": F.coalesce("_goal", "goal")}).drop("_goal", *(f"_{x}_{n}" for n in names for x in ("a", "b"))))
+        steps.append(active)
+    if not known:
+        return placed.select("label", *(F.lit(0.0).alias(n) for n in names)).limit(0)
+    out = known[0]
+    for more in known[1:]:
+        out = out.unionByName(more)
+    out = written(out.select("label", *names))
+    erased(*steps, *known)
+    return out
 
 
 def rolled_up(placed: DataFrame) -> DataFrame:
-    """Adds total: a node's own size or the sum of its children's totals, whichever is more. From the lowest level up."""
-    deepest = placed.agg(F.max("depth")).first()[0] or 0
-    totals = None
-    for depth in range(deepest, 0, -1):
-        own = placed.where(F.col("depth") == depth)
-        if totals is None:
-            level = own.withColumn("total", F.col("size"))
-        else:
-            sums = totals.where(F.col("depth") == depth + 1).groupBy("parent").agg(F.sum("total").alias("_sum")).withColumnRenamed("parent", "_up")
-            level = own.join(sums, F.col("label") == F.col("_up"), "left").withColumn("total", F.greatest("size", F.coalesce("_sum", F.lit(0.0)))).drop("_up", "_sum")
-        totals = written(level if totals is None else totals.unionByName(level))
-    return totals if totals is not None else placed.withColumn("total", F.col("size"))
+    """Adds total: a node's own size or the sum of its children's totals, whichever is more."""
+    return placed.join(folded(placed, {"total": (F.col("size"), F.lit(0.0))}), "label")
 
 
 def leaf_counts(placed: DataFrame) -> DataFrame:
     """label and leaves: how many nodes without children lie below (a leaf has itself)."""
-    leaves = placed.join(placed.select(F.col("parent").alias("label")).distinct(), "label", "left_anti")
-    return leaves.select(F.explode("path").alias("label")).groupBy("label").agg(F.count("*").alias("leaves"))
+    inner = placed.where("depth > 1").select(F.col("parent").alias("label"), F.lit(0).alias("_leaf")).distinct()
+    rows = placed.join(inner, "label", "left").withColumn("_leaf", F.coalesce("_leaf", F.lit(1)))
+    return folded(rows, {"leaves": (None, F.col("_leaf"))}).select("label", F.col("leaves").cast("long").alias("leaves"))
 
 
 def preorder(placed: DataFrame) -> DataFrame:
-    """Adds index: the depth-first number, children by their labels. A node's number is its parent's and one more, and what its
-    earlier siblings' subtrees hold; level by level, so that a tree's nodes never meet in one task."""
-    sizes = placed.select(F.explode("path").alias("label")).groupBy("label").agg(F.count("*").alias("_n"))
-    rows = placed.join(sizes, "label").withColumn("_up", F.when(F.col("depth") > 1, F.col("parent")))
-    roots = ranked(rows.where("depth = 1"), "label", rank="_upto", weight="_n").withColumn("_before", F.col("_upto") - F.col("_n")).drop("_upto")
-    earlier = Window.partitionBy("_up").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-    rest = rows.where("depth > 1").withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    rows = written(roots.unionByName(rest).select("label", "parent", "depth", "_before"))
-    out = level = written(rows.where("depth = 1").select("label", F.col("_before").alias("index")))
-    for depth in range(2, (rows.agg(F.max("depth")).first()[0] or 0) + 1):
-        up = level.select(F.col("label").alias("parent"), F.col("index").alias("_at"))
-        level = written(rows.where(F.col("depth") == depth).join(up, "parent").select("label", (F.col("_at") + 1 + F.col("_before")).alias("index")))
-        out = out.unionByName(level)
-    return placed.join(out, "label")
+    """Adds index: the depth-first number, children by their labels. What a node adds to its parent's number, one and the subtrees of
+    its earlier siblings, comes from ranks that deal siblings over tasks; sums along the paths to the root give the numbers."""
+    sizes = folded(placed, {"_n": (None, F.lit(1))}).withColumn("_n", F.col("_n").cast("long"))
+    rows = placed.select("label", F.when(F.col("depth") > 1, F.col("parent")).alias("parent")).join(sizes, "label").withColumn("_up", F.struct("parent"))
+    before = ranked(rows, "label", within=["_up"], rank="_upto", weight="_n")
+    steps = before.select("label", "parent", (F.col("_upto") - F.col("_n") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("index"))
+    return placed.join(path_sums(steps, {"index": F.col("index")}), "label")
 
 
 def slices(totals: DataFrame) -> DataFrame:

@@ -204,24 +204,34 @@ def histogram_fixed_range(spark, sf_dir):
 _LCG = "WITH RECURSIVE s(i, v) AS (SELECT -1::BIGINT, {seed}::BIGINT UNION ALL SELECT i + 1, (v * 1664525 + 1013904223) % 4294967296 FROM s WHERE i < {n} - 1)"
 
 
-@query(_LCG.format(seed=42, n=500) + " SELECT i AS id, v / 4294967295.0::DOUBLE AS x FROM s WHERE i >= 0")
+_COUNT = "(SELECT count(*) FROM {})"
+
+
+def _rows(spark, sf_dir, name: str) -> int:
+    """A count for generators: one number."""
+    return read(spark, sf_dir, name).count()
+
+
+@query(_LCG.format(seed=42, n=_COUNT.format("customer")) + " SELECT i AS id, v / 4294967295.0::DOUBLE AS x FROM s WHERE i >= 0")
 def source_random(spark, sf_dir):
-    return generate.random_data(spark, 500, 42).df.withColumnRenamed(ROW, "id")
+    """As many numbers as there are customers."""
+    return generate.random_data(spark, _rows(spark, sf_dir, "customer"), 42).df.withColumnRenamed(ROW, "id")
 
 
-@query(_LCG.format(seed=1, n=300) + " SELECT i AS id, round(i / 300.0::DOUBLE * 2 * pi(), 9) AS t, round(sin(i / 300.0::DOUBLE * 2 * pi()) + (v / 4294967295.0::DOUBLE - 0.5) * 0.2, 9) + 0.0 AS x FROM s WHERE i >= 0")
+@query(_LCG.format(seed=1, n=_COUNT.format("supplier")) + ", c AS (SELECT count(*)::DOUBLE AS n FROM supplier) SELECT i AS id, round(i / n * 2 * pi(), 9) AS t, round(sin(i / n * 2 * pi()) + (v / 4294967295.0::DOUBLE - 0.5) * 0.2, 9) + 0.0 AS x FROM s, c WHERE i >= 0")
 def source_example(spark, sf_dir):
-    return rounded(generate.example_data(spark, 300, 1).df.withColumnRenamed(ROW, "id"), 9)
+    return rounded(generate.example_data(spark, _rows(spark, sf_dir, "supplier"), 1).df.withColumnRenamed(ROW, "id"), 9)
 
 
-@query("SELECT x.range::DOUBLE AS x, y.range::DOUBLE AS y, (x.range + y.range)::DOUBLE AS x_add FROM range(30) x, range(30) y")
+@query("WITH n AS (SELECT unnest(range(count(*))) AS i FROM supplier) SELECT a.i::DOUBLE AS x, b.i::DOUBLE AS y, (a.i + b.i)::DOUBLE AS x_add FROM n a, n b")
 def source_grid(spark, sf_dir):
-    return project.binary(generate.grid_data(spark, 30), "add", "x", "y").to_df()
+    """A grid with as many rows and columns as there are suppliers."""
+    return project.binary(generate.grid_data(spark, _rows(spark, sf_dir, "supplier")), "add", "x", "y").to_df()
 
 
-@query("SELECT (5 - range * 0.5)::DOUBLE AS value FROM range(20)")
+@query("SELECT (5 - i * 0.5)::DOUBLE AS value FROM (SELECT unnest(range(2 * count(*))) AS i FROM customer)")
 def range_table(spark, sf_dir):
-    return generate.range_data(spark, 5, -5, -0.5).to_df()
+    return generate.range_data(spark, 5, 5 - _rows(spark, sf_dir, "customer"), -0.5).to_df()
 
 
 def _mid(p: float) -> str:
@@ -493,8 +503,8 @@ def linreg_fit(spark, sf_dir):
 
 
 def _more() -> None:
-    """The queries of the readers, which use this module's helpers."""
-    from . import queries_readers  # noqa: F401
+    """The queries of the readers and of large inputs, which use this module's helpers."""
+    from . import queries_large, queries_readers  # noqa: F401
 
 
 _more()

@@ -12,6 +12,9 @@ from ..functions.numeric import NUMBER, prefix_number, whole_number
 from ..functions.ranking import ranked
 from ..operators.graphs import nodes_of
 from ..table import ROW, Table, TableError
+from .heads import file_heads
+from .json_documents import json_file
+from .sinks import read_lines
 
 DEFAULT_NAMES, XYZ_NAMES = ("x", "y", "z", "w"), ("x", "y", "z")
 
@@ -27,21 +30,28 @@ def formats_of(name: str, first: bytes = b"") -> list[str]:
     return list(dict.fromkeys([*found, *([by_name] if by_name else [])]))
 
 
-def formats_in(spark: SparkSession, path: str, most: int = 64 << 20) -> DataFrame:
-    """path and format of every file in a folder, from first bytes and extension. Spark's reader of binary files hands over whole
-    files, so files of more than `most` bytes go by their extension alone and are not opened."""
-    files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= most).select("path", F.substring("content", 1, 4).alias("_m"))
-    large = files.where(F.col("length") > most).select("path", F.lit(None).cast("binary").alias("_m"))
-    by_bytes = F.coalesce(*(F.when(F.substring("_m", 1, len(m)) == F.lit(m), F.lit(f)) for m, f in MAGIC))
-    ending = F.regexp_extract(F.lower("path"), r"(\.[a-z0-9]+)$", 1)
+def format_names(name: Column, head: Column) -> Column:
+    """The same of columns: a list for each name (or path) and first bytes."""
+    by_bytes = F.coalesce(*(F.when(F.substring(head, 1, len(m)) == F.lit(m), F.lit(f)) for m, f in MAGIC))
+    ending = F.regexp_extract(F.lower(name), r"(\.[a-z0-9]+)$", 1)
     by_name = F.element_at(F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv)), ending)
-    return small.unionByName(large).select("path", F.array_distinct(F.array_compact(F.array(by_bytes, by_name))).alias("formats"))
+    return F.array_distinct(F.array_compact(F.array(by_bytes, by_name)))
+
+
+def formats_in(spark: SparkSession, path: str) -> DataFrame:
+    """path and formats of every file in a folder, from first bytes and extension. Files of any size are opened for their head."""
+    return file_heads(spark, path).select("path", format_names(F.col("path"), F.col("head")).alias("formats"))
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """place and line of a text file, without a byte order mark."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias(ROW), F.trim(F.regexp_replace("value", "^﻿", "")).alias("line"))
+    """place and line of a text file, or of a folder's files by their names, without a byte order mark."""
+    return read_lines(spark, path).select(ROW, F.trim(F.regexp_replace("value", "^﻿", "")).alias("line"))
+
+
+def lines_of_texts(texts: DataFrame, text: str, order: str) -> DataFrame:
+    """place and line of a column of texts, one after the other in the order of a whole-numbered column."""
+    split = texts.select(F.col(order).alias("_o"), F.posexplode(F.split(text, r"\r?\n")).alias("_at", "line"))
+    return split.select((F.col("_o") * (1 << 31) + F.col("_at")).alias(ROW), F.trim(F.regexp_replace("line", "^﻿", "")).alias("line"))
 
 
 def lines_in(spark: SparkSession, text: str) -> DataFrame:
@@ -100,7 +110,7 @@ def load_file(spark: SparkSession, path: str) -> Table:
     """By extension: .json, .xyz, .parquet, and delimited text for the rest."""
     name, kind = os.path.basename(path), os.path.splitext(path.lower())[1]
     if kind == ".json":
-        return json_table(spark, spark.read.text(path, wholetext=True), name)
+        return json_file(spark, path, name)
     if kind == ".parquet":
         return Table(spark.read.parquet(path), name, (), f"load:{name}")
     return delimited_table(lines_of(spark, path), name, XYZ_NAMES if kind == ".xyz" else DEFAULT_NAMES)
@@ -227,6 +237,39 @@ def model_kind(name: str, first_line: str = "") -> str | None:
     return MODEL_COLUMNS.get(len([t for t in re.split(r"[\s,]+", first_line) if t]))
 
 
+def model_kinds(name: Column, first_line: Column) -> Column:
+    """The same of columns; null where nothing speaks for a kind."""
+    by_name = F.coalesce(*(F.when(F.lower(name).contains(word), F.lit(kind)) for word, kind in MODEL_WORDS))
+    width = F.size(F.filter(F.split(first_line, r"[\s,]+"), lambda t: t != ""))
+    return F.coalesce(by_name, F.try_element_at(F.create_map(*(F.lit(x) for kv in MODEL_COLUMNS.items() for x in kv)), width))
+
+
+def consumers_of(name: Column, head: Column, consumers: dict[str, list[str]]) -> Column:
+    """The consumers, by name with the extensions they take, of files with these names and first bytes."""
+    formats, ending = format_names(name, head), F.regexp_extract(F.lower(name), r"(\.[a-z0-9]+)$", 1)
+
+    def takes(extensions: list[str]) -> Column:
+        own = [e.lower() for e in extensions]
+        return ending.isin(own) | F.arrays_overlap(formats, F.array(*(F.lit(e.lstrip(".")) for e in own)))
+
+    return F.array_compact(F.array(*(F.when(takes(e), F.lit(c)) for c, e in consumers.items())))
+
+
+def learning_rows(lines: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows for learning, and their columns' names. A first line with a word that begins with no number names the columns, else they
+    are x0, x1, ...; rows of that many numbers stay, each the number that its word begins with, and all finite."""
+    rows = lines.where("line <> ''").withColumn("_t", tokens())
+    top = rows.orderBy(ROW).limit(1).select("_t", F.transform("_t", prefix_number).alias("_v"), F.col(ROW).alias("_at")).first()
+    if top is None:
+        return lines.select(ROW).limit(0), []
+    sound = lambda v: v is not None and abs(v) < float("inf")
+    named = not all(map(sound, top["_v"]))
+    names = list(top["_t"]) if named else [f"x{i}" for i in range(len(top["_t"]))]
+    body = rows.where(F.col(ROW) > top["_at"]) if named else rows
+    body = body.withColumn("_v", F.transform("_t", prefix_number)).where((F.size("_v") == len(names)) & ~F.exists("_v", lambda v: v.isNull() | (F.abs(v) >= float("inf"))))
+    return body.select(ROW, *(F.col("_v")[i].alias(n) for i, n in enumerate(names))), names
+
+
 def routed(name: str, first: bytes, consumers: dict[str, list[str]]) -> list[str]:
     """The consumers, by name with the extensions they take, of a file with this name and these first bytes."""
     formats = set(formats_of(name, first))
@@ -235,8 +278,8 @@ def routed(name: str, first: bytes, consumers: dict[str, list[str]]) -> list[str
 
 
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """path, width and height of the images in a folder."""
-    return spark.read.format("image").load(path).select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    """path, width and height of the images in a folder, from their headers; nothing is decoded. Other files are left out."""
+    return file_heads(spark, path).where("width is not null").select("path", "width", "height")
 
 
 def number_rows(lines: DataFrame) -> DataFrame:
@@ -252,6 +295,7 @@ def histogram_rows(lines: DataFrame) -> DataFrame:
     begins = rows.orderBy(ROW).limit(1).where(F.col("line").rlike(r"^[\[{]")).count()
     if not begins and firsts.limit(4).count() == 4:
         return firsts
+    # fixed value: what counts as a number within other text
     found = F.regexp_extract_all("line", F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1))
     return rows.select(ROW, F.posexplode(found).alias("at", "_n")).select(ROW, "at", F.col("_n").cast("double").alias("value"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INF, lcg
@@ -19,6 +19,13 @@ def clamp_count(value: float, fallback: int, most: int) -> int:
     return fallback if v != v or abs(v) == INF else min(most, max(1, math.floor(v)))
 
 
+def clamp_counts(value: Column, fallback: int, most: int) -> Column:
+    """The same of a column."""
+    v = value.cast("double")
+    whole = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most))))))
+    return F.when(F.isnan(v) | (F.abs(v) == INF), F.lit(fallback)).otherwise(whole).cast("long")
+
+
 def example_data(spark: SparkSession, count: float = 100, seed: int = 1) -> Table:
     """t around the circle once, and x = sin t with noise of +-0.1."""
     n = clamp_count(count, 100, MOST_ROWS)

@@ -56,6 +56,13 @@ class Table:
     def to_df(self) -> DataFrame:
         return self.df.drop(ROW)
 
+    def previewed(self, rows: int = 20) -> DataFrame:
+        """The same as a table of text, without the driver."""
+        from .functions.numeric import shown_text
+
+        top = self.ordered().orderBy(ROW).limit(rows)
+        return top.select(ROW, *(shown_text(F.col(f.name), f.dataType).alias(f.name) for f in top.schema if f.name != ROW))
+
     def preview(self, rows: int = 20) -> list[dict]:
         """The first rows, for display: numbers to four decimals, infinities and NaN as signs."""
         top = self.ordered().orderBy(ROW).limit(rows).drop(ROW).collect()
