@@ -173,9 +173,9 @@ def written_views_of_plot(spark, sf_dir):
     return _written(spark, [(kind, s.plot(kind, t, **columns)) for kind, columns in chosen])
 
 
-@query("SELECT printf('%d', o_orderkey) AS key, rtrim(rtrim(printf('%.4f', o_totalprice / 8), '0'), '.') AS eighth, o_orderstatus AS status FROM orders ORDER BY o_orderkey LIMIT 12")
+@query("SELECT printf('%d', o_orderkey) AS key, rtrim(rtrim(printf('%.4f', o_totalprice / 7), '0'), '.') AS seventh, o_orderstatus AS status FROM orders ORDER BY o_orderkey LIMIT 12")
 def previewed_rows(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") / 8).alias("eighth"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("long").alias(ROW))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_totalprice") / 7).alias("seventh"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("long").alias(ROW))
     return Table(o).previewed(12).drop(ROW)
 
 
@@ -231,7 +231,7 @@ def logistic_history(spark, sf_dir):
     return spark.createDataFrame([(r["epoch"], f) for r, f in zip(history, falls)], "epoch long, loss string")
 
 
-@query("SELECT p_partkey, round(7.0 + 3.0 * p_size, 2) AS score FROM part")
+@query("SELECT p_partkey, round(7.0::DOUBLE + 3.0::DOUBLE * p_size, 2) AS score FROM part")
 def exported_weights(spark, sf_dir):
     """A model's exported weights, applied as a column, are the model."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_size") * 3.0 + 7).alias("y"))
