@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numeric import INF, real
-from .storage import erased, written
+from .storage import counted, erased, written
 
-RANGES = 1024
+RANGES = 4096
+FEW = 1000  # groups whose state the driver hands on
 
 
 def by_value(v: Column, low: Column, high: Column) -> Column:
@@ -36,28 +37,31 @@ def by_magnitude(v: Column, low: Column, high: Column) -> Column:
 
 def selected(df: DataFrame, group: str, value: str, places: dict[str, Column], keep_nan: bool = False) -> DataFrame:
     """For each group its size n and the values at the given places (from 0, in terms of n) in value order. Nulls and null groups
-    are left out; NaN is left out, or comes last with `keep_nan`. What a round leaves is a row for each group and place at most,
-    written to the shared folder; rows are read again in each of the few rounds, and never shuffled but as counts."""
+    are left out; NaN is left out, or comes last with `keep_nan`. What a round leaves is a row for each group and place at most;
+    rows are read again in each of the few rounds, and never shuffled but as counts."""
     rows = df.select(F.col(group).alias("_g"), real(F.col(value)).alias("_v")).where("_v is not null and _g is not null")
     if not keep_nan:
         rows = rows.where(~F.isnan("_v"))
     v = F.col("_v")
     finite = F.abs(v) < INF  # also false for NaN, which is greater
     ends = [f(F.when(finite, v)).alias(n) for n, f in (("low", F.min), ("high", F.max))]
-    sizes = written(rows.groupBy("_g").agg(F.count("*").alias("n"), F.count_if(finite).alias("_finite"), F.count_if(v == -INF).alias("_least"), F.count_if(v == INF).alias("_most"), *ends))
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("n"), F.count_if(finite).alias("_finite"), F.count_if(v == -INF).alias("_least"), F.count_if(v == INF).alias("_most"), *ends)
+    first = sizes.limit(FEW + 1).toArrow()
+    few = first.num_rows <= FEW
+    sizes = df.sparkSession.createDataFrame(first, sizes.schema) if few else written(sizes)
     rows = rows.where(finite)
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), (at.cast("long") - F.col("_least")).alias("at")) for name, at in places.items()))
     state = sizes.where("_finite > 0").select("_g", F.lit(0).cast("long").alias("below"), "low", "high", F.filter(wanted, lambda p: (p.at >= 0) & (p.at < F.col("_finite"))).alias("places"))
     steps: list[DataFrame] = []
     order = Window.partitionBy("_g", "low").orderBy("_range")
     while True:
-        state = written(state.where(F.size("places") > 0))
+        state, left = kept(state.where(F.size("places") > 0), few)
         steps.append(state)
-        left = state.where("low < high")
-        if left.isEmpty():
+        if not left:
             break
         cut = by_value if len(steps) % 2 else by_magnitude
-        counts = rows.join(left, "_g").where(v.between(F.col("low"), F.col("high"))).groupBy("_g", "low", "below", cut(v, F.col("low"), F.col("high")).alias("_range"))
+        open_ = state.where("low < high")
+        counts = rows.join(F.broadcast(open_) if few else open_, "_g").where(v.between(F.col("low"), F.col("high"))).groupBy("_g", "low", "below", cut(v, F.col("low"), F.col("high")).alias("_range"))
         counts = counts.agg(F.count("*").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first("places").alias("places"))
         upto = F.col("below") + F.sum("_n").over(order)
         counts = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
@@ -73,6 +77,16 @@ def selected(df: DataFrame, group: str, value: str, places: dict[str, Column], k
         from_most = F.col("_least") + F.col("_finite")
         return F.when(at < F.col("_least"), -INF).when(at < from_most, F.col(name)).when(at < from_most + F.col("_most"), INF).when(at < F.col("n"), float("nan"))
 
-    out = written(out.select(F.col("_g").alias(group), "n", *(answer(name, at).alias(name) for name, at in places.items())))
+    out, _ = kept(out.select(F.col("_g").alias(group), "n", *(answer(name, at).alias(name) for name, at in places.items()), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")), few)
     erased(sizes, *steps)
-    return out
+    return out.drop("low", "high")
+
+
+def kept(state: DataFrame, few: bool) -> tuple[DataFrame, int]:
+    """A round's state, and how many rows are still open: of few groups a local table, else written to the shared folder."""
+    if not few:
+        out, seen = counted(state, left=F.count_if(F.col("low") < F.col("high")))
+        return out, seen["left"]
+    rows = state.toArrow()
+    left = sum(a < b for a, b in zip(rows.column("low").to_pylist(), rows.column("high").to_pylist()))
+    return state.sparkSession.createDataFrame(rows, state.schema), left

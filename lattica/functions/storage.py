@@ -7,10 +7,10 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _FOLDERS: dict[str, str] = {}  # of applications whose setting is unset
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, tuple[str, ...]] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,22 +36,27 @@ def written(df: DataFrame, by: str | None = None, **options: str) -> DataFrame:
     writer = df.write.options(**options)
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
+    _PATHS[out] = (path,)
     return out
 
 
+def counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`written`, and aggregates over its rows, which the same job takes."""
+    seen = Observation()
+    out = written(df.observe(seen, *(c.alias(n) for n, c in counts.items())))
+    return out, {n: seen.get.get(n) or 0 for n in counts}
+
+
 def erased(*tables: DataFrame, part: str = "") -> None:
     """Deletes the files of tables that `written` returned and that nothing reads any more, or those of a part (`column=value`) of
     one that was written by a column. Other tables, and those that are derived from written ones, are left alone."""
     for df in tables:
-        own = _PATHS.get(df) if part else _PATHS.pop(df, None)
-        if own:
+        for own in (_PATHS.get(df) if part else _PATHS.pop(df, None)) or ():
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{own}/{part}" if part else own)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def passed_on(view: DataFrame, table: DataFrame) -> DataFrame:
-    """The view of a written table, which owns the table's files from now on."""
-    if table in _PATHS:
-        _PATHS[view] = _PATHS.pop(table)
+def passed_on(view: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The view of written tables, which owns their files from now on."""
+    _PATHS[view] = tuple(path for t in tables for path in _PATHS.pop(t, ()))
     return view

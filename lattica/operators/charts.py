@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +62,41 @@ def violin_box(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def kernel_density(df: DataFrame, group: str, value: str, points: int = 65, bandwidth: float = 1.0, pad: float = 0.05) -> DataFrame:
     """Gaussian density of each group at `points` places over all groups' padded range. The bandwidth is bandwidth * population
-    deviation (1 if that is 0) * 1.06 * n^(-1/5). A row adds to the sums of all places at once, so that a task hands on one row of
-    sums for each group; these become rows, one for each place, when all is added up."""
+    deviation (1 if that is 0) * 1.06 * n^(-1/5). A task adds its rows up to one row of sums for each of its groups; only these
+    become rows, one for each place, and meet."""
     v = df.select(group, real(F.col(value)).alias("_v")).where(~F.isnan("_v"))
     groups = v.groupBy(group).agg(F.count("*").alias("n"), F.stddev_pop("_v").alias("_std"))
     h = F.lit(bandwidth) * F.when(F.col("_std") == 0, F.lit(1.0)).otherwise(F.col("_std")) * 1.06 * F.pow("n", F.lit(-0.2))
     groups = with_limits(groups.withColumn("h", h).drop("_std"), v)
     span = F.col("_high") - F.col("_low")
     margin = F.when(span == 0, F.lit(1.0)).otherwise(span) * pad
-    at = [F.col("_low") - margin + (span + 2 * margin) * F.lit(k) / (points - 1) for k in range(points)]
-    rows = v.join(groups.withColumns({"_from": at[0], "_step": (span + 2 * margin) / (points - 1)}).select(group, "n", "h", "_from", "_step"), group)
-    u = [(F.col("_from") + F.col("_step") * k - F.col("_v")) / F.col("h") for k in range(points)]
-    sums = rows.groupBy(group).agg(F.first("n").alias("n"), F.first("h").alias("h"), *(F.sum(F.exp(-0.5 * x * x)).alias(f"_{k}") for k, x in enumerate(u)))
-    places = F.array(*(F.struct(F.lit(k).cast("long").alias("point"), x.alias("x"), F.col(f"_{k}").alias("_sum")) for k, x in enumerate(at)))
-    out = with_limits(sums, v).select(group, "n", "h", F.inline(places))
-    return out.select(group, "point", "x", (F.col("_sum") / (F.col("n") * F.col("h"))).alias("density"))
+    groups = groups.select(group, "n", "h", (F.col("_low") - margin).alias("_from"), (span + 2 * margin).alias("_span"))
+    at = np.arange(points) / (points - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            kind = batch.column(0).dictionary_encode()
+            codes = kind.indices.fill_null(len(kind.dictionary)).to_numpy(zero_copy_only=False)
+            v, h, start, width = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5))
+            for code in np.unique(codes):
+                own = np.flatnonzero(codes == code)
+                name = kind.dictionary[int(code)] if code < len(kind.dictionary) else None
+                places = start[own[0]] + width[own[0]] * at
+                total = sums.setdefault(name, np.zeros(points))
+                for k in range(0, len(own), 4096):
+                    total += np.exp(-0.5 * ((places - v[own[k : k + 4096], None]) / h[own[0]]) ** 2).sum(0)
+        if sums:
+            names = pa.array([None if x is None else x.as_py() for x in sums], kind.dictionary.type)
+            yield pa.RecordBatch.from_arrays([names, pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], ["g", "sums"])
+
+    named = groups.withColumnRenamed(group, "_g")
+    rows = v.join(named, F.col(group) == F.col("_g")).select("_g", "_v", "h", "_from", "_span")
+    kind = dict(groups.dtypes)[group]
+    parts = rows.mapInArrow(run, f"_g {kind}, sums array<double>").select("_g", F.posexplode("sums").alias("point", "_sum"))
+    sums = parts.groupBy("_g", "point").agg(F.sum("_sum").alias("_sum")).join(named, "_g")
+    place = F.col("_from") + F.col("_span") * F.col("point") / (points - 1)
+    return sums.select(F.col("_g").alias(group), F.col("point").cast("long").alias("point"), place.alias("x"), (F.col("_sum") / (F.col("n") * F.col("h"))).alias("density"))
 
 
 def with_limits(groups: DataFrame, values: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import ranked
-from ..functions.storage import erased, written
+from ..functions.storage import counted, erased, passed_on, written
 
 
 def tree_nodes(rows: DataFrame, label: str = "label", parent: str = "parent", size: str = "size") -> DataFrame:
@@ -22,29 +22,18 @@ def path_sums(nodes: DataFrame, weights: dict[str, Column]) -> DataFrame:
     what its present goal has summed up, and that one's goal, so that a path of n nodes takes about log2(n) rounds. `parent` is
     null for roots. Nodes on a cycle, and those below one, reach no root: after as many rounds as any path needs, they go."""
     names = list(weights)
-    active = written(nodes.select("label", F.col("parent").alias("goal"), *(w.alias(n) for n, w in weights.items())))
-    rounds = max(1, active.count()).bit_length() + 1
-    done = [active.where("goal is null").drop("goal")]
-    steps = [active]
-    active = active.where("goal is not null")
-    while rounds and not active.isEmpty():
+    left = {"left": F.count_if(F.col("goal").isNotNull()), "n": F.count("*")}
+    step, seen = counted(nodes.select("label", F.col("parent").alias("goal"), *(w.alias(n) for n, w in weights.items())), **left)
+    rounds = max(1, seen["n"]).bit_length() + 1
+    steps, ended = [step], step.where("goal is null")
+    while rounds and seen["left"]:
         rounds -= 1
-        ahead = steps[-1].select(F.col("label").alias("goal"), F.col("goal").alias("_next"), *(F.col(n).alias(f"_{n}") for n in names))
-        if len(steps) > 1:  # roots and what has reached them
-            ended = done[0]
-            for more in done[1:]:
-                ended = ended.unionByName(more)
-            ahead = ahead.where("_next is not null").unionByName(ended.select(F.col("label").alias("goal"), F.lit(None).cast(dict(nodes.dtypes)["label"]).alias("_next"), *(F.col(n).alias(f"_{n}") for n in names)))
-        step = written(active.join(ahead, "goal").select("label", F.col("_next").alias("goal"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in names)))
+        open_ = step.where("goal is not null")
+        ahead = ended.unionByName(open_).select(F.col("label").alias("goal"), F.col("goal").alias("_next"), *(F.col(n).alias(f"_{n}") for n in names))
+        step, seen = counted(open_.join(ahead, "goal").select("label", F.col("_next").alias("goal"), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in names)), **left)
         steps.append(step)
-        done.append(step.where("goal is null").drop("goal"))
-        active = step.where("goal is not null")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    out = written(out)
-    erased(*steps)
-    return out
+        ended = ended.unionByName(step.where("goal is null"))
+    return passed_on(ended.drop("goal"), *steps)
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
@@ -71,39 +60,45 @@ def folded(placed: DataFrame, measures: dict[str, tuple[Column | None, Column]])
     rows = placed.select("label", F.when(F.col("depth") > 1, F.col("parent")).alias("parent"), *(F.lit(-math.inf).alias(f"floor_{n}") if floor is None else floor.cast("double").alias(f"floor_{n}") for n, (floor, _) in measures.items()), *(own.cast("double").alias(f"own_{n}") for n, (_, own) in measures.items()))
     children = rows.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("open"))
     none = [F.lit(None).cast(kind).alias("goal"), *(F.lit(None).cast("double").alias(f"{x}_{n}") for n in names for x in ("a", "b"))]
-    active = written(rows.join(children, "label", "left").fillna(0, ["open"]).select("*", *none))
-    steps, known, last = [active], [], None
-    while not active.isEmpty():
-        leaves = active.where("open = 0").select("label", "parent", *(F.greatest(f"floor_{n}", f"own_{n}").alias(n) for n in names))
-        found = leaves
-        if last is not None:
-            ends = last.select(F.col("label").alias("goal"), *(F.col(n).alias(f"_{n}") for n in names))
-            found = leaves.unionByName(active.where("open > 0").join(ends, "goal").select("label", "parent", *(F.greatest(F.col(f"a_{n}"), F.col(f"b_{n}") + F.col(f"_{n}")).alias(n) for n in names)))
-        last = written(found)
-        known.append(last)
-        sums = last.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("_done"), *(F.sum(n).alias(f"_{n}") for n in names))
-        left = active.join(last.select("label"), "label", "left_anti").join(sums, "label", "left").withColumns({"open": F.col("open") - F.coalesce("_done", F.lit(0)), **{f"own_{n}": F.col(f"own_{n}") + F.coalesce(f"_{n}", F.lit(0.0)) for n in names}}).drop("_done", *(f"_{n}" for n in names))
-        left = written(left)
-        steps.append(left)
-        # the one open child of nodes that have just one now, and the function of its result
-        only = left.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.min("label").alias("_only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-        new = F.col("goal").isNull() & (F.col("open") == 1)
-        left = left.join(only, "label", "left").withColumns({f"{x}_{n}": F.when(new, F.col(f"{y}_{n}")).otherwise(F.col(f"{x}_{n}")) for n in names for x, y in (("a", "floor"), ("b", "own"))})
-        left = written(left.withColumn("goal", F.when(new, F.col("_only")).otherwise(F.col("goal"))).drop("_only"))
-        steps.append(left)
-        inner = left.where("goal is not null").select(F.col("label").alias("goal"), F.col("goal").alias("_goal"), *(F.col(f"{x}_{n}").alias(f"_{x}_{n}") for n in names for x in ("a", "b")))
-        into = {f"a_{n}": F.when(F.col("_goal").isNull(), F.col(f"a_{n}")).otherwise(F.greatest(F.col(f"a_{n}"), F.col(f"b_{n}") + F.col(f"_a_{n}"))) for n in names}
-        into |= {f"b_{n}": F.col(f"b_{n}") + F.coalesce(f"_b_{n}", F.lit(0.0)) for n in names}
-        active = written(left.join(inner, "goal", "left").withColumns({**into, "goal": F.coalesce("_goal", "goal")}).drop("_goal", *(f"_{x}_{n}" for n in names for x in ("a", "b"))))
+    left = {"n": F.count("*"), "single": F.count_if((F.col("open") == 1) | F.col("goal").isNotNull())}
+    active, seen = counted(rows.join(children, "label", "left").fillna(0, ["open"]).select("*", *none), **left)
+    steps, known = [active], []
+    while seen["n"]:
+        found = active.where("open = 0").select("label", "parent", *(F.greatest(f"floor_{n}", f"own_{n}").alias(n) for n in names))
+        if known:
+            ends = known[-1].select(F.col("label").alias("goal"), *(F.col(n).alias(f"_{n}") for n in names))
+            found = found.unionByName(active.where("open > 0").join(ends, "goal").select("label", "parent", *(F.greatest(F.col(f"a_{n}"), F.col(f"b_{n}") + F.col(f"_{n}")).alias(n) for n in names)))
+        found, got = counted(found, n=F.count("*"))
+        known.append(found)
+        if got["n"] == seen["n"]:
+            break
+        sums = found.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.count("*").alias("_done"), *(F.sum(n).alias(f"_{n}") for n in names))
+        rest = active.join(found.select("label"), "label", "left_anti").join(sums, "label", "left").withColumns({"open": F.col("open") - F.coalesce("_done", F.lit(0)), **{f"own_{n}": F.col(f"own_{n}") + F.coalesce(f"_{n}", F.lit(0.0)) for n in names}}).drop("_done", *(f"_{n}" for n in names))
+        active, seen = counted(rest, **left)
         steps.append(active)
+        if seen["single"]:
+            active, more = shortened(active, names)
+            steps += [*more, active]
     if not known:
         return placed.select("label", *(F.lit(0.0).alias(n) for n in names)).limit(0)
     out = known[0]
     for more in known[1:]:
         out = out.unionByName(more)
-    out = written(out.select("label", *names))
-    erased(*steps, *known)
-    return out
+    erased(*steps)
+    return passed_on(out.select("label", *names), *known)
+
+
+def shortened(active: DataFrame, names: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """Open nodes of `folded`: those with one open child now have it as their goal, and goals that have a goal themselves are passed
+    by. Also returns what was written in between."""
+    only = active.where("parent is not null").groupBy(F.col("parent").alias("label")).agg(F.min("label").alias("_only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    new = F.col("goal").isNull() & (F.col("open") == 1)
+    own = {f"{x}_{n}": F.when(new, F.col(f"{y}_{n}")).otherwise(F.col(f"{x}_{n}")) for n in names for x, y in (("a", "floor"), ("b", "own"))}
+    named = written(active.join(only, "label", "left").withColumns(own).withColumn("goal", F.when(new, F.col("_only")).otherwise(F.col("goal"))).drop("_only"))
+    inner = named.where("goal is not null").select(F.col("label").alias("goal"), F.col("goal").alias("_goal"), *(F.col(f"{x}_{n}").alias(f"_{x}_{n}") for n in names for x in ("a", "b")))
+    into = {f"a_{n}": F.when(F.col("_goal").isNull(), F.col(f"a_{n}")).otherwise(F.greatest(F.col(f"a_{n}"), F.col(f"b_{n}") + F.col(f"_a_{n}"))) for n in names}
+    into |= {f"b_{n}": F.col(f"b_{n}") + F.coalesce(f"_b_{n}", F.lit(0.0)) for n in names}
+    return written(named.join(inner, "goal", "left").withColumns({**into, "goal": F.coalesce("_goal", "goal")}).drop("_goal", *(f"_{x}_{n}" for n in names for x in ("a", "b")))), [named]
 
 
 def rolled_up(placed: DataFrame) -> DataFrame:
