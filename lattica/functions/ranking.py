@@ -37,6 +37,29 @@ def ranked(df: DataFrame, value: str, ties: list[Column | str] | None = None, wi
     return rows.join(firsts, within).withColumn(rank, F.col(rank) - F.col("__first")).drop("__first")
 
 
+def sums_before(df: DataFrame, order: list[Column | str], weight: Column | str, within: list[str], out: str) -> DataFrame:
+    """Adds `out`: the sum of the weights of the rows before each, in the given order, of its group.
+
+    Rows are dealt by ranges of groups and order together, sorted there and written, so a group of any size is spread out. Sums run
+    within a part's groups; only a group that began in an earlier part adds what it has there, which is a row for each part at
+    most. So a group in one part is summed in its order alone, and no other group's values round its sums.
+    """
+    keys = [*within, *order]
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    rows = written(df.withColumn("__w", weight).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))
+    own = Window.partitionBy("__part", *within).orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__part", *within).agg(F.sum("__w").alias("__total"))
+    begun = totals.withColumn("__before", F.sum("__total").over(earlier)).where("__before is not null").drop("__total")
+    begun = begun.withColumnsRenamed({"__part": "__p", **{c: f"__g{k}" for k, c in enumerate(within)}})
+    same = F.col("__part") == F.col("__p")
+    for k, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    rows = rows.withColumn("__own", F.sum("__w").over(own)).join(F.broadcast(begun), same, "left")
+    zero = F.lit(0).cast(dict(rows.dtypes)["__w"])
+    return rows.withColumn(out, F.coalesce("__before", zero) + F.coalesce("__own", zero)).drop("__w", "__part", "__place", "__own", "__before", "__p", *(f"__g{k}" for k in range(len(within))))
+
+
 def in_file_order(df: DataFrame, rank: str = "rn") -> DataFrame:
     """Adds `rank`, from 1, to the rows of a scan of Parquet files: by file name, then by place in the file. Scans know a row's place
     in its file, so nothing is shuffled or sorted; how many rows the files before it have comes from a count by file."""

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import ranked
+from ..functions.ranking import ranked, sums_before
 from ..functions.storage import written
 
 
@@ -45,7 +45,7 @@ def flow_levels(edges: DataFrame, source: str = "source", target: str = "target"
         frontier = written(nxt.withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
-        known = written(known.unionByName(frontier))
+        known = known.unionByName(frontier)
     return every.join(known, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
 
 
@@ -72,15 +72,13 @@ def component_summary(components: DataFrame) -> DataFrame:
 
 
 def ribbon_offsets(edges: DataFrame, by: str, value: str, order: str) -> DataFrame:
-    """Where each edge starts on its node: the sum of the values before it. A node's edges are numbered in one task."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return edges.withColumn("offset", F.coalesce(F.sum(value).over(before), F.lit(0.0)))
+    """Where each edge starts on its node: the sum of the values before it. A node's edges are spread over tasks."""
+    return sums_before(edges, [order], value, [by], "offset")
 
 
 def stacked(nodes: DataFrame, level: str, total: str, ties: str, gap: float = 0.0) -> DataFrame:
     """Nodes of a level below each other, the largest first, with a gap between them: y."""
-    before = Window.partitionBy(level).orderBy(F.desc(total), ties).rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn("y", F.coalesce(F.sum(F.col(total) + F.lit(gap)).over(before), F.lit(0.0)))
+    return sums_before(nodes, [F.desc(total), ties], F.col(total) + F.lit(gap), [level], "y")
 
 
 def indexed(nodes: DataFrame, order: str, node: str = "id") -> DataFrame:

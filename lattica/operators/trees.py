@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import ranked
+from ..functions.ranking import ranked, sums_before
 from ..functions.storage import counted, erased, passed_on, written
 
 
@@ -126,13 +126,12 @@ def preorder(placed: DataFrame) -> DataFrame:
 def slices(totals: DataFrame) -> DataFrame:
     """Boxes of a treemap in the unit square: each node's box is cut among its children along its longer side, in proportion to
     their totals, the largest first. Level by level."""
-    share = Window.partitionBy("parent").orderBy(F.desc("total"), "label")
     rows = totals.withColumn("parent", F.when(F.col("depth") > 1, F.col("parent")))
     every = rows.groupBy("parent").agg(F.sum("total").alias("_all"))
-    before = F.coalesce(F.sum("total").over(share.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = sums_before(rows, [F.desc("total"), F.asc("label")], "total", ["parent"], "_before")
     rows = rows.join(every, rows.parent.eqNullSafe(every.parent)).drop(every.parent)
     whole = F.when(F.col("_all") == 0, F.lit(1.0)).otherwise(F.col("_all"))
-    rows = written(rows.withColumns({"_from": before / whole, "_part": F.col("total") / whole}).drop("_all"))
+    rows = written(rows.withColumns({"_from": F.col("_before") / whole, "_part": F.col("total") / whole}).drop("_all", "_before"))
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     boxes, out = None, None
     for depth in range(1, deepest + 1):

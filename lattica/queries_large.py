@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import colors
 from .functions.storage import shared_folder
 from .operators import learn, rows, trees
-from .plans import blocks
+from .plans import blocks, plugins
 from .queries import query, read, rounded
 from .sources import files, heads, json_documents, sinks
 from .studio import Studio
@@ -256,3 +256,23 @@ def chains_of_orders(spark, sf_dir):
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i % 41 = 0")
 def stride_in_file_order(spark, sf_dir):
     return rows.every_nth(read(spark, sf_dir, "events").select("event_id"), None, 41)
+
+
+# plugins
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(avg((value - m) ** 3) / stddev_pop(value) ** 3, 6) AS skewness FROM (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1")
+def plugin_moments(spark, sf_dir):
+    """A plugin that says its own schema and partitioning, called for a DataFrame."""
+    return rounded(plugins.applied(read(spark, sf_dir, "events").select("event_type", "value"), plugins.Moments, column="value", by="event_type"))
+
+
+@query("WITH e AS (SELECT event_type, value > 60 AS above, lag(value > 60) OVER (PARTITION BY event_type ORDER BY event_id) AS before FROM events) SELECT event_type, count(*) FILTER (above AND NOT before) AS rises, count(*) FILTER (NOT above AND before) AS falls FROM e GROUP BY 1")
+def plugin_crossings(spark, sf_dir):
+    """A plugin that takes rows in an order of its own, called from SQL."""
+    plugins.register(spark, plugins.Crossings)
+    view = f"events_{uuid.uuid4().hex}"
+    read(spark, sf_dir, "events").createOrReplaceTempView(view)
+    out = spark.sql(f"SELECT * FROM crossings(TABLE({view}), column => 'value', by => 'event_type', along => 'event_id', level => 60.0)")
+    spark.catalog.dropTempView(view)
+    return out

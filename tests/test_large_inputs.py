@@ -215,6 +215,21 @@ def test_density_against_the_formula(spark):
         assert x.x == pytest.approx(at) and x.density == pytest.approx(np.exp(-0.5 * ((at - own) / h) ** 2).sum() / (len(own) * h))
 
 
+def test_sums_before_rows_of_groups_in_several_parts(spark):
+    r = random.Random(2)
+    data = [(g, i, r.random() * 10 ** r.randrange(6)) for g in ("a", None, "c") for i in range(150)]
+    before, wanted = {}, {}
+    for g, i, w in data:
+        wanted[g, i] = before.get(g, 0.0)
+        before[g] = wanted[g, i] + w
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.sums_before(spark.createDataFrame(data, "g string, i long, w double").repartition(3), ["i"], "w", ["g"], "s").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(data) and all(x.s == pytest.approx(wanted[x.g, x.i]) for x in got)
+
+
 # trees
 
 

@@ -119,3 +119,27 @@ def test_file_block(spark, tmp_path):
     assert [r.x for r in out["1"]["table"].df.drop(ROW).collect()] == [3]
     with pytest.raises(TableError):
         graph.run(chain(("source.file", {"fileName": "b.csv"})), own)
+
+
+def test_plugins_as_table_functions(spark):
+    import numpy as np
+
+    from lattica.plans import plugins
+    from lattica.table import Table
+
+    rows = [("a", 1, 2.0), ("a", 2, None), ("a", 3, 5.0), ("a", 4, -1.0), (None, 1, 7.0), (None, 2, 7.0), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "g string, t long, v double")
+    got = {r.g: tuple(r)[1:] for r in plugins.applied(df, plugins.Moments, column="v", by="g").collect()}
+    x = np.array([2.0, 5.0, -1.0])
+    assert got.keys() == {"a", None} and got[None] == (2, 7.0, 0.0, 0.0)
+    assert np.allclose(got["a"], (3, x.mean(), x.std(), ((x - x.mean()) ** 3).mean() / x.std() ** 3))
+    plugins.register(spark, plugins.Crossings)
+    df.createOrReplaceTempView("plugin_rows")
+    call = "SELECT * FROM crossings(TABLE(plugin_rows), column => '{}', by => 'g', along => 't', level => 3.0)"
+    assert {r.g: (r.rises, r.falls) for r in spark.sql(call.format("v")).collect()} == {"a": (1, 1), None: (0, 0), "c": (0, 0)}
+    for wrong in (call.format("nope"), call.format("g"), "SELECT * FROM crossings(TABLE(plugin_rows), strange => 1)"):
+        with pytest.raises(Exception, match="column|takes a table"):
+            spark.sql(wrong)
+    spark.catalog.dropTempView("plugin_rows")
+    assert plugins.applied(df.limit(0), plugins.Moments, column="v", by="g").count() == 0
+    assert plugins.Moments.render(Table(spark.createDataFrame([("a", 1.0)], "g string, mean double"))).columns == ("mean",)
