@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import NAN, clamp, piecewise, real
 from ..functions.ranking import with_scalars
 
+SIDE = 64  # of a tile, in cells
+
 # fixed values: stops of the colour ramps as place: (red, green, blue); heat in shares, the others in 255ths
 HEAT = [(0.0, (0.13, 0.23, 0.74)), (0.25, (0.18, 0.64, 0.86)), (0.5, (0.17, 0.94, 0.67)), (0.75, (0.98, 0.86, 0.26)), (1.0, (0.93, 0.28, 0.13))]
 VIRIDIS = [(0.0, (68, 1, 84)), (0.25, (59, 82, 139)), (0.5, (33, 145, 140)), (0.75, (94, 201, 98)), (1.0, (253, 231, 37))]
@@ -77,13 +81,42 @@ def project_fitted(df: DataFrame, x: str, y: str, width: float, height: float, s
     return project(rows, x, y, width, height, F.col("scale"), F.col("ox"), F.col("oy"), size).drop("scale", "ox", "oy")
 
 
-def squares(cells: DataFrame) -> DataFrame:
+def tiles(cells: DataFrame, side: int = SIDE) -> DataFrame:
+    """The grid in square tiles, as a table that kernels work on row by row: tile_row, tile_col, and values, an array of side + 1 rows
+    of side + 1 values, of which the last row and column are those of the tiles below and to the right. Missing cells are null.
+    A cell is shuffled once, or twice or four times if it is in its tile's first row, column or both: 1 + 2 / side times or so."""
+    row, col = F.col("row").cast("long"), F.col("col").cast("long")
+    up, left = F.floor(row / side), F.floor(col / side)
+    in_tile = lambda dr, dc: F.struct((up - dr).alias("tile_row"), (left - dc).alias("tile_col"), ((row - (up - dr) * side) * (side + 1) + col - (left - dc) * side).cast("int").alias("at"))
+    top, first = (row % side == 0) & (row > 0), (col % side == 0) & (col > 0)
+    copies = F.array_compact(F.array(in_tile(0, 0), F.when(top, in_tile(1, 0)), F.when(first, in_tile(0, 1)), F.when(top & first, in_tile(1, 1))))
+
+    def dense(group: pa.Table) -> pa.Table:
+        values, there = np.zeros((side + 1) ** 2), np.zeros((side + 1) ** 2, bool)
+        at, value = group.column("at").to_numpy(), group.column("value")
+        values[at] = value.fill_null(0.0).to_numpy()
+        there[at] = ~value.is_null().to_numpy()
+        return pa.table({"tile_row": group.column("tile_row").slice(0, 1), "tile_col": group.column("tile_col").slice(0, 1), "values": pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, mask=~there))})
+
+    spread = cells.select(F.explode(copies).alias("c"), real(F.col("value")).alias("value")).select("c.*", "value")
+    return spread.groupBy("tile_row", "tile_col").applyInArrow(dense, "tile_row long, tile_col long, values array<double>")
+
+
+def _corners(at: Column, side: int) -> list[Column]:
+    """Four neighbours in a tile's values, from the upper left one's place."""
+    return [F.get("values", at + step).alias(name) for name, step in (("tl", 0), ("tr", 1), ("bl", side + 1), ("br", side + 2))]
+
+
+def squares(cells: DataFrame, side: int = SIDE) -> DataFrame:
     """Each cell with its right, lower and diagonal neighbour: tl, tr, bl, br. One shuffle; whole squares only."""
-    corner = lambda dr, dc, name: F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.lit(name).alias("corner"), F.col("value"))
-    spread = cells.select(F.explode(F.array(corner(0, 0, "tl"), corner(0, 1, "tr"), corner(1, 0, "bl"), corner(1, 1, "br"))).alias("s")).select("s.*")
-    names = ("tl", "tr", "bl", "br")
-    met = spread.groupBy("row", "col").agg(F.count("*").alias("n"), *(F.max(F.when(F.col("corner") == n, F.col("value"))).alias(n) for n in names))
-    return met.where("n = 4").drop("n")
+
+    def square(i: Column) -> Column:
+        r, c = F.floor(i / side).cast("int"), (i % side).cast("int")
+        return F.struct((F.col("tile_row") * side + r).alias("row"), (F.col("tile_col") * side + c).alias("col"), *_corners(r * (side + 1) + c, side))
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), square)
+    whole = F.filter(every, lambda s: s.tl.isNotNull() & s.tr.isNotNull() & s.bl.isNotNull() & s.br.isNotNull())
+    return tiles(cells, side).select(F.inline(whole))
 
 
 def contour_segments(cells: DataFrame, levels: int) -> DataFrame:
@@ -107,13 +140,17 @@ def contour_segments(cells: DataFrame, levels: int) -> DataFrame:
     return met.select("k", "level", "row", "col", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
-def bilinear(cells: DataFrame, places: DataFrame) -> DataFrame:
-    """Values between cells: places (fx, fy in columns and rows, kept inside the grid) with value."""
+def bilinear(cells: DataFrame, places: DataFrame, side: int = SIDE) -> DataFrame:
+    """Values between cells: places (fx, fy in columns and rows, kept inside the grid) with value. A place meets its tile, once, and
+    takes its four neighbours from there; places without four are left out."""
     size = cells.agg((F.max("row") - 1).alias("_r"), (F.max("col") - 1).alias("_c"))
     at = places.crossJoin(F.broadcast(size))
-    at = at.withColumns({"col": F.greatest(F.lit(0), F.least(F.floor("fx"), F.col("_c"))).cast("int"), "row": F.greatest(F.lit(0), F.least(F.floor("fy"), F.col("_r"))).cast("int")})
-    met = at.join(squares(cells).withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")}), ["row", "col"])
-    tx, ty = F.col("fx") - F.col("col"), F.col("fy") - F.col("row")
+    at = at.withColumns({"_col": F.greatest(F.lit(0), F.least(F.floor("fx"), F.col("_c"))).cast("long"), "_row": F.greatest(F.lit(0), F.least(F.floor("fy"), F.col("_r"))).cast("long")})
+    at = at.withColumns({"_tr": F.floor(F.col("_row") / side), "_tc": F.floor(F.col("_col") / side)})
+    place = ((F.col("_row") % side) * (side + 1) + F.col("_col") % side).cast("int")
+    met = at.join(tiles(cells, side), (F.col("_tr") == F.col("tile_row")) & (F.col("_tc") == F.col("tile_col")))
+    met = met.select(*places.columns, "_row", "_col", *_corners(place, side)).dropna(subset=["tl", "tr", "bl", "br"])
+    tx, ty = F.col("fx") - F.col("_col"), F.col("fy") - F.col("_row")
     top = F.col("tl") * (1 - tx) + F.col("tr") * tx
     low = F.col("bl") * (1 - tx) + F.col("br") * tx
     return met.withColumn("value", top * (1 - ty) + low * ty).select(*places.columns, "value")

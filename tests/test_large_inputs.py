@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import ranking, selection
-from lattica.operators import charts, rows, trees
+from lattica.operators import charts, grid, rows, trees
 from lattica.sources import files, heads, json_documents
 from lattica.table import ROW, TableError
 
@@ -230,6 +230,30 @@ def test_sums_before_rows_of_groups_in_several_parts(spark):
     assert len(got) == len(data) and all(x.s == pytest.approx(wanted[x.g, x.i]) for x in got)
 
 
+# grids
+
+
+@pytest.mark.parametrize("side", [1, 3, 64])
+def test_grids_in_tiles(spark, side):
+    """Whole squares and values between cells, also across tiles, with cells missing."""
+    r = np.random.default_rng(side)
+    z = r.normal(size=(8, 11))
+    missing = {(2, 3), (7, 10)}
+    cells = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(8) for j in range(11) if (i, j) not in missing], "row long, col int, value double").repartition(3)
+    got = {(x.row, x.col): (x.tl, x.tr, x.bl, x.br) for x in grid.squares(cells, side).collect()}
+    whole = [(i, j) for i in range(7) for j in range(10) if not {(i, j), (i, j + 1), (i + 1, j), (i + 1, j + 1)} & missing]
+    assert got == {(i, j): (z[i, j], z[i, j + 1], z[i + 1, j], z[i + 1, j + 1]) for i, j in whole}
+    places = [(k, float(x), float(y)) for k, (x, y) in enumerate(r.uniform(-1, 11, (40, 2)))] + [(40, 3.0, 3.0), (41, 10.0, 7.0)]
+    found = {x.id: x.value for x in grid.bilinear(cells, spark.createDataFrame(places, "id long, fx double, fy double"), side).collect()}
+    wanted = {}
+    for k, x, y in places:
+        i, j = min(6, max(0, math.floor(y))), min(9, max(0, math.floor(x)))
+        if (i, j) in got:
+            a, b, c, d = got[i, j]
+            wanted[k] = (a * (1 - (x - j)) + b * (x - j)) * (1 - (y - i)) + (c * (1 - (x - j)) + d * (x - j)) * (y - i)
+    assert found.keys() == wanted.keys() and all(found[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
 # trees
 
 
