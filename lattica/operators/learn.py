@@ -46,7 +46,7 @@ def logistic_fit(df: DataFrame, features: list[str], target: str, rounds: int =
 
 
 def perceptron_fit(df: DataFrame, features: list[str], target: str, classes: int, hidden: tuple = (64, 32), rounds: int = 100):
-    """Stands in for the reference's networks; Spark has no convolutions."""
+    """A classifying network by Spark's own learner, which has no convolutions."""
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol=target, layers=[len(features), *hidden, classes], maxIter=rounds, seed=1).fit(assembled(df, features))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from .functions.storage import shared_folder
 from .operators import charts, graphs, grid, learn, project, rows, stats, trees
 from .plans import blocks, graph
 from .queries import _CELLS, _COUNT, _LCG, _TREE, _cells, _flows, _tree, query, read, rounded
-from .sources import files
+from .sources import files, json_documents
 from .sources.generate import clamp_counts
 from .studio import Studio
 from .table import ROW, Table
@@ -27,11 +28,6 @@ def one_line(spark: SparkSession, place: int, line: str) -> DataFrame:
     return spark.createDataFrame([(place, line)], f"{ROW} long, line string")
 
 
-def text_of(df: DataFrame, order: str, line: Column) -> str:
-    """A small table as text on the driver, for the readers of text at hand."""
-    return "\n".join(r[0] for r in df.orderBy(order).select(line).collect())
-
-
 def without_place(t: Table | DataFrame) -> DataFrame:
     return (t.df if isinstance(t, Table) else t).drop(ROW)
 
@@ -61,21 +57,26 @@ def read_csv_file(spark, sf_dir):
     return without_place(files.load_file(spark, path))
 
 
-@query("SELECT n_nationkey::DOUBLE AS nation, n_regionkey::DOUBLE AS region FROM nation")
+@query("SELECT s_suppkey::DOUBLE AS supplier, s_nationkey::DOUBLE AS nation FROM supplier UNION ALL SELECT s_suppkey + 0.5, s_acctbal FROM supplier")
 def read_csv_text(spark, sf_dir):
-    text = "nation region\n" + text_of(read(spark, sf_dir, "nation"), "n_nationkey", F.concat_ws(",", "n_nationkey", "n_regionkey"))
-    return without_place(Studio(spark).load_csv(text))
+    """Texts of two rows each in a column; the first has a header."""
+    s = read(spark, sf_dir, "supplier")
+    text = F.concat_ws("\r\n", F.when(F.col("s_suppkey") == 0, F.lit("supplier nation")), F.concat_ws(",", "s_suppkey", "s_nationkey"), F.concat_ws("\t", F.col("s_suppkey") + F.lit(0.5), "s_acctbal"))
+    return without_place(files.delimited_table(files.lines_of_texts(s.select("s_suppkey", text.alias("text")), "text", "s_suppkey")))
 
 
-@query("SELECT n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y, 1.5::DOUBLE AS z FROM nation")
+@query("SELECT s_suppkey::DOUBLE AS x, s_nationkey::DOUBLE AS y, 1.5::DOUBLE AS z FROM supplier")
 def read_xyz_text(spark, sf_dir):
-    return without_place(Studio(spark).load_xyz(text_of(read(spark, sf_dir, "nation"), "n_nationkey", F.concat_ws(" ", "n_nationkey", "n_regionkey", F.lit(1.5)))))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", "s_suppkey", "s_nationkey", F.lit(1.5)).alias("text"))
+    return without_place(files.delimited_table(files.lines_of_texts(s, "text", "s_suppkey"), names=files.XYZ_NAMES))
 
 
-@query("SELECT n_nationkey::DOUBLE AS key, n_name AS name FROM nation")
+@query("SELECT c_custkey::DOUBLE AS key, c_name AS name FROM customer")
 def read_json_records(spark, sf_dir):
-    whole = read(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")).alias("r"))
-    return without_place(files.json_table(spark, whole.agg(F.to_json(F.collect_list("r")))))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.json"
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    json_documents.write_documents(c, path)
+    return without_place(Studio(spark, {"customers": path}).load("customers"))
 
 
 @query(_LCG.format(seed=1, n=_COUNT.format("part")) + " SELECT i AS id, v / 4294967295.0::DOUBLE AS x FROM s WHERE i >= 0")
@@ -198,7 +199,8 @@ def read_flows(spark, sf_dir):
 def _json_graph(spark, sf_dir) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     links = F.collect_list(F.struct(F.concat(F.lit("S"), "s_suppkey").alias("from"), F.concat(F.lit("N"), "s_nationkey").alias("target"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("value")))
-    return s.agg(F.to_json(F.struct(F.array(F.struct(F.lit("alone").alias("name"))).alias("vertices"), links.alias("edges"))).alias("value"))
+    documents = s.groupBy(F.floor(F.col("s_suppkey") / 10))  # a graph of ten suppliers each
+    return documents.agg(F.to_json(F.struct(F.array(F.struct(F.lit("alone").alias("name"))).alias("vertices"), links.alias("edges"))).alias("value")).select("value")
 
 
 @query(_EDGES)
@@ -211,16 +213,17 @@ def read_json_graph_nodes(spark, sf_dir):
     return files.json_graph(_json_graph(spark, sf_dir))[0]
 
 
-@query(_CELLS + " SELECT (row_number() OVER (ORDER BY row) - 1)::INT AS row, 0 AS col, sum(value) AS value FROM g GROUP BY row UNION ALL SELECT (row_number() OVER (ORDER BY row) - 1)::INT, 1, max(value) FROM g GROUP BY row")
+@query(_CELLS + " SELECT (row_number() OVER (PARTITION BY row // 4 ORDER BY row) - 1)::INT AS row, 0 AS col, sum(value) AS value FROM g GROUP BY g.row UNION ALL SELECT (row_number() OVER (PARTITION BY row // 4 ORDER BY row) - 1)::INT, 1, max(value) FROM g GROUP BY g.row")
 def read_json_grid(spark, sf_dir):
     by_row = _cells(spark, sf_dir).groupBy("row").agg(F.sum("value").alias("a"), F.max("value").alias("b"))
-    matrix = by_row.agg(F.sort_array(F.collect_list(F.struct("row", "a", "b"))).alias("m")).select(F.to_json(F.struct(F.transform("m", lambda r: F.array(r["a"], r["b"])).alias("grid"))).alias("value"))
+    matrix = by_row.groupBy(F.floor(F.col("row") / 4)).agg(F.sort_array(F.collect_list(F.struct("row", "a", "b"))).alias("m")).select(F.to_json(F.struct(F.transform("m", lambda r: F.array(r["a"], r["b"])).alias("grid"))).alias("value"))
     return grid.to_grid(files.json_grid(matrix), "matrix")
 
 
-@query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS place, s_suppkey::DOUBLE AS x, s_acctbal AS y, s_nationkey::DOUBLE AS z, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vz, 1.0::DOUBLE AS m FROM supplier")
+@query("SELECT (row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) - 1)::INT AS place, s_suppkey::DOUBLE AS x, s_acctbal AS y, s_nationkey::DOUBLE AS z, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vz, 1.0::DOUBLE AS m FROM supplier")
 def read_json_bodies(spark, sf_dir):
-    bodies = read(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list(F.struct(F.col("s_suppkey").cast("double").alias("a"), F.col("s_acctbal").alias("b"), F.col("s_nationkey").cast("double").alias("c")))).alias("m"))
+    """Documents of ten bodies each."""
+    bodies = read(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 10)).agg(F.sort_array(F.collect_list(F.struct(F.col("s_suppkey").cast("double").alias("a"), F.col("s_acctbal").alias("b"), F.col("s_nationkey").cast("double").alias("c")))).alias("m"))
     return files.json_bodies(bodies.select(F.to_json(F.struct(F.transform("m", lambda r: F.array(r["a"], r["b"], r["c"])).alias("bodies"))).alias("value")))
 
 
@@ -231,10 +234,11 @@ def read_bodies(spark, sf_dir):
     return without_place(files.point_rows(lines(s, "s_suppkey", line), ["x", "y", "z", "vx", "vy", "vz", "m"], 6))
 
 
-@query("SELECT name, v AS formats FROM (VALUES ('a.CSV', 'csv'), ('b.json', 'json'), ('c.dat', 'dat'), ('x.pdf', '')) t(name, v)")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'json' WHEN 2 THEN 'dat' ELSE '' END AS formats FROM pages")
 def formats_by_name(spark, sf_dir):
-    rows_ = [(n, ",".join(files.formats_of(n))) for n in ("a.CSV", "b.json", "c.dat", "x.pdf")]
-    return spark.createDataFrame(rows_, "name string, formats string")
+    p = read(spark, sf_dir, "pages")
+    name = F.concat("page_id", F.element_at(F.array(*map(F.lit, (".CSV", ".json", ".dat", ".pdf"))), (F.col("page_id") % 4 + 1).cast("int")))
+    return p.select("page_id", F.array_join(files.format_names(name, F.lit(b"")), ",").alias("formats"))
 
 
 @query("SELECT upper(n_name) || '|' AS text, NULL::DOUBLE AS whole, NULL::DOUBLE AS prefix FROM nation UNION ALL SELECT c_acctbal || 'kg', NULL, c_acctbal FROM customer UNION ALL SELECT ' ' || c_custkey || '.5 ', c_custkey + 0.5::DOUBLE, c_custkey + 0.5::DOUBLE FROM customer")
@@ -253,32 +257,36 @@ def write_delimited(spark, sf_dir):
     return project.delimited_rows(Table(n), ["a", "b", "c"]).select("line")
 
 
-_VIEW = "SELECT 'scatter' AS kind, string_agg(n_nationkey || ' ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS text FROM nation UNION ALL SELECT 'line', string_agg(n_nationkey || ',' || n_regionkey, chr(10) ORDER BY n_nationkey) FROM nation UNION ALL SELECT 'histogram', string_agg(n_regionkey::VARCHAR, chr(10) ORDER BY n_nationkey) FROM nation UNION ALL SELECT 'pointcloud', string_agg(n_nationkey || ' ' || n_regionkey, chr(10) ORDER BY n_nationkey) FROM nation"
+_VIEW = "SELECT 'scatter' AS kind, s_suppkey AS place, s_suppkey || ' ' || s_nationkey AS line FROM supplier UNION ALL SELECT 'line', s_suppkey, s_suppkey || ',' || s_nationkey FROM supplier UNION ALL SELECT 'histogram', s_suppkey, s_nationkey::VARCHAR FROM supplier UNION ALL SELECT 'pointcloud', s_suppkey, s_suppkey || ' ' || s_nationkey FROM supplier"
 
 
-def _nation_table(spark, sf_dir) -> Table:
-    return Table(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double").alias("k"), F.col("n_regionkey").cast("double").alias("r"), F.col("n_nationkey").cast("long").alias(ROW)))
+def _supplier_table(spark, sf_dir) -> Table:
+    return Table(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("double").alias("k"), F.col("s_nationkey").cast("double").alias("r"), F.col("s_suppkey").cast("long").alias(ROW)))
+
+
+def _lines_of_views(views: list) -> DataFrame:
+    out = [v.lines().select(F.lit(kind).alias("kind"), F.col(ROW).alias("place"), "line") for kind, v in views]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query(_VIEW)
 def views_of_blocks(spark, sf_dir):
-    """The text that each view block hands to its chart."""
-    known, t, out = blocks.standard(spark), _nation_table(spark, sf_dir), []
-    for name, kind, params in (("scatter", "scatter", {"x": "k", "y": "r", "color": ""}), ("line", "line", {"x": "k", "y": "r"}), ("histogram", "histogram", {"column": "r"}), ("point_cloud_2d", "pointcloud", {"x": "k", "y": "r"})):
-        out.append((kind, known.blocks[f"viz.{name}"].apply({"table": t}, params)["view"].text()))
-    return spark.createDataFrame(out, "kind string, text string")
+    """The lines that each view block hands to its chart, with their places."""
+    known, t = blocks.standard(spark), _supplier_table(spark, sf_dir)
+    chosen = (("scatter", "scatter", {"x": "k", "y": "r", "color": ""}), ("line", "line", {"x": "k", "y": "r"}), ("histogram", "histogram", {"column": "r"}), ("point_cloud_2d", "pointcloud", {"x": "k", "y": "r"}))
+    return _lines_of_views([(kind, known.blocks[f"viz.{name}"].apply({"table": t}, params)["view"]) for name, kind, params in chosen])
 
 
 @query(_VIEW)
 def views_of_plot(spark, sf_dir):
-    s, t = Studio(spark), _nation_table(spark, sf_dir)
+    s, t = Studio(spark), _supplier_table(spark, sf_dir)
     made = [("scatter", {"x": "k", "y": "r"}), ("line", {"x": "k", "y": "r"}), ("histogram", {"column": "r"}), ("pointcloud", {})]
-    return spark.createDataFrame([(kind, s.plot(kind, t, **chosen).text()) for kind, chosen in made], "kind string, text string")
+    return _lines_of_views([(kind, s.plot(kind, t, **chosen)) for kind, chosen in made])
 
 
-@query("SELECT n_nationkey::VARCHAR AS k, n_regionkey::VARCHAR AS r FROM nation WHERE n_nationkey < 7")
+@query("SELECT s_suppkey::VARCHAR AS k, s_nationkey::VARCHAR AS r FROM supplier WHERE s_suppkey < 7")
 def preview_rows(spark, sf_dir):
-    return spark.createDataFrame(_nation_table(spark, sf_dir).preview(7), "k string, r string")
+    return without_place(_supplier_table(spark, sf_dir).previewed(7))
 
 
 @query(_LCG.format(seed=9, n=_COUNT.format("customer")) + " SELECT i AS id, v / 4294967295.0::DOUBLE AS x FROM s WHERE i >= 0 AND v / 4294967295.0::DOUBLE BETWEEN 0.25 AND 0.75")
@@ -470,25 +478,30 @@ def read_digits(spark, sf_dir):
     return rows_.select(F.col(ROW).alias("line"), "label", F.size("pixels").cast("long").alias("n"), F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS place, s_nationkey::BIGINT AS label, (s_suppkey * 3 + 1)::DOUBLE AS total FROM supplier")
+@query("SELECT (row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) - 1)::INT AS place, s_nationkey::BIGINT AS label, (s_suppkey * 3 + 1)::DOUBLE AS total FROM supplier")
 def read_json_digits(spark, sf_dir):
-    s = read(spark, sf_dir, "supplier").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_nationkey"))).alias("r"))
+    """Documents of ten images each."""
+    s = read(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 10)).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_nationkey"))).alias("r"))
     k = lambda r: r["s_suppkey"].cast("double")
     whole = s.select(F.to_json(F.struct(F.transform("r", lambda r: F.array(F.array(k(r), k(r)), F.array(k(r), F.lit(1.0)))).alias("images"), F.transform("r", lambda r: r["s_nationkey"]).alias("labels"))).alias("value"))
     return files.json_digits(whole).select("place", "label", F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query("SELECT * FROM (VALUES ('mnist_1.csv', 'mnist'), ('NonLinear.csv', 'nonlinear-nn'), ('a_linear.txt', 'linear'), ('two.csv', 'linear'), ('three.csv', 'logistic'), ('four.csv', '')) t(name, kind)")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'mnist' WHEN 1 THEN 'nonlinear-nn' WHEN 2 THEN 'linear' END AS kind FROM supplier")
 def kinds_of_models(spark, sf_dir):
-    firsts = {"mnist_1.csv": "", "NonLinear.csv": "", "a_linear.txt": "", "two.csv": "x, y", "three.csv": "1 2 3", "four.csv": "a b c d"}
-    return spark.createDataFrame([(n, files.model_kind(n, line) or "") for n, line in firsts.items()], "name string, kind string")
+    s = read(spark, sf_dir, "supplier")
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("mnist_", "NonLinear", "a_linear", "four"))), (F.col("s_suppkey") % 4 + 1).cast("int")), "s_suppkey", F.lit(".csv"))
+    return s.select("s_suppkey", files.model_kinds(name, F.concat_ws(" ", "s_suppkey", F.lit("b c d"))).alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('a.csv', 'bars,lines'), ('b.JSON', 'graph'), ('c.bin', 'viewer'), ('d.zip', '')) t(name, consumers)")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'bars,lines' WHEN 1 THEN 'graph' WHEN 2 THEN 'viewer' ELSE '' END AS consumers FROM pages")
 def routed_files(spark, sf_dir):
+    """By ending, or, for a name that says nothing, by first bytes."""
     consumers = {"bars": [".csv"], "lines": [".txt", ".CSV"], "graph": [".json"], "viewer": [".png"]}
-    firsts = {"a.csv": b"1,2", "b.JSON": b"{", "c.bin": b"\x89PNG", "d.zip": b"PK"}
-    return spark.createDataFrame([(n, ",".join(files.routed(n, x, consumers))) for n, x in firsts.items()], "name string, consumers string")
+    p = read(spark, sf_dir, "pages")
+    name = F.concat("page_id", F.element_at(F.array(*map(F.lit, (".csv", ".JSON", ".bin", ".zip"))), (F.col("page_id") % 4 + 1).cast("int")))
+    head = F.when(F.col("page_id") % 4 == 2, F.unhex(F.lit(b"\x89PNG".hex()))).otherwise(F.encode(F.substring("html", 1, 8), "utf-8"))
+    return p.select("page_id", F.array_join(files.consumers_of(name, head, consumers), ",").alias("consumers"))
 
 
 # learning

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.project import delimited_rows
 from ..table import ROW, View
 
 
@@ -24,7 +23,7 @@ def write_lines(lines: DataFrame, path: str, order: list[Column | str], line: st
 
 def write_view(view: View, path: str) -> None:
     """The text of a view, in its table's order."""
-    write_lines(delimited_rows(view.table, list(view.columns), view.separator), path, [ROW])
+    write_lines(view.lines(), path, [ROW])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

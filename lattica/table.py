@@ -89,6 +89,12 @@ class View:
     options: dict = field(default_factory=dict)
     separator: str = " "
 
+    def lines(self) -> DataFrame:
+        """ROW and line: the same text as rows, for views of any size; `sinks.write_view` writes it in its order."""
+        from .operators.project import delimited_rows
+
+        return delimited_rows(self.table, list(self.columns), self.separator)
+
     def text(self) -> str:
         from .operators.project import delimited
 
