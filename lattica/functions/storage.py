@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}  # of applications whose setting is unset
 _PATHS: weakref.WeakKeyDictionary[DataFrame, tuple[str, ...]] = weakref.WeakKeyDictionary()
@@ -41,10 +41,11 @@ def written(df: DataFrame, by: str | None = None, **options: str) -> DataFrame:
 
 
 def counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """`written`, and aggregates over its rows, which the same job takes."""
-    seen = Observation()
-    out = written(df.observe(seen, *(c.alias(n) for n, c in counts.items())))
-    return out, {n: seen.get.get(n) or 0 for n in counts}
+    """`written`, and aggregates over its rows, read from the files. (Observed metrics would take them along with the writing, but a
+    session that has observed anything can't run models of Spark's ML any more: it doesn't serialize.)"""
+    out = written(df)
+    row = out.agg(*(c.alias(n) for n, c in counts.items())).first()
+    return out, {n: row[n] or 0 for n in counts}
 
 
 def erased(*tables: DataFrame, part: str = "") -> None:
