@@ -65,6 +65,7 @@ def worker_cache(owner: str, make: Callable):
     only the cache that was asked for last."""
     if owner not in _CACHES:
         _CACHES.clear()
+        _POWERS.clear()
         _CACHES[owner] = make()
     return _CACHES[owner]
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch as sketches
-from .common import BASE, Rolling, dropped, durable, fresh, keyed, mixed, powers, sliding_min, small_batches, table, text_chunks, tidied, utf8
+from .common import BASE, Rolling, dropped, durable, fresh, keyed, mixed, powers, sliding_min, small_batches, table, text_chunks, tidied, utf8, worker_cache
 from .repeats import SECOND, covered
 
 PART = 20  # bytes of an anchor
@@ -149,6 +149,7 @@ def surveyed(docs: DataFrame, shape: Shape, bits: int, sparse: int) -> DataFrame
     """One pass over the texts: the sketch's counters of anchors (block, counts), and the suffixes at one anchor in 2**sparse."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("suffixes", dict)  # what another operator has left goes
         held: list[np.ndarray] = []
         names = [x.split()[0] for x in SURVEY.split(", ")]
 
@@ -272,6 +273,7 @@ class SuffixIndex:
         shape = self.shape
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_cache("suffixes", dict)
             for rows in by_key(batches, "shard"):
                 yield from scan_shard(rows, shape, free if keep else -1)
 
