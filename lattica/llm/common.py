@@ -25,11 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame, by: str | None = None) -> DataFrame:
+def durable(df: DataFrame, by: str | None = None, row_group: int | None = None) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it. Shuffle
     files that led to them, which nothing refers to any more, go at once instead of whenever the driver collects garbage.
-    by: a column whose values get folders of their own, so that reading one value reads no other's files."""
-    out = written(df, by, compression="zstd")
+    by: a column whose values get folders of their own, so that reading one value reads no other's files. row_group: bytes in a row
+    group, of which writers and readers hold one; for rows of large values."""
+    out = written(df, by, compression="zstd", **({"parquet.block.size": str(row_group)} if row_group else {}))
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
@@ -40,9 +41,11 @@ dropped = erased
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: at most so many of them go to Python at once, in this session from now on."""
+    """Texts can be long: at most so many of them go to Python at once, in this session from now on. And tables written by a column of
+    a few values are written side by side, where a sort by that column would hold and spill their rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", CHUNK_BYTES)
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", 8)
 
 
 def fresh(docs: DataFrame, *names: str) -> list[str]:

@@ -40,9 +40,10 @@ PART = 20  # bytes of an anchor
 SEGMENT = 1 << 16  # window starts looked at together
 PLACE = np.uint64((1 << 17) - 1)  # bits of a place in a segment
 NONE = np.uint64((1 << 64) - 1)
-SLICE = 400_000  # windows matched together
+SLICE = 400_000  # windows matched together, or suffixes of a chunk
 LEAST = 32  # windows that a suffix counts as at least
 BLOCK = 1 << 20  # bytes of suffixes in a row
+ROW_GROUP = 16 << 20  # bytes in a row group of the tables with suffixes, which a reader holds whole
 LEVEL_OWNER = np.iinfo(np.int64).min  # any document of a level is smaller than those of the batch
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(SECOND))
 
@@ -76,6 +77,17 @@ def anchors_of(data: np.ndarray, counts: np.ndarray, length: int, part: int) ->
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def document_slices(row: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of row (the document of each suffix), whole documents at a time: up to `most` places, or one document's."""
+    order = np.argsort(row, kind="stable")
+    totals = np.cumsum(np.bincount(row))
+    a = 0
+    while a < len(order):
+        b = int(totals[max(np.searchsorted(totals, a + most, side="right") - 1, row[order[a]])])
+        yield order[a:b]
+        a = b
+
+
 class Shape:
     """How a suffix is laid out: `length` bytes from the anchor on, then the `back` bytes before it, in zeros where its windows don't
     reach. left: how many bytes before the anchor its first window starts; n: its windows."""
@@ -178,10 +190,13 @@ def surveyed(docs: DataFrame, shape: Shape, bits: int, sparse: int) -> DataFrame
 def chunk_suffixes(docs: DataFrame, shape: Shape, sketch, splitters, edges: list[int], chunk_bytes: int) -> DataFrame:
     """The suffixes of all rows of docs (doc_id, text, fp) at anchors that may occur twice. For each chunk and batch, a row of its
     distinct suffixes in each shard (ids: their numbers in the chunk), and one row (batch -1) of where they occur: ids, and docs,
-    fps and starts of the first windows."""
+    fps and starts of the first windows. A chunk with more than SLICE suffixes goes out as several."""
     names = [x.split()[0] for x in SUFFIXES.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 3)]
 
+    def batch_of(lines: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: sketches.Sketch = sketch.value
         cuts: np.ndarray = splitters.value
@@ -200,50 +215,60 @@ def chunk_suffixes(docs: DataFrame, shape: Shape, sketch, splitters, edges: list
                 start, at = np.concatenate([start[~dense], own]), np.concatenate([at[~dense], own])
                 n = np.concatenate([n[~dense], np.ones(len(own), np.int64)])
                 dense = np.arange(len(start)) >= len(start) - len(own)
+            else:
+                dense = np.zeros(len(start), bool)
             if not len(start):
                 continue
-            left = at - start
-            rows = shape.suffixes(data, at, left, n)
             begins = np.cumsum(counts) - counts
             row = np.searchsorted(begins + counts, start, side="right")
-            ids = part.column("doc_id").to_numpy()
-            doc, batch = ids[row], np.searchsorted(edges, ids[row]).astype(np.int32)
-            # distinct suffixes of the chunk and batch
-            words = np.zeros((len(rows), -(-shape.width // 8) * 8), np.uint8)
-            words[:, : shape.width] = rows
-            word = words.view("<u8")
-            hashed = mixed(left.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64) << np.uint64(16), 1) + batch.astype(np.uint64)
-            for k in range(word.shape[1]):
-                hashed = mixed(hashed + word[:, k])
-            order = np.argsort(hashed, kind="stable")
-            new = np.ones(len(order), bool)
-            x, y = order[1:], order[:-1]
-            new[1:] = (hashed[x] != hashed[y]) | (batch[x] != batch[y]) | (left[x] != left[y]) | (n[x] != n[y]) | (word[x] != word[y]).any(1)
-            first = np.flatnonzero(new)
-            ident = np.empty(len(order), np.int32)
-            ident[order] = np.cumsum(new) - 1
-            one = order[first]
-            least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
-            key = rows[one][:, : shape.length].copy()
-            key[~dense[one], shape.part :] = 0  # suffixes that share an anchor go to one shard
-            shard = np.searchsorted(cuts, key.view(f"S{shape.length}").ravel(), side="right")
-            # a row for each batch and shard
-            to = np.lexsort((shard, batch[one]))
-            group = batch[one][to].astype(np.int64) << 32 | shard[to]
-            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
-            sorted_ = one[to]
-            out = [to.astype("<i4"), rows[sorted_], left[sorted_].astype(shape.kind), n[sorted_].astype(shape.kind), least[to], most[to]]
-            lines = []
-            for a, b in zip(begin, [*begin[1:], len(to)]):
-                k, s = int(group[a] >> 32), int(group[a] & 0xFFFFFFFF)
-                lines.append((k, s, number + k, *(x[a:b].tobytes() for x in out), None, None, None))
-            fps = part.column("fp").to_numpy()
-            for k in np.unique(batch).tolist():
-                of = np.flatnonzero(batch == k)
-                of = of[np.argsort(row[of], kind="stable")]
-                lines.append((-1, None, number + k, ident[of].tobytes(), None, None, None, None, None, doc[of].tobytes(), fps[row[of]].tobytes(), (start - begins[row])[of].tobytes()))
-            number += len(edges) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], names)
+            for some in document_slices(row, SLICE):
+                yield from slice_lines(part, data, begins, row[some], start[some], n[some], at[some], dense[some], cuts, number)
+                number += len(edges) + 1
+
+    def slice_lines(part: pa.RecordBatch, data: np.ndarray, begins: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray, dense: np.ndarray, cuts: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
+        left = at - start
+        rows = shape.suffixes(data, at, left, n)
+        ids = part.column("doc_id").to_numpy()
+        doc, batch = ids[row], np.searchsorted(edges, ids[row]).astype(np.int32)
+        # distinct suffixes of the chunk and batch
+        words = np.zeros((len(rows), -(-shape.width // 8) * 8), np.uint8)
+        words[:, : shape.width] = rows
+        word = words.view("<u8")
+        hashed = mixed(left.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64) << np.uint64(16), 1) + batch.astype(np.uint64)
+        for k in range(word.shape[1]):
+            hashed = mixed(hashed + word[:, k])
+        order = np.argsort(hashed, kind="stable")
+        new = np.ones(len(order), bool)
+        x, y = order[1:], order[:-1]
+        new[1:] = (hashed[x] != hashed[y]) | (batch[x] != batch[y]) | (left[x] != left[y]) | (n[x] != n[y]) | (word[x] != word[y]).any(1)
+        first = np.flatnonzero(new)
+        ident = np.empty(len(order), np.int32)
+        ident[order] = np.cumsum(new) - 1
+        one = order[first]
+        least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+        key = rows[one][:, : shape.length].copy()
+        key[~dense[one], shape.part :] = 0  # suffixes that share an anchor go to one shard
+        shard = np.searchsorted(cuts, key.view(f"S{shape.length}").ravel(), side="right")
+        # a row for each batch and shard
+        to = np.lexsort((shard, batch[one]))
+        group = batch[one][to].astype(np.int64) << 32 | shard[to]
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist()
+        sorted_ = one[to]
+        out = [to.astype("<i4"), rows[sorted_], left[sorted_].astype(shape.kind), n[sorted_].astype(shape.kind), least[to], most[to]]
+        lines, held = [], 0
+        for a, b in zip(begin, [*begin[1:], len(to)]):
+            k, s = int(group[a] >> 32), int(group[a] & 0xFFFFFFFF)
+            lines.append((k, s, number + k, *(x[a:b].tobytes() for x in out), None, None, None))
+            held += (b - a) * shape.width
+            if held >= BLOCK:
+                yield batch_of(lines)
+                lines, held = [], 0
+        fps = part.column("fp").to_numpy()
+        for k in np.unique(batch).tolist():
+            of = np.flatnonzero(batch == k)
+            of = of[np.argsort(row[of], kind="stable")]
+            lines.append((-1, None, number + k, ident[of].tobytes(), None, None, None, None, None, doc[of].tobytes(), fps[row[of]].tobytes(), (start - begins[row])[of].tobytes()))
+        yield batch_of(lines)
 
     return docs.mapInArrow(tidied(run), SUFFIXES)
 
@@ -277,7 +302,7 @@ class SuffixIndex:
             for rows in by_key(batches, "shard"):
                 yield from scan_shard(rows, shape, free if keep else -1)
 
-        found = durable(every.repartition("shard").sortWithinPartitions("shard", "level", "piece").mapInArrow(tidied(run), SCANNED), by="kind")
+        found = durable(every.repartition("shard").sortWithinPartitions("shard", "level", "piece").mapInArrow(tidied(run), SCANNED), by="kind", row_group=ROW_GROUP)
         self.scanned.append(found)
         if keep:
             for k in range(free):
@@ -307,6 +332,7 @@ def scan_shard(rows: pa.Table, shape: Shape, free: int) -> Iterator[pa.RecordBat
     sorted_new = np.argsort(strings[:n_new], kind="stable")
     merged = np.concatenate([sorted_new, np.arange(n_new, len(level))])
     order = merged[np.argsort(strings[merged], kind="stable")]
+    del strings
     text, left, n = text[order], left[order], n[order]
     same_anchor = (text[1:, : shape.part] == text[:-1, : shape.part]).all(1)
     # suffixes with equal bytes have differing reaches only where the texts have zeros; those are neighbours all the same
@@ -405,6 +431,19 @@ def repeated_places(found: DataFrame, answers: DataFrame, shape: Shape) -> DataF
     return places.groupBy("doc_id", "fp").agg(F.first("spans").alias("spans"))  # equal rows have equal places
 
 
+def shard_splitters(sample: np.ndarray, seen: sketches.Sketch, shape: Shape, sparse: int, shard_bytes: int) -> np.ndarray:
+    """Strings that cut the order into shards of about `shard_bytes` of suffixes, by the suffixes (from the anchor on) at one anchor in
+    2**sparse. Those that the sketch leaves out weigh nothing, and those whose windows are suffixes of their own as many."""
+    if not len(sample):
+        return np.zeros(0, f"S{shape.length}")
+    anchor = mixed((_BYTES[sample[:, : shape.part]] * powers(shape.part, BASE)[0]).sum(1, dtype=np.uint64))
+    weight = seen.reached(anchor) * np.where(seen.very_frequent(anchor), (shape.back + 1) / 2, 1.0)
+    strings, of = np.unique(np.ascontiguousarray(sample).view(f"S{shape.length}").ravel(), return_inverse=True)
+    total = np.cumsum(np.bincount(of, weight))
+    shards = int(min(1 << 20, max(1, math.ceil(total[-1] * (1 << sparse) * shape.width / shard_bytes))))
+    return strings[np.unique(np.searchsorted(total, total[-1] * np.arange(1, shards) / shards))]
+
+
 def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int, shard_bytes: int, frequent: int, chunk_bytes: int) -> DataFrame:
     """doc_id, fp, spans: the windows of docs (doc_id, text, fp) that also start in a document with a smaller doc_id."""
     spark = docs.sparkSession
@@ -415,14 +454,15 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int, shard_
     edges = sorted(set(steps or []))
     bits = sketches.size_bits(size / 3)
     shards = int(min(1 << 20, max(1, math.ceil(size / shard_bytes))))
-    sampled = max(0, int(math.log2(max(1.0, 2 * size / (length - part + 1) / (64 * shards)))))
+    sampled = max(0, int(math.log2(max(1.0, 2 * size / (length - part + 1) / (128 * shards)))))
     survey = durable(surveyed(docs, shape, bits, sampled))
     limit = frequent + int(8 * size / (length - part) / (1 << bits))  # above what a full sketch shows of any anchor
-    sketch = spark.sparkContext.broadcast(sketches.merged(survey.where("block is not null").select("block", "counts"), bits, 2, (2,), limit))
+    seen = sketches.merged(survey.where("block is not null").select("block", "counts"), bits, 2, (2,), limit)
     sample = survey.where("sample is not null").select("sample").toArrow().column("sample")
-    sample = np.unique(np.frombuffer(b"".join(x.as_py() for x in sample), f"S{length}"))
-    splitters = spark.sparkContext.broadcast(sample[np.linspace(0, len(sample), shards + 1).astype(int)[1:-1]] if len(sample) else sample)
-    found = durable(chunk_suffixes(docs, shape, sketch, splitters, edges, chunk_bytes), by="batch")
+    sample = np.frombuffer(b"".join(x.as_py() for x in sample), np.uint8).reshape(-1, length)
+    splitters = spark.sparkContext.broadcast(shard_splitters(sample, seen, shape, sampled, shard_bytes))
+    sketch = spark.sparkContext.broadcast(seen)
+    found = durable(chunk_suffixes(docs, shape, sketch, splitters, edges, chunk_bytes), by="batch", row_group=ROW_GROUP)
     dropped(survey)
     index, answers = SuffixIndex(shape), None
     for k in range(len(edges) + 1):
@@ -434,7 +474,7 @@ def repeated_bytes(docs: DataFrame, length: int, part: int, batches: int, shard_
     return places
 
 
-OPTIONS = {"batches": 4, "shard_bytes": 8 << 20, "frequent": 20_000, "chunk_bytes": 4 << 20}
+OPTIONS = {"batches": 4, "shard_bytes": 16 << 20, "frequent": 20_000, "chunk_bytes": 4 << 20}
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, **options) -> DataFrame:
@@ -446,7 +486,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, part: int = PART, **options)
     removes from none. Other columns are left out. No documents: no rows.
 
     Options (see OPTIONS): documents come in so many `batches` of about as many rows; every batch is scanned against all levels, so
-    there are few. The order is cut into shards for each `shard_bytes` of text; anchors that occur more often than `frequent`
+    there are few. The order is cut into shards for each `shard_bytes` of suffixes; anchors that occur more often than `frequent`
     times or so have their windows as suffixes; chunks have `chunk_bytes` of text. None of them changes results.
     """
     small_batches(docs.sparkSession)
