@@ -48,6 +48,16 @@ def compare(op: str, a: Column, b: float) -> Column:
     return plain | F.isnan(a) if op == "!=" else plain & ~F.isnan(a)
 
 
+def half_away(c: Column, digits: int) -> Column:
+    """round(c * 10**digits) / 10**digits in doubles, halves away from zero, as SQL engines round doubles. F.round goes by the decimal
+    digits of a double instead, so that the two part where a product falls on a half or just below one."""
+    scaled = F.abs(c) * F.lit(10.0**digits)
+    below = F.floor(scaled).cast("double")
+    whole = F.when(scaled < 2.0**52, below + F.when(scaled - below >= 0.5, 1.0).otherwise(0.0)).otherwise(scaled)
+    out = whole / F.lit(10.0**digits)
+    return F.when(F.isnan(out) | (out == INF), c).otherwise(F.signum(c) * out)
+
+
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 

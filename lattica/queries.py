@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.numeric import half_away
 from .operators import charts, graphs, grid, motion, project, rows, stats, trees
 from .operators.learn import line_fit
 from .sources import generate
@@ -31,8 +32,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, zeros without a sign: sums come in another order in SQL."""
-    return df.select(*((F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema))
+    """Doubles rounded as SQL does, zeros without a sign: sums come in another order in SQL."""
+    return df.select(*((half_away(F.col(f.name), digits) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema))
 
 
 def by_key(df: DataFrame, key: str) -> Table:
@@ -262,7 +263,7 @@ def violin_box(spark, sf_dir):
  p AS (SELECT range AS point, lo - (hi - lo) * 0.05 + (hi - lo) * 1.1 * range / 64 AS x FROM range(65), b)
 SELECT event_type, point, round(x, 4) AS x, round(sum(exp(-0.5 * pow((x - value) / h, 2))) / (any_value(n) * any_value(h)), 9) AS density FROM events JOIN g USING (event_type) CROSS JOIN p GROUP BY event_type, point, p.x""")
 def violin_density(spark, sf_dir):
-    return charts.kernel_density(read(spark, sf_dir, "events"), "event_type", "value").select("event_type", "point", F.round("x", 4).alias("x"), F.round("density", 9).alias("density"))
+    return charts.kernel_density(read(spark, sf_dir, "events"), "event_type", "value").select("event_type", "point", half_away(F.col("x"), 4).alias("x"), half_away(F.col("density"), 9).alias("density"))
 
 
 def _probit_sql(p: str) -> str:
@@ -449,7 +450,7 @@ def contour_cells(spark, sf_dir):
 @query(_CELLS + ", p AS (SELECT x.range * 0.7 AS fx, y.range * 0.45 AS fy FROM range(30) x, range(12) y), q AS (SELECT fx, fy, least(floor(fx), 22)::BIGINT AS col, least(floor(fy), 5)::BIGINT AS row FROM p) SELECT round(fx, 4)::DOUBLE AS fx, round(fy, 4)::DOUBLE AS fy, round((a.value * (1 - (fx - q.col)) + b.value * (fx - q.col)) * (1 - (fy - q.row)) + (c.value * (1 - (fx - q.col)) + d.value * (fx - q.col)) * (fy - q.row), 6)::DOUBLE AS value FROM q JOIN g a ON a.row = q.row AND a.col = q.col JOIN g b ON b.row = q.row AND b.col = q.col + 1 JOIN g c ON c.row = q.row + 1 AND c.col = q.col JOIN g d ON d.row = q.row + 1 AND d.col = q.col + 1")
 def bilinear_sample(spark, sf_dir):
     p = spark.range(30).select((F.col("id") * 0.7).alias("fx")).crossJoin(F.broadcast(spark.range(12).select((F.col("id") * 0.45).alias("fy"))))
-    return rounded(rounded(grid.bilinear(_cells(spark, sf_dir), p), 6).select(F.round("fx", 4).alias("fx"), F.round("fy", 4).alias("fy"), "value"))
+    return rounded(rounded(grid.bilinear(_cells(spark, sf_dir), p), 6).select(half_away(F.col("fx"), 4).alias("fx"), half_away(F.col("fy"), 4).alias("fy"), "value"))
 
 
 def _bodies(spark, sf_dir) -> DataFrame:
@@ -499,7 +500,7 @@ def mandelbrot_counts(spark, sf_dir):
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
 def linreg_fit(spark, sf_dir):
     fit = line_fit(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
-    return fit.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
+    return fit.select(*(half_away(F.col(c), d).alias(c) for c, d in (("slope", 6), ("intercept", 4), ("r2", 6))))
 
 
 def _more() -> None:

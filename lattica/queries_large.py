@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import colors
+from .functions.numeric import half_away
 from .functions.storage import shared_folder
 from .operators import learn, rows, trees
 from .plans import blocks, plugins
@@ -238,7 +239,7 @@ def exported_weights(spark, sf_dir):
     model = learn.gradient_fit(p, ["p_size"], "y", "p_partkey", epochs=100)
     kernel, bias = (w["data"][0] for w in json.loads(model.to_json())["weights"])
     z = (F.col("p_size") - float(model.means[0])) / float(model.deviations[0])
-    return p.select("p_partkey", F.round(z * kernel + bias, 2).alias("score"))
+    return p.select("p_partkey", half_away(z * kernel + bias, 2).alias("score"))
 
 
 # deep trees

@@ -522,7 +522,7 @@ def dependence_line(spark, sf_dir):
     item = read(spark, sf_dir, "lineitem").select("l_extendedprice", F.col("l_quantity").cast("double").alias("l_quantity"))
     model = learn.linear_fit(item, ["l_quantity"], "l_extendedprice")
     out = learn.partial_dependence(item, model, ["l_quantity"], "l_quantity")
-    return out.select("id", F.round("l_quantity", 4).alias("l_quantity"), F.round("prediction", 3).alias("prediction"))
+    return out.select("id", numeric.half_away(F.col("l_quantity"), 4).alias("l_quantity"), numeric.half_away(F.col("prediction"), 3).alias("prediction"))
 
 
 @query("SELECT p_partkey, (p_retailprice > (SELECT avg(p_retailprice) FROM part))::INT AS above FROM part")
