@@ -1,42 +1,119 @@
-"""Bodies, particles and formula-driven points, as joins, sums and row-local folds."""
+"""Bodies in blocks, particles and formula-driven points, as joins, sums and row-local folds."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import lcg, mulberry32, real
 
 
-def bodies_step(bodies: DataFrame, dt: float = 0.001, g: float = 0.05, soft: float = 0.03, physical: bool = False, blocks: int = 8) -> DataFrame:
+BLOCK = 4096  # bodies in a block, or so
+TILE = 4  # bodies of a block that meet another block at once: matrices that caches hold
+
+
+def blocks_of(bodies: DataFrame, count: int, *columns: Column) -> DataFrame:
+    """block, and p: a block's bodies as a list of id, the columns. Equal ids share a block."""
+    block = F.pmod(F.xxhash64("id"), F.lit(count))
+    return bodies.select(block.alias("block"), F.struct("id", *columns).alias("p")).groupBy("block").agg(F.collect_list("p").alias("p"))
+
+
+def met(left: DataFrame, right: DataFrame, count: int, upper: bool, run: Callable, schema: str) -> DataFrame:
+    """run(left p, right p, same) for each pair of blocks (`upper`: for one of both orders), as rows of the schema. Every pair is dealt
+    out by its own key, so that a task holds two blocks at a time."""
+    every = F.sequence(F.lit(0), F.lit(count - 1))
+    a = left.select(F.col("block").alias("a"), F.explode(F.filter(every, lambda k: k >= F.col("block")) if upper else every).alias("b"), F.col("p").alias("p"))
+    b = right.select(F.explode(F.filter(every, lambda k: k <= F.col("block")) if upper else every).alias("a"), F.col("block").alias("b"), F.col("p").alias("q"))
+    parts = max(1, min(count * count, 1024))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = batch.column("same").to_pylist()
+            for k in range(batch.num_rows):
+                yield run(batch.column("p")[k].values, batch.column("q")[k].values, same[k])
+
+    deal = lambda df: df.withColumn("part", F.pmod(F.col("a") * count + F.col("b"), F.lit(parts)))
+    pairs = deal(a).repartition(parts, "part").join(deal(b).repartition(parts, "part"), ["part", "a", "b"])
+    return pairs.select((F.col("a") == F.col("b")).alias("same"), "p", "q").mapInArrow(whole, schema)
+
+
+def values(p: pa.StructArray, *names: str) -> list[np.ndarray]:
+    return [p.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def tiles(p: pa.StructArray, q: pa.StructArray, same: bool, soft: float) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray]]:
+    """A few bodies of p against all of q: which, the differences along the axes, and the squares of the softened distances; these are
+    infinite between bodies of one id."""
+    a, b = values(p, *"xyz"), values(q, *"xyz")
+    if same:
+        code = pc.index_in(p.field("id"), pc.unique(p.field("id"))).to_numpy()
+        other = pc.index_in(q.field("id"), pc.unique(p.field("id"))).fill_null(-1).to_numpy()
+    for start in range(0, len(p), TILE):
+        own = slice(start, start + TILE)
+        d = [v - u[own, None] for u, v in zip(a, b)]
+        r2 = d[0] * d[0]
+        for x in d[1:]:
+            r2 += x * x
+        r2 += soft * soft
+        if same:
+            r2[code[own, None] == other] = math.inf
+        yield own, d, r2
+
+
+def bodies_step(bodies: DataFrame, dt: float = 0.001, g: float = 0.05, soft: float = 0.03, physical: bool = False, block: int = BLOCK) -> DataFrame:
     """One semi-implicit Euler step of all bodies (id, x, y, z, vx, vy, vz, m). By default the force, with both masses in it, acts
-    as the acceleration; `physical` leaves the body's own mass out. Pairs meet block by block of ids, and forces are added up
-    before the shuffle: a cost of n^2, as the method has it."""
-    own = bodies.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left = own.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("a")
-    right = own.select("id", "x", "y", "z", "m", F.col("_b").alias("_c")).alias("b")
-    d = {k: F.col(f"b.{k}") - F.col(f"a.{k}") for k in "xyz"}
-    r2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"] + soft * soft
-    mass = F.col("b.m") if physical else F.col("a.m") * F.col("b.m")
-    pull = g * mass / (r2 * F.sqrt(r2))
-    forces = left.join(right, "_c").where("a.id <> b.id").groupBy(F.col("a.id").alias("id")).agg(*(F.sum(pull * d[k]).alias(f"f{k}") for k in "xyz"))
+    as the acceleration; `physical` leaves the body's own mass out. Blocks of about `block` bodies meet in pairs, each pair in a task
+    of its own, as matrices: a cost of n^2, as the method has it, and the memory of two blocks. Bodies that lack a number neither pull
+    nor are pulled."""
+    count = max(1, math.ceil(bodies.count() / block))
+    axes = [F.col(k).cast("double").alias(k) for k in "xyz"]
+    pulled = bodies.dropna(subset=["id", *"xyz", *([] if physical else ["m"])])
+    pulling = bodies.dropna(subset=["id", *"xyz", "m"])
+    own_mass = (F.lit(1.0) if physical else F.col("m").cast("double")).alias("m")
+
+    def run(p: pa.StructArray, q: pa.StructArray, same: bool) -> pa.RecordBatch:
+        forces = np.empty((3, len(p)))
+        (own_m,), (m,) = values(p, "m"), values(q, "m")
+        with np.errstate(divide="raise", invalid="ignore", over="ignore"):
+            for own, d, r2 in tiles(p, q, same, soft):
+                pull = np.sqrt(r2)
+                pull *= r2
+                np.divide(g * m, pull, out=pull)
+                for k in range(3):
+                    forces[k, own] = np.einsum("ij,ij->i", pull, d[k]) * own_m[own]
+        return pa.RecordBatch.from_arrays([p.field("id"), *map(pa.array, forces)], ["id", "fx", "fy", "fz"])
+
+    kind = bodies.schema["id"].dataType.simpleString()
+    met_ = met(blocks_of(pulled, count, *axes, own_mass), blocks_of(pulling, count, *axes, F.col("m").cast("double").alias("m")), count, False, run, f"id {kind}, fx double, fy double, fz double")
+    forces = met_.groupBy("id").agg(*(F.sum(f"f{k}").alias(f"f{k}") for k in "xyz"))
     moved = bodies.join(forces, "id", "left").fillna(0.0, ["fx", "fy", "fz"])
     speeds = {f"v{k}": F.col(f"v{k}") + F.col(f"f{k}") * dt for k in "xyz"}
     return moved.withColumns(speeds).withColumns({k: F.col(k) + F.col(f"v{k}") * dt for k in "xyz"}).select(*bodies.columns)
 
 
-def total_energy(bodies: DataFrame, g: float = 0.05, soft: float = 0.03, blocks: int = 8) -> DataFrame:
-    """Kinetic energy less the sum of G m m / sqrt(d^2 + soft^2) over pairs: kinetic, potential, energy. Pairs meet block by block
-    of ids, as in bodies_step."""
-    own = bodies.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    a = own.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("a")
-    b = own.select("id", "x", "y", "z", "m", F.col("_b").alias("_c")).alias("b")
-    d2 = sum(((F.col(f"a.{k}") - F.col(f"b.{k}")) * (F.col(f"a.{k}") - F.col(f"b.{k}")) for k in "xyz"), F.lit(soft * soft))
-    pairs = a.join(b, "_c").where("a.id < b.id").agg(F.coalesce(-F.sum(g * F.col("a.m") * F.col("b.m") / F.sqrt(d2)), F.lit(0.0)).alias("potential"))
+def total_energy(bodies: DataFrame, g: float = 0.05, soft: float = 0.03, block: int = BLOCK) -> DataFrame:
+    """Kinetic energy less the sum of G m m / sqrt(d^2 + soft^2) over pairs: kinetic, potential, energy. Blocks of about `block` bodies
+    meet in pairs, as in bodies_step, and every two once."""
+    count = max(1, math.ceil(bodies.count() / block))
+    own = blocks_of(bodies.dropna(subset=["id", *"xyz", "m"]), count, *(F.col(k).cast("double").alias(k) for k in (*"xyz", "m")))
+
+    def run(p: pa.StructArray, q: pa.StructArray, same: bool) -> pa.RecordBatch:
+        (own_m,), (m,) = values(p, "m"), values(q, "m")
+        total = 0.0
+        with np.errstate(divide="raise", invalid="ignore", over="ignore"):
+            for some, _, r2 in tiles(p, q, same, soft):
+                total += float(own_m[some] @ (np.divide(1.0, np.sqrt(r2, out=r2), out=r2) @ m))
+        return pa.RecordBatch.from_arrays([pa.array([g * total / (2 if same else 1)])], ["part"])
+
+    potential = met(own, own, count, True, run, "part double").agg(F.coalesce(-F.sum("part"), F.lit(0.0)).alias("potential"))
     kinetic = bodies.agg(F.sum(0.5 * F.col("m") * (F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)).alias("kinetic"))
-    return kinetic.crossJoin(pairs).withColumn("energy", F.col("kinetic") + F.col("potential"))
+    return kinetic.crossJoin(potential).withColumn("energy", F.col("kinetic") + F.col("potential"))
 
 
 def particles(df: DataFrame, steps: int = 240, dt: float = 0.01, speed: float = 1.0) -> DataFrame:
