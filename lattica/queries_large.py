@@ -4,6 +4,7 @@ read back, and SQL says what must come out."""
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +27,12 @@ def folder(spark: SparkSession, ending: str = "") -> str:
 
 # JSON documents
 
+
+def documents_for(df: DataFrame, least: int = 3, size: int = 64 << 20) -> int:
+    """How many JSON documents hold the rows with about `size` bytes each, which is what the task that writes one reads."""
+    return max(least, math.ceil((df.agg(F.sum(F.octet_length(F.concat_ws(",", *df.columns)))).first()[0] or 0) / size))
+
+
 _ODD = """ || '",[{\\'"""
 
 
@@ -35,7 +42,7 @@ def read_json_documents(spark, sf_dir):
     path = folder(spark, ".json")
     d = read(spark, sf_dir, "documents")
     d = d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit('",[{\\')).alias("text"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("n_chars"))
-    json_documents.write_documents(d.repartitionByRange(3, "doc_id"), path)
+    json_documents.write_documents(d.repartitionByRange(documents_for(d), "doc_id"), path)
     return files.load_file(spark, path).to_df()
 
 
@@ -44,7 +51,7 @@ def read_json_order(spark, sf_dir):
     """The places of records are those in the document, whatever range of it they come from."""
     path = folder(spark, ".json")
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
-    json_documents.write_documents(o.repartitionByRange(4, "key").sortWithinPartitions("key"), path)
+    json_documents.write_documents(o.repartitionByRange(documents_for(o, 4), "key").sortWithinPartitions("key"), path)
     return files.load_file(spark, path).df.withColumnRenamed(ROW, "place")
 
 
