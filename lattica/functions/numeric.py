@@ -14,17 +14,17 @@ def real(c: Column) -> Column:
 
 
 def divide(a: Column, b: Column) -> Column:
-    """a / b as IEEE has it: infinities and NaN instead of errors, and the sign of zeros counts."""
+    """a / b as IEEE has it: infinities and NaN instead of errors, and the sign of zeros counts. Null if either is."""
     a, b = real(a), real(b)
     below = b.cast("string").startswith("-")  # only the text tells -0.0 from 0.0
     at_zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when((a > 0) != below, F.lit(INF)).otherwise(F.lit(-INF))
-    return F.when(F.isnan(b), F.lit(NAN)).when(b == 0, at_zero).otherwise(F.try_divide(a, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(F.isnan(b), F.lit(NAN)).when(b == 0, at_zero).otherwise(F.try_divide(a, b))
 
 
 def remainder(a: Column, b: Column) -> Column:
-    """a % b with the sign of a; NaN for b = 0."""
+    """a % b with the sign of a; NaN for b = 0. Null if either is."""
     a, b = real(a), real(b)
-    return F.when((b == 0) | F.isnan(b) | F.isnan(a), F.lit(NAN)).otherwise(F.try_mod(a, b))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when((b == 0) | F.isnan(b) | F.isnan(a), F.lit(NAN)).otherwise(F.try_mod(a, b))
 
 
 COMPARISONS = {

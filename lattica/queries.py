@@ -148,7 +148,9 @@ def top_k_smallest(spark, sf_dir):
 def _math(op: str, other):
     def f(spark, sf_dir):
         t = Table(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").withColumn("rest", F.col("o_orderkey") % 7 - 3.0))
-        return rounded(project.binary(t, op, "o_totalprice", other).df.drop("rest"), 4)
+        df = project.binary(t, op, "o_totalprice", other).df
+        # of these two doubles SQL takes the sign off a zero of the second alone
+        return df.select("o_orderkey", half_away(F.col("o_totalprice"), 4).alias("o_totalprice"), (half_away(F.col(f"o_totalprice_{op}"), 4) + F.lit(0.0)).alias(f"o_totalprice_{op}"))
 
     return f
 
