@@ -29,8 +29,9 @@ def durable(df: DataFrame, by: str | None = None, row_group: int | None = None)
     """Writes the rows to the shared folder and reads them back: lineage ends there and no executor's loss undoes it. Shuffle
     files that led to them, which nothing refers to any more, go at once instead of whenever the driver collects garbage.
     by: a column whose values get folders of their own, so that reading one value reads no other's files. row_group: bytes in a row
-    group, of which writers and readers hold one; for rows of large values."""
-    out = written(df, by, compression="zstd", **({"parquet.block.size": str(row_group)} if row_group else {}))
+    group, of which writers and readers hold one; for rows of large values, so that sizes are looked at from the second row on and
+    not from the hundredth."""
+    out = written(df, by, compression="zstd", **({"parquet.block.size": str(row_group), "parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "2"} if row_group else {}))
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out

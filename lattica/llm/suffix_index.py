@@ -41,6 +41,7 @@ SEGMENT = 1 << 16  # window starts looked at together
 PLACE = np.uint64((1 << 17) - 1)  # bits of a place in a segment
 NONE = np.uint64((1 << 64) - 1)
 SLICE = 400_000  # windows matched together, or suffixes of a chunk
+PLACES = 20_000  # occurrences in a row, or a document's
 LEAST = 32  # windows that a suffix counts as at least
 BLOCK = 1 << 20  # bytes of suffixes in a row
 ROW_GROUP = 16 << 20  # bytes in a row group of the tables with suffixes, which a reader holds whole
@@ -189,8 +190,9 @@ def surveyed(docs: DataFrame, shape: Shape, bits: int, sparse: int) -> DataFrame
 
 def chunk_suffixes(docs: DataFrame, shape: Shape, sketch, splitters, edges: list[int], chunk_bytes: int) -> DataFrame:
     """The suffixes of all rows of docs (doc_id, text, fp) at anchors that may occur twice. For each chunk and batch, a row of its
-    distinct suffixes in each shard (ids: their numbers in the chunk), and one row (batch -1) of where they occur: ids, and docs,
-    fps and starts of the first windows. A chunk with more than SLICE suffixes goes out as several."""
+    distinct suffixes in each shard (ids: their numbers in the chunk), and rows (batch -1) of where they occur, PLACES or so and whole
+    documents in each: ids and starts of the first windows; docs, fps and n (how many of the places) of the documents. A chunk with
+    more than SLICE suffixes goes out as several."""
     names = [x.split()[0] for x in SUFFIXES.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * (len(names) - 3)]
 
@@ -263,12 +265,19 @@ def chunk_suffixes(docs: DataFrame, shape: Shape, sketch, splitters, edges: list
             if held >= BLOCK:
                 yield batch_of(lines)
                 lines, held = [], 0
+        if lines:
+            yield batch_of(lines)
         fps = part.column("fp").to_numpy()
         for k in np.unique(batch).tolist():
             of = np.flatnonzero(batch == k)
             of = of[np.argsort(row[of], kind="stable")]
-            lines.append((-1, None, number + k, ident[of].tobytes(), None, None, None, None, None, doc[of].tobytes(), fps[row[of]].tobytes(), (start - begins[row])[of].tobytes()))
-        yield batch_of(lines)
+            begin = np.flatnonzero(np.concatenate([[True], row[of][1:] != row[of][:-1]]))  # of each document
+            end = np.append(begin[1:], len(of))
+            cut = np.flatnonzero(np.concatenate([[True], begin[1:] // PLACES != begin[:-1] // PLACES])).tolist()
+            for a, b in zip(cut, [*cut[1:], len(begin)]):
+                o, one = of[begin[a] : end[b - 1]], of[begin[a:b]]
+                starts = (start - begins[row])[o]
+                yield batch_of([(-1, None, number + k, ident[o].tobytes(), None, None, (end - begin)[a:b].tobytes(), None, None, doc[one].tobytes(), fps[row[one]].tobytes(), starts.tobytes())])
 
     return docs.mapInArrow(tidied(run), SUFFIXES)
 
@@ -401,8 +410,9 @@ def scanned(*values) -> pa.RecordBatch:
 
 
 def repeated_places(found: DataFrame, answers: DataFrame, shape: Shape) -> DataFrame:
-    """doc_id, fp, spans (start and number of window starts): what the owners of windows mean at the chunks' occurrences."""
-    places = found.where("batch = -1").select("chunk", F.lit(0).alias("kind"), "ids", "docs", "fps", "starts")
+    """doc_id, fp, spans (start and number of window starts, apart from each other): what the owners of windows mean at the chunks'
+    occurrences."""
+    places = found.where("batch = -1").select("chunk", F.lit(0).alias("kind"), "ids", "n", "docs", "fps", "starts")
     every = places.unionByName(answers.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +424,8 @@ def repeated_places(found: DataFrame, answers: DataFrame, shape: Shape) -> DataF
             ids, owner = numbers(said.column("ids"), "<i4"), numbers(said.column("owners"))
             window, n = (numbers(said.column(c), shape.kind).astype(np.int64) for c in ("left", "n"))
             order = np.argsort(ids, kind="stable")
-            own, doc, fp, start = numbers(here.column("ids"), "<i4"), *(numbers(here.column(c)) for c in ("docs", "fps", "starts"))
+            own, start = numbers(here.column("ids"), "<i4"), numbers(here.column("starts"))
+            doc, fp = (np.repeat(numbers(here.column(c)), numbers(here.column("n"))) for c in ("docs", "fps"))
             each = np.bincount(ids, minlength=int(own.max()) + 1)
             at = order[np.repeat((np.cumsum(each) - each)[own], each[own]) + np.arange(each[own].sum()) - np.repeat(np.cumsum(each[own]) - each[own], each[own])]
             place = np.repeat(np.arange(len(own)), each[own])
@@ -422,9 +433,18 @@ def repeated_places(found: DataFrame, answers: DataFrame, shape: Shape) -> DataF
             at, place = at[smaller], place[smaller]
             if not len(at):
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (doc[place][1:] != doc[place][:-1]) | (fp[place][1:] != fp[place][:-1])]))
-            spans = pa.StructArray.from_arrays([pa.array(start[place] + window[at]), pa.array(n[at])], ["start", "n"])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), spans)
+            other = np.concatenate([[True], (doc[place][1:] != doc[place][:-1]) | (fp[place][1:] != fp[place][:-1])])
+            first, text = np.flatnonzero(other), np.cumsum(other) - 1
+            # a document's stretches that meet become one
+            begin = start[place] + window[at]
+            far = int((begin + n[at]).max()) + 1
+            begin += text * far
+            near = np.argsort(begin, kind="stable")
+            begin, end = begin[near], np.maximum.accumulate((begin + n[at])[near])
+            edge = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]]))
+            begin, end = begin[edge], end[np.append(edge[1:], len(end)) - 1]
+            spans = pa.StructArray.from_arrays([pa.array(begin % far), pa.array(end - begin)], ["start", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, np.arange(len(first) + 1) * far), pa.int32()), spans)
             yield pa.RecordBatch.from_arrays([pa.array(doc[place[first]]), pa.array(fp[place[first]]), lists], ["doc_id", "fp", "spans"])
 
     places = every.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(tidied(run), "doc_id long, fp long, spans array<struct<start: long, n: long>>")

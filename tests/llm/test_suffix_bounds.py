@@ -51,3 +51,32 @@ def test_row_groups_are_small_and_no_sort_comes_before_parts(spark):
     files = glob.glob(_PATHS[out][0].removeprefix("file://") + "/kind=0/*.parquet")
     assert files and pq.ParquetFile(files[0]).metadata.num_row_groups > 1
     common.dropped(out)
+
+
+def test_row_groups_of_a_few_large_rows_are_small(spark):
+    rows = spark.range(0, 40, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: F.xxhash64(k, "id")).alias("x"))
+    out = common.durable(rows, row_group=4 << 20)
+    of = pq.ParquetFile(glob.glob(_PATHS[out][0].removeprefix("file://") + "/*.parquet")[0]).metadata
+    assert max(of.row_group(k).num_rows for k in range(of.num_row_groups)) <= 16 and of.num_rows == 40
+    common.dropped(out)
+
+
+def test_places_go_out_in_rows_of_bounded_size(spark, prose, monkeypatch):
+    texts = [prose(300, k % 30) for k in range(120)] + [prose(9_000, 200)] * 2
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    whole, rows = suffix_index.durable, []
+
+    def watched(df, *a, **o):
+        out = whole(df, *a, **o)
+        if "starts" in out.columns:
+            rows.extend(out.where("batch = -1").selectExpr("length(starts) div 8 AS places", "length(docs) div 8 AS docs").collect())
+        if "spans" in out.columns:
+            lists = [sorted(map(tuple, r.spans)) for r in out.collect()]
+            assert lists and all(a + n < b for spans in lists for (a, n), (b, _) in zip(spans, spans[1:]))  # none meet
+        return out
+
+    monkeypatch.setattr(suffix_index, "durable", watched)
+    monkeypatch.setattr(suffix_index, "PLACES", 500)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_index.suffix_dedup(docs).collect()}
+    assert len(rows) > 20 and all(r.places < 1_000 or r.docs <= 2 for r in rows)
+    assert all(got[k] == (len(texts[k]), 1) for k in [*range(30, 120), 121]) and got[0] == got[120] == (0, 0)
